@@ -1,16 +1,16 @@
 """Jaccard self-join of word n-gram sets with prefix filters under several global token orders.
 
-Method. A document's set holds the distinct hashed shingles of its words. Copies of one set are one entity. For a
-Jaccard similarity of t, two sets of n tokens that link share a token among the first n - ceil(t n) + 1 of each,
-under *every* global token order. The first order is by rising corpus frequency (counted over all documents in a
+Method. A document's set holds the distinct hashed shingles of its words. Copies of one set are one entity. Sets of
+n and m tokens link at a Jaccard similarity of t when they have a = ceil(t (n + m) / (1 + t)) tokens in common, and then
+share a token among the first n - a + 1 and m - a + 1 of them, under *every* global token order. The first order is by rising corpus frequency (counted over all documents in a
 sketch of fixed size), so that its prefixes hold rare tokens and common passages stay out of them; the others
 order frequency classes by different scrambles. Candidates come from the first order's prefix and must overlap in
 the prefixes of all other orders before their sets are compared exactly.
 
-No group is expanded into all its pairs: in star rounds each prefix token's entities are compared with one pivot,
-verified links join components, and only entities of a token that are still in another component than most are
-compared with the others in the end. That loses no link between components and skips only pairs that are already
-connected.
+No group is expanded into all its pairs. Lists hold the entities of one prefix token and one range of set sizes. In
+rounds, a list's entities are compared with one of them, then those outside the list's largest component with a few
+of that component, and in the end those still outside with all of the list. Verified links join components between
+the rounds, so that only pairs that are already connected are skipped and no link between components is lost.
 
 Rows: a null, empty or all-white-space text has the empty set (n_shingles 0) and is alone in its component; rows of
 a repeated doc_id are judged each by its own text; a row without doc_id gets its n_shingles, a null component_id,
@@ -19,6 +19,7 @@ and links nothing. Other columns of the input are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +36,9 @@ from .store import Scratch, sized
 SKETCH_BITS = 18
 #: Token orders whose prefixes must overlap, the first included.
 ORDERS = 3
+#: Rounds: against one of the list; those left, against some of the list's largest component, then against all.
+STEPS = ("one", "1", "all")
+PIVOTS = 8
 
 
 def _sets(data: np.ndarray, bounds: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -56,6 +60,11 @@ def _signature(s: np.ndarray) -> int:
     return int(mix(np.array([total + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
 
 
+def _ceil(factor: int, what: str, by: int) -> str:
+    """SQL for the ceiling of factor * what / by."""
+    return f"(({factor} * {what} + {by - 1}) div {by})"
+
+
 def _prefix(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
@@ -116,29 +125,52 @@ def _prefixes(k: int, percent: int, bits: int, counts):
     return run
 
 
-def _full(k: int, percent: int, bits: int, orders: int, counts):
-    """(ent, tokens, more): whole sets, and the prefixes under the other orders one after another."""
+def _others(k: int, percent: int, bits: int, orders: int, counts):
+    """(ent, n, more): the prefixes under the other orders one after another, as 32-bit hashes of their tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.asarray(counts.value)
         for batch in batches:
-            data, bounds = buffers(batch.column(0))
-            ent, sets, more, at, to = [], [], [], [0], [0]
-            for _, s in _sets(data, bounds, k):
+            ent, n, more, at = [], [], [np.zeros(0, np.int32)], [0]
+            for _, s in _sets(*buffers(batch.column(0)), k):
+                if len(s):
+                    ent.append(_signature(s))
+                    n.append(len(s))
+                    low, p = s.astype(np.uint32).view(np.int32), _prefix(len(s), percent)
+                    more += [low[_ordered(s, table, o, bits)[:p]] for o in range(1, orders)]
+                    at.append(at[-1] + p * (orders - 1))
+            lists = pa.ListArray.from_arrays(pa.array(np.array(at, np.int32)), pa.array(np.concatenate(more)))
+            yield pa.record_batch([pa.array(ent, pa.int64()), pa.array(n, pa.int32()), lists], names=["ent", "n", "more"])
+
+    return run
+
+
+def _whole(k: int):
+    """(ent, tokens): whole sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ent, sets, at = [], [np.zeros(0, np.int64)], [0]
+            for _, s in _sets(*buffers(batch.column(0)), k):
                 if len(s):
-                    p = _prefix(len(s), percent)
                     ent.append(_signature(s))
                     sets.append(s.view(np.int64))
                     at.append(at[-1] + len(s))
-                    for o in range(1, orders):
-                        more.append(s[_ordered(s, table, o, bits)[:p]].view(np.int64))
-                    to.append(to[-1] + p * (orders - 1))
-            lists = [pa.ListArray.from_arrays(pa.array(np.array(x, np.int32)), pa.array(np.concatenate(y) if y else np.zeros(0, np.int64))) for x, y in ((at, sets), (to, more))]
-            yield pa.record_batch([pa.array(ent, pa.int64()), *lists], names=["ent", "tokens", "more"])
+            lists = pa.ListArray.from_arrays(pa.array(np.array(at, np.int32)), pa.array(np.concatenate(sets)))
+            yield pa.record_batch([pa.array(ent, pa.int64()), lists], names=["ent", "tokens"])
 
     return run
 
 
+def _lists(percent: int) -> F.Column:
+    """Two list numbers for a token and a set size: sizes whose ratio allows a link share one of them.
+
+    Sizes fall into geometric ranges twice as wide as the ratio, in two grids that are shifted by half a range.
+    """
+    x = F.log(F.col("n")) / F.lit(max(-math.log(percent / 100) * 1.001, 1e-9))
+    return F.array(*[F.xxhash64("token", F.lit(g), F.floor((x + g) / 2)) for g in (0, 1)])
+
+
 def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 80, orders: int = ORDERS, sketch_bits: int = SKETCH_BITS) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; component_id is the smallest doc_id that links reach.
 
@@ -155,36 +187,44 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 80, orders: int =
     sketch = spark.sparkContext.broadcast(counts)
 
     prefix = scratch.cut(keyed.where("doc_id is not null").select("text").mapInArrow(_prefixes(k, percent, sketch_bits, sketch), "ent long, n int, prefix array<long>"))
-    tokens = prefix.select("ent", "n", F.explode("prefix").alias("token"))
-    shared = tokens.groupBy("token").agg(F.min("ent").alias("lo"), F.max("ent").alias("hi")).where("lo <> hi").select("token")
-    postings = scratch.cut(tokens.join(shared, "token").groupBy("token", "ent").agg(F.first("n").alias("n")))
+    tokens = prefix.select("ent", "n", F.posexplode("prefix").alias("pos", "token")).withColumn("early", F.expr(f"pos <= n - {_ceil(2 * percent, 'n', 100 + percent)}"))
+    shared = tokens.groupBy("token").agg(F.min("ent").alias("lo"), F.max("ent").alias("hi"), F.max("early").alias("early")).where("lo <> hi and early").select("token")
+    postings = tokens.join(shared, "token").select(F.explode(_lists(percent)).alias("key"), "ent", "n", "pos", "early")
+    postings = scratch.cut(postings.groupBy("key", "ent").agg(F.first("n").alias("n"), F.min("pos").alias("pos"), F.max("early").alias("early")))
     scratch.drop(prefix)
+    postings = scratch.cut(_open(postings.withColumn("comp", F.col("ent")))).drop("comp")
 
-    wanted = postings.select("ent").distinct()
     first = rows.where("n > 0 and doc_id is not null").groupBy("ent").agg(F.min("doc_id").alias("doc_id"))
-    chosen = scratch.cut(first.join(wanted, "ent", "left_semi").select("doc_id", "ent"))
-    total = chosen.count()
-    texts = keyed.join(sized(chosen.select("doc_id"), total, 2_000_000), "doc_id", "left_semi").select("text")
-    sets = texts.mapInArrow(_full(k, percent, sketch_bits, orders, sketch), "ent long, tokens array<long>, more array<long>").dropDuplicates(["ent"])
-    sets = scratch.cut(sets)
-    scratch.drop(chosen)
-
-    links = None
-    comp = None
-    for step in ("low", "high", "rest"):
-        if comp is None:
-            here = postings.withColumn("comp", F.col("ent"))
-        else:
+    chosen = scratch.cut(first.join(postings.select("ent").distinct(), "ent", "left_semi").select("doc_id", "ent"))
+
+    def texts(ents: DataFrame) -> DataFrame:
+        ids = scratch.cut(chosen.join(ents, "ent", "left_semi").select("doc_id"))
+        return keyed.join(sized(ids, ids.count(), 2_000_000), "doc_id", "left_semi").select("text")
+
+    more = texts(postings.select("ent").distinct()).mapInArrow(_others(k, percent, sketch_bits, orders, sketch), "ent long, n int, more array<int>")
+    more = scratch.cut(more.dropDuplicates(["ent"]))
+    links = comp = sets = None
+    for step in STEPS:
+        here = postings.withColumn("comp", F.col("ent"))
+        if comp is not None:
             here = postings.join(comp.withColumnRenamed("id", "ent"), "ent", "left").withColumn("comp", F.coalesce("comp", "ent"))
-            open_ = here.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-            here = scratch.cut(here.join(open_, "token"))
-            if here.isEmpty():
-                break
-        pairs = _stars(here, step) if step != "rest" else _rest(here)
-        pairs = pairs.where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & F.expr("ca <> cb"))
-        new = _verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets, percent, orders)
-        new = scratch.cut(new)
-        links = new if links is None else links.union(new)
+            here = scratch.cut(_open(here))
+        pairs = _against_one(here) if step == "one" else _outsiders(here, None if step == "all" else int(step))
+        common = _ceil(percent, "(na + nb)", 100 + percent)
+        pairs = pairs.where(f"ca <> cb and pa <= na - {common} and pb <= nb - {common}").withColumn("common", F.expr(common))
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "common").distinct()
+        pairs = scratch.cut(_overlapping(pairs, more, orders))
+        wanted = pairs.select(F.col("a").alias("ent")).union(pairs.select("b")).distinct()
+        if sets is not None:
+            wanted = wanted.join(sets.select("ent"), "ent", "left_anti")
+        wanted = scratch.cut(wanted)
+        if not wanted.isEmpty():
+            got = scratch.cut(texts(wanted).mapInArrow(_whole(k), "ent long, tokens array<long>").dropDuplicates(["ent"]))
+            sets = got if sets is None else sets.unionAll(got)
+        if sets is None:
+            break
+        new = scratch.cut(_linked(pairs, sets, percent))
+        links = new if links is None else links.unionAll(new)
         comp = components(links, scratch)
 
     ids = rows.where("n > 0 and doc_id is not null")
@@ -200,31 +240,50 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 80, orders: int =
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(member, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _stars(here: DataFrame, step: str) -> DataFrame:
-    """Each entity of a token against the token's pivot: the smallest or the largest set, then id."""
-    key = F.struct("n", "ent", "comp")
-    pivot = here.groupBy("token").agg((F.min(key) if step == "low" else F.max(key)).alias("p"))
-    pivot = pivot.select("token", F.col("p.ent").alias("b"), F.col("p.n").alias("nb"), F.col("p.comp").alias("cb"))
-    return here.select("token", F.col("ent").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca")).join(pivot, "token")
+def _open(here: DataFrame) -> DataFrame:
+    """Rows of lists that hold more than one component, and the token early enough for a link."""
+    lists = here.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("early").alias("early")).where("lo <> hi and early").select("key")
+    return here.join(lists, "key")
 
 
-def _rest(here: DataFrame) -> DataFrame:
-    """Entities outside their token's largest component against all entities of the token in other components."""
-    sizes = here.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
-    most = sizes.groupBy("token").agg(F.max(F.struct("c", "comp")).alias("m")).select("token", F.col("m.comp").alias("main"))
-    few = here.join(most, "token").where("comp <> main").select("token", F.col("ent").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    return here.select("token", F.col("ent").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca")).join(few, "token")
+def _side(here: DataFrame, x: str) -> DataFrame:
+    return here.select("key", F.col("ent").alias(x), F.col("n").alias("n" + x), F.col("pos").alias("p" + x), F.col("comp").alias("c" + x))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int, orders: int) -> DataFrame:
-    """Pairs whose other prefixes all overlap and whose sets link."""
-    a = sets.select(F.col("ent").alias("a"), F.col("tokens").alias("ta"), F.col("more").alias("ma"))
-    b = sets.select(F.col("ent").alias("b"), F.col("tokens").alias("tb"), F.col("more").alias("mb"))
-    both = pairs.join(a, "a").join(b, "b")
-    overlap = F.lit(True)
+def _against_one(here: DataFrame) -> DataFrame:
+    """Each entity of a list against one of the list, the same of a group in all the group's lists."""
+    pivot = here.where("early").groupBy("key").agg(F.min(F.struct(F.xxhash64("ent"), "ent", "n", "pos", "comp")).alias("p")).select("key", "p.*")
+    return _side(here, "a").join(_side(pivot, "b"), "key")
+
+
+def _outsiders(here: DataFrame, seed: int | None) -> DataFrame:
+    """Entities outside their list's largest component against some of that component (about PIVOTS), or all of the list."""
+    sizes = here.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
+    most = sizes.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m")).select("key", F.col("m.comp").alias("main"), F.col("m.c").alias("c"))
+    known = here.join(most, "key")
+    few = known.where("comp <> main")
+    if seed is not None:
+        every = F.pow(F.lit(2.0), F.greatest(F.ceil(F.log2(F.col("c") / PIVOTS)), F.lit(0))).cast("long")
+        known = known.where((F.col("comp") == F.col("main")) & (F.pmod(F.xxhash64(F.lit(seed), F.col("ent")), every) == 0))
+    # in a pair that passes, the smaller set has the token early
+    pairs = _side(known.where("early"), "a").join(_side(few, "b"), "key").where("nb >= na")
+    return pairs.unionByName(_side(known, "a").join(_side(few.where("early"), "b"), "key").where("na >= nb"))
+
+
+def _overlapping(pairs: DataFrame, more: DataFrame, orders: int) -> DataFrame:
+    """Pairs whose prefixes overlap under every other order as well."""
+    if orders < 2:
+        return pairs
+    a, b = (more.select(F.col("ent").alias(x), F.col("n").alias("n" + x), F.col("more").alias("m" + x)) for x in "ab")
+    ok = F.lit(True)
     for o in range(orders - 1):
-        pa_, pb_ = (F.slice(m, (F.size(m) / (orders - 1)).cast("int") * o + 1, (F.size(m) / (orders - 1)).cast("int")) for m in ("ma", "mb"))
-        overlap = F.when(overlap, F.arrays_overlap(pa_, pb_)).otherwise(False)
+        part = [F.expr(f"slice(m{x}, cast(size(m{x}) / {orders - 1} as int) * {o} + 1, cast(n{x} - common + 1 as int))") for x in "ab"]
+        ok = F.when(ok, F.arrays_overlap(*part)).otherwise(False)
+    return pairs.join(a, "a").join(b, "b").where(ok).select("a", "b")
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose sets link."""
+    a, b = (sets.select(F.col("ent").alias(x), F.col("tokens").alias("t" + x)) for x in "ab")
     inter = F.size(F.array_intersect("ta", "tb"))
-    link = F.when(overlap, 100 * inter >= percent * (F.size("ta") + F.size("tb") - inter)).otherwise(False)
-    return both.where(link).select("a", "b")
+    return pairs.join(a, "a").join(b, "b").where(100 * inter >= percent * (F.size("ta") + F.size("tb") - inter)).select("a", "b")
