@@ -22,16 +22,19 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .codepoints import batches, sample_by_group
+from .hashing import chunks
 from .store import crc_mod, free_name, replace_columns
 
 BITS = 16
 SAMPLE = 1500
 SWITCH = 8.0
 SCRIPT_SHARE = 0.01
+GROUP = 4_000_000
 _NEVER = np.float32(-1e4)
 
 # First and last code point of the scripts' main blocks, as in the Unicode standard.
@@ -98,7 +101,7 @@ class Model:
 
     def spans(self, col: pa.Array) -> Iterator[tuple[int, list[tuple[str, int, int]]]]:
         """(row, [(language, words, letters)]) of the labelled spans of each text, in order."""
-        rows, labels, letters, bounds, _ = self._labels(col)
+        labels, letters, bounds, _ = self._labels(col)
         for r in range(len(col)):
             part, out = slice(bounds[r], bounds[r + 1]), []
             for lab, n in zip(labels[part], letters[part], strict=True):
@@ -131,14 +134,26 @@ class Model:
         n = np.concatenate(letters) if letters else np.zeros(0, np.int64)
         known = np.concatenate(known) if known else np.zeros(0, bool)
         bounds = np.concatenate([[0], np.cumsum(counts)])
-        return None, viterbi(s, counts, self.switch), n, bounds, known
+        return viterbi(s, counts, self.switch), n, bounds, known
 
     def predict(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Language number (-1: und) and score of each text."""
+        """Language number (-1: und) and score of each text.
+
+        Texts of like length go together, in groups of at most GROUP characters or one text, which bounds memory and steps.
+        """
+        lang, score = np.full(len(col), -1), np.zeros(len(col))
+        if self.langs:
+            size = np.asarray(pc.fill_null(pc.utf8_length(col), 0)).astype(np.int64)
+            order = np.argsort(size, kind="stable")
+            bounds = np.concatenate([[0], np.cumsum(size[order])])
+            for i, j in chunks(bounds, GROUP):
+                rows = order[i:j]
+                lang[rows], score[rows] = self._predict(col.take(pa.array(rows)))
+        return lang, score
+
+    def _predict(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         k, rows = len(self.langs), len(col)
-        if not k:
-            return np.full(rows, -1), np.zeros(rows)
-        _, labels, n, bounds, known = self._labels(col)
+        labels, n, bounds, known = self._labels(col)
         row = np.repeat(np.arange(rows), np.diff(bounds))
         total = np.bincount(row, weights=n, minlength=rows)
         by = np.bincount(row * k + labels, weights=n * known, minlength=rows * k).reshape(rows, k)
