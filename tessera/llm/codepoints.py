@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 PAD = 4
 
 
-def batches(col: pa.Array, most: int = 1 << 20, lower: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def batches(col: pa.Array, most: int = 1 << 18, lower: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, code points, starts) of as many texts as fit in so many characters, or one longer text.
 
     Each text, and the front of the first, is followed by PAD line ends; starts has one more entry than texts.

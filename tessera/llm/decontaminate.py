@@ -121,7 +121,7 @@ def overlaps(block: Block, h: np.ndarray, at: np.ndarray, min_words: int, identi
 
 def _rows(batch_text, block: Block, min_words: int, identity: float) -> Iterator[tuple]:
     data, bounds = buffers(batch_text)
-    for i, j in chunks(bounds, 1 << 21):
+    for i, j in chunks(bounds, 1 << 19):
         h, at = words(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], letter_table())
         for r, *rest in overlaps(block, h, at, min_words, identity):
             yield i + r, *rest

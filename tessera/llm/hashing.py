@@ -70,7 +70,7 @@ def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def chunks(bounds: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def chunks(bounds: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Row ranges of at most so many bytes, or a single longer row."""
     i, n = 0, len(bounds) - 1
     while i < n:

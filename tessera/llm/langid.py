@@ -28,13 +28,13 @@ from pyspark.sql import functions as F
 
 from .codepoints import batches, sample_by_group
 from .hashing import chunks
-from .store import crc_mod, free_name, replace_columns
+from .store import crc_mod, free_name, lean_workers, replace_columns
 
 BITS = 16
 SAMPLE = 1500
 SWITCH = 8.0
 SCRIPT_SHARE = 0.01
-GROUP = 4_000_000
+GROUP = 2_000_000
 _NEVER = np.float32(-1e4)
 
 # First and last code point of the scripts' main blocks, as in the Unicode standard.
@@ -225,6 +225,7 @@ def _count(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, fold: tuple[int, int] | None = (4, 2), sample: int = SAMPLE, seed: int = 23, switch: float = SWITCH) -> Model:
     """A model from text and lang of documents outside the fold (crc32(doc_id) mod fold[0] is fold[1])."""
+    lean_workers(docs.sparkSession)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     d = d.where("lang is not null and text is not null and doc_id is not null")
     if fold:

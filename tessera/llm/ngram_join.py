@@ -20,7 +20,7 @@ and links nothing. Other columns of the input are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -82,7 +82,7 @@ def _profile(k: int, bits: int):
                 ent[r] = _signature(s)
                 held.append(s >> np.uint64(64 - bits))
                 size += len(s)
-                if size > 1 << 20:
+                if size > 1 << 18:
                     counts += np.bincount(np.concatenate(held).astype(np.int64), minlength=1 << bits)
                     held, size = [], 0
             yield pa.record_batch([pa.array(np.zeros(len(batch), np.int32)), batch.column(0).cast(pa.int64()), pa.array(n), pa.array(ent)], names=["kind", "id", "n", "ent"])
@@ -103,24 +103,32 @@ def _ordered(s: np.ndarray, counts: np.ndarray, order: int, bits: int) -> np.nda
     return np.argsort((c << np.uint64(40)) | (tail >> np.uint64(24)), kind="stable")
 
 
+def _emit(batches: Iterator[pa.RecordBatch], k: int, lists: str, kind: type, of: Callable[[np.ndarray], list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """(ent, n, list) of every row that has shingles, in record batches of about a million values."""
+    none = pa.record_batch([pa.array([], pa.int64()), pa.array([], pa.int32()), pa.array([], pa.list_(pa.from_numpy_dtype(kind)))], names=["ent", "n", lists])
+    for batch in batches:
+        ent, n, parts, at = [], [], [], [0]
+        for _, s in _sets(*buffers(batch.column(0)), k):
+            if len(s):
+                values = of(s)
+                ent.append(_signature(s))
+                n.append(len(s))
+                parts += values
+                at.append(at[-1] + sum(map(len, values)))
+                if at[-1] > 1 << 20:
+                    yield pa.record_batch([pa.array(ent), pa.array(n, pa.int32()), pa.ListArray.from_arrays(pa.array(np.array(at, np.int32)), pa.array(np.concatenate(parts)))], names=none.schema.names)
+                    ent, n, parts, at = [], [], [], [0]
+        if ent:
+            yield pa.record_batch([pa.array(ent), pa.array(n, pa.int32()), pa.ListArray.from_arrays(pa.array(np.array(at, np.int32)), pa.array(np.concatenate(parts)))], names=none.schema.names)
+    yield none
+
+
 def _prefixes(k: int, percent: int, bits: int, counts):
     """(ent, n, prefix): the first order's prefix of every row that has shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.asarray(counts.value)
-        for batch in batches:
-            data, bounds = buffers(batch.column(0))
-            ent, n, out, at = [], [], [], [0]
-            for _, s in _sets(data, bounds, k):
-                if len(s):
-                    p = _prefix(len(s), percent)
-                    out.append(s[_ordered(s, table, 0, bits)[:p]].view(np.int64))
-                    ent.append(_signature(s))
-                    n.append(len(s))
-                    at.append(at[-1] + p)
-            flat = np.concatenate(out) if out else np.zeros(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.array(at, np.int32)), pa.array(flat))
-            yield pa.record_batch([pa.array(ent, pa.int64()), pa.array(n, pa.int32()), lists], names=["ent", "n", "prefix"])
+        yield from _emit(batches, k, "prefix", np.int64, lambda s: [s[_ordered(s, table, 0, bits)[: _prefix(len(s), percent)]].view(np.int64)])
 
     return run
 
@@ -130,36 +138,19 @@ def _others(k: int, percent: int, bits: int, orders: int, counts):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.asarray(counts.value)
-        for batch in batches:
-            ent, n, more, at = [], [], [np.zeros(0, np.int32)], [0]
-            for _, s in _sets(*buffers(batch.column(0)), k):
-                if len(s):
-                    ent.append(_signature(s))
-                    n.append(len(s))
-                    low, p = s.astype(np.uint32).view(np.int32), _prefix(len(s), percent)
-                    more += [low[_ordered(s, table, o, bits)[:p]] for o in range(1, orders)]
-                    at.append(at[-1] + p * (orders - 1))
-            lists = pa.ListArray.from_arrays(pa.array(np.array(at, np.int32)), pa.array(np.concatenate(more)))
-            yield pa.record_batch([pa.array(ent, pa.int64()), pa.array(n, pa.int32()), lists], names=["ent", "n", "more"])
 
-    return run
+        def of(s: np.ndarray) -> list[np.ndarray]:
+            low, p = s.astype(np.uint32).view(np.int32), _prefix(len(s), percent)
+            return [low[_ordered(s, table, o, bits)[:p]] for o in range(1, orders)]
 
+        yield from _emit(batches, k, "more", np.int32, of)
 
-def _whole(k: int):
-    """(ent, tokens): whole sets."""
+    return run
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ent, sets, at = [], [np.zeros(0, np.int64)], [0]
-            for _, s in _sets(*buffers(batch.column(0)), k):
-                if len(s):
-                    ent.append(_signature(s))
-                    sets.append(s.view(np.int64))
-                    at.append(at[-1] + len(s))
-            lists = pa.ListArray.from_arrays(pa.array(np.array(at, np.int32)), pa.array(np.concatenate(sets)))
-            yield pa.record_batch([pa.array(ent, pa.int64()), lists], names=["ent", "tokens"])
 
-    return run
+def _whole(k: int):
+    """(ent, n, tokens): whole sets."""
+    return lambda batches: _emit(batches, k, "tokens", np.int64, lambda s: [s.view(np.int64).copy()])
 
 
 def _lists(percent: int) -> F.Column:
@@ -219,7 +210,7 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 80, orders: int =
             wanted = wanted.join(sets.select("ent"), "ent", "left_anti")
         wanted = scratch.cut(wanted)
         if not wanted.isEmpty():
-            got = scratch.cut(texts(wanted).mapInArrow(_whole(k), "ent long, tokens array<long>").dropDuplicates(["ent"]))
+            got = scratch.cut(texts(wanted).mapInArrow(_whole(k), "ent long, n int, tokens array<long>").dropDuplicates(["ent"]).select("ent", "tokens"))
             sets = got if sets is None else sets.unionAll(got)
         if sets is None:
             break

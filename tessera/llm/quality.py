@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .codepoints import PAD, batches, sample_by_group
-from .store import crc_mod, free_name, replace_columns
+from .store import crc_mod, free_name, lean_workers, replace_columns
 
 BITS = 18
 ORDERS = (2, 3, 4)
@@ -127,6 +127,7 @@ def train(texts: list[str], labels: list[int], dim: int = 8, epochs: int = 6, ra
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", fold: tuple[int, int] | None = (3, 1), sample: int = SAMPLE, seed: int = 17) -> Model:
     """A model from labelled documents outside the fold: rows whose crc32(doc_id) mod fold[0] is fold[1] never train."""
+    lean_workers(docs.sparkSession)
     y = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     if fold:
         y = y.where(crc_mod(F.col("doc_id"), fold[0]) != fold[1])

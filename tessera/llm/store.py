@@ -24,10 +24,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def lean_workers(spark: SparkSession) -> None:
+    """Python workers that start from now on give freed arrays back to the system, where the caller set nothing else."""
+    env = spark.sparkContext.environment
+    for name, value in (("MALLOC_MMAP_THRESHOLD_", "4194304"), ("MALLOC_TRIM_THRESHOLD_", "8388608"), ("MALLOC_ARENA_MAX", "2"), ("ARROW_DEFAULT_MEMORY_POOL", "system")):
+        env.setdefault(name, value)
+
+
 class Scratch:
     """Tables of one operator call; ``drop`` removes those that later steps no longer read."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
+        lean_workers(spark)
         self.spark, self.base, self.made = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
 
     def cut(self, df: DataFrame) -> DataFrame:
