@@ -36,9 +36,8 @@ from .store import Scratch, sized
 SKETCH_BITS = 18
 #: Token orders whose prefixes must overlap, the first included.
 ORDERS = 3
-#: Rounds: against one of the list; those left, against some of the list's largest component, then against all.
-STEPS = ("one", "1", "all")
-PIVOTS = 8
+#: Rounds: against one of the list; those left, against about so many of the list's largest component; then against all.
+STEPS = ("one", 8, 64, "all")
 
 
 def _sets(data: np.ndarray, bounds: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -154,12 +153,14 @@ def _whole(k: int):
 
 
 def _lists(percent: int) -> F.Column:
-    """Two list numbers for a token and a set size: sizes whose ratio allows a link share one of them.
+    """Two lists (key, grid) for a token and a set size: sizes whose ratio allows a link share one of them.
 
-    Sizes fall into geometric ranges twice as wide as the ratio, in two grids that are shifted by half a range.
+    Sizes fall into geometric ranges twice as wide as the ratio, in two grids that are shifted by half a range. In the
+    second grid, base (the range in the first) tells pairs that meet in the first as well.
     """
     x = F.log(F.col("n")) / F.lit(max(-math.log(percent / 100) * 1.001, 1e-9))
-    return F.array(*[F.xxhash64("token", F.lit(g), F.floor((x + g) / 2)) for g in (0, 1)])
+    grids = [F.struct(F.xxhash64("token", F.lit(g), F.floor((x + g) / 2)).alias("key"), (F.floor(x / 2) if g else F.lit(None).cast("long")).alias("base")) for g in (0, 1)]
+    return F.array(*grids)
 
 
 def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 80, orders: int = ORDERS, sketch_bits: int = SKETCH_BITS) -> DataFrame:
@@ -180,8 +181,8 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 80, orders: int =
     prefix = scratch.cut(keyed.where("doc_id is not null").select("text").mapInArrow(_prefixes(k, percent, sketch_bits, sketch), "ent long, n int, prefix array<long>"))
     tokens = prefix.select("ent", "n", F.posexplode("prefix").alias("pos", "token")).withColumn("early", F.expr(f"pos <= n - {_ceil(2 * percent, 'n', 100 + percent)}"))
     shared = tokens.groupBy("token").agg(F.min("ent").alias("lo"), F.max("ent").alias("hi"), F.max("early").alias("early")).where("lo <> hi and early").select("token")
-    postings = tokens.join(shared, "token").select(F.explode(_lists(percent)).alias("key"), "ent", "n", "pos", "early")
-    postings = scratch.cut(postings.groupBy("key", "ent").agg(F.first("n").alias("n"), F.min("pos").alias("pos"), F.max("early").alias("early")))
+    postings = tokens.join(shared, "token").select(F.explode(_lists(percent)).alias("list"), "ent", "n", "pos", "early").select("list.*", "ent", "n", "pos", "early")
+    postings = scratch.cut(postings.groupBy("key", "ent").agg(F.first("n").alias("n"), F.first("base").alias("base"), F.min("pos").alias("pos"), F.max("early").alias("early")))
     scratch.drop(prefix)
     postings = scratch.cut(_open(postings.withColumn("comp", F.col("ent")))).drop("comp")
 
@@ -200,9 +201,9 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 80, orders: int =
         if comp is not None:
             here = postings.join(comp.withColumnRenamed("id", "ent"), "ent", "left").withColumn("comp", F.coalesce("comp", "ent"))
             here = scratch.cut(_open(here))
-        pairs = _against_one(here) if step == "one" else _outsiders(here, None if step == "all" else int(step))
+        pairs = _against_one(here) if step == "one" else _outsiders(here, None if step == "all" else step)
         common = _ceil(percent, "(na + nb)", 100 + percent)
-        pairs = pairs.where(f"ca <> cb and pa <= na - {common} and pb <= nb - {common}").withColumn("common", F.expr(common))
+        pairs = pairs.where(f"ca <> cb and (ba is null or ba <> bb) and pa <= na - {common} and pb <= nb - {common}").withColumn("common", F.expr(common))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "common").distinct()
         pairs = scratch.cut(_overlapping(pairs, more, orders))
         wanted = pairs.select(F.col("a").alias("ent")).union(pairs.select("b")).distinct()
@@ -238,27 +239,27 @@ def _open(here: DataFrame) -> DataFrame:
 
 
 def _side(here: DataFrame, x: str) -> DataFrame:
-    return here.select("key", F.col("ent").alias(x), F.col("n").alias("n" + x), F.col("pos").alias("p" + x), F.col("comp").alias("c" + x))
+    return here.select("key", F.col("ent").alias(x), F.col("n").alias("n" + x), F.col("pos").alias("p" + x), F.col("base").alias("b" + x), F.col("comp").alias("c" + x))
 
 
 def _against_one(here: DataFrame) -> DataFrame:
     """Each entity of a list against one of the list, the same of a group in all the group's lists."""
-    pivot = here.where("early").groupBy("key").agg(F.min(F.struct(F.xxhash64("ent"), "ent", "n", "pos", "comp")).alias("p")).select("key", "p.*")
+    pivot = here.where("early").groupBy("key").agg(F.min(F.struct(F.xxhash64("ent"), "ent", "n", "pos", "base", "comp")).alias("p")).select("key", "p.*")
     return _side(here, "a").join(_side(pivot, "b"), "key")
 
 
-def _outsiders(here: DataFrame, seed: int | None) -> DataFrame:
-    """Entities outside their list's largest component against some of that component (about PIVOTS), or all of the list."""
+def _outsiders(here: DataFrame, pivots: int | None) -> DataFrame:
+    """Entities outside their list's largest component against about so many of that component, or all of the list."""
     sizes = here.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
     most = sizes.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m")).select("key", F.col("m.comp").alias("main"), F.col("m.c").alias("c"))
     known = here.join(most, "key")
     few = known.where("comp <> main")
-    if seed is not None:
-        every = F.pow(F.lit(2.0), F.greatest(F.ceil(F.log2(F.col("c") / PIVOTS)), F.lit(0))).cast("long")
-        known = known.where((F.col("comp") == F.col("main")) & (F.pmod(F.xxhash64(F.lit(seed), F.col("ent")), every) == 0))
+    if pivots is not None:
+        every = F.pow(F.lit(2.0), F.greatest(F.ceil(F.log2(F.col("c") / pivots)), F.lit(0))).cast("long")
+        known = known.where((F.col("comp") == F.col("main")) & (F.pmod(F.xxhash64(F.lit(pivots), F.col("ent")), every) == 0))
     # in a pair that passes, the smaller set has the token early
     pairs = _side(known.where("early"), "a").join(_side(few, "b"), "key").where("nb >= na")
-    return pairs.unionByName(_side(known, "a").join(_side(few.where("early"), "b"), "key").where("na >= nb"))
+    return pairs.unionByName(_side(known, "a").join(_side(few.where("early"), "b"), "key").where("na > nb"))
 
 
 def _overlapping(pairs: DataFrame, more: DataFrame, orders: int) -> DataFrame:
