@@ -1,11 +1,339 @@
-"""The registry of the engine's queries and their SQL counterparts."""
+"""The registry of the engine's queries and the same in DuckDB's SQL."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from .functions import text as T
+from .operators import chunking, evaluation, graph, learning, lexical, querying, ranking, sequence
+from .session import table
+
+#: Inline patterns of the entity queries: name, type, alias.
+PATTERNS = [("the", "article", "the"), ("of", "link", "of"), ("to", "link", "to"), ("and", "link", "and"), ("para", "link", "para"), ("und", "link", "und"), ("la", "article", "la"), ("le", "article", "le")]
+EXPANSIONS = {"the": ["that", "this"], "of": ["from"], "la": ["una"]}
+
+
+def _docs(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "documents").select("doc_id", "text")
+
+
+def _asked(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+def _vectors(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", "label")
+
+
+def _vector_queries(s: SparkSession, d: str, below: int = 20) -> DataFrame:
+    """The stated query batch: the first vectors by id."""
+    return F.broadcast(_vectors(s, d).where(F.col("doc_id") < below).select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("qv"), F.col("label").alias("query_label")))
+
+
+def bm25_topk(s, d):
+    return lexical.top_k(lexical.bm25_scores(_docs(s, d), _asked(s, d)), 10)
+
+
+def bm25_lucene_topk(s, d):
+    return lexical.top_k(lexical.bm25_scores(_docs(s, d), _asked(s, d), "lucene", 1.2), 10)
+
+
+def term_stats(s, d):
+    return lexical.term_stats(lexical.term_counts(_docs(s, d))).select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+def postings_stats(s, d):
+    tf = lexical.term_counts(_docs(s, d))
+    return tf.agg(F.count(F.lit(1)).alias("postings"), F.sum("tf").alias("tokens"), F.countDistinct("term").alias("terms"), F.max("tf").alias("max_tf"))
+
+
+def sparse_top10(s, d):
+    return lexical.sparse_top_terms(lexical.weights(_docs(s, d)).withColumn("weight", F.round("weight", 9)))
+
+
+def sparse_dot_search(s, d):
+    return lexical.sparse_dot(_docs(s, d), _asked(s, d))
+
+
+def knn_exact(s, d):
+    return ranking.knn(_vectors(s, d), _vector_queries(s, d).drop("query_label"))
+
+
+def knn_filtered(s, d):
+    return ranking.knn(_vectors(s, d), _vector_queries(s, d).drop("query_label"), where=querying.where({"label": [1, 3, 5]}))
+
+
+def _dense(s, d, k=20):
+    """Synthetic pairing: a document's vector is that of its number, a passage's that of its number."""
+    q = F.broadcast(_vectors(s, d).join(_asked(s, d), F.col("doc_id") == F.col("query_id"), "left_semi").select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("qv")))
+    return ranking.knn(_vectors(s, d).select("doc_id", "embedding"), q, k)
+
+
+def hybrid_weighted(s, d):
+    lex = lexical.top_k(lexical.bm25_scores(_docs(s, d), _asked(s, d)), 20)
+    return ranking.weighted(lex, _dense(s, d))
+
+
+def hybrid_rrf(s, d):
+    lex = lexical.top_k(lexical.bm25_scores(_docs(s, d), _asked(s, d)), 20)
+    return ranking.rrf([lex, _dense(s, d)])
+
+
+def _norm(method):
+    return lambda s, d: ranking.normalise(lexical.top_k(lexical.bm25_scores(_docs(s, d), _asked(s, d)), 10), method).select("query_id", "doc_id", "norm")
+
+
+def relevance_filter(s, d):
+    return ranking.relevance_filter(_norm("minmax")(s, d).withColumn("score", F.lit(0.0)), 0.3).select("query_id", "doc_id", "norm")
+
+
+def dynamic_lambda(s, d):
+    return table(s, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.round(T.dynamic_lambda(F.substring("text", 1, 40)), 6).alias("weight"))
+
+
+def fallback_topup(s, d):
+    few = bm25_topk(s, d).where("rank <= 3").select("query_id", "doc_id", "score")
+    return ranking.top_up(few, 8)
+
+
+def mmr_select(s, d):
+    q = _vector_queries(s, d).drop("query_label")
+    hits = ranking.knn(_vectors(s, d).select("doc_id", "embedding"), q, 30).join(_vectors(s, d).select("doc_id", "embedding"), "doc_id")
+    return ranking.mmr(hits)
+
+
+def exact_dedup(s, d):
+    return ranking.exact_duplicates(_docs(s, d))
+
+
+def best_fields_tie(s, d):
+    x, toks = table(s, d, "documents"), lambda c: T.tokens(F.col(c))
+    has = lambda c, w: F.when(F.array_contains(toks(c), w), 1.0).otherwise(0.0)
+    return x.select("doc_id", F.round(ranking.best_fields([has("lang", "en") * 2.0, has("source", "src1") * 1.5, has("text", "the") * 1.0]), 6).alias("score")).where("score > 0")
+
+
+def overlap_rerank(s, d):
+    q, docs = _asked(s, d).select("query_id", F.col("text").alias("qt")), _docs(s, d)
+    hits = bm25_topk(s, d).join(q, "query_id").join(docs, "doc_id")
+    return ranking.rerank(hits, ranking.overlap_score(T.tokens(F.col("qt")), T.tokens(F.col("text"))), 5).select("query_id", "doc_id", "score", "rank")
+
+
+def ngram_counts(s, d):
+    return lexical.ngrams(_docs(s, d), 2).where("freq >= 5")
+
+
+def trigram_counts(s, d):
+    return lexical.ngrams(_docs(s, d), 3).where("freq >= 5")
+
+
+def pmi_phrases(s, d):
+    return lexical.pmi_phrases(_docs(s, d))
+
+
+def auto_thresholds(s, d):
+    return lexical.auto_thresholds(lexical.ngrams(_docs(s, d), 2).where("freq >= 5"))
+
+
+def phrase_weights(s, d):
+    p = lexical.pmi_phrases(_docs(s, d), min_pmi=1.0)
+    t, n = lexical.auto_thresholds(p), _docs(s, d).agg(F.count(F.lit(1)).alias("n"))
+    return lexical.phrase_weights(p.join(F.broadcast(t)).join(F.broadcast(n)), F.col("n"), F.col("low"), F.col("mid")).select("phrase", "df", "weight")
+
+
+def vocab_coverage(s, d):
+    vocab = lexical.term_counts(_docs(s, d)).groupBy("term").agg(F.sum("tf").alias("c")).where("c >= 50")
+    return lexical.coverage(_asked(s, d), vocab)
+
+
+def token_len_hist(s, d):
+    return _docs(s, d).select(F.explode(T.unicode_tokens(F.col("text"))).alias("t")).groupBy(F.length("t").cast("long").alias("len")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def vocab_jaccard_by_lang(s, d):
+    v = table(s, d, "documents").where("lang is not null").select("lang", F.explode(T.tokens(F.col("text"))).alias("term")).distinct()
+    sizes = v.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    both = v.alias("a").join(v.withColumnRenamed("lang", "other"), "term").where("lang < other").groupBy("lang", "other").agg(F.count(F.lit(1)).alias("common"))
+    out = both.join(sizes, "lang").join(sizes.select(F.col("lang").alias("other"), F.col("n").alias("m")), "other")
+    return out.select("lang", "other", F.round(F.col("common") / (F.col("n") + F.col("m") - F.col("common")), 6).alias("jaccard"))
+
+
+def token_filters(s, d):
+    t = _docs(s, d).select(F.explode(T.words(F.col("text"))).alias("token"))
+    return t.where(~F.lower("token").isin(T.PRONOUNS) & ~F.col("token").isin(T.PARTICLES) & ~F.col("token").rlike(r"^[0-9.]+$")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n >= 20")
+
+
+def _gold(s, d):
+    """Documents that hold a passage verbatim; the passages are the stated batch."""
+    q = F.broadcast(_asked(s, d).select("query_id", F.col("text").alias("q")))
+    return _docs(s, d).join(q, F.expr("contains(text, q)")).select("query_id", "doc_id")
+
+
+def retrieval_metrics(s, d):
+    return evaluation.retrieval_metrics(bm25_topk(s, d), _gold(s, d))
+
+
+def novelty_diversity(s, d):
+    return evaluation.novelty(bm25_topk(s, d), _gold(s, d))
+
+
+def overlap3(s, d):
+    return evaluation.overlap([bm25_topk(s, d), bm25_lucene_topk(s, d), _dense(s, d, 10)])
+
+
+def union_recall(s, d):
+    every = bm25_topk(s, d).select("query_id", "doc_id", "rank").union(_dense(s, d, 10).select("query_id", "doc_id", "rank"))
+    return evaluation.retrieval_metrics(every.groupBy("query_id", "doc_id").agg(F.min("rank").alias("rank")), _gold(s, d)).select("hit_rate", "recall")
+
+
+def score_distribution(s, d):
+    return evaluation.score_distribution(knn_exact(s, d))
+
+
+def confusion_matrix(s, d):
+    return evaluation.confusion(table(s, d, "labels").select(F.col("quality").alias("truth"), F.col("toxic").alias("pred")))
+
+
+def classification_report(s, d):
+    return evaluation.classification(table(s, d, "labels").select(F.col("quality").alias("truth"), F.col("toxic").alias("pred")))
+
+
+def query_expand(s, d):
+    u = table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return querying.expand(u, EXPANSIONS).select("query_id", F.col("variant").cast("long").alias("variant"), "text")
+
+
+def intent_route(s, d):
+    q = table(s, d, "conversations").where("role = 'user'").select("conv_id", "turn", querying.intent(F.col("text")).alias("intent"))
+    return querying.route(q).select("conv_id", "turn", "intent", "topk", "rerank")
+
+
+def entity_match(s, d):
+    p = F.broadcast(s.createDataFrame(PATTERNS, "name string, type string, alias string"))
+    return graph.match_entities(_docs(s, d), p)
+
+
+def entity_pairs(s, d):
+    return graph.entity_pairs(entity_match(s, d))
+
+
+def html_headings(s, d):
+    return table(s, d, "pages").select("page_id", F.regexp_extract("html", r"<h1>([^<]*)</h1>", 1).alias("heading"), F.size(F.split("html", "<p>")).cast("long").alias("parts"))
+
+
+def sentence_split(s, d):
+    return _docs(s, d).select("doc_id", F.size(F.filter(F.split("text", r"[.!?;]"), lambda x: F.trim(x) != "")).cast("long").alias("sentences"))
+
+
+def coherence_score(s, d):
+    return _docs(s, d).select("doc_id", T.coherence(F.col("text")).alias("score"))
+
+
+def logical_blocks(s, d):
+    b = chunking.logical_blocks(chunking.lines(_docs(s, d)), F.col("value").rlike("^[A-Z][a-z]"))
+    return b.groupBy("doc_id").agg(F.count(F.lit(1)).alias("blocks"), F.max(F.length("text")).cast("long").alias("longest"))
+
+
+def chunk_pack(s, d):
+    return chunking.chunk(_docs(s, d), T.sentences(F.col("text")), 128, 16)
+
+
+def _bio(s, d):
+    """Labels derived from words: a capital begins an entity, a word of up to three letters goes on with it, others are outside."""
+    t = table(s, d, "benchmark").select(F.col("item_id").alias("sent_id"), F.posexplode(T.words(F.col("text"))).alias("pos", "token"))
+    label = F.when(F.col("token").rlike("^[A-Z]"), "B-NAME").when(F.length("token") <= 3, "I-NAME").otherwise("O")
+    return t.withColumn("label", label)
+
+
+def bio_repair(s, d):
+    return sequence.repair(_bio(s, d)).select("sent_id", F.col("pos").cast("long").alias("pos"), "label")
+
+
+def bio_spans(s, d):
+    return sequence.spans(sequence.repair(_bio(s, d))).select("sent_id", "name", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "value")
+
+
+def bio_validate(s, d):
+    return sequence.validity(_bio(s, d))
+
+
+def token_context(s, d):
+    return sequence.context(_bio(s, d), 1).select("sent_id", F.col("pos").cast("long").alias("pos"), "prev1", "next1", "ratio", "is_last")
+
+
+def slot_f1(s, d):
+    pred = sequence.repair(_bio(s, d)).withColumn("label", F.when(F.length("token") > 8, "O").otherwise(F.col("label")))
+    return sequence.slot_scores(sequence.repair(_bio(s, d)), pred)
+
+
+def uncertainty_scores(s, d):
+    e = table(s, d, "events").select("event_id", (F.pmod(F.col("event_id"), F.lit(7)) + 1.0).alias("a"), (F.pmod(F.col("event_id"), F.lit(5)) + 1.0).alias("b"), (F.pmod(F.col("event_id"), F.lit(3)) + 1.0).alias("c"))
+    total = F.col("a") + F.col("b") + F.col("c")
+    e = e.select("event_id", F.array(F.col("a") / total, F.col("b") / total, F.col("c") / total).alias("p"))
+    return e.select("event_id", *[v.alias(k) for k, v in learning.uncertainty(F.col("p")).items()])
+
+
+def review_queue(s, d):
+    return learning.review_queue(uncertainty_scores(s, d), 25, "event_id").select("event_id", "uncertainty")
+
+
+def stratified_split(s, d):
+    x = table(s, d, "labels").select("doc_id", "quality")
+    return learning.stratified_split(x, "doc_id", "quality")
+
+
+def prompt_assembly(s, d):
+    return querying.prompts(bm25_topk(s, d).join(_docs(s, d), "doc_id"), 3)
+
+
+def query_log_stats(s, d):
+    e = table(s, d, "events")
+    return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"), F.sum((F.col("value") > 5.0).cast("long")).alias("slow"))
+
+
+def latency_percentiles(s, d):
+    p = F.percentile("value", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
+    return table(s, d, "events").groupBy("event_type").agg(p.alias("p")).select("event_type", F.round(F.col("p")[0], 6).alias("p50"), F.round(F.col("p")[1], 6).alias("p95"), F.round(F.col("p")[2], 6).alias("p99"))
+
+
+def log_last(s, d):
+    """Ring buffer: the last three events of each user."""
+    w = W.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
+    return table(s, d, "events").withColumn("n", F.row_number().over(w)).where("n <= 3").select("user_id", "event_id", F.col("n").cast("long").alias("n"))
+
+
+def incremental_index(s, d):
+    """Counts of two batches of documents merged; equal to those of a full build."""
+    docs = _docs(s, d)
+    old, new = (lexical.term_counts(docs.where(c)) for c in ("doc_id % 2 = 0", "doc_id % 2 <> 0"))
+    return old.unionAll(new).groupBy("term").agg(F.sum("tf").alias("freq"), F.count(F.lit(1)).alias("df"))
+
+
+def filter_dsl(s, d):
+    rows = table(s, d, "lineitem").where(querying.where({"l_returnflag": "R", "l_linestatus": ["F", "O"], "l_quantity": {"gte": 10.0, "lt": 20.0}}))
+    return rows.groupBy("l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("price"))
+
+
+def cosine_pairs_hist(s, d):
+    pairs = knn_exact(s, d)
+    return pairs.groupBy(F.floor(F.col("score") * 20).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_NAMES = """bm25_topk bm25_lucene_topk term_stats postings_stats sparse_top10 sparse_dot_search knn_exact knn_filtered hybrid_weighted hybrid_rrf
+relevance_filter dynamic_lambda fallback_topup mmr_select exact_dedup best_fields_tie overlap_rerank ngram_counts trigram_counts pmi_phrases auto_thresholds
+phrase_weights vocab_coverage token_len_hist vocab_jaccard_by_lang token_filters retrieval_metrics novelty_diversity overlap3 union_recall score_distribution
+confusion_matrix classification_report query_expand intent_route entity_match entity_pairs html_headings sentence_split coherence_score logical_blocks chunk_pack
+bio_repair bio_spans bio_validate token_context slot_f1 uncertainty_scores review_queue stratified_split prompt_assembly query_log_stats latency_percentiles log_last
+incremental_index filter_dsl cosine_pairs_hist""".split()
+
 
 def queries() -> dict:
-    return {}
+    found = {n: globals()[n] for n in _NAMES}
+    return found | {f"score_norm_{m}": _norm(m) for m in ("clamp", "minmax", "log_minmax", "zscore")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .catalog_sql import SQL
+
+    return dict(SQL)
