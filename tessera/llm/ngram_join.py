@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .hashing import buffers, chunks, mix, shingles, space_table, words
-from .store import Scratch, sized
+from .store import Scratch, give_back, sized
 
 #: Bits of the frequency sketch: 2**bits counters are sent to every executor (2 MB). Only the order of tokens
 #: depends on the counters, never the result.
@@ -176,6 +176,8 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 80, orders: int =
     found = profile.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(1 << sketch_bits, np.int64)
     counts[found.column("id").to_numpy()] = found.column("n").to_numpy()
+    del found
+    give_back()
     sketch = spark.sparkContext.broadcast(counts)
 
     prefix = scratch.cut(keyed.where("doc_id is not null").select("text").mapInArrow(_prefixes(k, percent, sketch_bits, sketch), "ent long, n int, prefix array<long>"))
@@ -216,6 +218,8 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 80, orders: int =
         if sets is None:
             break
         new = scratch.cut(_linked(pairs, sets, percent))
+        if new.isEmpty():
+            continue
         links = new if links is None else links.unionAll(new)
         comp = components(links, scratch)
 

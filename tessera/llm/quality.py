@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .codepoints import PAD, batches, sample_by_group
-from .store import crc_mod, free_name, lean_workers, replace_columns
+from .store import crc_mod, free_name, give_back, lean_workers, replace_columns
 
 BITS = 18
 ORDERS = (2, 3, 4)
@@ -122,6 +122,8 @@ def train(texts: list[str], labels: list[int], dim: int = 8, epochs: int = 6, ra
             out -= (lr / 8) * np.outer(p, hidden)
             bias -= (lr / 80) * p
     w = out[1] - out[0]
+    docs.clear()
+    give_back()
     return Model((emb @ w).astype(np.float32), float(bias[1] - bias[0]))
 
 
@@ -134,7 +136,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", fold: tuple[
     y = F.broadcast(sample_by_group(y, "y", "doc_id", sample, seed))
     got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").join(y, "doc_id")
     got = got.orderBy("doc_id", "y").toArrow()
-    return train(got.column("text").to_pylist(), got.column("y").to_pylist())
+    model = train(got.column("text").to_pylist(), got.column("y").to_pylist())
+    del got
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -6,9 +6,11 @@ survives lost executors, since every executor can read the files again.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +33,14 @@ def lean_workers(spark: SparkSession) -> None:
         env.setdefault(name, value)
 
 
+def give_back() -> None:
+    """Return the freed memory of this Python process to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 class Scratch:
     """Tables of one operator call; ``drop`` removes those that later steps no longer read."""
 
