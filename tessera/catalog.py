@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .functions import keywords, segment
 from .functions import text as T
-from .operators import chunking, evaluation, graph, learning, lexical, querying, ranking, sequence
+from .operators import chunking, evaluation, fields, graph, learning, lexical, querying, ranking, sequence, tagging, vocabulary
 from .session import table
 
 #: Inline patterns of the entity queries: name, type, alias.
 PATTERNS = [("the", "article", "the"), ("of", "link", "of"), ("to", "link", "to"), ("and", "link", "and"), ("para", "link", "para"), ("und", "link", "und"), ("la", "article", "la"), ("le", "article", "le")]
+KEYWORDS = ["the", "ing", "what"]
+MASKED = ["of the", "the", "in", "ing", "in the"]
 EXPANSIONS = {"the": ["that", "this"], "of": ["from"], "la": ["una"]}
 
 
@@ -320,12 +323,184 @@ def cosine_pairs_hist(s, d):
     return pairs.groupBy(F.floor(F.col("score") * 20).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def sentence_count(s, d):
+    found = T.sentences(F.col("text"))
+    return _docs(s, d).select("doc_id", F.size(found).cast("long").alias("sentences"), F.aggregate(found, F.lit(0), lambda n, x: n + F.length(x)).cast("long").alias("chars"))
+
+
+def _said(s, d):
+    return table(s, d, "conversations").where("role = 'user'").select("conv_id", "turn", "text")
+
+
+def query_complexity(s, d):
+    c = _said(s, d).select("conv_id", "turn", T.simple_complexity(F.col("text")).alias("simple"), T.complexity(F.col("text")).alias("advanced"))
+    return c.withColumn("level", T.complexity_level(F.col("advanced")))
+
+
+def token_shapes(s, d):
+    t = _asked(s, d).select(F.explode(T.words(F.col("text"))).alias("token"))
+    return t.groupBy(T.shape(F.col("token")).alias("shape")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _terms(s, d, where="true"):
+    return vocabulary.from_texts(table(s, d, "documents").where("text is not null").where(where).select(F.coalesce("lang", F.lit("none")).alias("category"), "text"))
+
+
+def term_candidates(s, d):
+    return _terms(s, d).where("frequency >= 5")
+
+
+def vocab_merge(s, d):
+    """Terms of two batches added up; equal to those of all."""
+    return vocabulary.merge(_terms(s, d, "doc_id % 2 = 0"), _terms(s, d, "doc_id % 2 <> 0")).where("frequency >= 5")
+
+
+def vocab_priority(s, d):
+    return vocabulary.by_priority(_terms(s, d), ["es", "de", "fr", "en"]).where("frequency >= 5")
+
+
+def vocab_build(s, d):
+    forced = s.createDataFrame([("the",), ("zzzz",)], "term string")
+    return vocabulary.build(lexical.term_counts(_docs(s, d)), 10, 500, forced)
+
+
+def idf_summary(s, d):
+    return vocabulary.idf_summary(lexical.term_stats(lexical.term_counts(_docs(s, d)), "lucene"))
+
+
+def idf_histogram(s, d):
+    return vocabulary.idf_histogram(lexical.term_stats(lexical.term_counts(_docs(s, d)), "lucene"))
+
+
+def category_boost(s, d):
+    known = s.createDataFrame([("the", 0.5), ("of", 0.5), ("und", 2.0)], "term string, factor double")
+    return vocabulary.category_boost(term_stats(s, d).select("term", F.col("idf").alias("weight")), F.broadcast(known))
+
+
+def synonym_check(s, d):
+    groups = _asked(s, d).select(F.col("query_id").alias("line"), F.slice(T.words(F.lower("text")), 1, 4).alias("terms"))
+    return vocabulary.check_synonyms(groups)
+
+
+def page_content_types(s, d):
+    p = table(s, d, "pages").select(F.regexp_extract("html", r"<h1>([^<]*)</h1>", 1).alias("h"), (F.pmod("page_id", F.lit(6)) + 1).alias("level"), "html")
+    return p.groupBy(T.content_type(F.col("h"), F.col("level"), F.col("html")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def keyword_scores(s, d):
+    q = F.col("text")
+    return _said(s, d).select(
+        "conv_id", "turn", keywords.position_score(q, KEYWORDS, ["not "]).alias("position"),
+        keywords.context_score(q, KEYWORDS, ["of"], ["and"]).alias("context"), keywords.gapped_score(q, ["the...of", "a...the and"]).alias("gapped"),
+    )
+
+
+def phrase_mask(s, d):
+    """How many phrases are masked in each document, and whether unmasking gives the text again."""
+    m = _docs(s, d).where("text is not null").withColumn("m", segment.mask(MASKED)(F.col("text")))
+    return m.select("doc_id", (F.size(F.split("m", "__PHRASE_")) - 1).cast("long").alias("masked"), (segment.unmask(F.col("m")) == F.col("text")).alias("same"))
+
+
+def _parts(s, d):
+    head = F.array_join(F.slice(T.tokens(F.col("text")), 1, 8), " ")
+    return table(s, d, "documents").select("doc_id", head.alias("heading"), "source", "text")
+
+
+def multi_field(s, d):
+    return lexical.top_k(fields.best_of_fields(fields.field_scores(_parts(s, d), _asked(s, d), {"heading": 1.5, "source": 1.2, "text": 1.0})), 10)
+
+
+def mean_fusion(s, d):
+    return fields.mean_fusion([multi_field(s, d), bm25_topk(s, d), _dense(s, d, 10)])
+
+
+def content_boosts(s, d):
+    return _said(s, d).select("conv_id", "turn", fields.content_boost(F.col("text")).alias("boost"))
+
+
+def variants_fusion(s, d):
+    v = query_expand(s, d).select((F.col("query_id") * 16 + F.col("variant")).alias("query_id"), "text")
+    hits = lexical.top_k(lexical.bm25_scores(_docs(s, d), v), 20)
+    return fields.variants_fusion(hits.withColumn("query_id", F.floor(F.col("query_id") / 16)))
+
+
+def char_tfidf(s, d):
+    return lexical.char_tfidf(_asked(s, d).withColumnRenamed("query_id", "doc_id"))
+
+
+def entity_find(s, d):
+    p = s.createDataFrame([(x, "phrase", x) for x in MASKED], "name string, type string, alias string")
+    found = graph.find_entities(_docs(s, d), p)
+    return found.groupBy("doc_id", "name").agg(F.count(F.lit(1)).alias("times"), F.min("start").cast("long").alias("first"), F.max("confidence").alias("confidence"))
+
+
+def entity_relations(s, d):
+    p = s.createDataFrame([(" the ", "article", " the "), (" of ", "link", " of "), (" and ", "link", " and ")], "name string, type string, alias string")
+    found = graph.find_entities(_docs(s, d), p)
+    return graph.relations(found, _docs(s, d), [("article", "link", "[0-9]", "NUMBERED"), ("article", "link", "e", "NEAR")]).select("doc_id", "src", "dst", "relation")
+
+
+def score_summary(s, d):
+    return ranking.score_summary(bm25_topk(s, d))
+
+
+def diversity_order(s, d):
+    hits = knn_exact(s, d).drop("rank").join(_vectors(s, d).select("doc_id", "embedding"), "doc_id")
+    return ranking.reorder(hits, "diversity").select("query_id", "doc_id", F.col("value").alias("diversity"))
+
+
+def fallback_stats(s, d):
+    return ranking.fallback_statistics(fallback_topup(s, d))
+
+
+def overlap_counts(s, d):
+    return evaluation.overlap_counts([bm25_topk(s, d), bm25_lucene_topk(s, d), _dense(s, d, 10)], ["okapi", "lucene", "dense"])
+
+
+def low_score_queries(s, d):
+    return evaluation.low_score_queries(bm25_topk(s, d))
+
+
+def frame_accuracy(s, d):
+    gold = sequence.repair(_bio(s, d))
+    pred = gold.withColumn("label", F.when(F.length("token") > 11, "O").otherwise(F.col("label")))
+    intents = table(s, d, "benchmark").select(F.col("item_id").alias("sent_id"), (F.col("item_id") % 3).alias("truth"), (F.col("item_id") % 6 % 3).alias("pred"))
+    return evaluation.frame_accuracy(intents, gold, pred)
+
+
+def sample_report(s, d):
+    a = table(s, d, "conversations").where("role = 'assistant'")
+    return evaluation.sample_report(a.select(F.col("text").alias("answer"), F.filter(T.words(F.col("text")), lambda w: F.length(w) > 9).alias("contexts")), 60, 200)
+
+
+def token_positions(s, d):
+    return sequence.position_features(_bio(s, d)).select("sent_id", F.col("pos").cast("long").alias("pos"), "is_first", F.col("quarter").cast("long").alias("quarter"), F.col("half").cast("long").alias("half"))
+
+
+def slots_last(s, d):
+    return sequence.slots_by_name(sequence.repair(_bio(s, d)))
+
+
+def crf_tags(s, d):
+    """Labels of a field trained on the even sentences, for all."""
+    seq = sequence.repair(_bio(s, d))
+    return tagging.tag(seq.drop("label"), tagging.fit(seq.where("sent_id % 2 = 0")))
+
+
+def chunk_optimise(s, d):
+    pieces = chunking.lines(_docs(s, d)).where("trim(value) <> ''").select("doc_id", F.lit(0).alias("section"), F.col("line").alias("chunk"), F.col("value").alias("text"))
+    return chunking.optimise(pieces, F.size(T.words(F.col("text"))), 128)
+
+
 _NAMES = """bm25_topk bm25_lucene_topk term_stats postings_stats sparse_top10 sparse_dot_search knn_exact knn_filtered hybrid_weighted hybrid_rrf
 relevance_filter dynamic_lambda fallback_topup mmr_select exact_dedup best_fields_tie overlap_rerank ngram_counts trigram_counts pmi_phrases auto_thresholds
 phrase_weights vocab_coverage token_len_hist vocab_jaccard_by_lang token_filters retrieval_metrics novelty_diversity overlap3 union_recall score_distribution
 confusion_matrix classification_report query_expand intent_route entity_match entity_pairs html_headings sentence_split coherence_score logical_blocks chunk_pack
 bio_repair bio_spans bio_validate token_context slot_f1 uncertainty_scores review_queue stratified_split prompt_assembly query_log_stats latency_percentiles log_last
-incremental_index filter_dsl cosine_pairs_hist""".split()
+incremental_index filter_dsl cosine_pairs_hist
+sentence_count query_complexity token_shapes term_candidates vocab_merge vocab_priority vocab_build idf_summary idf_histogram category_boost synonym_check
+page_content_types keyword_scores phrase_mask multi_field mean_fusion content_boosts variants_fusion char_tfidf entity_find entity_relations score_summary
+diversity_order fallback_stats overlap_counts low_score_queries frame_accuracy sample_report token_positions slots_last crf_tags chunk_optimise""".split()
 
 
 def queries() -> dict:
@@ -335,5 +510,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     from .catalog_sql import SQL
+    from .catalog_sql_more import SQL as MORE
 
-    return dict(SQL)
+    return SQL | MORE

@@ -96,7 +96,6 @@ SQL = {
     "entity_pairs": f"with {_ENT} select x.name a, y.name b, count(*) docs from ent x join ent y using (doc_id) where x.name < y.name group by all",
     "html_headings": "select page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) heading, len(string_split(html, '<p>')) parts from pages",
     "sentence_split": "select doc_id, len(list_filter(string_split_regex(text, '[.!?;]'), lambda x: trim(x, ' ') <> '')) sentences from documents",
-    "coherence_score": "select doc_id, round(case when regexp_matches(trim(text, ' '), '[.!?。！？]$') then 0.3 else 0 end + case when regexp_matches(trim(text, ' '), '^[A-Z0-9]') then 0.2 else 0 end + case when len(" + _W.format("text") + ") >= 10 then 0.3 else 0 end + case when length(regexp_replace(text, '[^(]', '', 'g')) = length(regexp_replace(text, '[^)]', '', 'g')) then 0.2 else 0 end, 6)::double score from documents",
     "logical_blocks": "with l as (select doc_id, unnest(string_split(text, chr(10))) as value, generate_subscripts(string_split(text, chr(10)), 1) line from documents), b as (select *, sum(regexp_matches(value, '^[A-Z][a-z]')::int) over (partition by doc_id order by line) block from l), t as (select doc_id, block, string_agg(value, chr(10) order by line) t from b group by all) select doc_id, count(*) blocks, max(length(t)) longest from t where trim(t, ' ') <> '' group by all",
     "bio_repair": f"with {_BIO} select sent_id, pos, fl as label from fixed",
     "bio_spans": f"with {_BIO}, {_spans('fixed', 'fl', 'sp')} select * from sp",
@@ -105,7 +104,7 @@ SQL = {
     "slot_f1": f"with {_BIO}, cut as (select *, case when length(token) > 8 then 'O' else fl end pl from fixed), {_spans('fixed', 'fl', 'gs')}, {_spans('cut', 'pl', 'ps')}, c as (select (select count(*) from gs join ps using (sent_id, name, \"start\", \"end\")) tp, (select count(*) from gs) gold, (select count(*) from ps) pred) select tp, gold, pred, round(2 * (tp / pred) * (tp / gold) / (tp / pred + tp / gold), 6) f1 from c",
     "uncertainty_scores": f"with {_UNC} select * from unc",
     "review_queue": f"with {_UNC} select event_id, uncertainty from unc order by uncertainty desc, event_id limit 25",
-    "stratified_split": "with x as (select doc_id, quality, (row_number() over (partition by quality order by (doc_id * 7919 + 42) % 10007, doc_id) - 1) / count(*) over (partition by quality) a from labels) select doc_id, quality, case when a < 0.2::double then 'test' when a < 0.2::double + 0.1::double then 'val' else 'train' end split from x",
+    "stratified_split": "with x as (select doc_id, quality, (row_number() over (partition by quality order by (doc_id * 7919 + 42) % 10007, doc_id) - 1) / count(*) over (partition by quality) a from labels) select doc_id, quality, case when a < 0.2::double then 'test' when a < 0.3::double then 'val' else 'train' end split from x",
     "prompt_assembly": f"{_BM25}, f as (select query_id, text, min(rank) rank from run join documents using (doc_id) group by all), p as (select *, row_number() over (partition by query_id order by rank) pos from f qualify pos <= 3) select query_id, string_agg('[' || pos || '] ' || text, chr(10) order by pos) prompt from p group by all",
     "query_log_stats": "select event_type, count(*) n, round(avg(value), 6) mean, min(value) least, max(value) most, sum((value > 5.0)::int)::bigint slow from events group by all",
     "latency_percentiles": "select event_type, round(quantile_cont(value, 0.5), 6) p50, round(quantile_cont(value, 0.95), 6) p95, round(quantile_cont(value, 0.99), 6) p99 from events group by all",

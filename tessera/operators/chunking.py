@@ -87,3 +87,23 @@ def chunk(docs: DataFrame, sentences: Column, most: int = 512, overlap: int = 50
         return col.map(lambda s: pack(list(s), most, overlap, counter) if s is not None else [])
 
     return docs.select("doc_id", F.posexplode(packed(sentences)).alias("chunk", "text"))
+
+
+def optimise(chunks: DataFrame, tokens: Column, most: int = 512, least: float = 0.3) -> DataFrame:
+    """Join small chunks to the one before: (doc_id, section, chunk, text) with less than ``least`` of ``most`` tokens.
+
+    Chunks of one section of a text are joined greedily in their order while the sum stays within ``most``; what is
+    joined is parted by an empty line and takes the number of its first chunk.
+    """
+    ordered = F.array_sort(F.collect_list(F.struct("chunk", tokens.cast("long").alias("n"), "text")))
+    small = most * least
+
+    def step(done: Column, x: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        joined = F.struct(last["chunk"].alias("chunk"), (last["n"] + x["n"]).alias("n"), F.concat(last["text"], F.lit("\n\n"), x["text"]).alias("text"))
+        fits = (F.size(done) > 0) & (x["n"] < small) & (last["n"] + x["n"] <= most)
+        return F.when(fits, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(joined))).otherwise(F.concat(done, F.array(x)))
+
+    empty = F.array().cast("array<struct<chunk:int,n:bigint,text:string>>")
+    each = chunks.withColumn("chunk", F.col("chunk").cast("int")).groupBy("doc_id", "section").agg(ordered.alias("c"))
+    return each.select("doc_id", "section", F.explode(F.aggregate("c", empty, step)).alias("x")).select("doc_id", "section", "x.chunk", F.col("x.n").alias("tokens"), "x.text")

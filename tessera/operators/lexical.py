@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import char_grams, tokens
 
 
 def term_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", count: str = "tf") -> DataFrame:
@@ -118,3 +118,17 @@ def coverage(texts: DataFrame, vocab: DataFrame) -> DataFrame:
         F.sum("c").alias("total_tokens"), F.count(F.lit(1)).alias("unique_tokens"), F.sum("known").alias("covered_unique"), F.sum(F.col("known") * F.col("c")).alias("covered_tokens"),
         F.round(1 - F.sum(F.col("known") * F.col("c")) / F.sum("c"), 6).alias("oov_rate"), F.round(F.sum("known") / F.count(F.lit(1)), 6).alias("coverage"),
     )
+
+
+def char_tfidf(docs: DataFrame, most: int = 2000, max_df: float = 0.8) -> DataFrame:
+    """(doc_id, gram, weight) of character n-grams of 1 to 3: (1 + ln tf) (ln((1 + n) / (1 + df)) + 1), unit length a document.
+
+    Grams in more than ``max_df`` of the documents are left out; of the others the ``most`` frequent count.
+    """
+    tf = docs.select("doc_id", F.explode(char_grams(F.col("text"))).alias("gram")).groupBy("doc_id", "gram").agg(F.count(F.lit(1)).alias("tf"))
+    n = docs.agg(F.count(F.lit(1)).alias("n"))
+    stats = tf.groupBy("gram").agg(F.sum("tf").alias("freq"), F.count(F.lit(1)).alias("df")).join(F.broadcast(n))
+    kept = stats.where(F.col("df") <= max_df * F.col("n")).orderBy(F.desc("freq"), "gram").limit(most)
+    idf = F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1
+    raw = tf.join(F.broadcast(kept.select("gram", idf.alias("idf"))), "gram").withColumn("w", (1 + F.ln("tf")) * F.col("idf"))
+    return raw.select("doc_id", "gram", F.round(F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("doc_id"))), 6).alias("weight"))

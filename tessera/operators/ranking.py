@@ -143,3 +143,35 @@ def top_up(hits: DataFrame, least: int) -> DataFrame:
 def exact_duplicates(docs: DataFrame) -> DataFrame:
     """(keep, copies): texts that occur more than once, by the smallest id, without gathering a group."""
     return docs.where("text is not null").groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("keep"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("keep", "copies")
+
+
+def score_summary(hits: DataFrame) -> DataFrame:
+    """(query_id, n, least, most, mean, kind): kind is dense, hybrid or sparse by the range of the query's scores, else generic."""
+    s = F.col("score").cast("double")
+    out = hits.groupBy("query_id").agg(F.count(s).alias("n"), F.min(s).alias("least"), F.max(s).alias("most"), F.round(F.avg(s), 6).alias("mean"))
+    lo, hi = F.col("least"), F.col("most")
+    return out.withColumn("kind", F.when((lo >= -1) & (hi <= 1), "dense").when((lo < -100) | (hi > 100), "hybrid").when((lo >= 0) & (hi > 1), "sparse").otherwise("generic"))
+
+
+def reorder(selected: DataFrame, by: str = "relevance", reverse: bool = False) -> DataFrame:
+    """Selected hits (query_id, doc_id, score, embedding) ranked anew by score, or by diversity: 1 - mean cosine to the selection.
+
+    The mean cosine is the inner product with the mean unit vector, so no pairs are made.
+    """
+    if by == "relevance":
+        value = selected.withColumn("value", F.col("score").cast("double"))
+    elif by == "diversity":
+        unit = selected.withColumn("unit", normalised(F.col("embedding")))
+        axis = unit.select("query_id", F.posexplode("unit").alias("i", "x")).groupBy("query_id", "i").agg(F.avg("x").alias("m"))
+        mean = axis.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("mean"))
+        value = unit.join(mean, "query_id").withColumn("value", F.round(1 - dot(F.col("unit"), F.col("mean")), 6))
+    else:
+        raise ValueError("by is relevance or diversity")
+    order = W.partitionBy("query_id").orderBy(F.asc("value") if reverse else F.desc("value"), "doc_id")
+    return value.select("query_id", "doc_id", "value", F.row_number().over(order).alias("rank"))
+
+
+def fallback_statistics(topped: DataFrame) -> DataFrame:
+    """One row over the output of ``top_up``: queries, those that needed it, and rows that it added."""
+    q = topped.groupBy("query_id").agg(F.sum(F.col("fallback").cast("long")).alias("added"))
+    return q.agg(F.count(F.lit(1)).alias("queries"), F.sum((F.col("added") > 0).cast("long")).alias("fallbacks"), F.sum("added").alias("added"))

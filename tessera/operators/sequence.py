@@ -54,3 +54,27 @@ def slot_scores(gold: DataFrame, pred: DataFrame) -> DataFrame:
     n = g.join(p, key, "left_semi").agg(F.count(F.lit(1)).alias("tp")).join(g.agg(F.count(F.lit(1)).alias("gold"))).join(p.agg(F.count(F.lit(1)).alias("pred")))
     pr, re = F.try_divide("tp", "pred"), F.try_divide("tp", "gold")
     return n.select("tp", "gold", "pred", F.round(F.try_divide(2 * pr * re, pr + re), 6).alias("f1"))
+
+
+def slots_by_name(seq: DataFrame) -> DataFrame:
+    """(sent_id, name, value): of several spans of one name the last counts."""
+    return spans(seq).groupBy("sent_id", "name").agg(F.max_by("value", "start").alias("value"))
+
+
+def position_features(seq: DataFrame) -> DataFrame:
+    """Position in the sequence: ratio, first, last, quarter (1 to 4) and half (1 or 2)."""
+    n = F.count(F.lit(1)).over(W.partitionBy("sent_id"))
+    ratio = F.col("pos") / n
+    return seq.withColumns({"ratio": F.round(ratio, 6), "is_first": F.col("pos") == 0, "is_last": F.col("pos") == n - 1, "quarter": (F.floor(ratio * 4) + 1).cast("int"), "half": (F.floor(ratio * 2) + 1).cast("int")})
+
+
+def align(spans_: DataFrame, tokens_: DataFrame) -> DataFrame:
+    """BIO labels of tokens (sent_id, pos, token, start, end) from character spans (sent_id, name, start, end), ends exclusive.
+
+    A token belongs to the first span that it overlaps; the first token of a span begins it.
+    """
+    s = spans_.select("sent_id", "name", F.col("start").alias("s"), F.col("end").alias("e"))
+    hit = tokens_.join(s, "sent_id").where("start < e and s < end").groupBy("sent_id", "pos").agg(F.min(F.struct("s", "e", "name")).alias("x"))
+    begin = F.row_number().over(W.partitionBy("sent_id", "x").orderBy("pos")) == 1
+    named = hit.select("sent_id", "pos", F.concat(F.when(begin, "B-").otherwise("I-"), F.col("x.name")).alias("label"))
+    return tokens_.join(named, ["sent_id", "pos"], "left").withColumn("label", F.coalesce("label", F.lit("O")))

@@ -85,7 +85,7 @@ def test_intent_order_and_gate(spark):
 
 def test_sentences_and_lists(spark):
     d = spark.createDataFrame([("One. Two! 三。四；five; six",)], "text string")
-    assert d.select(T.sentences(F.col("text"))).first()[0] == ["One.", "Two!", "三。", "四；five", " six"]
+    assert d.select(T.sentences(F.col("text"))).first()[0] == ["One. Two!", "三。", "四；five;", "six"]
     d = spark.createDataFrame([("a [1] b[来源2] ",)], "text string")
     assert d.select(querying.list_answer(F.col("text"))).first()[0] == "2 items\na\nb"
 
