@@ -102,9 +102,16 @@ def queries() -> dict:
     return found
 
 
-_SIZES = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
-
-SQL = {}
+#: Exact links by shared shingles, and components by closure: for small tables only, as copies of a document meet in pairs.
+_NGRAM_JACCARD = r"""with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents),
+s as (select doc_id, case when len(w) >= 4 then list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) when len(w) > 0 then [array_to_string(w, ' ')] else [] end s from w),
+e as (select doc_id, len(s) n, unnest(s) g from s),
+p as (select a.doc_id x, b.doc_id y, a.n + b.n total, count(*) c from e a join e b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+l as materialized (select x, y from p where 100 * c >= 85 * (total - c)),
+r(x, y) as (select doc_id, doc_id from s union select r.x, l.y from r join l on r.y = l.x)
+select s.doc_id, len(s.s) n_shingles, min(r.y) component_id from s join r on r.x = s.doc_id group by s.doc_id, s.s"""
+
+SQL = {"op9_ngram_jaccard": _NGRAM_JACCARD}
 
 
 def oracle_sql() -> dict[str, str]:
