@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .functions import keywords, segment
 from .functions import text as T
 from .operators import chunking, evaluation, fields, graph, learning, lexical, querying, ranking, sequence, tagging, vocabulary
-from .session import table
+from .session import bounded, table
 
 #: Inline patterns of the entity queries: name, type, alias.
 PATTERNS = [("the", "article", "the"), ("of", "link", "of"), ("to", "link", "to"), ("and", "link", "and"), ("para", "link", "para"), ("und", "link", "und"), ("la", "article", "la"), ("le", "article", "le")]
@@ -32,7 +32,7 @@ def _vectors(s: SparkSession, d: str) -> DataFrame:
 
 def _vector_queries(s: SparkSession, d: str, below: int = 20) -> DataFrame:
     """The stated query batch: the first vectors by id."""
-    return F.broadcast(_vectors(s, d).where(F.col("doc_id") < below).select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("qv"), F.col("label").alias("query_label")))
+    return bounded(_vectors(s, d).where(F.col("doc_id") < below).select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("qv"), F.col("label").alias("query_label")))
 
 
 def bm25_topk(s, d):
@@ -70,7 +70,7 @@ def knn_filtered(s, d):
 
 def _dense(s, d, k=20):
     """Synthetic pairing: a document's vector is that of its number, a passage's that of its number."""
-    q = F.broadcast(_vectors(s, d).join(_asked(s, d), F.col("doc_id") == F.col("query_id"), "left_semi").select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("qv")))
+    q = bounded(_vectors(s, d).join(_asked(s, d), F.col("doc_id") == F.col("query_id"), "left_semi").select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("qv")))
     return ranking.knn(_vectors(s, d).select("doc_id", "embedding"), q, k)
 
 
@@ -169,7 +169,7 @@ def token_filters(s, d):
 
 def _gold(s, d):
     """Documents that hold a passage verbatim; the passages are the stated batch."""
-    q = F.broadcast(_asked(s, d).select("query_id", F.col("text").alias("q")))
+    q = bounded(_asked(s, d).select("query_id", F.col("text").alias("q")))
     return _docs(s, d).join(q, F.expr("contains(text, q)")).select("query_id", "doc_id")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..session import bounded
 
 #: Aliases that a search takes at most; they are sent to every worker.
 MAX_ALIASES = 1_000_000
@@ -157,7 +158,7 @@ def expand_queries(queries: DataFrame, vertices: DataFrame, edges: DataFrame) ->
     queries: (query_id, text), a stated batch; vertices: (name, aliases); edges: (src, relation, dst) by name.
     """
     q = queries.select("query_id", "text")
-    hit = vertices.join(F.broadcast(q), F.col("text").contains(F.col("name"))).select("query_id", "text", "name", "aliases")
+    hit = vertices.join(bounded(q), F.col("text").contains(F.col("name"))).select("query_id", "text", "name", "aliases")
     by = [F.struct(F.lit(r).alias("r"), F.concat(*[F.col(p) if p in ("src", "dst") else F.lit(p) for p in parts]).alias("t")) for r, parts in EXPANSIONS]
     rel = hit.join(edges, F.col("name") == F.col("src")).select("query_id", F.explode(F.transform(F.filter(F.array(*by), lambda x: x["r"] == F.col("relation")), lambda x: x["t"])).alias("text"))
     swap = hit.select("query_id", "text", "name", F.explode("aliases").alias("alias")).where("alias <> name").select("query_id", F.replace("text", F.col("name"), F.col("alias")).alias("text"))

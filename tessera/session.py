@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def session(app: str = "tessera", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -20,3 +21,8 @@ def session(app: str = "tessera", master: str | None = None, shuffle_partitions:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder; Spark's reader prunes columns and pushes filters down."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def bounded(df: DataFrame, rows: int = 20_000) -> DataFrame:
+    """df with a broadcast hint when it has at most ``rows`` rows, which is counted up to that bound; else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -21,9 +21,12 @@ def labelled_csv(spark: SparkSession, path: str, required: tuple[str, ...] = ("q
 
 
 def conll(spark: SparkSession, path: str) -> DataFrame:
-    """(sent_id, pos, token, label): sentences between blank lines, a token and its label on each line."""
+    """(sent_id, pos, token, label): sentences between blank lines, a token and its label on each line.
+
+    Equal sentences have ids of their own; ids hold for one read with the same splits.
+    """
     sent = spark.read.option("lineSep", "\n\n").text(path).where(F.trim("value") != "")
-    sent = sent.select(F.xxhash64(F.input_file_name(), "value").alias("sent_id"), F.posexplode(F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")).alias("pos", "line"))
+    sent = sent.withColumn("sent_id", F.monotonically_increasing_id()).select("sent_id", F.posexplode(F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")).alias("pos", "line"))
     part = F.split("line", r"\s+")
     return sent.select("sent_id", "pos", part[0].alias("token"), F.coalesce(F.get(part, F.lit(1)), F.lit("O")).alias("label"))
 
@@ -41,6 +44,53 @@ def gold(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.explode("m").alias("query_id", "ids")).select("query_id", F.explode("ids").alias("doc_id"))
 
 
+def query_list(spark: SparkSession, path_or_query: str) -> DataFrame:
+    """(query_id, text) from a JSON file with a list or an object of queries, or of the argument itself as the one query."""
+    if not path_or_query.strip().endswith(".json"):
+        return spark.createDataFrame([(0, path_or_query)], "query_id long, text string")
+    raw = spark.read.option("wholetext", True).text(path_or_query)
+    found = F.coalesce(F.from_json("value", "array<string>"), F.map_values(F.from_json("value", "map<string,string>")))
+    rows = raw.select(F.when(F.trim("value").startswith("["), F.from_json("value", "array<string>")).otherwise(found).alias("q"))
+    return rows.select(F.posexplode("q").alias("i", "text")).where("text is not null").select(F.col("i").cast("long").alias("query_id"), "text")
+
+
+def latest(spark: SparkSession, folder: str, glob: str) -> str | None:
+    """The file of the folder that matches and comes last by name (names hold time stamps), or None."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{glob}")
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    return max((str(x.getPath()) for x in found or []), default=None)
+
+
+def weighted_dictionary(spark: SparkSession, path: str) -> DataFrame:
+    """(term, weight) from ``{term: {weight}}``, ``{vocabulary: {term: number}}`` or ``{term: number}``."""
+    raw = spark.read.option("wholetext", True).text(path)
+    heavy = F.map_filter(F.from_json("value", "map<string,struct<weight:double>>"), lambda k, v: v["weight"].isNotNull())
+    nested = F.from_json(F.get_json_object("value", "$.vocabulary"), "map<string,double>")
+    plain = F.map_filter(F.from_json("value", "map<string,double>"), lambda k, v: v.isNotNull())
+    pick = F.when(F.size(heavy) > 0, F.transform_values(heavy, lambda k, v: v["weight"])).otherwise(F.coalesce(nested, plain))
+    return raw.select(F.explode(pick).alias("term", "weight"))
+
+
+def user_dictionary(spark: SparkSession, path: str) -> DataFrame:
+    """(phrase): the first word of each line that isn't blank, once."""
+    return spark.read.text(path).select(F.split(F.trim("value"), r"\s+")[0].alias("phrase")).where("phrase <> ''").distinct()
+
+
+def write_dictionary(phrases: DataFrame, path: str) -> None:
+    """Lines ``phrase weight n`` (cut to integers) in ``path/words`` and their figures as JSON lines in ``path/meta``."""
+    line = F.concat_ws(" ", "phrase", F.col("weight").cast("long").cast("string"), F.lit("n"))
+    phrases.select(line.alias("value")).write.mode("errorifexists").text(f"{path}/words")
+    phrases.write.mode("errorifexists").json(f"{path}/meta")
+
+
+def write_report(figures: DataFrame, path: str, title: str, most: int = 1000) -> None:
+    """A Markdown table of at most ``most`` rows, a report's length, as one text file."""
+    rows = figures.limit(most).collect()
+    head = [f"# {title}", "", "| " + " | ".join(figures.columns) + " |", "|" + "-|" * len(figures.columns)]
+    text = "\n".join(head + ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows])
+    figures.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
 def vocabulary(spark: SparkSession, path: str) -> DataFrame:
     """(category, term, type, frequency, synonyms) from one JSON object of terms a file, named by category."""
     raw = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(path)
@@ -55,7 +105,10 @@ def synonym_lines(vocab: DataFrame) -> DataFrame:
 
 
 def upsert_index(new: DataFrame, path: str, key: str = "id", partition: str | None = None) -> None:
-    """Rows of the new table replace those of the same key; the result is written beside and then swapped in by name."""
+    """Rows of the new table replace those of the same key.
+
+    The result is written beside the table and swapped in by name; the old table goes only once the new one is in place.
+    """
     spark = new.sparkSession
     jvm = spark.sparkContext._jvm
     target, staged = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path + "_staged")
@@ -66,8 +119,14 @@ def upsert_index(new: DataFrame, path: str, key: str = "id", partition: str | No
         out = old.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
     writer = out.write.mode("overwrite")
     (writer.partitionBy(partition) if partition else writer).parquet(path + "_staged")
-    fs.delete(target, True)
-    fs.rename(staged, target)
+    before = jvm.org.apache.hadoop.fs.Path(path + "_before")
+    fs.delete(before, True)
+    if fs.exists(target) and not fs.rename(target, before):
+        raise OSError(f"can't move {path}")
+    if not fs.rename(staged, target):
+        fs.rename(before, target)
+        raise OSError(f"can't move {path}_staged to {path}")
+    fs.delete(before, True)
 
 
 def append_log(rows: DataFrame, path: str) -> None:

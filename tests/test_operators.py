@@ -119,3 +119,28 @@ def test_streaming_index_equals_batch(spark, tmp_path):
     jobs.index_documents(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
     got = spark.read.parquet(str(tmp_path / "out")).select("doc_id", "term", "tf")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, lexical.term_counts(d).collect()))
+
+
+def test_dictionaries_queries_and_reports(spark, tmp_path):
+    def put(name, text):
+        (tmp_path / name).write_text(text, encoding="utf-8")
+        return str(tmp_path / name)
+
+    assert [tuple(r) for r in io.query_list(spark, put("q.json", '["a", "b"]')).collect()] == [(0, "a"), (1, "b")]
+    assert [r.text for r in io.query_list(spark, put("m.json", '{"x": "a", "y": "b"}')).collect()] == ["a", "b"]
+    assert [r.text for r in io.query_list(spark, "only this").collect()] == ["only this"]
+    for text in ('{"a": {"weight": 1.5, "freq": 2}, "b": {"weight": 2}}', '{"vocabulary": {"a": 1.5, "b": 2}}', '{"a": 1.5, "b": 2}'):
+        assert {tuple(r) for r in io.weighted_dictionary(spark, put("d.json", text)).collect()} == {("a", 1.5), ("b", 2.0)}
+    assert {r.phrase for r in io.user_dictionary(spark, put("u.txt", "x 5 n\n\n y\nx\n")).collect()} == {"x", "y"}
+    put("v_1.json", "{}"), put("v_2.json", "{}")
+    assert io.latest(spark, str(tmp_path), "v_*.json").endswith("v_2.json") and io.latest(spark, str(tmp_path), "none*") is None
+    p = spark.createDataFrame([("a b", 2.9)], "phrase string, weight double")
+    io.write_dictionary(p, str(tmp_path / "dict"))
+    assert spark.read.text(str(tmp_path / "dict" / "words")).first()[0] == "a b 2 n"
+    io.write_report(p, str(tmp_path / "report"), "T")
+    assert [r[0] for r in spark.read.text(str(tmp_path / "report")).collect()][-1] == "| a b | 2.9 |"
+
+
+def test_equal_sentences_stay_apart(spark, tmp_path):
+    (tmp_path / "s.conll").write_text("a\tO\nb\tO\n\na\tO\nb\tO\n")
+    assert io.conll(spark, str(tmp_path / "s.conll")).groupBy("sent_id").count().count() == 2
