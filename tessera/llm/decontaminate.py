@@ -4,9 +4,10 @@ Words are runs of letters and digits (ASCII letters lower-cased, other character
 token positions and ignore the others; the hashes of the picked tokens at every position of every benchmark passage
 form the test side of a hash join, and every position of every document is looked up in it. Around each hit the
 document and the passage are compared position by position on the hit's diagonal, so substituted words cost only
-themselves. A document is contaminated by a passage when the best-scoring stretch of the diagonal (1 for an equal
-word, -2 for a different one) holds at least ``min_words`` equal words, or the whole passage where it is shorter, at
-an identity of at least ``identity``.
+themselves. A document is contaminated by a passage when any stretch of the diagonal holds at least ``min_words``
+equal words, or the whole passage where it is shorter, at an identity of at least ``identity``. At an identity of 0.8
+or more and 13 words or more such a stretch has four equal words in a row (k different words leave k + 1 runs for at
+least max(13, 4 k) equal ones), so the mask of four words finds every one; the others add to it below that.
 
 The test side is joined in blocks of at most ``block_words`` benchmark words. A block is the only thing sent to the
 executors, so a benchmark of any size takes more passes, not more memory, and documents are never shuffled.
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from .hashing import buffers, chunks, letter_table, mix, multipliers, words
 
 #: Fixed masks: 1 takes a token position, 0 ignores it.
-MASKS = ("111111", "110100111", "10110010101", "1100101000011")
+MASKS = ("1111", "111111", "110100111", "10110010101", "1100101000011")
 MIN_WORDS = 13
 IDENTITY = 0.8
 BLOCK_WORDS = 1_000_000
@@ -84,17 +85,41 @@ def build_block(items: list[int], texts: list[str]) -> Block:
     return Block(np.array(items, np.int64), at, h, seeds)
 
 
-def _best(same: np.ndarray) -> tuple[int, int]:
-    """The best-scoring stretch of equal (1) and different (-2) words."""
-    total = np.concatenate([[0], np.cumsum(np.where(same, 1, -2))])
-    low = np.minimum.accumulate(total)
-    end = int(np.argmax(total - low))
-    start = end - int(np.argmin(total[: end + 1][::-1]))
-    return start, end
+def _best(same: np.ndarray, least: int, identity: float) -> tuple[int, int, int] | None:
+    """(equal words, start, end) of the stretch with most equal words of all that hold the identity, if it has ``least``."""
+    equal = np.concatenate([[0], np.cumsum(same)])
+    over = equal - identity * np.arange(len(equal))
+    # for each start the last end at which the identity holds: the most that can still come falls with the end
+    most = np.maximum.accumulate(over[::-1])
+    end = len(over) - 1 - np.searchsorted(most, over - 1e-9)
+    matched = equal[end] - equal
+    start = int(np.argmax(matched))
+    if matched[start] < max(1, least):
+        return None
+    hit = start + np.flatnonzero(same[start : end[start]])
+    return int(matched[start]), int(hit[0]), int(hit[-1]) + 1
+
+
+def _enough(block: Block, h: np.ndarray, at: np.ndarray, hits: np.ndarray, min_words: int) -> np.ndarray:
+    """Of the diagonals (row, item, shift) those with equal words enough in all; compared in pieces of bounded size."""
+    row, item, shift = hits.T
+    have, size = np.diff(at)[row], np.diff(block.at)[item]
+    a = np.maximum(0, -shift)
+    n = np.minimum(size, have - shift) - a
+    keep, done = np.zeros(len(hits), bool), np.cumsum(n)
+    i = 0
+    while i < len(hits):
+        j = max(i + 1, int(np.searchsorted(done, done[i] - n[i] + (1 << 20), side="right")))
+        first = np.cumsum(n[i:j]) - n[i:j]
+        step = np.arange(n[i:j].sum()) - np.repeat(first, n[i:j])
+        same = h[np.repeat((at[row] + a + shift)[i:j], n[i:j]) + step] == block.tokens[np.repeat((block.at[item] + a)[i:j], n[i:j]) + step]
+        keep[i:j] = np.add.reduceat(same, first, dtype=np.int64) >= np.minimum(min_words, size[i:j])
+        i = j
+    return hits[keep]
 
 
 def overlaps(block: Block, h: np.ndarray, at: np.ndarray, min_words: int, identity: float) -> list[tuple]:
-    """(row, item, doc word, item word, matched, span) of the best stretch for every row and passage that overlap."""
+    """(row, item, doc word, item word, matched, span) of the stretch with most equal words for every row and passage that overlap."""
     found: list[np.ndarray] = []
     for i, (o, value, pos, bits) in enumerate(block.seeds):
         s, where = seed_hashes(h, at, o, i)
@@ -108,13 +133,13 @@ def overlaps(block: Block, h: np.ndarray, at: np.ndarray, min_words: int, identi
         row, item = np.searchsorted(at, hit, side="right") - 1, np.searchsorted(block.at, test, side="right") - 1
         found.append(np.stack([row, item, (hit - at[row]) - (test - block.at[item])], axis=1))
     best: dict[tuple[int, int], tuple] = {}
-    for row, item, shift in np.unique(np.concatenate(found), axis=0) if found else ():
+    hits = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
+    for row, item, shift in _enough(block, h, at, hits, min_words):
         doc, test = h[at[row] : at[row + 1]], block.tokens[block.at[item] : block.at[item + 1]]
         a, b = max(0, -shift), min(len(test), len(doc) - shift)
-        same = doc[a + shift : b + shift] == test[a:b]
-        s, e = _best(same)
-        matched = int(same[s:e].sum())
-        if matched >= min(min_words, len(test)) and matched >= identity * (e - s) and matched > best.get((row, item), (0,))[0]:
+        found_here = _best(doc[a + shift : b + shift] == test[a:b], min(min_words, len(test)), identity)
+        if found_here and found_here[0] > best.get((row, item), (0,))[0]:
+            matched, s, e = found_here
             best[row, item] = (matched, a + s + shift, a + s, e - s)
     return [(int(r), int(block.items[i]), int(d), int(t), m, int(n)) for (r, i), (m, d, t, n) in sorted(best.items())]
 

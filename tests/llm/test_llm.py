@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, chat, decontaminate, html_text, langid, mixing, ngram_join, quality, token_rollup, url_filter
+from tessera.llm import ann, chat, decontaminate, hashing, html_text, langid, mixing, ngram_join, quality, token_rollup, url_filter
 
 DOC = "doc_id long, text string, lang string, source string, score string"
 
@@ -100,6 +101,30 @@ def test_decontamination_tolerates_substitutions(spark):
     assert decontaminate.contamination(d, b.limit(0)).count() == 0
 
 
+def _overlapping_docs(item, docs):
+    """Rows of docs that overlap with the passage."""
+    data, bounds = hashing.buffers(pa.array([" ".join(d) for d in docs]))
+    h, at = hashing.words(data, bounds, hashing.letter_table())
+    return {r for r, *_ in decontaminate.overlaps(decontaminate.build_block([1], [" ".join(item)]), h, at, 13, 0.8)}
+
+
+def test_decontamination_equals_brute_force():
+    """All placements of one to three different words in short passages, and longer passages of changing likeness."""
+    r = random.Random(5)
+
+    def brute(same):
+        return any(sum(same[s:e]) >= max(13, 0.8 * (e - s)) for s in range(len(same)) for e in range(s + 13, len(same) + 1))
+
+    sames = [[i not in gone for i in range(n)] for n in range(15, 19) for k in (1, 2, 3) for gone in itertools.combinations(range(n), k)]
+    sames += [[i % 5 != x for i in range(n)] for n in (16, 20, 25, 40) for x in range(5)]
+    sames += [[i % 4 > 0 for i in range(n)] + [True] * 14 + [i % 4 > 0 for i in range(n)] for n in (8, 40, 80)]
+    sames += [[r.random() < share for _ in range(60)] for share in (0.6, 0.7, 0.75, 0.8, 0.85) for _ in range(40)]
+    for n in sorted({len(x) for x in sames}):
+        some, item = [x for x in sames if len(x) == n], [f"w{i}" for i in range(n)]
+        docs = [["a", "b"] + [w if y else f"z{i}" for i, (w, y) in enumerate(zip(item, x))] + ["c"] for x in some]
+        assert _overlapping_docs(item, docs) == {i for i, x in enumerate(some) if brute(x)}
+
+
 def test_nearest_recall_ties_and_bad_vectors(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(1500, 16))
