@@ -2,10 +2,11 @@
 
 A URL is turned into typed tokens, at most eight: scheme, suffix, registered domain, host, number of labels, first and second folder of
 the path, kind of ending. Over the labelled URLs, FP-growth mines the token combinations that go with a blocking label; those
-with enough support and confidence are the rules. An inverted index leads from a token to the rules that hold it; a
-rule fits a URL that has all its tokens, and a URL that any rule fits is blocked.
+with a minimum count, the same for any number of URLs, and confidence are the rules. An inverted index leads from a
+token to the rules of which it is the rarest; a rule fits a URL that has all its tokens, and a URL that any rule fits
+is blocked.
 
-Eight tokens bound the frequent combinations by 2^8 / min_support, whatever the data. URLs with the same tokens are
+Eight tokens bound the frequent combinations by 2^8 times the labelled URLs over the minimum count. URLs with the same tokens are
 judged once. Everything is DataFrame operations and Spark's own FP-growth.
 
 Rows: a null URL or one without ``://`` has empty host and path, no tokens, fits no rule and is allowed; repeated
@@ -23,7 +24,6 @@ from pyspark.sql import functions as F
 
 from .store import Scratch, replace_columns, sized
 
-MIN_SUPPORT = 0.001
 MIN_CONFIDENCE = 0.9
 #: A rule rests on so many labelled URLs at least, however few there are in all.
 MIN_COUNT = 20
@@ -73,11 +73,12 @@ def tokens(url: Column) -> Column:
     return F.when(h == "", F.array().cast("array<string>")).otherwise(F.array_sort(F.array_compact(F.array(*typed))))
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_count: int = MIN_COUNT) -> DataFrame:
-    """(rule_id, antecedent, confidence) from (url, blocked boolean); a rule's antecedent and label together have the support."""
+def mine(labelled: DataFrame, min_confidence: float = MIN_CONFIDENCE, min_count: int = MIN_COUNT) -> DataFrame:
+    """(rule_id, antecedent, confidence) from (url, blocked boolean); ``min_count`` URLs at least have a rule's antecedent and the label."""
     items = labelled.where("blocked is not null").select(tokens(F.col("url")).alias("items"), "blocked").where(F.size("items") > 0)
     items = items.select(F.when(F.col("blocked"), F.concat("items", F.array(F.lit(_LABEL)))).otherwise(F.col("items")).alias("items"))
-    support = max(min_support, min(1.0, min_count / max(1, items.count())))
+    # FP-growth rounds support * rows up to a count; half a row less keeps that count from being one too many
+    support = min(1.0, (min_count - 0.5) / max(1, items.count()))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(items)
     rules = model.associationRules.where(F.col("consequent") == F.array(F.lit(_LABEL)))
     return rules.select(F.xxhash64(F.array_sort("antecedent")).alias("rule_id"), F.array_sort("antecedent").alias("antecedent"), "confidence")
@@ -85,21 +86,23 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
 
 def match(urls: DataFrame, rules: DataFrame, rule_count: int) -> DataFrame:
     """(items, confidence) of the distinct token sets that a rule fits, by inverted index."""
-    index = rules.select("rule_id", F.size("antecedent").alias("n"), "confidence", F.explode("antecedent").alias("token"))
+    held = rules.select("rule_id", F.explode("antecedent").alias("token"))
+    rarest = held.join(held.groupBy("token").agg(F.count(F.lit(1)).alias("n")), "token").groupBy("rule_id").agg(F.min(F.struct("n", "token"))["token"].alias("token"))
+    index = rules.join(rarest, "rule_id").select("token", "antecedent", "confidence")
     sets = urls.select(tokens(F.col("url")).alias("items")).where(F.size("items") > 0).distinct()
-    hits = sets.select("items", F.explode("items").alias("token")).join(sized(index, rule_count * 8, 1 << 22), "token")
-    full = hits.groupBy("items", "rule_id").agg(F.count(F.lit(1)).alias("have"), F.first("n").alias("n"), F.max("confidence").alias("confidence"))
-    return full.where("have = n").groupBy("items").agg(F.max("confidence").alias("confidence"))
+    hits = sets.select("items", F.explode("items").alias("token")).join(sized(index, rule_count, 1 << 18), "token")
+    full = hits.where(F.size(F.array_except("antecedent", "items")) == 0)
+    return full.groupBy("items").agg(F.max("confidence").alias("confidence"))
 
 
-def judge(pages: DataFrame, labels: DataFrame, rules: list[Rule], min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_count: int = MIN_COUNT) -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame, rules: list[Rule], min_confidence: float = MIN_CONFIDENCE, min_count: int = MIN_COUNT) -> DataFrame:
     """The pages with host, path, rule, verdict and the confidence of the mined rule, if that decided.
 
     labels: (page_id, blocked); a page is labelled block if any of its labels is.
     """
     scratch = Scratch(pages.sparkSession, "url-filter")
     label = labels.where("page_id is not null and blocked is not null").groupBy("page_id").agg(F.max("blocked").alias("blocked"))
-    mined = scratch.cut(mine(pages.select("page_id", "url").join(label, "page_id"), min_support, min_confidence, min_count))
+    mined = scratch.cut(mine(pages.select("page_id", "url").join(label, "page_id"), min_confidence, min_count))
     count = mined.count()
     h, p = host(F.col("url")), path(F.col("url"))
     found = listed(h, p, rules)

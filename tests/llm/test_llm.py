@@ -215,6 +215,18 @@ def test_url_rules_and_mined_rules(spark):
     assert got[301].verdict == "block" and got[302].rule is None and got[303].host == got[304].path == "" and got[305].rule == "com/"
 
 
+def test_url_rules_keep_their_count_as_rows_grow(spark):
+    """A host with 50 labelled URLs, all blocked, and one with 19, among 60,000 labelled ones of other hosts."""
+    u = spark.range(60_000).selectExpr("id page_id", "concat('http://h', id % 500, '.site', id % 500, '.org/a', id % 500, '/', id) url")
+    for at, n, host in ((100_000, 50, "bad.spam.net"), (200_000, 19, "few.rare.info")):
+        u = u.union(spark.range(at, at + n).selectExpr("id page_id", f"concat('https://{host}/{host}/x?', id) url"))
+    mined = url_filter.mine(u.select("url", (F.col("page_id") >= 100_000).alias("blocked")))
+    held = {x for r in mined.collect() for x in r.antecedent}
+    assert "host=bad.spam.net" in held and "host=few.rare.info" not in held
+    asked = spark.createDataFrame([("https://bad.spam.net/",), ("http://h1.site1.org/a1/1",)], "url string")
+    assert [(r.confidence, "host=bad.spam.net" in r["items"]) for r in url_filter.match(asked, mined, 1).collect()] == [(1.0, True)]
+
+
 def test_rollup_is_idempotent_and_signed(spark, tmp_path):
     schema = "source string, lang string, tokenizer string, kind string, tokens long, old_tokens long"
     r = token_rollup.Rollup(spark, str(tmp_path / "r"))
