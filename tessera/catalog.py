@@ -319,10 +319,15 @@ def filter_dsl(s, d):
 
 
 def cosine_pairs_hist(s, d):
+    """Of the hits of knn_exact only; cosine_all_pairs_hist has all pairs."""
     pairs = knn_exact(s, d)
     return pairs.groupBy(F.floor(F.col("score") * 20).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def cosine_all_pairs_hist(s, d):
+    return evaluation.cosine_histogram(_vectors(s, d))
+
+
 def sentence_count(s, d):
     found = T.sentences(F.col("text"))
     return _docs(s, d).select("doc_id", F.size(found).cast("long").alias("sentences"), F.aggregate(found, F.lit(0), lambda n, x: n + F.length(x)).cast("long").alias("chars"))
@@ -497,7 +502,7 @@ relevance_filter dynamic_lambda fallback_topup mmr_select exact_dedup best_field
 phrase_weights vocab_coverage token_len_hist vocab_jaccard_by_lang token_filters retrieval_metrics novelty_diversity overlap3 union_recall score_distribution
 confusion_matrix classification_report query_expand intent_route entity_match entity_pairs html_headings sentence_split coherence_score logical_blocks chunk_pack
 bio_repair bio_spans bio_validate token_context slot_f1 uncertainty_scores review_queue stratified_split prompt_assembly query_log_stats latency_percentiles log_last
-incremental_index filter_dsl cosine_pairs_hist
+incremental_index filter_dsl cosine_pairs_hist cosine_all_pairs_hist
 sentence_count query_complexity token_shapes term_candidates vocab_merge vocab_priority vocab_build idf_summary idf_histogram category_boost synonym_check
 page_content_types keyword_scores phrase_mask multi_field mean_fusion content_boosts variants_fusion char_tfidf entity_find entity_relations score_summary
 diversity_order fallback_stats overlap_counts low_score_queries frame_accuracy sample_report token_positions slots_last crf_tags chunk_optimise""".split()

@@ -68,6 +68,7 @@ SQL = {
     "entity_find": "with " + _FOUND.format(", ".join(f"('{x}')" for x in _MASKED)) + " select doc_id, name, times, first, round(least(2 * length(name) / n, 1), 6)::double confidence from fe",
     "entity_relations": "with " + _FOUND.format("(' the '), (' of '), (' and ')") + ", r as (select a.doc_id, a.name src, b.name dst, substr(a.text, least(a.first, b.first) + 1, greatest(a.first + length(a.name), b.first + length(b.name)) - least(a.first, b.first)) c from fe a join fe b using (doc_id) where a.name = ' the ' and b.name <> ' the ') select doc_id, src, dst, case when regexp_matches(c, '[0-9]') then 'NUMBERED' else 'NEAR' end relation from r where regexp_matches(c, '[0-9]|e')",
     "score_summary": f"{_BM25}, s as (select query_id, count(*) n, min(score) least, max(score) most, round(avg(score), 6) mean from run group by all) select *, case when least >= -1 and most <= 1 then 'dense' when least < -100 or most > 100 then 'hybrid' when least >= 0 and most > 1 then 'sparse' else 'generic' end kind from s",
+    "cosine_all_pairs_hist": "select floor(round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) * 20)::bigint bin, count(*) n from embeddings a, embeddings b where a.vec_id < b.vec_id group by all",
     "diversity_order": f"{_KNN}, u as (select query_id, doc_id, embedding::double[] v, sqrt(list_dot_product(embedding::double[], embedding::double[])) l from knn join embeddings on vec_id = doc_id), c as (select query_id, doc_id, generate_subscripts(v, 1) i, unnest(v) / l x from u), m as (select query_id, i, avg(x) m from c group by all) select query_id, doc_id, round(1 - sum(x * m), 6) diversity from c join m using (query_id, i) group by all",
     "fallback_stats": f"{_BM25}, f as (select query_id, count(*) n from run where rank <= 3 group by all) select count(*) queries, sum((n < 8)::int)::bigint fallbacks, sum(greatest(8 - n, 0))::bigint added from f",
     "overlap_counts": f"{_BM25}, {_LUCENE}, {_DENSE10}, x as (select query_id, doc_id, max(a) a, max(b) b, max(c) c from (select query_id, doc_id, 1 a, 0 b, 0 c from run union all select query_id, doc_id, 0, 1, 0 from luc union all select query_id, doc_id, 0, 0, 1 from dense) group by all) select query_id, sum(a)::bigint okapi_count, sum(b)::bigint lucene_count, sum(c)::bigint dense_count, sum(a * b * c)::bigint overlap, count(*) union_size from x group by all having sum(a) > 0 and sum(b) > 0 and sum(c) > 0",

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,3 +149,17 @@ def test_dictionaries_queries_and_reports(spark, tmp_path):
 def test_equal_sentences_stay_apart(spark, tmp_path):
     (tmp_path / "s.conll").write_text("a\tO\nb\tO\n\na\tO\nb\tO\n")
     assert io.conll(spark, str(tmp_path / "s.conll")).groupBy("sent_id").count().count() == 2
+
+
+def test_cosine_histogram_counts_all_pairs(spark):
+    r = random.Random(2)
+    x = [[r.gauss(0, 1) for _ in range(4)] for _ in range(40)]
+    x += x[:3] + [x[0]] * 5 + [[2 * v for v in x[1]], [0.0] * 4, [0.0] * 4]
+    bad = [None, [], [1.0, float("nan"), 0.0, 0.0], [None] * 4]
+    d = spark.createDataFrame(list(enumerate([*x, *bad, [1.0, 0.0], [0.6, 0.8]])), "doc_id long, embedding array<double>")
+    expected = Counter({12: 1})
+    for a, b in itertools.combinations(x, 2):
+        size = math.sqrt(sum(v * v for v in a) * sum(v * v for v in b))
+        expected[math.floor(round(sum(v * w for v, w in zip(a, b)) / size if size else 0.0, 6) * 20)] += 1
+    for block in (7, 1000):
+        assert {q.bin: q.n for q in evaluation.cosine_histogram(d, block_rows=block).collect()} == expected
