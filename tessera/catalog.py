@@ -32,7 +32,7 @@ def _vectors(s: SparkSession, d: str) -> DataFrame:
 
 def _vector_queries(s: SparkSession, d: str, below: int = 20) -> DataFrame:
     """The stated query batch: the first vectors by id."""
-    return bounded(_vectors(s, d).where(F.col("doc_id") < below).select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("qv"), F.col("label").alias("query_label")))
+    return _vectors(s, d).where(F.col("doc_id") < below).select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("qv"), F.col("label").alias("query_label"))
 
 
 def bm25_topk(s, d):
@@ -70,7 +70,7 @@ def knn_filtered(s, d):
 
 def _dense(s, d, k=20):
     """Synthetic pairing: a document's vector is that of its number, a passage's that of its number."""
-    q = bounded(_vectors(s, d).join(_asked(s, d), F.col("doc_id") == F.col("query_id"), "left_semi").select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("qv")))
+    q = _vectors(s, d).join(_asked(s, d), F.col("doc_id") == F.col("query_id"), "left_semi").select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("qv"))
     return ranking.knn(_vectors(s, d).select("doc_id", "embedding"), q, k)
 
 

@@ -27,14 +27,20 @@ def normalised(v: Column, zero: str = "zero") -> Column:
     return F.when(n < 1e-8, flat if zero == "unit" else v.cast("array<double>")).otherwise(F.transform(v, lambda x: x.cast("double") / n))
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, where: Column | None = None) -> DataFrame:
-    """Exact k nearest by inner product. vectors: (doc_id, embedding); queries: (query_id, qv), a stated batch.
+def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, where: Column | None = None, block_rows: int = 20_000) -> DataFrame:
+    """Exact k nearest by inner product. vectors: (doc_id, embedding); queries: (query_id, qv), any number.
 
-    The vectors are read once, each against the batch; the k best are cut before the shuffle of the window.
+    The vectors are read once for each block of about ``block_rows`` queries, which is sent to the executors; the k best
+    are cut before the shuffle of the window.
     """
     v = vectors if where is None else vectors.where(where)
-    hits = v.join(queries, F.size("embedding") == F.size("qv")).select("query_id", "doc_id", F.round(dot(F.col("embedding"), F.col("qv")), 6).alias("score"))
-    return top_k(hits.where("query_id <> doc_id"), k)
+    blocks, out = max(1, -(-queries.count() // block_rows)), None
+    for b in range(blocks):
+        asked = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        hits = v.join(F.broadcast(asked), F.size("embedding") == F.size("qv")).select("query_id", "doc_id", F.round(dot(F.col("embedding"), F.col("qv")), 6).alias("score"))
+        part = top_k(hits.where("query_id <> doc_id"), k)
+        out = part if out is None else out.unionAll(part)
+    return out
 
 
 def normalise(hits: DataFrame, method: str = "auto") -> DataFrame:

@@ -163,3 +163,21 @@ def test_cosine_histogram_counts_all_pairs(spark):
         expected[math.floor(round(sum(v * w for v, w in zip(a, b)) / size if size else 0.0, 6) * 20)] += 1
     for block in (7, 1000):
         assert {q.bin: q.n for q in evaluation.cosine_histogram(d, block_rows=block).collect()} == expected
+
+
+def test_knn_takes_queries_in_blocks(spark):
+    r = random.Random(4)
+    x = {i: [r.gauss(0, 1) for _ in range(3)] for i in range(60)}
+    v = spark.createDataFrame(list(x.items()), "doc_id long, embedding array<double>")
+    q = v.select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("qv"))
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for found in (ranking.knn(v, q, 4), ranking.knn(v, q, 4, block_rows=7)):
+            got = {(h.query_id, h["rank"]): h.doc_id for h in found.collect()}
+            assert "SortMergeJoin" not in found._jdf.queryExecution().toString()
+            for i in x:
+                best = sorted((-round(sum(a * b for a, b in zip(x[i], x[j])), 6), j) for j in x if j != i)[:4]
+                assert [got[i, n] for n in range(1, 5)] == [j for _, j in best]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
