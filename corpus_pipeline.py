@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, langid, mixing, ngram_join, quality
-from tessera.llm.store import Scratch, sized
+from tessera.llm.store import Scratch, free_name, sized
 from tessera.session import table
 
 #: A document stays when its main language holds this share of its letters.
@@ -28,16 +28,21 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the smallest doc_id of each group of linked documents (five-word shingles, similarity 0.8 or more).
 
-    Rows of one doc_id are one document, of which one row stays; rows without doc_id stay.
+    Rows of one doc_id are judged each by its own text: one row stays of those in a group, and one of rows with the same
+    doc_id and text. Rows without doc_id stay.
     """
     scratch = Scratch(spark, "near-duplicates")
-    found = ngram_join.ngram_jaccard(docs.select("doc_id", "text"), k=5, percent=80)
-    gone = scratch.cut(found.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("first"), F.count(F.lit(1)).alias("n")).where("first <> doc_id or n > 1"))
-    again = gone.where("first = doc_id").select("doc_id")
-    kept = docs.join(sized(gone.select("doc_id"), gone.count(), 2_000_000), "doc_id", "left_anti").select(docs.columns)
-    if again.isEmpty():
-        return kept
-    return kept.unionByName(docs.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+    if docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        found = ngram_join.ngram_jaccard(docs.select("doc_id", "text"), k=5, percent=80)
+        gone = scratch.cut(found.where("component_id <> doc_id").select("doc_id"))
+        return docs.join(sized(gone, gone.count(), 2_000_000), "doc_id", "left_anti").select(docs.columns)
+    row = free_name(docs, "_row")
+    keyed = docs.withColumn(row, F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text")))
+    found = ngram_join.ngram_jaccard(keyed.select(F.col(row).alias("doc_id"), "text"), k=5, percent=80).select(F.col("doc_id").alias(row), "component_id")
+    first = keyed.select(row, "doc_id").join(found.where(F.col(row).isNotNull()).distinct(), row).groupBy("component_id").agg(F.min(F.struct("doc_id", row)).alias("first"))
+    first = scratch.cut(first.select(F.col("first")[row].alias(row)))
+    kept = keyed.join(sized(first, first.count(), 2_000_000), row, "left_semi").dropDuplicates([row]).select(docs.columns)
+    return kept.unionByName(docs.where("doc_id is null"))
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -248,6 +248,17 @@ def test_words_follow_the_stated_classes():
     assert np.diff(at).tolist() == [3, 0, 0, 1, 0, 1]
 
 
+def test_near_duplicates_keep_unlike_texts_of_one_doc_id(spark):
+    import corpus_pipeline as P
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, c), (3, c + " more"), (4, b + " more"), (None, a), (5, None), (6, c)]
+    kept = P.drop_near_duplicates(spark, _docs(spark, rows), "")
+    assert kept.columns == _docs(spark, rows).columns
+    got = sorted(((r.doc_id or 0, r.text or "") for r in kept.collect()))
+    assert [x for x in got if x[0] != 3] == [(0, a), (1, a), (2, b), (5, "")] and [x[1] in (c, c + " more") for x in got if x[0] == 3] == [True]
+
+
 def test_pipeline_stages_keep_columns(spark):
     import corpus_pipeline as P
 
