@@ -216,7 +216,7 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 80, orders: int =
             got = scratch.cut(texts(wanted).mapInArrow(_whole(k), "ent long, n int, tokens array<long>").dropDuplicates(["ent"]).select("ent", "tokens"))
             sets = got if sets is None else sets.unionAll(got)
         if sets is None:
-            break
+            continue
         new = scratch.cut(_linked(pairs, sets, percent))
         if new.isEmpty():
             continue

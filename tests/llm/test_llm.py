@@ -203,6 +203,17 @@ def test_ngram_join_equals_brute_force(spark, k, percent):
     assert got == {i: (len(sets[i]), find(i) if i is not None else None) for i in [*ids, None]}
 
 
+def test_ngram_join_links_past_an_unlike_pivot(spark):
+    """Two like texts share early tokens only in lists whose pivot is a third text, unlike both; nothing else links."""
+    w = lambda p, n: [f"{p}0x{i}" for i in range(n)]
+    head, tail, other = w("h", 4), w("t", 15), w("o", 16)
+    texts = [(1, head + tail + w("a", 1)), (2, head + tail + w("b", 1)), (3, head + other), (4, head + w("f", 90))]
+    texts += [(20 + i, other + w(f"e{i}y", 130 + 60 * i)) for i in range(6)] + [(10 + i, tail + w(f"d{i}y", 100 + 60 * i)) for i in range(1, 6)]
+    d = spark.createDataFrame([(i, " ".join(x)) for i, x in texts], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_jaccard(d, k=1, percent=80).collect()}
+    assert got == {i: 1 if i == 2 else i for i, _ in texts}
+
+
 def test_url_rules_and_mined_rules(spark):
     rules = [url_filter.Rule("com", "/", "allow"), url_filter.Rule("example.com", "/en/", "block"), url_filter.Rule("www.example.com", "/en/", "allow")]
     rows = [(i, f"http://bad{i % 3}.spam.org/win/{i}") for i in range(60)] + [(100 + i, f"http://ok{i}.site.org/a/{i}") for i in range(60)]
