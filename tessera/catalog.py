@@ -93,7 +93,7 @@ def relevance_filter(s, d):
 
 
 def dynamic_lambda(s, d):
-    return table(s, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.round(T.dynamic_lambda(F.substring("text", 1, 40)), 6).alias("weight"))
+    return table(s, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.round(T.dynamic_lambda(F.col("text")), 6).alias("weight"))
 
 
 def fallback_topup(s, d):

@@ -10,6 +10,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from tessera import catalog
 from tessera.functions import text as T
 from tessera.operators import chunking, evaluation, graph, learning, lexical, querying, ranking, sequence
 from tessera.sources import io
@@ -181,3 +182,9 @@ def test_knn_takes_queries_in_blocks(spark):
                 assert [got[i, n] for n in range(1, 5)] == [j for _, j in best]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_dynamic_lambda_judges_the_whole_text(spark, tmp_path):
+    texts = [" " * 30 + "x" * 40, "short" + " " * 60 + "and long again", "short"]
+    spark.createDataFrame([(i, 0, "user", t) for i, t in enumerate(texts)], "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    assert {r.conv_id: r.weight for r in catalog.dynamic_lambda(spark, str(tmp_path)).collect()} == {0: 0.5, 1: 0.5, 2: 0.9}
