@@ -74,11 +74,19 @@ def ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token totals of all documents, committed as one batch and once more by a retry that changes nothing."""
-    docs = table(spark, sf_dir, "documents").select("source", "lang", "text")
+    """Token totals of all documents: a batch, the same once more by a retry, and corrections, which change nothing.
+
+    The corrections delete and insert again every tenth document and revise every tenth to the count it has.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
     count = token_rollup.counter(f"{TOKENIZER_PATH}/{TOKENIZER}.tiktoken", TOKENIZER_PATTERN)
     rollup = token_rollup.Rollup(spark, f"{shared_dir(spark)}/token-rollup-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}")
-    rollup.commit("documents", token_rollup.inserts(docs, count(F.col("text")), TOKENIZER))
+    changes = lambda part: token_rollup.inserts(part, count(F.col("text")), TOKENIZER)
+    again = changes(docs.where("doc_id % 10 = 0")).withColumn("kind", F.explode(F.array(F.lit("delete"), F.lit("insert"))))
+    revised = changes(docs.where("doc_id % 10 = 1")).withColumns({"kind": F.lit("revise"), "old_tokens": F.col("tokens")})
+    for _ in range(2):
+        rollup.commit("documents", changes(docs))
+    rollup.commit("corrections", again.unionByName(revised))
     return rollup.totals()
 
 

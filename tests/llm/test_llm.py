@@ -251,6 +251,24 @@ def test_rollup_is_idempotent_and_signed(spark, tmp_path):
     assert rows() == {("s", 1, 9), (None, 1, 0)}
 
 
+def test_rollup_query_retries_and_corrects(spark, monkeypatch):
+    from tessera.llm import queries
+
+    seen, commit = [], token_rollup.Rollup.commit
+
+    def watch(self, batch, changes):
+        seen.append((batch, {r.kind for r in changes.select("kind").distinct().collect()}))
+        return commit(self, batch, changes)
+
+    monkeypatch.setattr(token_rollup.Rollup, "commit", watch)
+    got = queries.token_counts(spark, "/root/testdata/sf0.001").collect()
+    assert seen == [("documents", {"insert"})] * 2 + [("corrections", {"delete", "insert", "revise"})]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    count = token_rollup.counter(f"{queries.TOKENIZER_PATH}/{queries.TOKENIZER}.tiktoken", queries.TOKENIZER_PATTERN)
+    every = docs.groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"), F.sum(count(F.col("text"))).alias("t")).collect()
+    assert {(r.source, r.lang, r.documents, r.tokens) for r in got} == {(r.source, r.lang, r.n, r.t) for r in every}
+
+
 def test_words_follow_the_stated_classes():
     from tessera.llm.hashing import buffers, space_table, words
 
