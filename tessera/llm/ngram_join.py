@@ -193,7 +193,7 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 80, orders: int =
 
     def texts(ents: DataFrame) -> DataFrame:
         ids = scratch.cut(chosen.join(ents, "ent", "left_semi").select("doc_id"))
-        return keyed.join(sized(ids, ids.count(), 2_000_000), "doc_id", "left_semi").select("text")
+        return keyed.join(sized(ids, ids.count()), "doc_id", "left_semi").select("text")
 
     more = texts(postings.select("ent").distinct()).mapInArrow(_others(k, percent, sketch_bits, orders, sketch), "ent long, n int, more array<int>")
     more = scratch.cut(more.dropDuplicates(["ent"]))
@@ -231,7 +231,7 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 80, orders: int =
     smallest = scratch.cut(smallest.where("comp is not null or copies > 1").withColumn("comp", F.coalesce("comp", "ent")))
     least = smallest.groupBy("comp").agg(F.min("least").alias("component_id"))
     by_ent = scratch.cut(smallest.join(least, "comp").select("ent", "component_id"))
-    out = rows.join(sized(by_ent, by_ent.count(), 2_000_000), "ent", "left")
+    out = rows.join(sized(by_ent, by_ent.count()), "ent", "left")
     member = F.expr("n > 0 and doc_id is not null")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(member, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 

@@ -42,34 +42,43 @@ def give_back() -> None:
 
 
 class Scratch:
-    """Tables of one operator call; ``drop`` removes those that later steps no longer read."""
+    """Tables of one operator call; ``drop`` removes those that later steps no longer read, the driver's end all others."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         lean_workers(spark)
         self.spark, self.base, self.made = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
 
+    def _at(self, path: str):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
     def cut(self, df: DataFrame) -> DataFrame:
         self.made += 1
         path = f"{self.base}/{self.made}"
         df.write.parquet(path)
+        if self.made == 1:
+            p, fs = self._at(self.base)
+            fs.deleteOnExit(p)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        jvm = self.spark.sparkContext._jvm
         for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(t._scratch_path)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            p, fs = self._at(t._scratch_path)
+            fs.delete(p, True)
 
 
-#: Rows up to which a table of a few narrow columns is sent to all executors; beyond, joins shuffle.
-BROADCAST_ROWS = 200_000
+#: Bytes up to which a table is sent to all executors; beyond, joins shuffle.
+BROADCAST_BYTES = 48 << 20
+_WIDTHS = {"boolean": 1, "int": 4, "float": 4}
 
 
-def sized(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint for a table whose counted rows stay under the bound."""
-    return F.broadcast(df) if rows <= bound else df
+def sized(df: DataFrame, rows: int, most: int = BROADCAST_BYTES) -> DataFrame:
+    """A broadcast hint for a table whose counted rows stay under the bound, at 16 bytes a row and 8 a number; 256 for other values."""
+    kinds = [t for _, t in df.dtypes]
+    width = 16 + sum(_WIDTHS.get(t, 8 if t in ("bigint", "double", "timestamp") else 256) for t in kinds)
+    return F.broadcast(df) if rows * width <= most else df
 
 
 def crc_mod(col: Column, n: int) -> Column:
@@ -88,4 +97,4 @@ def free_name(df: DataFrame, stem: str) -> str:
 def replace_columns(df: DataFrame, new: dict[str, Column]) -> DataFrame:
     """The frame with new columns; an input column of the same name gives way."""
     lower = {k.lower() for k in new}
-    return df.select(*[df[c] for c in df.columns if c.lower() not in lower], *[v.alias(k) for k, v in new.items()])
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in lower], *[v.alias(k) for k, v in new.items()])
