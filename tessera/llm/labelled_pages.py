@@ -2,26 +2,32 @@
 
 from __future__ import annotations
 
+from functools import cache
 from random import Random
 
-# How pages usually name their parts.
-CONTENT_NAMES = ["content", "article", "post", "entry", "main", "story", "body", "text"]
+# How pages usually name their parts, in English, German, French and Spanish.
+CONTENT_NAMES = ["content", "article", "post", "entry", "main", "story", "body", "text", "artikel", "inhalt", "beitrag", "contenu", "texte", "contenido", "articulo", "texto", "page", "section", "block"]
 BOILERPLATE_NAMES = {
-    "menu": ["nav", "menu", "navigation", "navbar", "breadcrumb", "breadcrumbs", "toolbar", "tabs"],
-    "header": ["header", "masthead", "top", "logo", "branding"],
-    "footer": ["footer", "copyright", "bottom", "legal", "colophon"],
-    "sidebar": ["sidebar", "aside", "related", "widget", "rail", "recommended", "popular", "trending", "tags", "share", "social"],
-    "notice": ["cookie", "notice", "banner", "alert", "consent", "gdpr", "popup", "modal", "newsletter", "subscribe", "promo"],
-    "advert": ["ad", "ads", "advert", "advertisement", "sponsored", "sponsor", "dfp"],
-    "form": ["form", "search", "login", "signup"],
-    "comment": ["comment", "comments", "discussion", "replies", "respond", "disqus"],
+    "menu": ["nav", "menu", "navigation", "navbar", "breadcrumb", "breadcrumbs", "toolbar", "tabs", "links", "pagination", "pager", "hauptmenue", "navegacion", "brotkrumen"],
+    "header": ["header", "masthead", "top", "logo", "branding", "kopfzeile", "kopf", "entete", "cabecera", "encabezado"],
+    "footer": ["footer", "copyright", "bottom", "legal", "colophon", "imprint", "impressum", "fusszeile", "fuss", "pied", "pie"],
+    "sidebar": ["sidebar", "aside", "related", "widget", "rail", "recommended", "popular", "trending", "tags", "share", "social", "seitenleiste", "verwandte", "teilen", "empfehlungen", "partager", "lateral", "relacionados", "compartir", "barra", "more", "teaser"],
+    "notice": ["cookie", "notice", "banner", "alert", "consent", "gdpr", "popup", "modal", "newsletter", "subscribe", "promo", "hinweis", "datenschutz", "abonnieren", "meldung", "avis", "abonnement", "aviso", "suscripcion", "privacy", "paywall", "overlay", "signup", "disclaimer"],
+    "advert": ["ad", "ads", "advert", "advertisement", "sponsored", "sponsor", "dfp", "werbung", "anzeige", "anzeigen", "publicite", "pub", "reclame", "publicidad", "anuncio", "anuncios", "patrocinado", "adsense", "adslot", "commercial"],
+    "form": ["form", "search", "login", "signup", "formular", "suche", "anmeldung", "formulaire", "recherche", "connexion", "formulario", "buscar", "contact", "register"],
+    "comment": ["comment", "comments", "discussion", "replies", "respond", "disqus", "kommentar", "kommentare", "diskussion", "leserbriefe", "commentaire", "commentaires", "comentario", "comentarios", "opiniones", "review", "reviews", "reply", "responses", "feedback", "bewertungen", "forum"],
 }
 SECTION_TAGS = {"menu": ["nav"], "header": ["header"], "footer": ["footer"], "sidebar": ["aside"], "form": ["form"]}
 
 
+@cache
+def _vocabulary() -> list[str]:
+    r = Random(3)
+    return ["".join(r.choice(["ba", "re", "to", "mi", "ku", "san", "del", "or", "ven"]) for _ in range(r.randint(1, 4))) for _ in range(400)]
+
+
 def _sentence(r: Random, low: int, high: int) -> str:
-    words = ["".join(r.choice(["ba", "re", "to", "mi", "ku", "san", "del", "or", "ven"]) for _ in range(r.randint(1, 4))) for _ in range(r.randint(low, high))]
-    return " ".join(words).capitalize() + r.choice([".", ".", ".", "!", ""])
+    return " ".join(r.choices(_vocabulary(), k=r.randint(low, high))).capitalize() + r.choice([".", ".", ".", "!", ""])
 
 
 def _links(r: Random, n: int) -> str:
@@ -30,7 +36,8 @@ def _links(r: Random, n: int) -> str:
 
 def _boilerplate(r: Random, kind: str) -> str:
     name = r.choice(BOILERPLATE_NAMES[kind])
-    attr = r.choice([f'class="{name}"', f'id="{name}"', f'class="{name} {name}-box"', f'class="site-{name}"'])
+    box = r.choice(["Box", "List", "Area", "Section", "Wrapper", "Container", "Block", "Item"])
+    attr = r.choice([f'class="{name}"', f'id="{name}"', f'class="{name} {name}-box"', f'class="site-{name}"', f'class="user{name.title()}"', f'class="{name}{box}"', f'id="page{name.title()}{box}"'])
     tag = r.choice([*SECTION_TAGS.get(kind, []), "div", "section"] if kind != "comment" else ["div", "section", "ul"])
     if tag in ("nav", "header", "footer", "aside", "form") and r.random() < 0.6:
         attr = ""
@@ -42,12 +49,18 @@ def _boilerplate(r: Random, kind: str) -> str:
         "sidebar": r.choice([f"<h3>{_sentence(r, 1, 3)}</h3><ul>{_links(r, 5)}</ul>", prose, f"<h2>{_sentence(r, 1, 3)}</h2>{prose}"]),
         "notice": r.choice([_sentence(r, 5, 30), prose]),
         "advert": r.choice([_sentence(r, 3, 25), prose, f'<a href="/y">{_sentence(r, 3, 9)}</a>']),
-        "form": f"<label>{_sentence(r, 1, 3)}</label><input name=q><p>{_sentence(r, 2, 12)}</p><button>go</button>",
+        "form": f"<label>{_sentence(r, 1, 3)}</label><input name=q><p>{_sentence(r, 2, 12)}</p><select><option>{_sentence(r, 1, 2)}<option>{_sentence(r, 1, 2)}</select><textarea>{_sentence(r, 1, 9)}</textarea><button>{_sentence(r, 1, 2)}</button>",
         "comment": "".join(r.choice([f"<div class=comment><p>{_sentence(r, 4, 40)}</p></div>", f"<article class=comment><h4>{_sentence(r, 1, 2)}</h4><p>{_sentence(r, 4, 40)}</p></article>", f"<li>{_sentence(r, 4, 30)}</li>"]) for _ in range(r.randint(1, 4))),
     }[kind]
     return f"<{tag} {attr}>{body}</{tag}>"
 
 
+def _aside(r: Random) -> str:
+    """A control or the substitute of an object, within a line or alone: no part of the article."""
+    tag = r.choice(["button", "noscript", "video", "audio", "object", "canvas", "svg", "select", "textarea"])
+    return f"<{tag}>{_sentence(r, 1, r.choice([2, 12]))}</{tag}>"
+
+
 def _content(r: Random, parts: list[str]) -> str:
     """The article's blocks in order, marked by a leading character that no other text has."""
     mark = "⁣"
@@ -61,17 +74,31 @@ def _content(r: Random, parts: list[str]) -> str:
             f"<ul><li>{mark}{_sentence(r, 2, 20)}</li><li>{mark}{_sentence(r, 2, 20)}</li></ul>",
             f"<ol><li>{mark}{_sentence(r, 2, 20)}<li>{mark}{_sentence(r, 2, 20)}</ol>",
             f"<table><tr><td>{mark}{_sentence(r, 1, 5)}</td><td>{mark}{_sentence(r, 1, 5)}</td></tr></table>",
+            f"<p>{mark}{_sentence(r, 3, 30)}{_aside(r)} {_sentence(r, 3, 30)}</p>",
             f"<div>{mark}{_sentence(r, 5, 50)}</div>", f"<section><h3>{mark}{_sentence(r, 1, 5)}</h3><p>{mark}{_sentence(r, 5, 50)}</p></section>",
         ]))
         if parts and r.random() < 0.15:
             out.append(parts.pop())
+        if r.random() < 0.05:
+            out.append(_aside(r))
     return "".join(out)
 
 
-def labelled_pages(n: int = 600, seed: int = 5) -> list[str]:
+def _bare(r: Random) -> str:
+    """A page of one or a few short texts, alone, in some element or deep below plain ones."""
+    texts = [f"\u2063{_sentence(r, 1, r.choice([3, 12, 40]))}" for _ in range(r.choice([1, 1, 2]))]
+    core = "".join(r.choice([f"<p>{t}</p>", f"<div>{t}</div>", f"<h1>{t}</h1>", t + "<hr>"]) for t in texts)
+    deep = r.choice([0, 0, 1, 3, 10, 40])
+    return "<div>" * deep + core + "</div>" * deep
+
+
+def labelled_pages(n: int = 500, seed: int = 5) -> list[str]:
     """Pages whose content texts start with U+2063; all other text is boilerplate."""
     r, pages = Random(seed), []
-    for _ in range(n):
+    for i in range(n):
+        if i % 10 == 0:
+            pages.append(_bare(r))
+            continue
         kinds = [k for k in BOILERPLATE_NAMES if r.random() < 0.55]
         inside = [_boilerplate(r, r.choice(["advert", "sidebar", "form", "notice", "menu", "footer", "comment"])) for _ in range(r.randint(0, 2))]
         core = _content(r, inside)
