@@ -11,8 +11,8 @@ a histogram over hash ranges, and only the one range of each source that holds t
 
 Everything is DataFrame operations. Words are runs of characters other than 0x20 and 0x09-0x0D. Rows: null texts have
 size 0 and take nothing; null sources are one source, the last; a source without words has target 0; equal rows
-(doc_id, source and text) are selected together, the words of the part among them taken by each. Columns named like the output
-are replaced, others stay.
+(doc_id, source and text) are numbered and taken one after another; an empty table gives an empty one. Columns named like the output
+are replaced, others stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .store import Scratch, sized
+from .store import Scratch, free_name, replace_columns, sized
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -60,15 +60,15 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     return s.select("source", "source_size", F.when(F.col("final").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("final") * F.col("w"))).alias("target"))
 
 
-def _with_sources(rows: DataFrame, per_source: DataFrame, count: int) -> DataFrame:
-    """Rows with their source's columns: sent to all executors when few, else joined with every source's rows dealt over salts."""
-    src = per_source.select(F.col("source").alias("_source"), *[c for c in per_source.columns if c != "source"])
+def _with_sources(rows: DataFrame, source: str, key: str, per_source: DataFrame, count: int, name: str) -> DataFrame:
+    """Rows with a struct ``name`` of their source's columns: sent to all executors when few, else joined with every source's rows dealt over salts."""
+    at, deal = free_name(rows, "_source"), free_name(rows, "_salt")
+    src = per_source.select(F.col("source").alias(at), F.struct(*[c for c in per_source.columns if c != "source"]).alias(name))
     if count <= 10_000:
-        return rows.join(sized(src, count), rows["source"].eqNullSafe(src["_source"]), "left").drop("_source")
-    salted = src.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("_key", F.struct("_source"))
-    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).withColumn("_key", F.struct(F.col("source").alias("_source")))
-    on = (dealt["_salt"] == salted["_salt"]) & dealt["_key"].eqNullSafe(salted["_key"])
-    return dealt.join(salted, on, "left").select(*[dealt[c] for c in rows.columns], *[salted[c] for c in src.columns if c != "_source"])
+        return rows.join(sized(src, count), F.col(source).eqNullSafe(F.col(at)), "left").drop(at)
+    src = src.withColumn(deal + "s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = rows.withColumn(deal, F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
+    return dealt.join(src, (F.col(deal) == F.col(deal + "s")) & F.col(source).eqNullSafe(F.col(at)), "left").drop(at, deal, deal + "s")
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS, seed: int = 31) -> DataFrame:
@@ -85,22 +85,46 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     sources = goal.count()
 
     before = F.coalesce(F.sum("words").over(W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ends = _with_sources(ranges.withColumn("doc_id", F.col("range")).withColumn("before", before), goal.select("source", "rest"), sources)
-    ends = scratch.cut(ends.where("before <= rest and rest < before + words").select("source", "range", (F.col("rest") - F.col("before")).alias("left")))
-    end = ends.select("source", "range", "left")
-    inside = _with_sources(small.withColumn("doc_id", F.col("h")), end, sources).where(F.shiftright("h", 63 - RANGE_BITS) == F.col("range"))
-    inside = inside.groupBy("source", "h", "left").agg(F.sum("size").alias("words"), F.max("size").alias("one"))
+    ends = _with_sources(ranges.withColumn("before", before), "source", "range", goal.select("source", "rest"), sources, "s")
+    end = scratch.cut(ends.where("before <= s.rest and s.rest < before + words").select("source", "range", (F.col("s.rest") - F.col("before")).alias("left")))
+    inside = _with_sources(small, "source", "h", end, sources, "s").where(F.shiftright("h", 63 - RANGE_BITS) == F.col("s.range"))
+    inside = inside.groupBy("source", "h", F.col("s.left").alias("left")).agg(F.sum("size").alias("words"), F.max("size").alias("one"), F.count(F.lit(1)).alias("copies"))
     running = F.coalesce(F.sum("words").over(W.partitionBy("source").orderBy("h").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     last = inside.withColumn("before", running).where("before <= left and left < before + words")
-    last = last.select("source", F.col("h").alias("end_h"), F.least(F.col("left") - F.col("before"), F.col("one")).alias("part"))
+    last = last.select("source", F.col("h").alias("end_h"), (F.col("left") - F.col("before")).alias("part"), "one", "copies")
     plan = scratch.cut(_null_safe_left(goal, last))
 
-    rows = docs.drop("size", "source_size", "target", "whole", "taken").withColumn("_h", _hash(seed)).withColumn("size", word_count(F.col("text")))
-    rows = _with_sources(rows, plan.select("source", "source_size", "target", "whole", "rest", "end_h", "part"), sources)
-    once_more = F.when(F.col("rest") <= 0, F.lit(0)).when(F.col("end_h").isNull() | (F.col("_h") < F.col("end_h")), F.col("size"))
-    once_more = once_more.when(F.col("_h") == F.col("end_h"), F.least("part", "size")).otherwise(F.lit(0))
-    rows = rows.withColumn("taken", (F.col("whole") * F.col("size") + once_more).cast("long"))
-    return rows.drop("_h", "rest", "end_h", "part")
+    h, size, own, at = (free_name(docs, x) for x in ("_hash", "_words", "_plan", "_at"))
+    rows = _with_sources(docs.withColumn(h, _hash(seed)).withColumn(size, word_count(F.col("text"))), "source", "doc_id", plan, sources, own)
+    of = lambda name: F.col(f"{own}.{name}")
+    ends_here = F.coalesce(F.col(h) == of("end_h"), F.lit(False)) & (of("rest") > 0)
+    if plan.where("copies > 1 and rest > 0").isEmpty():
+        numbered = rows.withColumn(at, F.lit(0).cast("long"))
+    else:
+        alike = _numbered(rows.where(ends_here & (of("copies") > 1)), h, at, scratch)
+        numbered = rows.where(~ends_here | (of("copies") <= 1)).withColumn(at, F.lit(0).cast("long")).unionByName(alike)
+    # equal rows take whole ones in turn, until the words that are left do not fill one
+    part = F.least(F.greatest(of("part") - F.col(at) * of("one"), F.lit(0)), F.col(size))
+    once_more = F.when(of("rest") <= 0, F.lit(0)).when(of("end_h").isNull() | (F.col(h) < of("end_h")), F.col(size)).when(ends_here, part).otherwise(F.lit(0))
+    taken = (of("whole") * F.col(size) + once_more).cast("long")
+    return replace_columns(numbered, {"size": F.col(size), "source_size": of("source_size"), "target": of("target"), "whole": of("whole"), "taken": taken}).drop(h, size, own, at)
+
+
+def _numbered(rows: DataFrame, h: str, at: str, scratch: Scratch) -> DataFrame:
+    """Rows with their number among those of the same hash.
+
+    Their numbers within partitions are written first, so that a lost executor changes none, and only the partitions' counts
+    are summed in order: a group of any size is never one task's.
+    """
+    place, part, key = (free_name(rows, x) for x in ("_place", "_part", "_key"))
+    placed = rows.withColumn(place, F.monotonically_increasing_id()).withColumn(part, F.shiftright(place, 33).cast("int"))
+    placed = scratch.cut(placed)
+    counts = placed.groupBy(F.col(h).alias(key), part).agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy(key).orderBy(part).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.withColumn(at, before).withColumnRenamed(part, part + "s").drop("n")
+    joined = placed.join(counts, (F.col(h) == F.col(key)) & (F.col(part) == F.col(part + "s")))
+    order = W.partitionBy(h, part).orderBy(place)
+    return joined.withColumn(at, F.col(at) + F.row_number().over(order) - 1).select(*rows.columns, at)
 
 
 def _null_safe_left(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -113,5 +137,7 @@ def repeat(mixed: DataFrame) -> DataFrame:
     """One row for each repetition, with its number and words: whole ones, then the part of one that is left."""
     part = F.col("taken") - F.col("whole") * F.col("size")
     n = F.when(F.col("size") > 0, F.col("whole") + F.when(part > 0, 1).otherwise(0)).otherwise(0)
-    rows = mixed.where(n > 0).withColumn("repetition", F.explode(F.sequence(F.lit(1), n.cast("int"))))
-    return rows.withColumn("words", F.when(F.col("repetition") <= F.col("whole"), F.col("size")).otherwise(part))
+    number = free_name(mixed, "_number")
+    rows = mixed.where(n > 0).withColumn(number, F.explode(F.sequence(F.lit(1), n.cast("int"))))
+    words = F.when(F.col(number) <= F.col("whole"), F.col("size")).otherwise(part)
+    return replace_columns(rows, {"repetition": F.col(number), "words": words}).drop(number)
