@@ -9,10 +9,11 @@ equal words, or the whole passage where it is shorter, at an identity of at leas
 or more and 13 words or more such a stretch has four equal words in a row (k different words leave k + 1 runs for at
 least max(13, 4 k) equal ones), so the mask of four words finds every one; the others add to it below that.
 
-The test side is joined in blocks of at most ``block_words`` benchmark words. A block is the only thing sent to the
-executors, so a benchmark of any size takes more passes, not more memory, and documents are never shuffled.
+The test side is joined in blocks of at most ``block_words`` benchmark words. One block at a time is on the
+executors and two on the driver, so a benchmark of any size takes more passes, not more memory; documents are shuffled only to leave contaminated
+ones out where those are too many to be sent.
 
-Rows: null or empty texts are clean; a passage without words matches nothing; passages with the same words count as
+Rows: null or empty texts are clean; texts of any length are read whole, in memory by their own length; an empty table gives none; a passage without words matches nothing; passages with the same words count as
 their smallest item_id (rows without an item_id take no part); repeated documents are each judged; other columns
 are kept by ``remove_contaminated`` and ignored by ``contamination``. A passage shorter than a mask is looked up by
 all of its words together.
@@ -29,12 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import buffers, chunks, letter_table, mix, multipliers, words
+from .store import Scratch, free_name, sized
 
 #: Fixed masks: 1 takes a token position, 0 ignores it.
 MASKS = ("1111", "111111", "110100111", "10110010101", "1100101000011")
 MIN_WORDS = 13
 IDENTITY = 0.8
 BLOCK_WORDS = 1_000_000
+#: Hits that are held at a time.
+HITS = 1 << 20
 
 _RESULT = "doc_id long, item_id long, doc_word long, item_word long, matched long, span long, identity double"
 
@@ -100,41 +104,59 @@ def _best(same: np.ndarray, least: int, identity: float) -> tuple[int, int, int]
     return int(matched[start]), int(hit[0]), int(hit[-1]) + 1
 
 
-def _enough(block: Block, h: np.ndarray, at: np.ndarray, hits: np.ndarray, min_words: int) -> np.ndarray:
-    """Of the diagonals (row, item, shift) those with equal words enough in all; compared in pieces of bounded size."""
+def _enough(block: Block, h: np.ndarray, at: np.ndarray, hits: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the diagonals (row, item, shift) those with equal words enough in all, and how many; compared in pieces of bounded size."""
     row, item, shift = hits.T
     have, size = np.diff(at)[row], np.diff(block.at)[item]
     a = np.maximum(0, -shift)
     n = np.minimum(size, have - shift) - a
-    keep, done = np.zeros(len(hits), bool), np.cumsum(n)
+    equal, done = np.zeros(len(hits), np.int64), np.cumsum(n)
     i = 0
     while i < len(hits):
         j = max(i + 1, int(np.searchsorted(done, done[i] - n[i] + (1 << 20), side="right")))
         first = np.cumsum(n[i:j]) - n[i:j]
         step = np.arange(n[i:j].sum()) - np.repeat(first, n[i:j])
         same = h[np.repeat((at[row] + a + shift)[i:j], n[i:j]) + step] == block.tokens[np.repeat((block.at[item] + a)[i:j], n[i:j]) + step]
-        keep[i:j] = np.add.reduceat(same, first, dtype=np.int64) >= np.minimum(min_words, size[i:j])
+        equal[i:j] = np.add.reduceat(same, first, dtype=np.int64)
         i = j
-    return hits[keep]
+    keep = equal >= np.minimum(min_words, size)
+    return hits[keep], equal[keep]
 
 
-def overlaps(block: Block, h: np.ndarray, at: np.ndarray, min_words: int, identity: float) -> list[tuple]:
-    """(row, item, doc word, item word, matched, span) of the stretch with most equal words for every row and passage that overlap."""
-    found: list[np.ndarray] = []
+def _diagonals(block: Block, h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The distinct (row, item, shift) on which a seed is shared; hits are gathered in pieces, so that words that
+    repeat on both sides cost their diagonals and not their hits."""
+    items, most = len(block.items), int(np.diff(block.at).max(initial=0))
+    width = len(h) + most + 1
+    found = np.zeros(0, np.int64)  # (row, item, shift + most) as one number: rows and shifts are bounded by the words of a chunk
     for i, (o, value, pos, bits) in enumerate(block.seeds):
         s, where = seed_hashes(h, at, o, i)
         maybe = np.flatnonzero(bits[(s >> np.uint64(44)).astype(np.int64)]) if len(value) else np.zeros(0, np.int64)
         left, right = (np.searchsorted(value, s[maybe], side=x) for x in ("left", "right"))
-        n = right - left
-        if not n.sum():
-            continue
-        hit = np.repeat(where[maybe], n)
-        test = pos[np.repeat(left, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-        row, item = np.searchsorted(at, hit, side="right") - 1, np.searchsorted(block.at, test, side="right") - 1
-        found.append(np.stack([row, item, (hit - at[row]) - (test - block.at[item])], axis=1))
+        some = right > left
+        maybe, left, n = maybe[some], left[some], (right - left)[some]
+        done, a = np.cumsum(n), 0
+        while a < len(maybe):
+            b = max(a + 1, int(np.searchsorted(done, done[a] - n[a] + HITS, side="right")))
+            m = n[a:b]
+            hit = np.repeat(where[maybe[a:b]], m)
+            test = pos[np.repeat(left[a:b], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)]
+            row, item = np.searchsorted(at, hit, side="right") - 1, np.searchsorted(block.at, test, side="right") - 1
+            shift = (hit - at[row]) - (test - block.at[item])
+            found = np.unique(np.concatenate([found, (row * items + item) * width + shift + most]))
+            a = b
+    return np.stack([found // width // items, found // width % items, found % width - most], axis=1)
+
+
+def overlaps(block: Block, h: np.ndarray, at: np.ndarray, min_words: int, identity: float) -> list[tuple]:
+    """(row, item, doc word, item word, matched, span) of the stretch with most equal words for every row and passage that overlap."""
     best: dict[tuple[int, int], tuple] = {}
-    hits = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
-    for row, item, shift in _enough(block, h, at, hits, min_words):
+    hits, equal = _enough(block, h, at, _diagonals(block, h, at), min_words)
+    # those with most equal words first: no stretch has more than its diagonal
+    order = np.argsort(-equal, kind="stable")
+    for (row, item, shift), most in zip(hits[order].tolist(), equal[order].tolist(), strict=True):
+        if most <= best.get((row, item), (0,))[0]:
+            continue
         doc, test = h[at[row] : at[row + 1]], block.tokens[block.at[item] : block.at[item + 1]]
         a, b = max(0, -shift), min(len(test), len(doc) - shift)
         found_here = _best(doc[a + shift : b + shift] == test[a:b], min(min_words, len(test)), identity)
@@ -169,14 +191,28 @@ def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[Block]:
         yield build_block(ids, texts)
 
 
+def _by_block(docs: DataFrame, benchmark: DataFrame, block_words: int, run_with, schema: str) -> DataFrame | None:
+    """The results of all blocks, or None without any. One block is a lazy plan; of several, each is written and forgotten, so that two at most are on the driver."""
+    spark, scratch = docs.sparkSession, None
+    blocks, out = _blocks(benchmark, block_words), None
+    block, after = next(blocks, None), None
+    while block is not None:
+        sent, after = spark.sparkContext.broadcast(block), next(blocks, None)
+        part = docs.mapInArrow(run_with(sent), schema)
+        if after is not None or out is not None:
+            scratch = scratch or Scratch(spark, "decontaminate")
+            part = scratch.cut(part)
+            sent.destroy()
+        out, block = part if out is None else out.unionAll(part), after
+    return out
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, identity: float = IDENTITY, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row for each document and passage that overlap, with the best stretch: word positions, equal words, span."""
-    spark, out = docs.sparkSession, None
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    for block in _blocks(benchmark, block_words):
-        sent = spark.sparkContext.broadcast(block)
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+    def run_with(sent):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 rows = list(_rows(batch.column(1), sent.value, min_words, identity))
                 ids = batch.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
@@ -184,24 +220,47 @@ def contamination(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WO
                 share = pa.array([r[4] / r[5] for r in rows], pa.float64())
                 yield pa.record_batch([ids, *cols, share], names=["doc_id", "item_id", "doc_word", "item_word", "matched", "span", "identity"])
 
-        part = keyed.mapInArrow(run, _RESULT)
-        out = part if out is None else out.unionAll(part)
-    return spark.createDataFrame([], _RESULT) if out is None else out
+        return run
+
+    out = _by_block(keyed, benchmark, block_words, run_with, _RESULT)
+    return docs.sparkSession.createDataFrame([], _RESULT) if out is None else out
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, identity: float = IDENTITY, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The documents that no passage contaminates, with all their columns; one pass for each block, no shuffle."""
-    spark = docs.sparkSession
-    at = docs.columns.index("text")
-    for block in _blocks(benchmark, block_words):
-        sent = spark.sparkContext.broadcast(block)
+    """The documents that no passage contaminates, with all their columns.
+
+    A benchmark of one block takes one pass without a shuffle. Of several blocks, each finds the contaminated texts' hashes (two of 64
+    bits), and the documents are read once more to leave those out.
+    """
+    if "text" not in docs.columns:
+        raise ValueError("documents need a column text")
+    blocks = _blocks(benchmark, block_words)
+    block = next(blocks, None)
+    if block is None:
+        return docs
+    if next(blocks, None) is None:
+        sent, at = docs.sparkSession.sparkContext.broadcast(block), docs.columns.index("text")
+
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                stays = np.ones(len(batch), bool)
+                stays[[r for r, *_ in _rows(batch.column(at), sent.value, min_words, identity)]] = False
+                yield batch.filter(pa.array(stays))
+
+        return docs.mapInArrow(keep, docs.schema)
+    keys = [F.xxhash64(F.lit(seed), F.col("text").cast("string")) for seed in (1, 2)]
+    names = [free_name(docs, x) for x in ("_key", "_check")]
+    keyed = docs.select(F.col("text").cast("string").alias("text"), *[k.alias(n) for k, n in zip(keys, names, strict=True)])
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+    def run_with(sent):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                keep = np.ones(len(batch), bool)
-                for r, *_ in _rows(batch.column(at), sent.value, min_words, identity):
-                    keep[r] = False
-                yield batch.filter(pa.array(keep))
+                rows = pa.array(sorted({r for r, *_ in _rows(batch.column(0), sent.value, min_words, identity)}), pa.int64())
+                yield batch.select(names).take(rows)
+
+        return run
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    bad = _by_block(keyed, benchmark, block_words, run_with, ", ".join(f"`{n}` long" for n in names))
+    bad = Scratch(docs.sparkSession, "decontaminate").cut(bad.distinct())
+    marked = docs.withColumns(dict(zip(names, keys, strict=True)))
+    return marked.join(sized(bad, bad.count()), names, "left_anti").select(docs.columns)
