@@ -7,19 +7,21 @@ as flat arrays (neighbour numbers of a fixed width for each layer, ids, vectors)
 For largest inner products, vectors are lengthened by one component to equal norms while the graph is built; found
 candidates are scored by the inner product of the original vectors in double precision.
 
-Queries are sent in blocks of at most ``block_rows`` to all shards; every shard returns its best k for each, and the
-shard results are merged by score, then smaller id. Only the smallest k + 1 ids of equal vectors can be among the best k and not
+Queries are sent in blocks of bounded rows and bytes to all shards, each block's results written before the next is gathered; every
+shard returns its best k for each, and the shard results are merged by score, then smaller id. Only the smallest k + 1 ids of equal vectors can be among the best k and not
 be the query itself, so no result is lost by keeping those.
 
 Rows: vectors that are null, empty, zero or hold null or non-finite components, and rows without an id, take no part;
 vectors of different lengths do not meet; rows of a repeated id are candidates each, and queries once for each
-distinct vector row; an id's rows are never among its own results.
+distinct vector row; an id's rows are never among its own results; ties go to the smaller id; an empty table, or one without
+queries, gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +31,12 @@ from pyspark.sql import functions as F
 
 from .store import Scratch
 
-#: Rows of a shard at most (about), and the number of shards at least.
-SHARD_ROWS, MIN_SHARDS = 50_000, 8
+#: Rows and bytes of vectors of a shard at most (about), and the number of shards at least.
+SHARD_ROWS, SHARD_BYTES, MIN_SHARDS = 10_000, 64 << 20, 8
 #: Neighbours on the bottom layer and above, the beam while building, the beam while searching.
-WIDTH, UPPER_WIDTH, BUILD_BEAM, SEARCH_BEAM = 24, 12, 48, 96
-BLOCK_ROWS = 50_000
+WIDTH, UPPER_WIDTH, BUILD_BEAM, SEARCH_BEAM = 24, 12, 48, 256
+#: Queries and bytes of their vectors that are sent at a time.
+BLOCK_ROWS, BLOCK_BYTES = 50_000, 64 << 20
 _STEP = 256
 
 
@@ -202,11 +205,17 @@ def _build_rows(keep: int):
     return run
 
 
+def _extent(good: DataFrame) -> tuple[int, int]:
+    """Rows, and bytes of their components in double precision."""
+    return tuple(good.agg(F.count(F.lit(1)), F.coalesce(F.sum(8 * F.size("embedding").cast("long")), F.lit(0))).first())
+
+
 def build_index(vectors: DataFrame, k: int, shard_rows: int = SHARD_ROWS, scratch: Scratch | None = None) -> DataFrame:
     """The index table: one row for each shard and vector length."""
     scratch = scratch or Scratch(vectors.sparkSession, "ann")
     good = _valid(vectors)
-    shards = max(MIN_SHARDS, math.ceil(good.count() / shard_rows))
+    rows, size = _extent(good)
+    shards = max(MIN_SHARDS, math.ceil(rows / shard_rows), math.ceil(size / SHARD_BYTES))
     dealt = good.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).withColumn("dim", F.size("embedding"))
     return scratch.cut(dealt.groupBy("shard", "dim").applyInArrow(_build_rows(k + 1), _INDEX))
 
@@ -217,7 +226,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, shard_rows: int
     scratch = Scratch(spark, "ann")
     index = build_index(vectors, k, shard_rows, scratch)
     asked = scratch.cut(_valid(queries).distinct())
-    blocks, found = max(1, math.ceil(asked.count() / block_rows)), None
+    rows, size = _extent(asked)
+    blocks, found = max(1, math.ceil(rows / block_rows), math.ceil(size / BLOCK_BYTES)), []
     for b in range(blocks):
         block = asked.where(F.pmod(F.xxhash64(F.lit(1), F.col("vec_id")), F.lit(blocks)) == b).orderBy("vec_id").toArrow()
         dims = np.diff(np.asarray(block.column("embedding").combine_chunks().offsets)) if block.num_rows else np.zeros(0, int)
@@ -232,9 +242,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, shard_rows: int
                 for row in range(len(batch)):
                     yield from _ask({n: batch.column(i)[row] for i, n in enumerate(batch.schema.names)}, sent.value, k, beam)
 
-        part = index.mapInArrow(run, "query_id long, vec_id long, score double")
-        found = part if found is None else found.unionAll(part)
-    found = scratch.cut(found)
+        found.append(scratch.cut(index.mapInArrow(run, "query_id long, vec_id long, score double")))
+        sent.destroy()
+    found = reduce(DataFrame.unionAll, found)
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
