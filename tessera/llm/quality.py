@@ -1,12 +1,13 @@
 """Supervised subword embeddings: a quality classifier over hashed word and character n-grams.
 
-A document is the mean of the learned vectors of its words, word pairs (a word said twice in a row is one n-gram of
-its own) and character 2-, 3- and 4-grams, hashed into a fixed table; a softmax layer turns the mean into class probabilities. Both are trained on the driver by numpy
-stochastic gradient descent over a bounded sample of labelled rows (``sample`` of each class at most, about,
-chosen by a seeded hash). For scoring, the output layer is folded into the table, so that each n-gram costs one
+A document is the mean of the learned vectors of its words, word pairs and character 2-, 3- and 4-grams, hashed into a fixed table;
+a softmax layer turns the mean into class probabilities. Both are trained on the driver by numpy
+stochastic gradient descent over a bounded sample of labelled rows (``sample`` of each class at most, about, chosen by a
+seeded hash, and of these, in the order of another hash, as many whole texts as make ``SAMPLE_CHARS`` characters). For scoring, the output layer is folded into the table, so that each n-gram costs one
 look-up of its log-odds and whole texts of any length are read.
 
-Rows: null and empty texts have no n-grams and get the output layer's prior; repeated labels each train; labels that
+Rows: null and empty texts have no n-grams and get the output layer's prior; long texts are read whole; repeated rows are scored
+alike and an empty table gives an empty one; repeated labels each train; labels that
 are null or neither 0 nor 1 are left out. Without labels every score is 0.5; with one class, that class is certain.
 Other columns of the input stay; columns named ``score`` or ``predicted`` are replaced.
 """
@@ -19,14 +20,17 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .codepoints import PAD, batches, sample_by_group
-from .store import crc_mod, free_name, give_back, lean_workers, replace_columns
+from .store import Scratch, crc_mod, free_name, give_back, lean_workers, replace_columns
 
 BITS = 18
 ORDERS = (2, 3, 4)
 SAMPLE = 2000
+#: Characters of the training texts that reach the driver at most.
+SAMPLE_CHARS = 64 << 20
 _MULT = np.array([2654435761, 2246822519, 3266489917, 668265263], np.uint32)
 
 
@@ -63,9 +67,11 @@ def features(c: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np
     w, at = _words(c, starts)
     yield _bucket(w, 11), at
     if len(w) > 1:
-        # a word that is said twice in a row is one n-gram, whatever the word
-        pair = np.where(w[:-1] == w[1:], np.uint32(1), w[:-1] * np.uint32(0x27D4EB2F) + w[1:])
-        yield _bucket(pair, 12), np.minimum(at, len(pair))
+        n = np.diff(at)
+        inside = np.ones(len(w), bool)
+        inside[at[1:][n > 0] - 1] = False  # the last word of a text pairs with none
+        first = np.flatnonzero(inside)
+        yield _bucket(w[first] * np.uint32(0x27D4EB2F) + w[first + 1], 12), np.concatenate([[0], np.cumsum(np.maximum(n - 1, 0))])
 
 
 @dataclass
@@ -135,7 +141,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", fold: tuple[
         y = y.where(crc_mod(F.col("doc_id"), fold[0]) != fold[1])
     y = F.broadcast(sample_by_group(y, "y", "doc_id", sample, seed))
     got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").join(y, "doc_id")
-    got = got.orderBy("doc_id", "y").toArrow()
+    got = Scratch(docs.sparkSession, "quality").cut(got)
+    sizes = got.select("doc_id", "y", F.length("text").alias("n"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"))
+    fits = sizes.withColumn("total", F.sum("n").over(W.orderBy("h", "doc_id"))).where(F.col("total") <= SAMPLE_CHARS).select("h").distinct()
+    got = got.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "text")).join(F.broadcast(fits), "h").orderBy("doc_id", "y", "h").select("text", "y").toArrow()
     model = train(got.column("text").to_pylist(), got.column("y").to_pylist())
     del got
     give_back()
