@@ -40,10 +40,11 @@ def share_of(key: Column, share: Column | float, seed: int) -> Column:
     return u < share
 
 
-def sample_by_group(df: DataFrame, group: str, key: str, most: int, seed: int) -> DataFrame:
-    """About ``most`` rows of each group, chosen by a seeded hash of the key; one row a group reaches the driver."""
-    counts = df.groupBy(group).agg(F.count(F.lit(1)).alias("n")).collect()
+def sample_by_group(df: DataFrame, group: str, key: str, most: int, seed: int, groups: int = 256) -> DataFrame:
+    """About ``most`` rows of each of the ``groups`` largest groups, chosen by a seeded hash of the key; one row a group reaches the driver."""
+    counts = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.orderBy(F.desc("n"), group).limit(groups).collect()
     wanted = F.lit(False)
-    for row in sorted((r for r in counts if r[0] is not None), key=lambda r: str(r[0])):
+    for row in sorted(counts, key=lambda r: str(r[0])):
         wanted = F.when(F.col(group) == F.lit(row[0]), share_of(F.col(key), most / row["n"], seed)).otherwise(wanted)
     return df.where(wanted)

@@ -5,12 +5,13 @@ written in it (those with at least ``SCRIPT_SHARE`` of their letters in the scri
 log-probabilities of the character trigrams centred on its letters. The best sequence of languages, where every change from one word to the
 next costs ``SWITCH``, labels spans; a document's language is the one with most letters, its score their share.
 
-Trigram counts are gathered on the executors from a bounded sample of labelled documents (``sample`` of each language,
-about, chosen by a seeded hash), whole texts each.
+Trigram counts are gathered on the executors from a bounded sample of labelled documents (``sample`` of each of the ``MAX_LANGS`` most frequent
+languages, about, chosen by a seeded hash), whole texts each. The bound keeps the model's size from growing with a dirty label column.
 
 Rows: a null text or one without a letter is ``und`` with score 0; a word whose script no language is written in
 weighs nothing, and a text of only such words gets the most frequent language with score 0. Ties go to the language
-first in code-point order. Without training rows everything is ``und``. Columns named ``lang_pred`` or ``score`` are
+first in code-point order. Long texts are read whole; repeated rows are judged alike; an empty table gives an empty one. Without
+training rows everything is ``und``. Columns named ``lang_pred`` or ``score`` are
 replaced, others stay.
 """
 
@@ -32,6 +33,8 @@ from .store import crc_mod, free_name, lean_workers, replace_columns
 
 BITS = 16
 SAMPLE = 1500
+#: Languages of a model at most; a language number fits in a byte.
+MAX_LANGS = 256
 SWITCH = 8.0
 SCRIPT_SHARE = 0.01
 GROUP = 2_000_000
@@ -68,8 +71,8 @@ SCRIPTS = list(dict.fromkeys(name for name, _, _ in SCRIPT_RANGES))
 @cache
 def _letters() -> tuple[np.ndarray, np.ndarray]:
     """For each code point: whether it is a letter, and its script (the last number: none of the ranges)."""
-    letter = np.array([chr(i).isalpha() for i in range(0x30000)] + [False])
-    script = np.full(0x30001, len(SCRIPTS), np.uint8)
+    letter = np.array([chr(i).isalpha() for i in range(0x110000)])
+    script = np.full(0x110000, len(SCRIPTS), np.uint8)
     for name, a, b in SCRIPT_RANGES:
         script[a : b + 1] = SCRIPTS.index(name)
     return letter, script
@@ -78,7 +81,6 @@ def _letters() -> tuple[np.ndarray, np.ndarray]:
 def _parse(c: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
     """Positions of letters, their trigram buckets and scripts; first letter of each word; bounds of texts' words."""
     letter, script = _letters()
-    c = np.minimum(c, 0x30000)
     is_letter = letter[c]
     x = np.where(is_letter, c, 0).astype(np.uint32)
     at = np.flatnonzero(is_letter)
@@ -230,7 +232,7 @@ def fit(docs: DataFrame, fold: tuple[int, int] | None = (4, 2), sample: int = SA
     d = d.where("lang is not null and text is not null and doc_id is not null")
     if fold:
         d = d.where(crc_mod(F.col("doc_id"), fold[0]) != fold[1])
-    counts = sample_by_group(d, "lang", "doc_id", sample, seed).select("lang", "text").mapInArrow(_count, "lang string, kind int, key int, n long")
+    counts = sample_by_group(d, "lang", "doc_id", sample, seed, MAX_LANGS).select("lang", "text").mapInArrow(_count, "lang string, kind int, key int, n long")
     got = counts.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")).toArrow()
     name = got.column("lang").to_pylist()
     langs = sorted(set(name))
