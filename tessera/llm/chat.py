@@ -15,7 +15,8 @@ unknown_tool, invalid_arguments, unanswered_call counts.
 
 Rows: null texts are empty content; null roles become ``user``; a null conv_id is a conversation of its own kind and
 links nothing; repeated rows are kept, each with its row; of several calls with one identifier the one of the
-smallest turn is linked. Only rows that look like tool messages (text starts with ``{``, or role ``tool``) take part in joins.
+smallest turn is linked (ties: the smaller message_id); an empty table gives no rows; other columns are ignored. Only rows that
+look like tool messages (text starts with ``{``, or role ``tool``) take part in joins.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import Scratch
+from .store import Scratch, sized
 
 _LOADED = "struct<calls array<struct<id string, name string, refs array<string>, valid boolean, known boolean>>, result string, malformed boolean, json string>"
 _TYPES = {"string": str, "object": dict, "array": list, "boolean": bool}
@@ -82,18 +83,40 @@ def _reject(name: str) -> Any:
     raise ValueError(name)
 
 
+def _finite(text: str) -> float:
+    x = float(text)
+    return x if abs(x) < float("inf") else _reject(text)
+
+
+def _read(text: str) -> Any:
+    """A JSON value that can be written again and walked through: finite numbers, valid Unicode, not too many levels."""
+    value = json.loads(text, parse_constant=_reject, parse_float=_finite)
+    canonical(value).encode()
+    _refs(value)
+    return value
+
+
 def load(role: str | None, text: str | None, schemas: dict[str, Any]) -> dict[str, Any]:
-    """A message's calls, the call that it answers, and its canonical JSON."""
+    """A message's calls, the call that it answers, and its canonical JSON.
+
+    A tool message, or one that names ``tool_calls``, is malformed and kept as plain content where its JSON cannot be read,
+    written again or walked through (no JSON, numbers beyond double precision, lone surrogates, too many levels).
+    """
     role, text = role or "user", text or ""
     plain = {"calls": [], "result": None, "malformed": False, "json": canonical({"role": role, "content": text})}
     if role != "tool" and not text.lstrip().startswith("{"):
         return plain
+    broken = plain | {"malformed": role == "tool" or '"tool_calls"' in text}
     try:
-        body = json.loads(text, parse_constant=_reject)
+        body = _read(text)
+        if not isinstance(body, dict) or not ("tool_call_id" in body if role == "tool" else isinstance(body.get("tool_calls"), list)):
+            return plain | {"malformed": role == "tool"}
+        return _tool_message(role, body, schemas)
     except (ValueError, RecursionError):
-        return plain | {"malformed": role == "tool"}
-    if not isinstance(body, dict) or not ("tool_call_id" in body if role == "tool" else isinstance(body.get("tool_calls"), list)):
-        return plain | {"malformed": role == "tool"}
+        return broken
+
+
+def _tool_message(role: str, body: dict[str, Any], schemas: dict[str, Any]) -> dict[str, Any]:
     if role == "tool":
         key = body["tool_call_id"]
         known = isinstance(key, str)
@@ -108,7 +131,7 @@ def load(role: str | None, text: str | None, schemas: dict[str, Any]) -> dict[st
         args = inner.get("arguments", {})
         if isinstance(args, str):
             try:
-                args = json.loads(args, parse_constant=_reject)
+                args = _read(args)
             except (ValueError, RecursionError):
                 bad = True
         schema = schemas.get(inner["name"])
@@ -150,7 +173,7 @@ def format_chats(messages: DataFrame, schemas: dict[str, Any] | None = None) ->
     orphan = answers.groupBy("conv_id", "message_id").agg(F.max(F.col("to").isNull()).alias("orphan"))
     extra = placed.join(orphan, ["conv_id", "message_id"], "left").join(open_calls, ["conv_id", "message_id"], "left")
     extra = scratch.cut(extra)
-    out = m.join(F.broadcast(extra), ["conv_id", "message_id"], "left") if extra.limit(100_001).count() <= 100_000 else m.join(extra, ["conv_id", "message_id"], "left")
+    out = m.join(sized(extra, extra.count()), ["conv_id", "message_id"], "left")
     status = F.when(F.col("cyclic"), "cycle").when(F.col("malformed"), "malformed").when(F.col("orphan"), "orphan_result")
     status = status.when(F.exists("calls", lambda c: ~c["known"]), "unknown_tool").when(F.exists("calls", lambda c: ~c["valid"]), "invalid_arguments")
     status = status.when(F.col("open"), "unanswered_call").otherwise("ok")

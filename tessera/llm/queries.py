@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import importlib.util
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,8 +19,15 @@ RULES = [
     url_filter.Rule("net", "/es/", "block"),
     url_filter.Rule("net", "/fr/", "block"),
 ]
-#: Arguments' schemas of the tools that conversations may call.
-SCHEMAS: dict = {}
+#: The arguments' schema of the call that ``tool_messages`` derives from a question.
+SCHEMAS = {
+    "lookup": {
+        "type": "object",
+        "properties": {"question": {"type": "string", "minLength": 1}, "turn": {"type": "integer", "minimum": 0}},
+        "required": ["question", "turn"],
+        "additionalProperties": False,
+    }
+}
 TOKENIZER = "byte_bpe_50k"
 TOKENIZER_PATH = os.environ.get("TESSERA_TOKENIZERS", "/opt/tokenizers")
 #: Fixed value: the pattern that splits text before the merges of the rank file.
@@ -37,8 +44,26 @@ def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def tool_messages(messages: DataFrame) -> DataFrame:
+    """Calls and results derived from plain conversations, whose tables hold none.
+
+    A user's message at turn t calls the tool ``lookup`` under the identifier ``q<t>`` with its text and turn; an assistant's message at
+    turn t is the result of the call ``q<t - 1>``. So an answer that follows no question is an orphan, a question without an
+    answer stays open, and an empty question has invalid arguments.
+    """
+    name = F.concat(F.lit("q"), (F.col("turn") - F.when(F.col("role") == "assistant", 1).otherwise(0)).cast("string"))
+    arguments = F.struct(F.coalesce("text", F.lit("")).alias("question"), F.col("turn").alias("turn"))
+    call = F.to_json(F.struct(F.array(F.struct(name.alias("id"), F.lit("lookup").alias("name"), arguments.alias("arguments"))).alias("tool_calls")))
+    result = F.to_json(F.struct(name.alias("tool_call_id"), F.coalesce("text", F.lit("")).alias("content")))
+    rows = messages.where("turn is not null and role in ('user', 'assistant')")
+    user = F.col("role") == "user"
+    return rows.select("conv_id", "turn", F.when(user, "assistant").otherwise("tool").alias("role"), F.when(user, call).otherwise(result).alias("text"))
+
+
 def chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.format_chats(table(spark, sf_dir, "conversations"), SCHEMAS)
+    """All messages, and the calls and results that are derived from them, linked, ordered, validated and serialised."""
+    messages = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.format_chats(messages.unionByName(tool_messages(messages)), SCHEMAS)
 
 
 def decontaminate_(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,10 +82,12 @@ def quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page is labelled block where the document of its number is toxic or of low quality."""
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.expr("coalesce(toxic = 1, false) or coalesce(quality = 0, false)").alias("blocked"))
-    return url_filter.judge(pages, labels, RULES).select("page_id", "host", "path", "rule", "verdict")
+    """Rules are mined from the labels of the documents that pages share paragraphs with: toxic or of low quality is bad."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.expr("coalesce(toxic = 1, false) or coalesce(quality = 0, false)").alias("blocked"))
+    judged = url_filter.judge(pages.select("page_id", "url"), url_filter.labels_by_content(pages, docs, labels), RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "confidence")
 
 
 def language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +107,7 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
     count = token_rollup.counter(f"{TOKENIZER_PATH}/{TOKENIZER}.tiktoken", TOKENIZER_PATTERN)
-    rollup = token_rollup.Rollup(spark, f"{shared_dir(spark)}/token-rollup-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}")
+    rollup = token_rollup.Rollup(spark, f"{shared_dir(spark)}/token-rollup-{uuid.uuid4().hex}")
     changes = lambda part: token_rollup.inserts(part, count(F.col("text")), TOKENIZER)
     again = changes(docs.where("doc_id % 10 = 0")).withColumn("kind", F.explode(F.array(F.lit("delete"), F.lit("insert"))))
     revised = changes(docs.where("doc_id % 10 = 1")).withColumns({"kind": F.lit("revise"), "old_tokens": F.col("tokens")})
@@ -91,7 +118,7 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = {
+    return {
         "op1_html_text": html_text_,
         "op2_mix_sources": mix_sources,
         "op3_chat_format": chat_format,
@@ -103,11 +130,6 @@ def queries() -> dict:
         "op9_ngram_jaccard": ngram_jaccard,
         "op10_token_rollup": token_counts,
     }
-    if importlib.util.find_spec("corpus_pipeline"):
-        import corpus_pipeline
-
-        found["pipeline"] = corpus_pipeline.run
-    return found
 
 
 #: Exact links by shared shingles, and components by closure: for small tables only, as copies of a document meet in pairs.

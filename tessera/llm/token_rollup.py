@@ -2,18 +2,21 @@
 
 Changes are signed: an insert adds a document's tokens to its (source, lang, tokenizer) total, a delete takes them
 away, a revision takes the old count away and adds the new one. A batch is summed to one row for each key and
-committed as a folder of its own, named by the batch's identifier, so committing a batch again replaces the same folder and
-totals never count it twice. Totals are the sums over all committed batches; ``compact`` folds batches into one base
-that remembers their identifiers, and such batches are refused from then on.
+staged in a new folder, which is then renamed to the batch's identifier in one step: a crash leaves the batch whole or not there,
+and a batch that is there already is refused, so a retry never counts twice. Totals are the sums over all committed
+batches; ``compact`` folds batches into one base that remembers their identifiers (one name a batch), and such
+batches are refused as well.
 
 Counts are additive, so batches may come in any order and keys may hold any share of all rows: sums combine before
-the shuffle. Rows: null texts have 0 tokens; null keys are groups of their own; repeated rows count each; an empty
-batch commits and changes nothing; keys whose documents and tokens are both 0 stay out of the totals. Other columns are ignored.
+the shuffle. Rows: null and empty texts have 0 tokens, long ones are read whole; null keys are groups of their own; repeated rows
+count each; an empty batch commits and changes nothing; keys whose documents and tokens are both 0 stay out of the totals. Other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import base64
+import uuid
 from functools import cache
 from urllib.parse import quote
 
@@ -80,11 +83,17 @@ class Rollup:
         return sorted(n for n in names if fs.exists(self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}/{n}/_SUCCESS")))
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
-        """Commit a batch of changes; the same identifier again has no further effect. False if it is part of a base."""
+        """Commit a batch of changes. False, and no further effect, if its identifier is committed."""
         name = "batch-" + quote(batch, safe="")
-        if name in self._compacted():
+        target, fs = self._fs(f"{self.path}/batches/{name}")
+        if fs.exists(target) or name in self._compacted():
+            return False
+        staged, _ = self._fs(f"{self.path}/staged/{name}-{uuid.uuid4().hex}")
+        deltas(changes).write.parquet(staged.toString())
+        fs.mkdirs(target.getParent())
+        if fs.exists(target) or not fs.rename(staged, target):
+            fs.delete(staged, True)
             return False
-        deltas(changes).write.mode("overwrite").parquet(f"{self.path}/batches/{name}")
         return True
 
     def _base(self) -> str | None:
