@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .functions import keywords, segment
 from .functions import text as T
 from .operators import chunking, evaluation, fields, graph, learning, lexical, querying, ranking, sequence, tagging, vocabulary
-from .session import bounded, table
+from .session import bounded, cut, table
 
 #: Inline patterns of the entity queries: name, type, alias.
 PATTERNS = [("the", "article", "the"), ("of", "link", "of"), ("to", "link", "to"), ("and", "link", "and"), ("para", "link", "para"), ("und", "link", "und"), ("la", "article", "la"), ("le", "article", "le")]
@@ -30,9 +30,9 @@ def _vectors(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", "label")
 
 
-def _vector_queries(s: SparkSession, d: str, below: int = 20) -> DataFrame:
-    """The stated query batch: the first vectors by id."""
-    return _vectors(s, d).where(F.col("doc_id") < below).select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("qv"), F.col("label").alias("query_label"))
+def _vector_queries(s: SparkSession, d: str) -> DataFrame:
+    """The stated query batch: every vector whose id is divisible by 50."""
+    return _vectors(s, d).where(F.col("doc_id") % 50 == 0).select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("qv"), F.col("label").alias("query_label"))
 
 
 def bm25_topk(s, d):
@@ -44,7 +44,7 @@ def bm25_lucene_topk(s, d):
 
 
 def term_stats(s, d):
-    return lexical.term_stats(lexical.term_counts(_docs(s, d))).select("term", "df", F.round("idf", 6).alias("idf"))
+    return lexical.term_stats(lexical.corpus(_docs(s, d))).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def postings_stats(s, d):
@@ -140,18 +140,18 @@ def auto_thresholds(s, d):
 
 
 def phrase_weights(s, d):
-    p = lexical.pmi_phrases(_docs(s, d), min_pmi=1.0)
+    p = cut(lexical.pmi_phrases(_docs(s, d), min_pmi=1.0))
     t, n = lexical.auto_thresholds(p), _docs(s, d).agg(F.count(F.lit(1)).alias("n"))
     return lexical.phrase_weights(p.join(F.broadcast(t)).join(F.broadcast(n)), F.col("n"), F.col("low"), F.col("mid")).select("phrase", "df", "weight")
 
 
 def vocab_coverage(s, d):
-    vocab = lexical.term_counts(_docs(s, d)).groupBy("term").agg(F.sum("tf").alias("c")).where("c >= 50")
+    vocab = lexical.corpus(_docs(s, d)).where("term is not null and freq >= 50")
     return lexical.coverage(_asked(s, d), vocab)
 
 
 def token_len_hist(s, d):
-    return _docs(s, d).select(F.explode(T.unicode_tokens(F.col("text"))).alias("t")).groupBy(F.length("t").cast("long").alias("len")).agg(F.count(F.lit(1)).alias("n"))
+    return _docs(s, d).select(F.explode(T.tokens(F.col("text"))).alias("t")).groupBy(F.length("t").cast("long").alias("len")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def vocab_jaccard_by_lang(s, d):
@@ -169,8 +169,7 @@ def token_filters(s, d):
 
 def _gold(s, d):
     """Documents that hold a passage verbatim; the passages are the stated batch."""
-    q = bounded(_asked(s, d).select("query_id", F.col("text").alias("q")))
-    return _docs(s, d).join(q, F.expr("contains(text, q)")).select("query_id", "doc_id")
+    return cut(evaluation.holding(_docs(s, d), _asked(s, d)))
 
 
 def retrieval_metrics(s, d):
@@ -178,11 +177,19 @@ def retrieval_metrics(s, d):
 
 
 def novelty_diversity(s, d):
-    return evaluation.novelty(bm25_topk(s, d), _gold(s, d))
+    return evaluation.novelty(cut(bm25_topk(s, d)), _gold(s, d))
+
+
+def _three_runs(s, d):
+    """The runs of both BM25 forms over one corpus table, and the dense one."""
+    docs, asked = _docs(s, d), _asked(s, d)
+    stats = lexical.corpus(docs)
+    okapi, lucene = (lexical.top_k(lexical.bm25_scores(docs, asked, v, k1, stats=stats), 10) for v, k1 in (("okapi", 1.5), ("lucene", 1.2)))
+    return [okapi, lucene, _dense(s, d, 10)]
 
 
 def overlap3(s, d):
-    return evaluation.overlap([bm25_topk(s, d), bm25_lucene_topk(s, d), _dense(s, d, 10)])
+    return evaluation.overlap(_three_runs(s, d))
 
 
 def union_recall(s, d):
@@ -370,11 +377,11 @@ def vocab_build(s, d):
 
 
 def idf_summary(s, d):
-    return vocabulary.idf_summary(lexical.term_stats(lexical.term_counts(_docs(s, d)), "lucene"))
+    return vocabulary.idf_summary(lexical.term_stats(lexical.corpus(_docs(s, d)), "lucene"))
 
 
 def idf_histogram(s, d):
-    return vocabulary.idf_histogram(lexical.term_stats(lexical.term_counts(_docs(s, d)), "lucene"))
+    return vocabulary.idf_histogram(lexical.term_stats(lexical.corpus(_docs(s, d)), "lucene"))
 
 
 def category_boost(s, d):
@@ -459,7 +466,7 @@ def fallback_stats(s, d):
 
 
 def overlap_counts(s, d):
-    return evaluation.overlap_counts([bm25_topk(s, d), bm25_lucene_topk(s, d), _dense(s, d, 10)], ["okapi", "lucene", "dense"])
+    return evaluation.overlap_counts(_three_runs(s, d), ["okapi", "lucene", "dense"])
 
 
 def low_score_queries(s, d):
@@ -509,12 +516,15 @@ diversity_order fallback_stats overlap_counts low_score_queries frame_accuracy s
 
 
 def queries() -> dict:
-    found = {n: globals()[n] for n in _NAMES}
+    from . import catalog_more
+
+    found = {n: globals()[n] for n in _NAMES} | catalog_more.queries()
     return found | {f"score_norm_{m}": _norm(m) for m in ("clamp", "minmax", "log_minmax", "zscore")}
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import catalog_more
     from .catalog_sql import SQL
     from .catalog_sql_more import SQL as MORE
 
-    return SQL | MORE
+    return SQL | MORE | catalog_more.SQL

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 
+_TOKEN = r"[\p{L}\p{N}]+"
+
+
 def _tok(t: str) -> str:
-    return f"unnest(regexp_extract_all(lower({t}), '[a-z0-9]+'))"
+    return f"unnest(regexp_extract_all(lower({t}), '{_TOKEN}'))"
 
 
 _TF = f"tok as (select doc_id, {_tok('text')} term from documents), tf as (select doc_id, term, count(*) tf from tok group by all), dl as (select doc_id, sum(tf) dl from tf group by all), n as (select count(*) n, avg(dl) avgdl from dl)"
@@ -29,7 +32,7 @@ def _knn(name: str, who: str, where: str = "true", k: int = 10) -> str:
 _ITEMS = "qv.vec_id in (select item_id from benchmark)"
 _DENSE20 = _knn("dense", _ITEMS, "true", 20)
 _DENSE10 = _knn("dense", _ITEMS, "true", 10)
-_KNN = f"with {_knn('knn', 'qv.vec_id < 20')}"
+_KNN = f"with {_knn('knn', 'qv.vec_id % 50 = 0')}"
 _RUN20 = f"with {_IDF}, {_Q}, {_run('run', 20)}, {_DENSE20}"
 _W = "filter(string_split_regex({0}, '\\s+'), lambda w: w <> '')".replace("filter", "list_filter")
 _GOLD = "gold as (select distinct b.item_id query_id, d.doc_id from documents d, benchmark b where contains(d.text, b.text))"
@@ -38,7 +41,7 @@ _MM = "case when max(score) over w = min(score) over w then 0.5 else (score - mi
 
 
 def _grams(n: int, name: str = "g") -> str:
-    t = "select doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') t from documents"
+    t = "select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') t from documents"
     return f"{name}_p as (select doc_id, unnest(list_transform(range(1, len(t) - {n} + 2), lambda i: array_to_string(t[i:i + {n - 1}], ' '))) gram from ({t}) where len(t) >= {n}), {name}_d as (select doc_id, gram, count(*) c from {name}_p group by all), {name} as (select gram, sum(c)::bigint freq, count(*) df from {name}_d group by all)"
 
 
@@ -65,15 +68,15 @@ SQL = {
     "sparse_top10": f"with {_IDF}, w as (select doc_id, term, round(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)), 9) w from tf join idf using (term) join dl using (doc_id), n), x as (select doc_id, term, round(w / max(w) over (partition by doc_id), 6) weight from w where w > 0) select doc_id, term, weight, row_number() over (partition by doc_id order by weight desc, term) rank from x qualify rank <= 10",
     "sparse_dot_search": f"with {_IDF}, w as (select doc_id, term, idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)) w from tf join idf using (term) join dl using (doc_id), n), {_Q}, ql as (select query_id, sum(qtf) dl from q group by all), qn as (select count(*) n, avg(dl) avgdl from ql), qraw as (select term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) r from q, qn group by term, n), qidf as (select term, case when r < 0 then 0.25 * (select avg(r) from qraw) else r end i from qraw), qw as (select query_id, term, i * qtf * 2.5 / (qtf + 1.5 * (0.25 + 0.75 * dl / avgdl)) qw from q join qidf using (term) join ql using (query_id), qn), s as (select query_id, doc_id, round(sum(w * qw), 6) score from w join qw using (term) where w > 0 and qw > 0 group by all) select *, row_number() over (partition by query_id order by score desc, doc_id) rank from s qualify rank <= 10",
     "knn_exact": f"{_KNN} select * from knn",
-    "knn_filtered": f"with {_knn('knn', 'qv.vec_id < 20', 'v.label in (1, 3, 5)')} select * from knn",
+    "knn_filtered": f"with {_knn('knn', 'qv.vec_id % 50 = 0', 'v.label in (1, 3, 5)')} select * from knn",
     "hybrid_weighted": f"{_RUN20}, x as (select query_id, doc_id, round({_MM}, 6) * 0.5 part from run window w as (partition by query_id) union all select query_id, doc_id, round({_MM}, 6) * 0.5 from dense window w as (partition by query_id)), y as (select query_id, doc_id, round(sum(part), 7) score from x group by all) select *, row_number() over (partition by query_id order by score desc, doc_id) rank from y qualify rank <= 10",
     "hybrid_rrf": f"{_RUN20}, x as (select query_id, doc_id, rank from run union all select query_id, doc_id, rank from dense), y as (select query_id, doc_id, round(sum(1.0::double / (60 + rank)), 6) score from x group by all) select *, row_number() over (partition by query_id order by score desc, doc_id) rank from y qualify rank <= 10",
     "relevance_filter": f"{_BM25} select * from (select query_id, doc_id, round({_MM}, 6) norm from run window w as (partition by query_id)) where norm >= 0.3",
-    "dynamic_lambda": "select conv_id, turn, case when n <= 17 then 0.9 when n <= 30 then 0.7 else 0.5 end::double weight from (select conv_id, turn, length(trim(substr(text, 1, 40), ' ')) n from conversations where role = 'user')",
+    "dynamic_lambda": "select conv_id, turn, case when n <= 17 then 0.9 when n <= 30 then 0.7 else 0.5 end::double weight from (select conv_id, turn, length(trim(text, ' ')) n from conversations where role = 'user')",
     "fallback_topup": f"{_BM25}, f as (select query_id, doc_id, score, count(*) over (partition by query_id) n, row_number() over (partition by query_id order by score desc, doc_id) pos from run where rank <= 3), c as (select *, unnest(range(0, greatest(ceil(8 / n) - 1, 0)::bigint + 1)) copy from f) select query_id, doc_id, score, copy * n + pos rank, copy > 0 as fallback from c where copy * n + pos <= 8 or copy = 0",
     "exact_dedup": "select min(doc_id) as keep, count(*) copies from documents where text is not null group by text having count(*) > 1",
-    "best_fields_tie": "with f as (select doc_id, case when list_contains(regexp_extract_all(lower(lang), '[a-z0-9]+'), 'en') then 2.0 else 0.0 end::double a, case when list_contains(regexp_extract_all(lower(source), '[a-z0-9]+'), 'src1') then 1.5 else 0.0 end::double b, case when list_contains(regexp_extract_all(lower(text), '[a-z0-9]+'), 'the') then 1.0 else 0.0 end::double c from documents) select * from (select doc_id, round(greatest(a, b, c) + 0.3 * (a + b + c - greatest(a, b, c)), 6) score from f) where score > 0",
-    "overlap_rerank": f"{_BM25}, x as (select query_id, doc_id, list_distinct(regexp_extract_all(lower(b.text), '[a-z0-9]+')) a, list_distinct(regexp_extract_all(lower(d.text), '[a-z0-9]+')) c from run join benchmark b on item_id = query_id join documents d using (doc_id)), y as (select query_id, doc_id, round(len(list_intersect(a, c)) / (len(a) + len(c) - len(list_intersect(a, c))), 6) score from x) select *, row_number() over (partition by query_id order by score desc, doc_id) rank from y qualify rank <= 5",
+    "best_fields_tie": "with f as (select doc_id, case when list_contains(regexp_extract_all(lower(lang), '[\\p{L}\\p{N}]+'), 'en') then 2.0 else 0.0 end::double a, case when list_contains(regexp_extract_all(lower(source), '[\\p{L}\\p{N}]+'), 'src1') then 1.5 else 0.0 end::double b, case when list_contains(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), 'the') then 1.0 else 0.0 end::double c from documents) select * from (select doc_id, round(greatest(a, b, c) + 0.3 * (a + b + c - greatest(a, b, c)), 6) score from f) where score > 0",
+    "overlap_rerank": f"{_BM25}, x as (select query_id, doc_id, list_distinct(regexp_extract_all(lower(b.text), '{_TOKEN}')) a, list_distinct(regexp_extract_all(lower(d.text), '{_TOKEN}')) c from run join benchmark b on item_id = query_id join documents d using (doc_id)), y as (select query_id, doc_id, round(len(list_intersect(a, c)) / (len(a) + len(c) - len(list_intersect(a, c))), 6) score from x) select *, row_number() over (partition by query_id order by score desc, doc_id) rank from y qualify rank <= 5",
     "ngram_counts": f"with {_grams(2)} select * from g where freq >= 5",
     "trigram_counts": f"with {_grams(3)} select * from g where freq >= 5",
     "pmi_phrases": f"with {_PMI} select * from pmi where pmi >= 3",

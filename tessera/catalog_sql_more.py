@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .catalog_sql import _BIO, _BM25, _DENSE10, _IDF, _KNN, _LUCENE, _MM, _TF, _W, _run, _spans, _tok
+from .catalog_sql import _BIO, _BM25, _DENSE10, _IDF, _KNN, _LUCENE, _MM, _TF, _TOKEN, _W, _run, _spans, _tok
 
 _S = r"list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '([。！？?!])\s*', '\1' || chr(1), 'g'), ';', ';' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '' and x <> ';')"
 _WORDS = _W.format("text")
@@ -30,12 +30,12 @@ def _gap(a: str, b: str) -> str:
 
 
 _Q = f"q as (select query_id, term, count(*) qtf from (select item_id query_id, {_tok('text')} term from benchmark) group by all)"
-_FIELDS = f"""fd as (select doc_id, field, boost, case field when 'text' then t when 'heading' then t[1:8] else regexp_extract_all(lower(source), '[a-z0-9]+') end t
- from (select doc_id, source, regexp_extract_all(lower(text), '[a-z0-9]+') t from documents), (values ('heading', 1.5::double), ('source', 1.2::double), ('text', 1.0::double)) f(field, boost)),
+_FIELDS = f"""fd as (select doc_id, field, boost, case field when 'text' then t when 'heading' then t[1:8] else regexp_extract_all(lower(source), '{_TOKEN}') end t
+ from (select doc_id, source, regexp_extract_all(lower(text), '{_TOKEN}') t from documents), (values ('heading', 1.5::double), ('source', 1.2::double), ('text', 1.0::double)) f(field, boost)),
 fl as (select doc_id, field, boost, t, len(t) dl from fd where len(t) > 0), fs as (select field, count(*) n, avg(dl) avgdl from fl group by all),
 ft as (select doc_id, field, boost, dl, term, count(*) tf from (select doc_id, field, boost, dl, unnest(t) term from fl) group by all),
 fdf as (select field, term, count(*) df from ft group by all),
-fsc as (select query_id, doc_id, field, round(sum(qtf * boost * ln(1 + (n - df + 0.5::double) / (df + 0.5::double)) * tf * 2.2::double / (tf + 1.2::double * (0.25::double + 0.75::double * dl / avgdl))), 6) score from ft join fdf using (field, term) join fs using (field) join q using (term) group by all),
+fsc as (select query_id, doc_id, field, sum(qtf * boost * ln(1 + (n - df + 0.5::double) / (df + 0.5::double)) * tf * 2.2::double / (tf + 1.2::double * (0.25::double + 0.75::double * dl / avgdl))) score from ft join fdf using (field, term) join fs using (field) join q using (term) group by all),
 fb as (select query_id, doc_id, round(max(score) + 0.3::double * (sum(score) - max(score)), 6) score from fsc group by all),
 multi as (select *, row_number() over (partition by query_id order by score desc, doc_id) rank from fb qualify rank <= 10)"""
 _VARIANTS = r"list_concat([text], case when regexp_matches(text, '\bthe\b') then [regexp_replace(text, '\bthe\b', 'that', 'g'), regexp_replace(text, '\bthe\b', 'this', 'g')] else [] end, case when regexp_matches(text, '\bof\b') then [regexp_replace(text, '\bof\b', 'from', 'g')] else [] end, case when regexp_matches(text, '\bla\b') then [regexp_replace(text, '\bla\b', 'una', 'g')] else [] end)"

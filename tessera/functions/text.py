@@ -14,11 +14,6 @@ HTML_NAMES = ["div", "span", "p", "br", "li", "ul", "ol", "td", "tr", "table", "
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case runs of ASCII letters and digits."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"([a-z0-9]+)"), F.lit(1))
-
-
-def unicode_tokens(text: Column) -> Column:
     """Lower-case runs of letters and digits of any script."""
     return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 

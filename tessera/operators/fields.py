@@ -32,7 +32,7 @@ def field_scores(docs: DataFrame, queries: DataFrame, weights: dict[str, float],
     idf = df.select("field", "term", "avgdl", F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     hits = tf.join(idf, ["field", "term"]).join(q, "term")
     score = F.sum(F.col("qtf") * F.col("boost") * F.col("idf") * saturation(k1, b))
-    return hits.groupBy("query_id", "doc_id", "field").agg(F.round(score, 6).alias("score"))
+    return hits.groupBy("query_id", "doc_id", "field").agg(score.alias("score"))
 
 
 def best_of_fields(scores: DataFrame, tie: float = 0.3) -> DataFrame:

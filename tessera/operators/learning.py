@@ -86,3 +86,97 @@ def uncertainty(p: Column) -> dict[str, Column]:
 def review_queue(rows: DataFrame, n: int, tie: str) -> DataFrame:
     """The n most uncertain rows."""
     return rows.orderBy(F.desc("uncertainty"), tie).limit(n)
+
+
+def reviewed(queue: DataFrame, done: DataFrame, key: str) -> DataFrame:
+    """The queue without the rows that are reviewed."""
+    return queue.join(done.select(key).distinct(), key, "left_anti")
+
+
+def trust(uncertainty_: Column, review: float = 0.6, automatic: float = 0.3) -> Column:
+    """What to do with a prediction by its uncertainty: review from the upper bound on, automatic up to the lower, else check."""
+    return F.when(uncertainty_ >= review, "review").when(uncertainty_ <= automatic, "automatic").otherwise("check")
+
+
+def confidence_class(confidence: Column) -> Column:
+    return F.when(confidence >= 0.8, "high").when(confidence >= 0.6, "medium").otherwise("low")
+
+
+def dataset_report(rows: DataFrame, label: str = "label") -> DataFrame:
+    """(label, n, share, mean_length, distinct): one row for each label of labelled texts."""
+    n = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.length("text")), 6).alias("mean_length"), F.countDistinct("text").alias("distinct"))
+    total = n.agg(F.sum("n").alias("all"))
+    return n.join(F.broadcast(total)).select(label, "n", F.round(F.col("n") / F.col("all"), 6).alias("share"), "mean_length", "distinct")
+
+
+def importance(model: PipelineModel, most: int = 10) -> list[tuple[str, float]]:
+    """The features of greatest weight of a fitted ``classifier``: by the largest coefficient of any class, or the forest's own measure."""
+    import numpy as np
+
+    names = next(s for s in model.stages if hasattr(s, "vocabulary")).vocabulary
+    last = model.stages[-1]
+    if hasattr(last, "featureImportances"):
+        weight = last.featureImportances.toArray()
+    else:
+        weight = np.abs(last.coefficientMatrix.toArray()).max(axis=0)
+    order = np.lexsort((names, -weight))[:most]
+    return [(names[i], float(weight[i])) for i in order]
+
+
+def advanced_features(text: Column, keywords: dict[str, list[str]]) -> dict[str, Column]:
+    """Length, density, structure and, for each intent, the share of its keywords that a text holds."""
+    w = F.filter(F.split(text, r"\s+"), lambda x: x != "")
+    n, size = F.size(w), F.greatest(F.length(text), F.lit(1))
+    marks = F.regexp_count(text, F.lit(r"[?？]"))
+    out = {"chars": F.length(text).cast("long"), "words": n.cast("long"), "density": F.round(n / size, 6), "questions": marks.cast("long"), "digits": F.round(F.regexp_count(text, F.lit("[0-9]")) / size, 6),
+           "variety": F.when(n > 0, F.round(F.size(F.array_distinct(w)) / n, 6)).otherwise(0.0)}
+    for name, keys in keywords.items():
+        held = reduce(lambda a, b: a + b, [F.lower(text).contains(k).cast("int") for k in keys])
+        out[f"has_{name}"] = F.round(held / F.lit(float(len(keys))), 6)
+    return out
+
+
+def structure_features(text: Column, names: list[str]) -> dict[str, Column]:
+    """For each word how often a text holds it, and where first (from 0, by its share of the length; -1 for never)."""
+    low, out = F.lower(text), {}
+    for x in names:
+        out[f"n_{x}"] = F.floor((F.length(low) - F.length(F.replace(low, F.lit(x), F.lit("")))) / len(x)).cast("long")
+        at = F.instr(low, x)
+        out[f"at_{x}"] = F.when(at > 0, F.round((at - 1) / F.length(low), 6)).otherwise(-1.0)
+    return out
+
+
+def weighted_concat(parts: list[Column], weights: list[float]) -> Column:
+    """Feature arrays one after another, each times its weight."""
+    return F.concat(*[_times(p, w) for p, w in zip(parts, weights, strict=True)])
+
+
+def _times(p: Column, w: Column | float) -> Column:
+    return F.transform(p, lambda x: x.cast("double") * w)
+
+
+def interaction(a: Column, b: Column) -> Column:
+    """All products of two feature arrays, the first array's index outermost."""
+    return F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: x.cast("double") * y.cast("double"))))
+
+
+def attention(parts: list[Column]) -> Column:
+    """Feature arrays of one length, added with the softmax of their mean magnitudes as weights."""
+    size = lambda p: F.aggregate(p, F.lit(0.0), lambda s, x: s + F.abs(x.cast("double"))) / F.size(p)
+    e = [F.exp(size(p)) for p in parts]
+    total = reduce(lambda a, b: a + b, e)
+    scaled = [_times(p, w / total) for p, w in zip(parts, e, strict=True)]
+    return reduce(lambda a, b: F.zip_with(a, b, lambda x, y: x + y), scaled)
+
+
+def one_hot(value: Column, names: list[str]) -> Column:
+    """1 at the value's place among the names, else 0; a name that is not there has none."""
+    return F.array(*[F.coalesce((value == n).cast("double"), F.lit(0.0)) for n in names])
+
+
+def hashed_embedding(tokens: Column, size: int = 64) -> Column:
+    """A unit vector of hashed token counts, or zeros: the default where no embedding model is plugged in."""
+    at = F.transform(tokens, lambda t: F.pmod(F.xxhash64(t), F.lit(size)))
+    counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(at, lambda x: x == i)).cast("double"))
+    length = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
+    return F.when(length > 0, F.transform(counts, lambda x: x / length)).otherwise(counts)

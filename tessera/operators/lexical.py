@@ -2,46 +2,69 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import char_grams, tokens
+from ..session import bounded, cut
+
+
+#: A function from a text column to its tokens; ``functions.segment.segment`` gives one for running CJK text.
+Tokenizer = Callable[[Column], Column]
 
 
-def term_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", count: str = "tf") -> DataFrame:
+def term_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", count: str = "tf", tokenizer: Tokenizer = tokens) -> DataFrame:
     """(key, term, count): partial sums combine before the shuffle."""
-    return docs.select(key, F.explode(tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias(count))
+    return docs.select(key, F.explode(tokenizer(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias(count))
 
 
-def doc_lengths(tf: DataFrame) -> DataFrame:
-    return tf.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
+def corpus(docs: DataFrame, text: str = "text", tokenizer: Tokenizer = tokens) -> DataFrame:
+    """(term, df, freq): a written table from one scan and one shuffle, in which partial sums combine first.
+
+    The row without a term holds the documents that have tokens (df) and their tokens (freq). A row of docs is a document.
+    """
+    bag = docs.select(tokenizer(F.col(text)).alias("t")).where(F.size("t") > 0)
+    whole = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(1).alias("df"), F.size("t").alias("freq")))
+    once = F.transform(F.array_distinct("t"), lambda x: F.struct(x.alias("term"), F.lit(1).alias("df"), F.lit(0).alias("freq")))
+    each = F.transform("t", lambda x: F.struct(x.alias("term"), F.lit(0).alias("df"), F.lit(1).alias("freq")))
+    rows = bag.select(F.explode(F.concat(whole, once, each)).alias("x")).select("x.*")
+    return cut(rows.groupBy("term").agg(F.sum("df").alias("df"), F.sum("freq").alias("freq")))
 
 
-def corpus_size(tf: DataFrame) -> DataFrame:
-    """One row: documents and their mean length."""
-    return doc_lengths(tf).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+def corpus_size(stats: DataFrame) -> DataFrame:
+    """One row (n, avgdl) of ``corpus``: documents with tokens and their mean length."""
+    return stats.where("term is null").agg(F.coalesce(F.max("df"), F.lit(0)).alias("n"), (F.max("freq") / F.max("df")).alias("avgdl"))
 
 
-def term_stats(tf: DataFrame, variant: str = "okapi") -> DataFrame:
-    """(term, df, idf). okapi: negative idf becomes a quarter of the mean over all terms; lucene: ln(1 + ...)."""
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(corpus_size(tf).select("n")))
-    odds = (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)
+def term_stats(stats: DataFrame, variant: str = "okapi") -> DataFrame:
+    """(term, df, idf) of ``corpus``. okapi: negative idf becomes a quarter of the mean over all terms; lucene: ln(1 + ...)."""
+    df = stats.where("term is not null").join(F.broadcast(corpus_size(stats).select("n")))
     if variant == "lucene":
-        return df.select("term", "df", F.ln(1 + odds).alias("idf"))
+        return df.select("term", "df", F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     raw = df.select("term", "df", (F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))
     return raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, 0.25 * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
+def _tf(docs: DataFrame, tokenizer: Tokenizer, terms: DataFrame | None = None) -> DataFrame:
+    """(doc_id, dl, term, tf); of ``terms`` only, if given, before anything is shuffled."""
+    bag = docs.select("doc_id", tokenizer(F.col("text")).alias("t")).where(F.size("t") > 0)
+    rows = bag.select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term"))
+    rows = rows if terms is None else rows.join(bounded(terms), "term", "left_semi")
+    return rows.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
 def saturation(k1: float, b: float) -> Column:
     return F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
 
 
-def weights(docs: DataFrame, variant: str = "okapi", k1: float = 1.5, b: float = 0.75) -> DataFrame:
+def weights(docs: DataFrame, variant: str = "okapi", k1: float = 1.5, b: float = 0.75, stats: DataFrame | None = None, tokenizer: Tokenizer = tokens) -> DataFrame:
     """(doc_id, term, weight): the BM25 weight of each term, the sparse vectors in long form."""
-    tf = term_counts(docs)
-    base = tf.join(doc_lengths(tf), "doc_id").join(term_stats(tf, variant), "term").join(F.broadcast(corpus_size(tf).select("avgdl")))
+    stats = corpus(docs, tokenizer=tokenizer) if stats is None else stats
+    base = _tf(docs, tokenizer).join(term_stats(stats, variant), "term").join(F.broadcast(corpus_size(stats).select("avgdl")))
     return base.select("doc_id", "term", (F.col("idf") * saturation(k1, b)).alias("weight"))
 
 
@@ -51,12 +74,11 @@ def top_k(scored: DataFrame, k: int, key: str = "query_id", score: str = "score"
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def bm25_scores(docs: DataFrame, queries: DataFrame, variant: str = "okapi", k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(query_id, doc_id, score): only terms of the queries are weighed."""
-    tf = term_counts(docs)
-    q = term_counts(queries, "query_id", "text", "qtf")
-    stats = term_stats(tf, variant).join(q.select("term").distinct(), "term", "left_semi")
-    hits = tf.join(q, "term").join(stats, "term").join(doc_lengths(tf), "doc_id").join(F.broadcast(corpus_size(tf).select("avgdl")))
+def bm25_scores(docs: DataFrame, queries: DataFrame, variant: str = "okapi", k1: float = 1.5, b: float = 0.75, stats: DataFrame | None = None, tokenizer: Tokenizer = tokens) -> DataFrame:
+    """(query_id, doc_id, score): documents are scanned once for ``stats`` and once for the terms of the queries."""
+    stats = corpus(docs, tokenizer=tokenizer) if stats is None else stats
+    q = cut(term_counts(queries, "query_id", "text", "qtf", tokenizer).join(term_stats(stats, variant), "term"))
+    hits = _tf(docs, tokenizer, q.select("term").distinct()).join(bounded(q), "term").join(F.broadcast(corpus_size(stats).select("avgdl")))
     return hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("qtf") * F.col("idf") * saturation(k1, b)), 6).alias("score"))
 
 
@@ -69,29 +91,43 @@ def sparse_top_terms(w: DataFrame, k: int = 10) -> DataFrame:
 
 def sparse_dot(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """Documents by the inner product of their sparse vectors with the query's (same weights, both sides)."""
-    w = weights(docs)
-    q = weights(queries.withColumnRenamed("query_id", "doc_id")).select(F.col("doc_id").alias("query_id"), "term", F.col("weight").alias("qw"))
-    dots = w.where("weight > 0").join(q.where("qw > 0"), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("weight") * F.col("qw")), 6).alias("score"))
+    q = cut(weights(queries.withColumnRenamed("query_id", "doc_id")).select(F.col("doc_id").alias("query_id"), "term", F.col("weight").alias("qw")))
+    stats = corpus(docs)
+    idf = bounded(term_stats(stats).join(bounded(q.select("term").distinct()), "term", "left_semi"))
+    tf = _tf(docs, tokens, q.select("term").distinct()).join(idf, "term").join(F.broadcast(corpus_size(stats).select("avgdl")))
+    w = tf.select("doc_id", "term", (F.col("idf") * saturation(1.5, 0.75)).alias("weight"))
+    dots = w.where("weight > 0").join(bounded(q.where("qw > 0")), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("weight") * F.col("qw")), 6).alias("score"))
     return top_k(dots, k)
 
 
-def ngrams(docs: DataFrame, n: int) -> DataFrame:
-    """(gram, freq, df) of runs of n tokens, without moving token rows: runs are built within each document."""
-    t = docs.select("doc_id", tokens(F.col("text")).alias("t")).where(F.size("t") >= n)
-    runs = F.transform(F.sequence(F.lit(1), F.size("t") - (n - 1)), lambda i: F.array_join(F.slice("t", i, n), " "))
-    per_doc = t.select("doc_id", F.explode(runs).alias("gram")).groupBy("doc_id", "gram").agg(F.count(F.lit(1)).alias("c"))
-    return per_doc.groupBy("gram").agg(F.sum("c").alias("freq"), F.count(F.lit(1)).alias("df"))
+def _runs(n: int) -> Column:
+    at = F.sequence(F.lit(1), F.size("t") - (n - 1))
+    return F.when(F.size("t") >= n, F.transform(at, lambda i: F.array_join(F.slice("t", i, n), " "))).otherwise(F.array().cast("array<string>"))
 
 
-def pmi_phrases(docs: DataFrame, min_freq: int = 5, min_pmi: float = 3.0) -> DataFrame:
-    """(phrase, freq, df, pmi) of token pairs: ln(p12 / (p1 p2) + 1e-10)."""
-    one = ngrams(docs, 1).select("gram", "freq")
-    total = one.agg(F.sum("freq").alias("n1"))
-    two = ngrams(docs, 2)
-    n2 = two.agg(F.sum("freq").alias("n2"))
-    pairs = two.where(F.col("freq") >= min_freq).withColumns({"a": F.split("gram", " ")[0], "b": F.split("gram", " ")[1]})
+def ngrams(docs: DataFrame, *n: int) -> DataFrame:
+    """(gram, freq, df) of runs of n tokens, of several lengths together: one scan and one shuffle of partial sums.
+
+    Runs and a document's distinct runs are built within its row.
+    """
+    t = docs.select(tokens(F.col("text")).alias("t")).select(F.concat(*[_runs(i) for i in n]).alias("runs"))
+    every = F.transform("runs", lambda g: F.struct(g.alias("gram"), F.lit(1).alias("f"), F.lit(0).alias("d")))
+    once = F.transform(F.array_distinct("runs"), lambda g: F.struct(g.alias("gram"), F.lit(0).alias("f"), F.lit(1).alias("d")))
+    rows = t.select(F.explode(F.concat(every, once)).alias("x")).select("x.*")
+    return rows.groupBy("gram").agg(F.sum("f").alias("freq"), F.sum("d").alias("df"))
+
+
+def pmi_phrases(docs: DataFrame, min_freq: int = 5, min_pmi: float = 3.0, least: int = 0, most: int = 0) -> DataFrame:
+    """(phrase, freq, df, pmi) of token pairs: ln(p12 / (p1 p2) + 1e-10); of ``least`` to ``most`` characters if given."""
+    both = cut(ngrams(docs, 1, 2).withColumn("pair", F.col("gram").contains(" ")))
+    one = both.where("not pair").select("gram", "freq")
+    totals = both.agg(F.sum(F.when(~F.col("pair"), F.col("freq"))).alias("n1"), F.sum(F.when(F.col("pair"), F.col("freq"))).alias("n2"))
+    pairs = both.where("pair").where(F.col("freq") >= min_freq)
+    if most:
+        pairs = pairs.where(F.length(F.replace("gram", F.lit(" "), F.lit(""))).between(least, most))
+    pairs = pairs.withColumns({"a": F.split("gram", " ")[0], "b": F.split("gram", " ")[1]})
     pairs = pairs.join(one.select(F.col("gram").alias("a"), F.col("freq").alias("fa")), "a").join(one.select(F.col("gram").alias("b"), F.col("freq").alias("fb")), "b")
-    pairs = pairs.join(F.broadcast(total)).join(F.broadcast(n2))
+    pairs = pairs.join(F.broadcast(totals))
     pmi = F.ln((F.col("freq") / F.col("n2")) / ((F.col("fa") / F.col("n1")) * (F.col("fb") / F.col("n1"))) + 1e-10)
     return pairs.select(F.col("gram").alias("phrase"), "freq", "df", F.round(pmi, 6).alias("pmi")).where(F.col("pmi") >= min_pmi)
 

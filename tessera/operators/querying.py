@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -45,6 +46,108 @@ def intent(text: Column, gate: Column | None = None) -> Column:
     return out if gate is None else F.when(gate, out).otherwise("unknown")
 
 
+# Ordered words of the annotation rules; without one the intent is query.
+ANNOTATION_WORDS = {
+    "list": ["哪些", "有多少", "有哪些", "多少种", "多少个"],
+    "compare": ["哪个", "哪个更高", "哪个更远", "相比", "哪个更强"],
+    "rule": ["规则", "条件", "何时", "如何", "什么情况下", "什么时候"],
+}
+#: A prediction of less confidence counts as a plain query.
+MIN_CONFIDENCE = 0.5
+#: Terms of a vocabulary that a gate takes.
+MOST_TERMS = 1_000_000
+CANNED = "I can only answer questions about the indexed documents."
+
+
+def annotated_intent(text: Column) -> Column:
+    """The rule-based label of a text to annotate: list, then compare, then rule, else query."""
+    low, out = F.lower(text), F.lit("query")
+    for name, ws in reversed(ANNOTATION_WORDS.items()):
+        out = F.when(reduce(lambda a, b: a | b, [low.contains(w) for w in ws]), name).otherwise(out)
+    return out
+
+
+def gapped(text: Column, first: str, last: str) -> Column:
+    """Whether a text holds both parts of a pattern ``first...last``."""
+    return text.contains(first) & text.contains(last)
+
+
+def gate(queries: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """queries with ``known``: whether the text holds a term (term) of the vocabulary, of any case; an empty vocabulary knows all.
+
+    One automaton over all terms, of which a vocabulary has ``MOST_TERMS`` at most, reads each text once.
+    """
+    low = [r[0] for r in vocabulary.select(F.lower("term")).where("trim(term) <> ''").distinct().limit(MOST_TERMS + 1).collect()]
+    if len(low) > MOST_TERMS:
+        raise ValueError(f"a vocabulary has at most {MOST_TERMS} terms")
+    if not low:
+        return queries.withColumn("known", F.lit(True))
+    sent = queries.sparkSession.sparkContext.broadcast(low)
+
+    @F.arrow_udf("boolean")
+    def holds(text: pa.Array) -> pa.Array:
+        import ahocorasick
+
+        found = ahocorasick.Automaton()
+        for t in sent.value:
+            found.add_word(t, True)
+        found.make_automaton()
+        return pa.array([t is not None and next(found.iter(t), None) is not None for t in text.to_pylist()])
+
+    return queries.withColumn("known", holds(F.lower("text")))
+
+
+def decide(predictions: DataFrame) -> DataFrame:
+    """Predictions (query_id, intent, confidence, known) with the intent that counts and a canned reply where there is no answer.
+
+    A query that the gate doesn't know is ``non_domain``; one of little confidence is a plain query.
+    """
+    intent_ = F.when(~F.col("known"), "non_domain").when(F.col("confidence") < MIN_CONFIDENCE, "query").otherwise(F.col("intent"))
+    out = predictions.withColumn("intent", intent_)
+    return out.withColumn("reply", F.when(F.col("intent").isin("non_domain", "unknown"), CANNED))
+
+
+def straight(queries: DataFrame) -> DataFrame:
+    """Each query as it is."""
+    return queries.select("query_id", F.lit(0).alias("variant"), "text", F.lit("straight").alias("method"))
+
+
+def expand_methods(queries: DataFrame, related: dict[str, str], synonyms: dict[str, str], context: dict[str, str]) -> DataFrame:
+    """The query, and a variant by each method whose dictionary has a word that it holds (the first): related words and context
+    words are added at its end, synonyms after each place of the word."""
+    t = F.col("text")
+
+    def first(d: dict[str, str], change) -> Column:
+        out = F.lit(None).cast("string")
+        for k, v in reversed(d.items()):
+            out = F.when(t.contains(k), change(k, v)).otherwise(out)
+        return out
+
+    add = lambda k, v: F.concat(t, F.lit(" " + v))
+    each = [("original", t), ("related", first(related, add)), ("synonyms", first(synonyms, lambda k, v: F.replace(t, F.lit(k), F.lit(f"{k} {v}")))), ("context", first(context, add))]
+    rows = F.explode(F.array(*[F.struct(F.lit(i).alias("variant"), x.alias("text"), F.lit(m).alias("method")) for i, (m, x) in enumerate(each)]))
+    return queries.select("query_id", rows.alias("x")).select("query_id", "x.*").where("text is not null")
+
+
+def suffixed(queries: DataFrame, endings: list[str], prefix: bool = False) -> DataFrame:
+    """The query and a variant with each ending, or with each beginning."""
+    forms = F.array(F.col("text"), *[F.concat(F.lit(e), F.col("text")) if prefix else F.concat(F.col("text"), F.lit(" " + e)) for e in endings])
+    return queries.select("query_id", F.posexplode(forms).alias("variant", "text"))
+
+
+#: Query processors by name.
+PROCESSORS = {
+    "straight": straight,
+    "expand": lambda q: suffixed(q, ["details", "related"]).withColumn("method", F.lit("expand")),
+    "reason": lambda q: suffixed(q, ["Think step by step: "], prefix=True).withColumn("method", F.lit("reason")),
+}
+
+
+def processor(name: str):
+    """A query processor; unknown names give the straight one."""
+    return PROCESSORS.get(name, straight)
+
+
 def route(queries: DataFrame) -> DataFrame:
     """Queries with the depth and rerank depth of their intent."""
     routes = queries.sparkSession.createDataFrame(ROUTES, "intent string, topk int, rerank int")

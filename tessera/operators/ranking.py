@@ -146,6 +146,51 @@ def top_up(hits: DataFrame, least: int) -> DataFrame:
     return out.select("query_id", "doc_id", "score", "rank", (F.col("copy") > 0).alias("fallback"))
 
 
+def top_up_variant(hits: DataFrame, least: int, how: str = "score", seed: int = 42) -> DataFrame:
+    """``top_up`` in another order: by score, by the order of the hits (rank), by a seeded hash (random), or in levels.
+
+    Levels: hits of at least half of their query's best score first, by score, then the others by their rank.
+    """
+    best = F.max("score").over(W.partitionBy("query_id"))
+    upper = F.col("score") >= best / 2
+    orders = {
+        "score": [F.desc("score")],
+        "original": [F.asc("rank")],
+        "random": [F.xxhash64(F.lit(seed), "query_id", "doc_id")],
+        "levels": [F.desc("_upper"), F.when(F.col("_upper"), -F.col("score")).otherwise(F.col("rank").cast("double"))],
+    }
+    if how not in orders:
+        raise ValueError(f"how is one of {sorted(orders)}")
+    marked = hits.withColumn("_upper", upper)
+    place = F.row_number().over(W.partitionBy("query_id").orderBy(*orders[how], "doc_id"))
+    placed = marked.select("query_id", "doc_id", "score", (-place.cast("double")).alias("place"))
+    filled = top_up(placed.select("query_id", "doc_id", F.col("place").alias("score")), least)
+    return filled.withColumnRenamed("score", "place").join(placed, ["query_id", "doc_id", "place"]).select("query_id", "doc_id", "score", "rank", "fallback")
+
+
+def query_relevance(hits: DataFrame, queries: DataFrame) -> DataFrame:
+    """hits (query_id, doc_id, embedding) whose score is the cosine of the document's and the query's (qv) vectors; 0 for zero vectors."""
+    both = hits.drop("score").join(queries.select("query_id", "qv"), "query_id")
+    length = norm(F.col("embedding")) * norm(F.col("qv"))
+    return both.withColumn("score", F.when(length > 0, F.round(dot(F.col("embedding"), F.col("qv")) / length, 6)).otherwise(0.0)).drop("qv")
+
+
+def check_parameters(values: dict, schema: dict[str, dict]) -> list[str]:
+    """What is wrong with parameters by their schema: type (float, integer, boolean, string), min, max and options; [] if nothing."""
+    kinds = {"float": (int, float), "integer": int, "boolean": bool, "string": str}
+    wrong = []
+    for name in schema.keys() & values.keys():
+        want, v = schema[name], values[name]
+        if not isinstance(v, kinds[want["type"]]) or isinstance(v, bool) and want["type"] != "boolean":
+            wrong.append(f"{name} must be of type {want['type']}")
+            continue
+        if want["type"] in ("float", "integer") and not want.get("min", v) <= v <= want.get("max", v):
+            wrong.append(f"{name} must be within {want.get('min')} and {want.get('max')}")
+        if "options" in want and v not in want["options"]:
+            wrong.append(f"{name} must be one of {want['options']}")
+    return sorted(wrong)
+
+
 def exact_duplicates(docs: DataFrame) -> DataFrame:
     """(keep, copies): texts that occur more than once, by the smallest id, without gathering a group."""
     return docs.where("text is not null").groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("keep"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("keep", "copies")

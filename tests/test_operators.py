@@ -33,7 +33,7 @@ def test_pack_respects_budget_and_overlap():
 
 def test_bm25_okapi_negative_idf(spark):
     d = spark.createDataFrame([(1, "a b"), (2, "a c"), (3, "a"), (4, "d")], "doc_id long, text string")
-    idf = {r.term: r.idf for r in lexical.term_stats(lexical.term_counts(d)).collect()}
+    idf = {r.term: r.idf for r in lexical.term_stats(lexical.corpus(d)).collect()}
     assert idf["a"] > 0 and idf["b"] == pytest.approx(0.847298, abs=1e-6)
 
 
