@@ -90,14 +90,14 @@ def find_entities(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     known = patterns.select(F.lower("alias"), "name", "type").where("alias <> ''").distinct().limit(MAX_ALIASES + 1).collect()
     if len(known) > MAX_ALIASES:
         raise ValueError(f"more than {MAX_ALIASES} aliases")
-    rows = sorted(tuple(r) for r in known)
+    rows = docs.sparkSession.sparkContext.broadcast(sorted(tuple(r) for r in known))
 
     @F.pandas_udf("array<struct<name:string,type:string,start:int,end:int,confidence:double>>")
     def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import ahocorasick
 
         by_alias: dict[str, list[tuple[str, str]]] = {}
-        for alias, name, kind in rows:
+        for alias, name, kind in rows.value:
             by_alias.setdefault(alias, []).append((name, kind))
         machine = ahocorasick.Automaton()
         for alias, names in by_alias.items():

@@ -13,14 +13,31 @@ def _seq() -> W:
 def _before() -> tuple[F.Column, F.Column]:
     label, last = F.col("label"), F.lag("label", 1, "O").over(_seq())
     inside = label.startswith("I-")
-    fits = (last.startswith("B-") | last.startswith("I-")) & (F.substring(last, 3, 1000) == F.substring(label, 3, 1000))
+    fits = (last.startswith("B-") | last.startswith("I-")) & (F.substr(last, F.lit(3)) == F.substr(label, F.lit(3)))
     return inside, fits
 
 
 def repair(seq: DataFrame) -> DataFrame:
     """An I- label without its B- or I- before becomes B-; the kind stays, so the label before decides alone."""
     inside, fits = _before()
-    return seq.withColumn("label", F.when(inside & ~fits, F.concat(F.lit("B-"), F.substring("label", 3, 1000))).otherwise(F.col("label")))
+    return seq.withColumn("label", F.when(inside & ~fits, F.concat(F.lit("B-"), F.substr("label", F.lit(3)))).otherwise(F.col("label")))
+
+
+def cleaned(seq: DataFrame, bad: float = 0.3) -> DataFrame:
+    """Sentences of two tokens or more, without blank tokens, trimmed and numbered anew.
+
+    ValueError if a label is none of O, B- and I- with a name, or if more than the share ``bad`` of the sentences is lost.
+    """
+    sent, token = W.partitionBy("sent_id"), F.trim("token")
+    kept = seq.where(token != "").withColumns({"token": token, "_n": F.count(F.lit(1)).over(sent)}).where("_n >= 2")
+    wrong = F.sum((~F.coalesce(F.col("label").rlike(r"^(O|[BI]-.+)$"), F.lit(False))).cast("long"))
+    given, labels = seq.agg(F.countDistinct("sent_id"), wrong).first()
+    if labels:
+        raise ValueError(f"{labels} labels are malformed")
+    stay = kept.select(F.countDistinct("sent_id")).first()[0]
+    if given and (given - stay) / given > bad:
+        raise ValueError(f"{given - stay} of {given} sentences are unusable")
+    return kept.withColumn("pos", F.row_number().over(_seq()) - 1).drop("_n")
 
 
 def validity(seq: DataFrame) -> DataFrame:
@@ -34,7 +51,7 @@ def spans(seq: DataFrame) -> DataFrame:
     """(sent_id, name, start, end, value): gaps and islands over the running count of B- labels."""
     marked = seq.withColumn("island", F.sum(F.when(F.col("label").startswith("B-"), 1).otherwise(0)).over(_seq())).where("label <> 'O'")
     value = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]), " ")
-    g = marked.groupBy("sent_id", "island").agg(F.min_by(F.substring("label", 3, 1000), "pos").alias("name"), F.min("pos").alias("start"), F.max("pos").alias("end"), value.alias("value"))
+    g = marked.groupBy("sent_id", "island").agg(F.min_by(F.substr("label", F.lit(3)), "pos").alias("name"), F.min("pos").alias("start"), F.max("pos").alias("end"), value.alias("value"))
     return g.select("sent_id", "name", "start", "end", "value")
 
 

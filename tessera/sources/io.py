@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def text_folder(spark: SparkSession, path: str, glob: str = "*.md") -> DataFrame:
     """(source_file, text) of all files below a folder that match; unreadable ones are skipped."""
@@ -63,7 +65,15 @@ def latest(spark: SparkSession, folder: str, glob: str) -> str | None:
 
 def weighted_dictionary(spark: SparkSession, path: str) -> DataFrame:
     """(term, weight) from ``{term: {weight}}``, ``{vocabulary: {term: number}}`` or ``{term: number}``."""
-    raw = spark.read.option("wholetext", True).text(path)
+    return _weights(spark.read.option("wholetext", True).text(path))
+
+
+def dictionary_content(spark: SparkSession, content: bytes | str) -> DataFrame:
+    """The same from a file's content instead of its name."""
+    return _weights(spark.createDataFrame([(content.decode("utf-8") if isinstance(content, bytes) else content,)], "value string"))
+
+
+def _weights(raw: DataFrame) -> DataFrame:
     heavy = F.map_filter(F.from_json("value", "map<string,struct<weight:double>>"), lambda k, v: v["weight"].isNotNull())
     nested = F.from_json(F.get_json_object("value", "$.vocabulary"), "map<string,double>")
     plain = F.map_filter(F.from_json("value", "map<string,double>"), lambda k, v: v.isNotNull())
@@ -83,16 +93,23 @@ def write_dictionary(phrases: DataFrame, path: str) -> None:
     phrases.write.mode("errorifexists").json(f"{path}/meta")
 
 
-def write_report(figures: DataFrame, path: str, title: str, most: int = 1000) -> None:
-    """A Markdown table of at most ``most`` rows, a report's length, as one text file."""
-    rows = figures.limit(most).collect()
+def write_report(figures: DataFrame, path: str, title: str) -> None:
+    """All rows, in their order, as a Markdown table in one text file."""
+    spark = figures.sparkSession
+    cells = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in figures.columns]
     head = [f"# {title}", "", "| " + " | ".join(figures.columns) + " |", "|" + "-|" * len(figures.columns)]
-    text = "\n".join(head + ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows])
-    figures.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    top = spark.createDataFrame([(x,) for x in head], "value string").coalesce(1)
+    rows = figures.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("value"))
+    top.union(rows).coalesce(1).write.mode("overwrite").text(path)
 
 
-def vocabulary(spark: SparkSession, path: str) -> DataFrame:
-    """(category, term, type, frequency, synonyms) from one JSON object of terms a file, named by category."""
+def vocabulary(spark: SparkSession, path: str, fallback: str | None = None) -> DataFrame:
+    """(category, term, type, frequency, synonyms) from one JSON object of terms a file, named by category.
+
+    A folder without such a file is replaced by the fallback's.
+    """
+    if fallback and latest(spark, path, "*.json") is None:
+        path = fallback
     raw = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(path)
     entry = "map<string,struct<type:string,frequency:bigint,synonyms:array<string>,category:string>>"
     rows = raw.select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1).alias("category"), F.explode(F.from_json("value", entry)).alias("term", "e"))
@@ -104,30 +121,81 @@ def synonym_lines(vocab: DataFrame) -> DataFrame:
     return vocab.where(F.size("synonyms") > 0).select(F.array_join(F.array_distinct(F.concat(F.array("term"), "synonyms")), ",").alias("value"))
 
 
-def upsert_index(new: DataFrame, path: str, key: str = "id", partition: str | None = None) -> None:
-    """Rows of the new table replace those of the same key.
+def upsert_index(new: DataFrame, path: str, key: str = "id", buckets: int = 64) -> None:
+    """Rows of the new table replace those of the same key; the rest of their buckets stays, and other buckets aren't read.
 
-    The result is written beside the table and swapped in by name; the old table goes only once the new one is in place.
+    The table is laid out by a hash of the key in a column that names the number of buckets. A batch's buckets are written to
+    the shared folder first, so that the table is never read while it is overwritten, and a batch that is run again gives
+    the same table. Columns that only one side has are null in the other's rows.
     """
-    spark = new.sparkSession
-    jvm = spark.sparkContext._jvm
-    target, staged = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path + "_staged")
+    spark, bucket = new.sparkSession, f"_bucket{buckets}"
+    out = new.withColumn(bucket, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    if _exists(spark, path):
+        old = spark.read.parquet(path)
+        if bucket not in old.columns:
+            raise ValueError(f"{path} isn't laid out in {buckets} buckets")
+        touched = [r[0] for r in out.select(bucket).distinct().collect()]
+        out = old.where(F.col(bucket).isin(touched)).join(new.select(key), key, "left_anti").unionByName(out, allowMissingColumns=True)
+    cut(out).repartition(bucket).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(bucket).parquet(path)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def rewrite_conll(seq: DataFrame, path: str) -> None:
+    """The sentences in place of those at path, which stay beside it as ``<path>_backup``; the new file is whole before it is moved."""
+    spark = seq.sparkSession
+    made = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    target, staged, backup = made(path), made(path + "_staged"), made(path + "_backup")
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    out = new
+    fs.delete(staged, True)
+    write_conll(seq, path + "_staged")
     if fs.exists(target):
-        old = spark.read.parquet(path)
-        out = old.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
-    writer = out.write.mode("overwrite")
-    (writer.partitionBy(partition) if partition else writer).parquet(path + "_staged")
-    before = jvm.org.apache.hadoop.fs.Path(path + "_before")
-    fs.delete(before, True)
-    if fs.exists(target) and not fs.rename(target, before):
-        raise OSError(f"can't move {path}")
+        fs.delete(backup, True)
+        if not fs.rename(target, backup):
+            raise OSError(f"can't move {path}")
     if not fs.rename(staged, target):
-        fs.rename(before, target)
+        fs.rename(backup, target)
         raise OSError(f"can't move {path}_staged to {path}")
-    fs.delete(before, True)
 
 
-def append_log(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").json(path)
+def _ordinal(rows: DataFrame, column: str) -> Column:
+    """The place, from 0, of a row whose column has an increasing id of Spark's; brings one count a partition to the driver."""
+    part, starts, at = F.shiftright(column, 33), [], 0
+    for p, n in rows.groupBy(part.alias("p")).agg(F.countDistinct(column)).orderBy("p").collect():
+        starts += [F.lit(p), F.lit(at)]
+        at += n
+    return F.create_map(*starts)[part] + F.col(column).bitwiseAND(F.lit((1 << 33) - 1)) if starts else F.lit(None).cast("long")
+
+
+def golden_set(spark: SparkSession, intents: str, slots: str) -> DataFrame:
+    """(place, query, intent, tokens, labels): the n-th query of a CSV file with the n-th sentence of a label file.
+
+    Both are single files in their order. Unequal numbers of rows raise ValueError.
+    """
+    q = labelled_csv(spark, intents).select("query", "intent").withColumn("at", F.monotonically_increasing_id())
+    words = F.array_sort(F.collect_list(F.struct("pos", "token", "label")))
+    s = conll(spark, slots).groupBy("sent_id").agg(words.alias("w")).select("sent_id", F.col("w.token").alias("tokens"), F.col("w.label").alias("labels"))
+    q, s = q.withColumn("place", _ordinal(q, "at")).drop("at"), s.withColumn("place", _ordinal(s, "sent_id")).drop("sent_id")
+    a, b = q.count(), s.count()
+    if a != b:
+        raise ValueError(f"{a} queries, but {b} sentences")
+    return q.join(s, "place").select("place", "query", "intent", "tokens", "labels")
+
+
+def write_splits(rows: DataFrame, path: str, split: str = "split", names: tuple[str, ...] = ("train", "val", "test")) -> None:
+    """Each split in a folder of its name: label files for (sent_id, pos, token, label), else CSV with a header."""
+    sequences = {"sent_id", "pos", "token", "label"} <= set(rows.columns)
+    for name in names:
+        part = rows.where(F.col(split) == name).drop(split)
+        if sequences:
+            write_conll(part, f"{path}/{name}")
+        else:
+            part.write.mode("errorifexists").option("escape", '"').csv(f"{path}/{name}", header=True)
+
+
+def append_log(rows: DataFrame, path: str, most: int = 100_000) -> None:
+    """JSON lines beside those that are there; a file that has ``most`` rows is followed by another."""
+    rows.write.mode("append").option("maxRecordsPerFile", most).json(path)

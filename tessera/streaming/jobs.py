@@ -2,52 +2,82 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.lexical import term_counts
 
+#: The heading of a list answer and the mark that ends an item.
+_HEADING, _SOURCE = re.compile(r"共\d+个"), re.compile(r"\[来源[0-9,，]+\]")
+
 
 def index_documents(stream: DataFrame, postings: str, checkpoint: str) -> StreamingQuery:
-    """Write each micro-batch's postings to a folder of its own, so that a batch that is run again replaces itself."""
+    """Write each micro-batch's postings to a folder of its own, so that a batch that is run again replaces itself.
+
+    A document without tokens has one row without a term, so that ``current_postings`` can forget its older ones.
+    """
 
     def save(batch: DataFrame, number: int) -> None:
-        term_counts(batch.dropDuplicates(["doc_id"])).write.mode("overwrite").parquet(f"{postings}/batch={number}")
+        once = batch.dropDuplicates(["doc_id"])
+        rows = once.select("doc_id").join(term_counts(once), "doc_id", "left")
+        rows.write.mode("overwrite").parquet(f"{postings}/batch={number}")
 
     return stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def current_postings(spark: SparkSession, postings: str) -> DataFrame:
+    """The postings of each document in the last batch that held it, so that one that comes again counts once."""
+    rows = spark.read.parquet(postings)
+    last = rows.groupBy("doc_id").agg(F.max("batch").alias("batch"))
+    return rows.join(last, ["doc_id", "batch"], "left_semi").where("term is not null").drop("batch")
+
+
 def query_log(stream: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """(window, event_type, n, mean) of a log (ts, event_type, value)."""
     g = stream.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type")
     return g.agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"))
 
 
-class ListParser(StatefulProcessor):
-    """Turns pieces of an answer into lines: text up to each source mark ``[n]``; the rest waits in the state."""
+def list_lines(text: str, headed: bool) -> tuple[list[str], str, bool]:
+    """The whole lines at the start of a list answer's text, the rest without blanks before it, and whether its heading has been given.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getValueState("held", "text string")
+    A line is the heading, once, where it starts what is left, or an item with a tab before it up to its source mark.
+    """
+    lines, at, text = [], 0, text.lstrip()
+    while found := (None if headed else _HEADING.match(text, at)) or _SOURCE.search(text, at):
+        heading = found.re is _HEADING
+        headed = headed or heading
+        lines.append(found.group() if heading else "\t" + text[at : found.end()].strip())
+        at = len(text) - len(text[found.end() :].lstrip())
+    return lines, text[at:], headed
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        import re
 
-        text = self.held.get()[0] if self.held.exists() else ""
-        for part in rows:
-            text += "".join(part.sort_values("seq")["piece"])
-        *done, rest = re.split(r"\[(?:来源)?\d+\]", text)
-        self.held.update((rest,))
-        lines = [d.strip() for d in done if d.strip()]
-        yield pd.DataFrame({"answer_id": [key[0]] * len(lines), "line": lines})
-
-    def close(self) -> None:
-        pass
+def _answer(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    text, headed, given = state.get if state.exists else ("", False, 0)
+    rows = pd.concat(list(parts)).sort_values("seq")
+    lines, text, headed = list_lines(text + "".join(x for x in rows["piece"] if x), headed)
+    if rows["last"].fillna(False).astype(bool).any():
+        lines += [text] if text.strip() else []
+        if state.exists:
+            state.remove()
+    else:
+        state.update((text, headed, given + len(lines)))
+    yield pd.DataFrame({"answer_id": [key[0]] * len(lines), "n": range(given, given + len(lines)), "line": lines})
 
 
 def parse_lists(pieces: DataFrame) -> DataFrame:
-    """(answer_id, line) from a stream of (answer_id, seq, piece)."""
-    return pieces.groupBy("answer_id").transformWithStateInPandas(ListParser(), "answer_id long, line string", "Append", "None")
+    """(answer_id, n, line) from a stream of (answer_id, seq, piece, last): what waits is given out, and forgotten, with the last piece."""
+    g = pieces.select("answer_id", "seq", "piece", "last").groupBy("answer_id")
+    return g.applyInPandasWithState(_answer, "answer_id long, n long, line string", "held string, headed boolean, given long", "append", GroupStateTimeout.NoTimeout)
+
+
+def full_text(pieces: DataFrame) -> DataFrame:
+    """(answer_id, text): the pieces (answer_id, seq, piece) of each answer in their order, as one text."""
+    ordered = F.array_sort(F.collect_list(F.struct("seq", F.coalesce("piece", F.lit("")).alias("piece"))))
+    return pieces.groupBy("answer_id").agg(F.array_join(F.transform(ordered, lambda x: x["piece"]), "").alias("text"))
