@@ -516,15 +516,15 @@ diversity_order fallback_stats overlap_counts low_score_queries frame_accuracy s
 
 
 def queries() -> dict:
-    from . import catalog_more
+    from . import catalog_more, catalog_terms
 
-    found = {n: globals()[n] for n in _NAMES} | catalog_more.queries()
+    found = {n: globals()[n] for n in _NAMES} | catalog_more.queries() | catalog_terms.queries()
     return found | {f"score_norm_{m}": _norm(m) for m in ("clamp", "minmax", "log_minmax", "zscore")}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import catalog_more
+    from . import catalog_more, catalog_terms
     from .catalog_sql import SQL
     from .catalog_sql_more import SQL as MORE
 
-    return SQL | MORE | catalog_more.SQL
+    return SQL | MORE | catalog_more.SQL | catalog_terms.SQL
