@@ -79,26 +79,39 @@ def chunks(bounds: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[int, int]]
         i = j
 
 
+def runs(inside: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last byte of each run of bytes inside, in order; runs end at the bounds of rows."""
+    n = len(inside)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    starts = inside.copy()
+    starts[1:] &= ~inside[:-1]
+    ends = inside.copy()
+    ends[:-1] &= ~inside[1:]
+    edges = bounds[1:-1]
+    edges = edges[(edges > 0) & (edges < n)]
+    starts[edges] = inside[edges]
+    ends[edges - 1] = inside[edges - 1]
+    return np.flatnonzero(starts), np.flatnonzero(ends)
+
+
+def run_hashes(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A hash of the values from each first to each last place, the same wherever the run lies."""
+    n = len(values)
+    if not n:
+        return np.zeros(0, np.uint64)
+    total = np.cumsum(values.astype(np.uint64) * _power(_BASE, n))
+    before = np.where(first > 0, total[first - 1], np.uint64(0))
+    return mix((total[last] - before) * _power(_INVERSE, n)[first])
+
+
 def words(data: np.ndarray, bounds: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in order, and the bounds of each row's words."""
-    n = len(data)
-    if not n:
+    if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64)
     b = table[data]
-    is_word = b > 0
-    starts = is_word.copy()
-    starts[1:] &= ~is_word[:-1]
-    ends = is_word.copy()
-    ends[:-1] &= ~is_word[1:]
-    edges = bounds[1:-1]
-    edges = edges[(edges > 0) & (edges < n)]
-    starts[edges] = is_word[edges]
-    ends[edges - 1] = is_word[edges - 1]
-    s, e = np.flatnonzero(starts), np.flatnonzero(ends)
-    total = np.cumsum(b.astype(np.uint64) * _power(_BASE, n))
-    before = np.where(s > 0, total[s - 1], np.uint64(0))
-    h = mix((total[e] - before) * _power(_INVERSE, n)[s])
-    return h, np.searchsorted(s, bounds)
+    s, e = runs(b > 0, bounds)
+    return run_hashes(b, s, e), np.searchsorted(s, bounds)
 
 
 def shingles(h: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

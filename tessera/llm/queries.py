@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import ann, chat, decontaminate, html_text, langid, mixing, ngram_join, quality, token_rollup, url_filter
-from .store import crc_mod, shared_dir
+from . import alignment, ann, chat, decontaminate, html_text, langid, merkle, mixing, ngram_join, quality, quality_rules, token_rollup, url_filter
+from . import sql as _more_sql
+from .store import Scratch, crc_mod, shared_dir
 
 RULES = [
     url_filter.Rule("com", "/", "allow"),
@@ -117,6 +118,32 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
+def rule_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base rules and, in each language, the rules whose cutoffs the labelled documents certify."""
+    measured = quality_rules.measure(table(spark, sf_dir, "documents").select("doc_id", "lang", "text")).drop("text")
+    measured = Scratch(spark, "rules").cut(measured)
+    found = quality_rules.thresholds(measured, table(spark, sf_dir, "labels"))
+    judged = quality_rules.judge(measured, found)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.digest(alignment.align(docs, f"{TOKENIZER_PATH}/byte_bpe_50k.json", f"{TOKENIZER_PATH}/piece_bpe_32k.model"))
+
+
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row's leaf, roots and proof, and the root that a leaf gives whose n_chars is one too many where 7 divides crc32(doc_id)."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    leaf = lambda n: merkle.leaf(F.col("doc_id"), F.col("source"), F.col("lang"), n, F.col("text"))
+    more = leaf(F.col("n_chars").cast("decimal(20, 0)") + 1)
+    tampered = F.when((crc_mod(F.col("doc_id"), 7) == 0) & F.col("n_chars").isNotNull(), more)
+    rows = docs.select("doc_id", "lang", leaf(F.col("n_chars")).alias("leaf"), tampered.alias("tampered"))
+    found = merkle.manifest(rows, "lang", "doc_id", ("tampered",))
+    found = found.withColumns({"proof_sha256": merkle.proof(F.col("path")), "folded_root": merkle.fold(F.coalesce("tampered", "leaf"), F.col("path"))})
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def queries() -> dict:
     return {
         "op1_html_text": html_text_,
@@ -129,6 +156,9 @@ def queries() -> dict:
         "op8_language": language,
         "op9_ngram_jaccard": ngram_jaccard,
         "op10_token_rollup": token_counts,
+        "op11_quality_rules": rule_verdicts,
+        "op12_token_alignment": token_alignment,
+        "op13_merkle_manifest": merkle_manifest,
     }
 
 
@@ -141,7 +171,7 @@ l as materialized (select x, y from p where 100 * c >= 85 * (total - c)),
 r(x, y) as (select doc_id, doc_id from s union select r.x, l.y from r join l on r.y = l.x)
 select s.doc_id, len(s.s) n_shingles, min(r.y) component_id from s join r on r.x = s.doc_id group by s.doc_id, s.s"""
 
-SQL = {"op9_ngram_jaccard": _NGRAM_JACCARD}
+SQL = {"op9_ngram_jaccard": _NGRAM_JACCARD, **_more_sql.SQL}
 
 
 def oracle_sql() -> dict[str, str]:
