@@ -1,9 +1,10 @@
 """Alignment of two tokenizers' tokens over the same bytes.
 
-Both tokenizers encode each text; an Arrow function returns the ids and the byte offsets where tokens end. All else is Spark's higher-order
-functions: ``array_intersect`` of the end arrays gives the offsets where tokens of both end, which cut them into groups; ``transform``,
+Both tokenizers encode each text; an Arrow function returns the ids, the place of each token's last byte, and its number of bytes. All else is Spark's
+higher-order functions: ``array_intersect`` of the ends gives the bytes where tokens of both end, which cut them into groups; ``transform``,
 ``array_repeat`` and ``flatten`` give the token that covers each byte, so that the last tokens of a group are looked up in one step and work
-stays linear in the text. The two tokens that end together are linked; links of a pair of ids are counted over the corpus, and each link of a
+stays linear in the text. Bulk functions and lambdas are in selects of their own, each with a column that the next one reads twice: so the
+optimizer keeps them apart, and nothing bulky is computed anew for each element. The two tokens that end together are linked; links of a pair of ids are counted over the corpus, and each link of a
 document is held against the count of its pair and the highest of its B id.
 
 Counts are summed to one row for each task and pair before the shuffle. They are sent to all executors if they fit; else the pairs
@@ -25,6 +26,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .hashing import buffers, chunks
@@ -34,7 +36,7 @@ from .store import BROADCAST_BYTES, Scratch, lean_workers
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: White space beyond which the pattern is left to the slower library, as the faster one runs out of stack.
 LONG_GAP = re.compile(r"\s{50000}")
-_TOKENS = "a array<int>, a_end array<int>, b array<int>, b_end array<int>"
+_TOKENS = "a array<int>, a_last array<int>, a_size array<int>, b array<int>, b_last array<int>, b_size array<int>"
 
 
 # -- tokenising --------------------------------------------------------------------------------------------------------
@@ -111,24 +113,25 @@ def _lists(rows: list[np.ndarray]) -> pa.ListArray:
 
 
 def tokens_of(texts: list[str | None], a_path: str, b_path: str) -> list[pa.ListArray]:
-    """Ids and ends of both tokenizers; none for texts that are null, empty or not given back."""
+    """Ids, last bytes and sizes of both tokenizers; none for texts that are null, empty or not given back."""
     a, b = _loaded(Bytes, a_path), _loaded(Pieces, b_path)
-    out, none = ([], [], [], []), np.zeros(0, np.int32)
+    out, none = [[] for _ in range(6)], np.zeros(0, np.int32)
     for text, y in zip(texts, b.encode([t or "" for t in texts]), strict=True):
-        row = (none, none, none, none)
+        row = (none,) * 6
         if text:
             whole = (" " + text).encode()
             x = a.encode(" " + text)
             if b"".join(map(a.bytes.__getitem__, x)) == whole and b"".join(map(b.bytes.__getitem__, y)) == whole:
                 x, y = np.array(x, np.int32), np.array(y, np.int32)
-                row = (x, np.cumsum(a.length[x]), y, np.cumsum(b.length[y]))
+                n, m = a.length[x], b.length[y]
+                row = (x, np.cumsum(n) - 1, n, y, np.cumsum(m) - 1, m)
         for col, v in zip(out, row, strict=True):
             col.append(v)
     return [_lists(c) for c in out]
 
 
 def tokenise(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(row, key, a, a_end, b, b_end): a row of docs and its tokens; batches are cut to a piece of text at a time."""
+    """(row, key, a, a_last, a_size, b, b_last, b_size): a row of docs and its tokens; batches are cut to a piece of text at a time."""
     lean_workers(docs.sparkSession)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
@@ -139,7 +142,7 @@ def tokenise(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", tex
             for i, j in chunks(bounds, 1 << 20):
                 part = batch.slice(i, j - i)
                 cols = tokens_of(part.column("text").to_pylist(), a_path, b_path)
-                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("key"), *cols], ["row", "key", "a", "a_end", "b", "b_end"])
+                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("key"), *cols], ["row", "key", *[c.split()[0] for c in _TOKENS.split(", ")]])
 
     return rows.mapInArrow(encode, f"row long, key {kind}, {_TOKENS}").withColumnRenamed("key", key)
 
@@ -147,45 +150,49 @@ def tokenise(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", tex
 # -- groups and links --------------------------------------------------------------------------------------------------
 
 
-def _let(value: Column, body) -> Column:
-    """body(value), whose argument is computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def meeting(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(row, key, a, b, a_at, b_at): the ids, and for each byte where tokens of both end the places of these tokens."""
+    over = lambda size: F.flatten(F.transform(size, lambda n, i: F.array_repeat(i, n)))
+    bulk = tokens.select("row", key, "a", "b", F.array_intersect("a_last", "b_last").alias("ends"), over("a_size").alias("over_a"), over("b_size").alias("over_b"))
+    at = lambda c: F.transform("ends", lambda e: F.get(c, e))
+    return bulk.select("row", key, "a", "b", at("over_a").alias("a_at"), at("over_b").alias("b_at"))
 
 
-def _covering(ends: Column) -> Column:
-    """For each byte, the place of the token that covers it."""
-    return F.flatten(F.transform(ends, lambda end, i: F.array_repeat(i, end - F.coalesce(F.get(ends, i - 1), F.lit(0)))))
-
+def pair(a: Column, b: Column) -> Column:
+    return F.shiftleft(a.cast("long"), 32) + b
 
-def groups(a: str = "a", a_end: str = "a_end", b: str = "b", b_end: str = "b_end") -> Column:
-    """array<struct<end, a, b>>: the ids of both up to each byte offset where tokens of both end."""
-    known = F.struct(F.array_intersect(a_end, b_end).alias("ends"), _covering(F.col(a_end)).alias("a"), _covering(F.col(b_end)).alias("b"))
 
-    def cut(lasts: Column) -> Column:
-        def one(x: Column, i: Column) -> Column:
-            before = F.get(lasts, i - 1)
-            part = lambda ids, name: F.slice(ids, F.coalesce(before[name] + 2, F.lit(1)), F.coalesce(x[name] - before[name], x[name] + 1)).alias(name)
-            return F.struct(x["end"].alias("end"), part(a, "a"), part(b, "b"))
+def links(a: str = "a", b: str = "b", a_at: str = "a_at", b_at: str = "b_at") -> Column:
+    """array<long>: the pair of ids of each link; tokens have bytes, so each place where both end has one."""
+    return F.zip_with(a_at, b_at, lambda x, y: pair(F.get(a, x), F.get(b, y)))
 
-        return F.transform(lasts, one)
 
-    lasts = lambda t: F.transform(t["ends"], lambda e: F.struct(e.alias("end"), F.get(t["a"], e - 1).alias("a"), F.get(t["b"], e - 1).alias("b")))
-    return _let(known, lambda t: _let(lasts(t), cut))
+def _before(at: str) -> Column:
+    """The places before those of ``at``: -1, then all but the last."""
+    return F.when(F.size(at) > 0, F.concat(F.array(F.lit(-1)), F.slice(at, 1, F.size(at) - 1))).otherwise(F.col(at))
 
 
-def pair(a: Column, b: Column) -> Column:
-    return F.shiftleft(a.cast("long"), 32) + b
+def groups(met: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(row, key, n_a, n_b, groups): the ids of both up to each byte where both end, array<struct<a, b>>."""
+    apart = met.select("row", key, "a", "b", "a_at", "b_at", _before("a_at").alias("a_from"), _before("b_at").alias("b_from"))
+    part = lambda ids, before, at: F.zip_with(before, at, lambda p, x: F.slice(ids, p + 2, x - p))
+    both = F.zip_with(part("a", "a_from", "a_at"), part("b", "b_from", "b_at"), lambda x, y: F.struct(x.alias("a"), y.alias("b")))
+    return apart.select("row", key, F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b"), both.alias("groups"))
 
 
-def links(found: Column) -> Column:
-    """array<long>: the pair of ids of each link, one link for each group."""
-    return F.transform(found, lambda g: pair(F.element_at(g["a"], -1), F.element_at(g["b"], -1)))
+def spelled(met: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(row, key, n_a, n_b, links, text): the groups as text, with ids of A, a bar and ids of B, and semicolons between groups."""
+    ids = met.select(
+        "row", key, "a_at", "b_at", F.col("a").cast("array<string>").alias("a"), F.col("b").cast("array<string>").alias("b"), links().alias("links"),
+        _before("a_at").alias("a_from"), _before("b_at").alias("b_from"),
+    )
 
+    def part(ids_: str, before: str, at: str) -> Column:
+        one = lambda p, x: F.when(x - p == 1, F.get(ids_, x)).otherwise(F.array_join(F.slice(ids_, p + 2, x - p), ","))
+        return F.zip_with(before, at, one)
 
-def spelled(found: Column) -> Column:
-    """The groups as text: ids of A, a bar, ids of B, with semicolons between groups."""
-    ids = lambda x: F.array_join(x.cast("array<string>"), ",")
-    return F.array_join(F.transform(found, lambda g: F.concat(ids(g["a"]), F.lit("|"), ids(g["b"]))), ";")
+    whole = F.array_join(F.zip_with(part("a", "a_from", "a_at"), part("b", "b_from", "b_at"), lambda x, y: F.concat(x, F.lit("|"), y)), ";")
+    return ids.select("row", key, F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b"), "links", whole.alias("text"))
 
 
 def pair_counts(linked: DataFrame, col: str = "links") -> DataFrame:
@@ -193,8 +200,6 @@ def pair_counts(linked: DataFrame, col: str = "links") -> DataFrame:
 
     The window holds the pairs of one B id: at most as many as A has ids.
     """
-    from pyspark.sql import Window as W
-
     counted = linked.select(F.explode(col).alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("times"))
     most = F.max("times").over(W.partitionBy(F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF))))
     return counted.select("pair", "times", (F.col("times") == most).alias("best"))
@@ -214,20 +219,20 @@ def held_against(linked: DataFrame, counts: DataFrame, row: str = "row", col: st
 
 
 def align(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(row, key, n_a, n_b, groups) of each document; ``links`` and ``spelled`` are made of groups."""
-    tokens = tokenise(docs, a_path, b_path, key, text)
-    return tokens.select("row", key, F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b"), groups().alias("groups"))
+    """(row, key, a, b, a_at, b_at) of each document: what ``groups``, ``links`` and ``digest`` are made of."""
+    return meeting(tokenise(docs, a_path, b_path, key, text), key)
 
 
-def digest(aligned: DataFrame, key: str = "doc_id") -> DataFrame:
+def digest(met: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256): each document's alignment against the corpus's counts.
 
     Links and digests are written once; the counts and the documents' sums read them.
     """
-    scratch = Scratch(aligned.sparkSession, "alignment")
-    sha = F.when(F.size("groups") > 0, F.sha2(spelled(F.col("groups")).cast("binary"), 256)).otherwise("")
-    rows = scratch.cut(aligned.select("row", key, "n_a", "n_b", F.size("groups").cast("long").alias("n_groups"), links(F.col("groups")).alias("links"), sha.alias("groups_sha256")))
+    scratch = Scratch(met.sparkSession, "alignment")
+    sha = F.when(F.size("links") > 0, F.sha2(F.col("text").cast("binary"), 256)).otherwise("")
+    rows = scratch.cut(spelled(met, key).select("row", key, "n_a", "n_b", "links", sha.alias("groups_sha256")))
     sums = held_against(rows.select("row", "links"), scratch.cut(pair_counts(rows)))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    out = rows.select("row", key, "n_a", "n_b", "n_groups", F.size("links").cast("long").alias("n_links"), "groups_sha256").join(sums, "row", "left")
+    n = F.size("links").cast("long")
+    out = rows.select("row", key, "n_a", "n_b", n.alias("n_groups"), n.alias("n_links"), "groups_sha256").join(sums, "row", "left")
     return out.select(key, "n_a", "n_b", "n_groups", "n_links", zero("n_best"), zero("count_sum"), "groups_sha256")

@@ -178,12 +178,15 @@ def test_alignment_equals_brute_force(spark):
     want = sorted(((i, *v) for (i, _), v in zip(ALIGNED + ALIGNED[:1], _brute([t for _, t in ALIGNED + ALIGNED[:1]]), strict=True)), key=str)
     assert _aligned(alignment.digest(alignment.align(docs, A, B))) == want
     assert alignment.digest(alignment.align(docs.limit(0), A, B)).count() == 0
+    spell = lambda g: hashlib.sha256(";".join(",".join(map(str, x.a)) + "|" + ",".join(map(str, x.b)) for x in g).encode()).hexdigest() if g else ""
+    found = alignment.groups(alignment.align(docs, A, B)).collect()
+    assert sorted(((x.doc_id, x.n_a, x.n_b, len(x.groups), spell(x.groups)) for x in found), key=str) == [(w[0], w[1], w[2], w[3], w[7]) for w in want]
 
 
 @needs_files
 def test_large_counts_meet_by_shuffle(spark):
     docs = spark.createDataFrame(ALIGNED, "doc_id long, text string")
-    rows = Scratch(spark, "test").cut(alignment.align(docs, A, B).select("row", alignment.links(F.col("groups")).alias("links")))
+    rows = Scratch(spark, "test").cut(alignment.align(docs, A, B).select("row", alignment.links().alias("links")))
     counts = alignment.pair_counts(rows)
     assert sorted(map(tuple, alignment.held_against(rows, counts, most=0).collect())) == sorted(map(tuple, alignment.held_against(rows, counts).collect()))
 
