@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from .functions import keywords, segment
 from .functions import text as T
-from .operators import chunking, evaluation, fields, graph, learning, lexical, querying, ranking, sequence, tagging, vocabulary
-from .session import bounded, cut, table
+from .operators import chunking, evaluation, fields, graph, learning, lexical, querying, ranking, sequence, tagging, textindex, vocabulary
+from .session import bounded, cut, scratch, table
 
 #: Inline patterns of the entity queries: name, type, alias.
 PATTERNS = [("the", "article", "the"), ("of", "link", "of"), ("to", "link", "to"), ("and", "link", "and"), ("para", "link", "para"), ("und", "link", "und"), ("la", "article", "la"), ("le", "article", "le")]
@@ -35,29 +35,47 @@ def _vector_queries(s: SparkSession, d: str) -> DataFrame:
     return _vectors(s, d).where(F.col("doc_id") % 50 == 0).select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("qv"), F.col("label").alias("query_label"))
 
 
+def _lexicon(s: SparkSession, d: str) -> textindex.TextIndex:
+    """The stored index of the documents' words, which the first query that needs it builds."""
+    return textindex.stored(_docs(s, d))
+
+
 def bm25_topk(s, d):
-    return lexical.top_k(lexical.bm25_scores(_docs(s, d), _asked(s, d)), 10)
+    return _lexicon(s, d).search(_asked(s, d), 10)
 
 
 def bm25_lucene_topk(s, d):
-    return lexical.top_k(lexical.bm25_scores(_docs(s, d), _asked(s, d), "lucene", 1.2), 10)
+    return _lexicon(s, d).search(_asked(s, d), 10, "lucene", 1.2)
 
 
 def term_stats(s, d):
-    return lexical.term_stats(lexical.corpus(_docs(s, d))).select("term", "df", F.round("idf", 6).alias("idf"))
+    return _lexicon(s, d).stats("okapi").select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def postings_stats(s, d):
-    tf = lexical.term_counts(_docs(s, d))
-    return tf.agg(F.count(F.lit(1)).alias("postings"), F.sum("tf").alias("tokens"), F.countDistinct("term").alias("terms"), F.max("tf").alias("max_tf"))
+    x = _lexicon(s, d).layers()
+    return x.agg(F.sum("n").alias("postings"), F.sum("freq").alias("tokens"), F.countDistinct("term").alias("terms"), F.max("max_tf").cast("long").alias("max_tf"))
 
 
 def sparse_top10(s, d):
-    return lexical.sparse_top_terms(lexical.weights(_docs(s, d)).withColumn("weight", F.round("weight", 9)))
+    return lexical.sparse_top_terms(_lexicon(s, d).weights().withColumn("weight", F.round("weight", 9)))
 
 
 def sparse_dot_search(s, d):
-    return lexical.sparse_dot(_docs(s, d), _asked(s, d))
+    return lexical.sparse_dot(_lexicon(s, d), _asked(s, d))
+
+
+def phrase_passages(s, d):
+    """Documents that hold all tokens of a passage in a row."""
+    return _lexicon(s, d).phrases(_asked(s, d))
+
+
+def phrase_pairs(s, d):
+    """For each pair of neighbours in the passages, the documents that hold it with at most one token between."""
+    t = _asked(s, d).select(T.tokens(F.col("text")).alias("t")).where("size(t) > 1")
+    pairs = t.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("t") - 1), lambda i: F.array_join(F.slice("t", i, 2), " "))).alias("query_id")).distinct()
+    found = _lexicon(s, d).phrases(pairs.withColumn("text", F.col("query_id")), 1)
+    return found.groupBy(F.col("query_id").alias("phrase")).agg(F.count(F.lit(1)).alias("documents"), F.sum("times").alias("times"))
 
 
 def knn_exact(s, d):
@@ -75,17 +93,17 @@ def _dense(s, d, k=20):
 
 
 def hybrid_weighted(s, d):
-    lex = lexical.top_k(lexical.bm25_scores(_docs(s, d), _asked(s, d)), 20)
+    lex = _lexicon(s, d).search(_asked(s, d), 20)
     return ranking.weighted(lex, _dense(s, d))
 
 
 def hybrid_rrf(s, d):
-    lex = lexical.top_k(lexical.bm25_scores(_docs(s, d), _asked(s, d)), 20)
+    lex = _lexicon(s, d).search(_asked(s, d), 20)
     return ranking.rrf([lex, _dense(s, d)])
 
 
 def _norm(method):
-    return lambda s, d: ranking.normalise(lexical.top_k(lexical.bm25_scores(_docs(s, d), _asked(s, d)), 10), method).select("query_id", "doc_id", "norm")
+    return lambda s, d: ranking.normalise(bm25_topk(s, d), method).select("query_id", "doc_id", "norm")
 
 
 def relevance_filter(s, d):
@@ -146,7 +164,7 @@ def phrase_weights(s, d):
 
 
 def vocab_coverage(s, d):
-    vocab = lexical.corpus(_docs(s, d)).where("term is not null and freq >= 50")
+    vocab = _lexicon(s, d).terms().where("freq >= 50")
     return lexical.coverage(_asked(s, d), vocab)
 
 
@@ -169,7 +187,7 @@ def token_filters(s, d):
 
 def _gold(s, d):
     """Documents that hold a passage verbatim; the passages are the stated batch."""
-    return cut(evaluation.holding(_docs(s, d), _asked(s, d)))
+    return cut(textindex.verbatim(_lexicon(s, d), _docs(s, d), _asked(s, d)))
 
 
 def retrieval_metrics(s, d):
@@ -181,11 +199,8 @@ def novelty_diversity(s, d):
 
 
 def _three_runs(s, d):
-    """The runs of both BM25 forms over one corpus table, and the dense one."""
-    docs, asked = _docs(s, d), _asked(s, d)
-    stats = lexical.corpus(docs)
-    okapi, lucene = (lexical.top_k(lexical.bm25_scores(docs, asked, v, k1, stats=stats), 10) for v, k1 in (("okapi", 1.5), ("lucene", 1.2)))
-    return [okapi, lucene, _dense(s, d, 10)]
+    """The runs of both BM25 forms and the dense one."""
+    return [bm25_topk(s, d), bm25_lucene_topk(s, d), _dense(s, d, 10)]
 
 
 def overlap3(s, d):
@@ -314,10 +329,13 @@ def log_last(s, d):
 
 
 def incremental_index(s, d):
-    """Counts of two batches of documents merged; equal to those of a full build."""
+    """The vocabulary of an index of two batches that are merged; equal to that of a full build."""
     docs = _docs(s, d)
-    old, new = (lexical.term_counts(docs.where(c)) for c in ("doc_id % 2 = 0", "doc_id % 2 <> 0"))
-    return old.unionAll(new).groupBy("term").agg(F.sum("tf").alias("freq"), F.count(F.lit(1)).alias("df"))
+    index = textindex.TextIndex.create(s, scratch(s, "index"))
+    for part in ("doc_id % 2 = 0", "doc_id % 2 <> 0"):
+        index.add(docs.where(part))
+    index.merge()
+    return index.terms()
 
 
 def filter_dsl(s, d):
@@ -373,15 +391,15 @@ def vocab_priority(s, d):
 
 def vocab_build(s, d):
     forced = s.createDataFrame([("the",), ("zzzz",)], "term string")
-    return vocabulary.build(lexical.term_counts(_docs(s, d)), 10, 500, forced)
+    return vocabulary.build(_lexicon(s, d).postings().select("doc_id", "term", F.col("tf").cast("long").alias("tf")), 10, 500, forced)
 
 
 def idf_summary(s, d):
-    return vocabulary.idf_summary(lexical.term_stats(lexical.corpus(_docs(s, d)), "lucene"))
+    return vocabulary.idf_summary(_lexicon(s, d).stats("lucene"))
 
 
 def idf_histogram(s, d):
-    return vocabulary.idf_histogram(lexical.term_stats(lexical.corpus(_docs(s, d)), "lucene"))
+    return vocabulary.idf_histogram(_lexicon(s, d).stats("lucene"))
 
 
 def category_boost(s, d):
@@ -432,7 +450,7 @@ def content_boosts(s, d):
 
 def variants_fusion(s, d):
     v = query_expand(s, d).select((F.col("query_id") * 16 + F.col("variant")).alias("query_id"), "text")
-    hits = lexical.top_k(lexical.bm25_scores(_docs(s, d), v), 20)
+    hits = _lexicon(s, d).search(v, 20)
     return fields.variants_fusion(hits.withColumn("query_id", F.floor(F.col("query_id") / 16)))
 
 
@@ -509,7 +527,7 @@ relevance_filter dynamic_lambda fallback_topup mmr_select exact_dedup best_field
 phrase_weights vocab_coverage token_len_hist vocab_jaccard_by_lang token_filters retrieval_metrics novelty_diversity overlap3 union_recall score_distribution
 confusion_matrix classification_report query_expand intent_route entity_match entity_pairs html_headings sentence_split coherence_score logical_blocks chunk_pack
 bio_repair bio_spans bio_validate token_context slot_f1 uncertainty_scores review_queue stratified_split prompt_assembly query_log_stats latency_percentiles log_last
-incremental_index filter_dsl cosine_pairs_hist cosine_all_pairs_hist
+incremental_index phrase_passages phrase_pairs filter_dsl cosine_pairs_hist cosine_all_pairs_hist
 sentence_count query_complexity token_shapes term_candidates vocab_merge vocab_priority vocab_build idf_summary idf_histogram category_boost synonym_check
 page_content_types keyword_scores phrase_mask multi_field mean_fusion content_boosts variants_fusion char_tfidf entity_find entity_relations score_summary
 diversity_order fallback_stats overlap_counts low_score_queries frame_accuracy sample_report token_positions slots_last crf_tags chunk_optimise""".split()

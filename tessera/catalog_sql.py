@@ -67,6 +67,8 @@ SQL = {
     "postings_stats": f"with {_TF} select count(*) postings, sum(tf)::bigint tokens, count(distinct term) terms, max(tf) max_tf from tf",
     "sparse_top10": f"with {_IDF}, w as (select doc_id, term, round(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)), 9) w from tf join idf using (term) join dl using (doc_id), n), x as (select doc_id, term, round(w / max(w) over (partition by doc_id), 6) weight from w where w > 0) select doc_id, term, weight, row_number() over (partition by doc_id order by weight desc, term) rank from x qualify rank <= 10",
     "sparse_dot_search": f"with {_IDF}, w as (select doc_id, term, idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)) w from tf join idf using (term) join dl using (doc_id), n), {_Q}, ql as (select query_id, sum(qtf) dl from q group by all), qn as (select count(*) n, avg(dl) avgdl from ql), qraw as (select term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) r from q, qn group by term, n), qidf as (select term, case when r < 0 then 0.25 * (select avg(r) from qraw) else r end i from qraw), qw as (select query_id, term, i * qtf * 2.5 / (qtf + 1.5 * (0.25 + 0.75 * dl / avgdl)) qw from q join qidf using (term) join ql using (query_id), qn), s as (select query_id, doc_id, round(sum(w * qw), 6) score from w join qw using (term) where w > 0 and qw > 0 group by all) select *, row_number() over (partition by query_id order by score desc, doc_id) rank from s qualify rank <= 10",
+    "phrase_passages": f"with t as (select doc_id, regexp_extract_all(lower(text), '{_TOKEN}') t from documents), d as (select doc_id, ' ' || array_to_string(t, '  ') || ' ' s from t), q as (select item_id query_id, ' ' || array_to_string(regexp_extract_all(lower(text), '{_TOKEN}'), '  ') || ' ' p from benchmark) select query_id, doc_id, (length(s) - length(replace(s, p, substr(p, 1, length(p) - 1)))) times from d join q on contains(s, p)",
+    "phrase_pairs": f"with t as (select doc_id, unnest(t) term, generate_subscripts(t, 1) pos from (select doc_id, regexp_extract_all(lower(text), '{_TOKEN}') t from documents)), b as (select item_id, unnest(t) term, generate_subscripts(t, 1) pos from (select item_id, regexp_extract_all(lower(text), '{_TOKEN}') t from benchmark)), p as (select distinct x.term a, y.term c from b x join b y on x.item_id = y.item_id and y.pos = x.pos + 1), n as (select *, lead(term, 1) over w n1, lead(term, 2) over w n2 from t window w as (partition by doc_id order by pos)), h as (select a || ' ' || c phrase, doc_id, count(*) times from n join p on term = a where n1 = c or n2 = c group by all) select phrase, count(*) documents, sum(times)::bigint times from h group by all",
     "knn_exact": f"{_KNN} select * from knn",
     "knn_filtered": f"with {_knn('knn', 'qv.vec_id % 50 = 0', 'v.label in (1, 3, 5)')} select * from knn",
     "hybrid_weighted": f"{_RUN20}, x as (select query_id, doc_id, round({_MM}, 6) * 0.5 part from run window w as (partition by query_id) union all select query_id, doc_id, round({_MM}, 6) * 0.5 from dense window w as (partition by query_id)), y as (select query_id, doc_id, round(sum(part), 7) score from x group by all) select *, row_number() over (partition by query_id order by score desc, doc_id) rank from y qualify rank <= 10",

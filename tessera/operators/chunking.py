@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import sentences as sentences_of
+
 LEVELS = range(1, 7)
 
 
@@ -89,6 +91,42 @@ def chunk(docs: DataFrame, sentences: Column, most: int = 512, overlap: int = 50
     return docs.select("doc_id", F.posexplode(packed(sentences)).alias("chunk", "text"))
 
 
+def split_large(chunks: DataFrame, most: int = 512, overlap: int = 50, beyond: float = 1.2, count: Callable[[str], int] | None = None) -> DataFrame:
+    """Chunks (..., text) of more than ``beyond`` times ``most`` tokens cut into pieces of whole sentences; the other columns stay with each.
+
+    ``piece`` counts from 0; chunks that are small enough are piece 0 as they are. Pieces overlap as in ``pack``; a longer sentence is a piece of its own.
+    """
+    counter = count or (lambda s: len(s.split()))
+
+    @F.pandas_udf("array<string>")
+    def pieces(text: pd.Series, said: pd.Series) -> pd.Series:
+        cut = lambda t, s: [t] if t is None or counter(t) <= most * beyond else pack(list(s), most, overlap, counter)
+        return pd.Series([cut(t, s) for t, s in zip(text, said, strict=True)], dtype=object)
+
+    rest = [F.col(c) for c in chunks.columns if c != "text"]
+    return chunks.select(*rest, F.posexplode(pieces(F.col("text"), sentences_of(F.col("text")))).alias("piece", "text"))
+
+
+def optimise_fully(chunks: DataFrame, tokens: Column, most: int = 512, overlap: int = 50) -> DataFrame:
+    """Small chunks joined to the one before (``optimise``), then those beyond 1.2 times ``most`` split with overlap: (doc_id, section, chunk, piece, text)."""
+    return split_large(optimise(chunks, tokens, most).drop("tokens"), most, overlap)
+
+
+def register_chunk_function(spark, name: str = "chunk_text", most: int = 512, overlap: int = 50) -> None:
+    """A table function name(text) -> (chunk, text) for SQL's lateral joins, packing sentences as ``chunk`` does."""
+    import re
+
+    end, semicolon, blank = re.compile(r"(?<=[。！？?!])\s*", re.ASCII), re.compile(r"(?<=;)"), " \t\n\x0b\f\r"
+
+    @F.udtf(returnType="chunk int, text string")
+    class ChunkText:
+        def eval(self, text: str):
+            said = [s.strip(blank) for p in end.split(text or "") for s in semicolon.split(p)]
+            yield from enumerate(pack([s for s in said if s not in ("", ";")], most, overlap, lambda s: len(s.split())))
+
+    spark.udtf.register(name, ChunkText)
+
+
 def optimise(chunks: DataFrame, tokens: Column, most: int = 512, least: float = 0.3) -> DataFrame:
     """Join small chunks to the one before: (doc_id, section, chunk, text) with less than ``least`` of ``most`` tokens.
 

@@ -180,3 +180,109 @@ def hashed_embedding(tokens: Column, size: int = 64) -> Column:
     counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(at, lambda x: x == i)).cast("double"))
     length = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
     return F.when(length > 0, F.transform(counts, lambda x: x / length)).otherwise(counts)
+
+
+# -- kernel machine, voting, interpretation ------------------------------------------------------------------------------
+
+
+def fourier_features(rows: DataFrame, size: int = 256, gamma: float = 1.0, seed: int = 42, vector: str = "features", out: str = "kernel") -> DataFrame:
+    """rows with ``out``: random Fourier features of a vector column, whose inner products tend to exp(-gamma |x - y|^2).
+
+    A linear machine over them is one with a radial kernel, trained in time linear in the rows. Only the components that are set are read, each
+    with a seeded row of weights.
+    """
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    @F.arrow_udf("array<double>")
+    def waves(x: pa.Array) -> pa.Array:
+        n = len(x)
+        flat = np.asarray(x.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(n, -1)
+        rng = np.random.default_rng(seed)
+        w = rng.standard_normal((flat.shape[1], size)) * np.sqrt(2 * gamma)
+        z = np.sqrt(2 / size) * np.cos(flat @ w + rng.uniform(0, 2 * np.pi, size))
+        return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * size), pa.array(z.ravel()))
+
+    return rows.withColumn(out, array_to_vector(waves(vector_to_array(vector))))
+
+
+class Voters:
+    """A logistic model, a kernel machine and a forest over the same features, whose probabilities are averaged by weight."""
+
+    WEIGHTS = (0.7, 0.2, 0.1)
+
+    def __init__(self, base: PipelineModel, logistic, kernel, forest, size: int, gamma: float) -> None:
+        self.base, self.logistic, self.kernel, self.forest, self.size, self.gamma = base, logistic, kernel, forest, size, gamma
+
+    @classmethod
+    def fit(cls, rows: DataFrame, features: int = 2000, size: int = 256, gamma: float = 1.0) -> Voters:
+        """Train on rows (text, label): the features once, then three models; the kernel machine is logistic, so its probabilities are calibrated."""
+        whole = classifier("lr", features)
+        base = Pipeline(stages=whole.getStages()[:-1]).fit(with_chars(rows))
+        ready = fourier_features(base.transform(with_chars(rows)).select("features", "y"), size, gamma).cache()
+        try:
+            logistic = LogisticRegression(maxIter=30, labelCol="y").fit(ready)
+            kernel = LogisticRegression(maxIter=50, regParam=1e-3, labelCol="y", featuresCol="kernel").fit(ready)
+            forest = RandomForestClassifier(seed=42, labelCol="y").fit(ready)
+        finally:
+            ready.unpersist()
+        return cls(base, logistic, kernel, forest, size, gamma)
+
+    @property
+    def labels(self) -> list[str]:
+        return list(self.base.stages[0].labels)
+
+    def predict(self, rows: DataFrame, weights: tuple[float, float, float] = WEIGHTS) -> DataFrame:
+        """rows with ``p_lr``, ``p_kernel``, ``p_rf``, the vote's ``probabilities`` and the ``predicted`` label."""
+        from pyspark.ml.functions import vector_to_array
+
+        at = fourier_features(self.base.transform(with_chars(rows)).drop("y", "tf", "tfidf", "grams"), self.size, self.gamma)
+        for name, model in (("lr", self.logistic), ("kernel", self.kernel), ("rf", self.forest)):
+            at = model.transform(at).withColumn(f"p_{name}", vector_to_array("probability")).drop("probability", "rawPrediction", "prediction")
+        known = len(self.labels)
+        at = at.withColumn("probabilities", F.slice(vote([F.col("p_lr"), F.col("p_kernel"), F.col("p_rf")], list(weights)), 1, known))
+        best = F.array_position("probabilities", F.array_max("probabilities")).cast("int")
+        return at.withColumn("predicted", F.element_at(F.array(*map(F.lit, self.labels)), best)).drop("features", "kernel")
+
+
+def permutation_importance(rows: DataFrame, names: list[str], predicted, truth: str, seed: int = 42) -> DataFrame:
+    """(feature, accuracy, drop): how much the share of right predictions falls when a feature's values change rows.
+
+    ``predicted`` gives a prediction column from the feature columns by name. Rows are dealt at random and each takes the value of the next row
+    of its slot, so that a feature's values move while their distribution stays; no slot grows with the table, and all features are scored in one pass.
+    """
+    n = max(1, rows.count() // 1000)
+    dealt = rows.withColumns({"_slot": F.floor(F.rand(seed) * n), "_at": F.rand(seed + 1)})
+    w = W.partitionBy("_slot").orderBy("_at")
+    moved = {f"_moved_{c}": F.coalesce(F.lead(c).over(w), F.first(c).over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))) for c in names}
+    both = dealt.withColumns(moved)
+    right = lambda changed: F.avg((predicted({c: F.col(f"_moved_{c}" if c == changed else c) for c in names}) == F.col(truth)).cast("double"))
+    got = both.agg(right(None).alias("_all"), *[right(c).alias(c) for c in names])
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("accuracy")) for c in names]))
+    return got.select("_all", each.alias("x")).select("x.feature", F.round("x.accuracy", 6).alias("accuracy"), F.round(F.col("_all") - F.col("x.accuracy"), 6).alias("drop"))
+
+
+def decision_rules(rows: DataFrame, names: list[str], label: str, depth: int = 3) -> DataFrame:
+    """(rule, label, rows): the paths of a small tree that stands in for a model, fitted to its predictions (a numeric label column).
+
+    The tree has at most 2 ** depth leaves, so its paths are read on the driver.
+    """
+    from pyspark.ml.classification import DecisionTreeClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    ready = VectorAssembler(inputCols=names, outputCol="x").transform(rows.select(*[F.col(c).cast("double").alias(c) for c in names], F.col(label).cast("double").alias("y")))
+    root = DecisionTreeClassifier(featuresCol="x", labelCol="y", maxDepth=depth, seed=42).fit(ready)._call_java("rootNode")
+    paths: list[tuple[str, float, int]] = []
+
+    def walk(node, held: list[str]) -> None:
+        if node.getClass().getSimpleName() == "LeafNode":
+            paths.append((" and ".join(held) or "true", float(node.prediction()), int(sum(node.impurityStats().stats()))))
+            return
+        split = node.split()
+        test = f"{names[split.featureIndex()]} <= {round(split.threshold(), 6)}"
+        walk(node.leftChild(), [*held, test])
+        walk(node.rightChild(), [*held, test.replace("<=", ">")])
+
+    walk(root, [])
+    return rows.sparkSession.createDataFrame(paths, "rule string, label double, rows long")

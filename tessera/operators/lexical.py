@@ -89,15 +89,11 @@ def sparse_top_terms(w: DataFrame, k: int = 10) -> DataFrame:
     return top_k(scaled, k, "doc_id", "weight", "term")
 
 
-def sparse_dot(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """Documents by the inner product of their sparse vectors with the query's (same weights, both sides)."""
-    q = cut(weights(queries.withColumnRenamed("query_id", "doc_id")).select(F.col("doc_id").alias("query_id"), "term", F.col("weight").alias("qw")))
-    stats = corpus(docs)
-    idf = bounded(term_stats(stats).join(bounded(q.select("term").distinct()), "term", "left_semi"))
-    tf = _tf(docs, tokens, q.select("term").distinct()).join(idf, "term").join(F.broadcast(corpus_size(stats).select("avgdl")))
-    w = tf.select("doc_id", "term", (F.col("idf") * saturation(1.5, 0.75)).alias("weight"))
-    dots = w.where("weight > 0").join(bounded(q.where("qw > 0")), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("weight") * F.col("qw")), 6).alias("score"))
-    return top_k(dots, k)
+def sparse_dot(index, queries: DataFrame, k: int = 10) -> DataFrame:
+    """Documents of a stored index by the inner product of their sparse vectors with the query's (same weights, both sides)."""
+    q = weights(queries.withColumnRenamed("query_id", "doc_id")).where("weight > 0")
+    idf = index.stats("okapi").where("idf > 0")
+    return index.best(q.join(idf, "term").select(F.col("doc_id").alias("query_id"), "term", (F.col("weight") * F.col("idf")).alias("factor")), k)
 
 
 def _runs(n: int) -> Column:

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,20 +32,98 @@ def normalised(v: Column, zero: str = "zero") -> Column:
     return F.when(n < 1e-8, flat if zero == "unit" else v.cast("array<double>")).otherwise(F.transform(v, lambda x: x.cast("double") / n))
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, where: Column | None = None, block_rows: int = 20_000) -> DataFrame:
-    """Exact k nearest by inner product. vectors: (doc_id, embedding); queries: (query_id, qv), any number.
+#: Bytes of query vectors that go to the executors at a time, and products that a task holds at a time.
+QUERY_BYTES, PRODUCTS = 32 << 20, 4 << 20
+
+
+def whole_vectors(c: str) -> Column:
+    """Neither null nor empty, and without null components."""
+    return F.col(c).isNotNull() & (F.size(c) > 0) & F.forall(c, lambda x: x.isNotNull())
+
+
+def _matrices(table: pa.Table | pa.RecordBatch, vector: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, their vectors as doubles) for each size of vectors."""
+    col = table.column(vector)
+    col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+    size = pc.list_value_length(col).to_numpy(zero_copy_only=False)
+    for d in np.unique(size):
+        rows = np.flatnonzero(size == d)
+        flat = pc.list_flatten(col.take(pa.array(rows))).to_numpy(zero_copy_only=False)
+        yield rows, flat.astype(np.float64).reshape(len(rows), int(d))
+
+
+def _best_of_batch(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query ids, ids, scores) of the k best rows of a batch for each query, its own row left out; ties go to the smaller id."""
+    step = max(1, PRODUCTS // max(1, len(ids)))
+    by_id = np.argsort(ids, kind="stable")
+    ids, x = ids[by_id], x[by_id]
+    for i in range(0, len(qids), step):
+        score = np.round(q[i : i + step] @ x.T, 6)
+        score[qids[i : i + step, None] == ids[None, :]] = -np.inf
+        if score.shape[1] > 4 * k:
+            # all that reach the k-th score stay, so that ties are settled by id
+            least = -np.partition(-score, k - 1, axis=1)[:, k - 1 : k]
+        else:
+            least = np.full((len(score), 1), -np.inf)
+        r, c = np.nonzero((score >= least) & (score > -np.inf))
+        order = np.lexsort((c, -score[r, c], r))
+        r, c = r[order], c[order]
+        place = np.arange(len(r)) - np.searchsorted(r, r)
+        keep = place < k
+        yield qids[i + r[keep]], ids[c[keep]], score[r[keep], c[keep]]
+
 
-    The vectors are read once for each block of about ``block_rows`` queries, which is sent to the executors; the k best
-    are cut before the shuffle of the window.
+def nearest_of(vectors: DataFrame, asked: pa.Table, k: int, cell: str | None = None) -> DataFrame:
+    """(query_id, doc_id, score): for each batch of vectors (doc_id, embedding) the k best of each query of a bounded table (query_id, qv).
+
+    With a cell column on both sides, vectors meet the queries of their cell only. A product of two matrices scores a batch.
     """
-    v = vectors if where is None else vectors.where(where)
-    blocks, out = max(1, -(-queries.count() // block_rows)), None
+    spark = vectors.sparkSession
+    groups: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+    ids, cells = asked.column("query_id").to_numpy(), asked.column(cell).to_numpy() if cell else np.zeros(len(asked), np.int64)
+    for rows, q in _matrices(asked, "qv"):
+        for c in np.unique(cells[rows]):
+            here = cells[rows] == c
+            groups[(int(c), q.shape[1])] = (ids[rows[here]], q[here])
+    sent = spark.sparkContext.broadcast(groups)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got: list[tuple] = []
+            doc, of = batch.column("doc_id").to_numpy(), batch.column(cell).to_numpy() if cell else np.zeros(len(batch), np.int64)
+            for rows, x in _matrices(batch, "embedding"):
+                for c in np.unique(of[rows]):
+                    if (int(c), x.shape[1]) in sent.value:
+                        here = of[rows] == c
+                        got += _best_of_batch(doc[rows[here]], x[here], *sent.value[(int(c), x.shape[1])], k)
+            if got:
+                cols = [np.concatenate(v) for v in zip(*got, strict=True)]
+                yield pa.record_batch([pa.array(cols[0].astype(np.int64)), pa.array(cols[1].astype(np.int64)), pa.array(cols[2])], names=["query_id", "doc_id", "score"])
+
+    return vectors.mapInArrow(run, "query_id long, doc_id long, score double")
+
+
+def query_blocks(queries: DataFrame) -> Iterator[DataFrame]:
+    """The queries (query_id, qv) in parts of about ``QUERY_BYTES``, by the hash of their id."""
+    n, total = queries.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("qv").cast("long") * 8), F.lit(0))).first()
+    blocks = max(1, -(-total // QUERY_BYTES)) if n else 0
     for b in range(blocks):
-        asked = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        hits = v.join(F.broadcast(asked), F.size("embedding") == F.size("qv")).select("query_id", "doc_id", F.round(dot(F.col("embedding"), F.col("qv")), 6).alias("score"))
-        part = top_k(hits.where("query_id <> doc_id"), k)
-        out = part if out is None else out.unionAll(part)
-    return out
+        yield queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+
+
+_HITS = "query_id long, doc_id long, score double, rank int"
+
+
+def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, where: Column | None = None) -> DataFrame:
+    """Exact k nearest by inner product. vectors: (doc_id, embedding); queries: (query_id, qv), any number.
+
+    The vectors are read once for each block of queries, which is sent to the executors; a task keeps the k best of each batch, so
+    few rows are shuffled. Vectors that are null or hold a null are left out, and a query's own row.
+    """
+    v = (vectors if where is None else vectors.where(where)).where(whole_vectors("embedding")).select(F.col("doc_id").cast("long").alias("doc_id"), "embedding")
+    asked = queries.where(whole_vectors("qv")).select(F.col("query_id").cast("long").alias("query_id"), "qv")
+    parts = [top_k(nearest_of(v, block.toArrow(), k), k) for block in query_blocks(asked)]
+    return reduce(DataFrame.unionAll, parts) if parts else vectors.sparkSession.createDataFrame([], _HITS)
 
 
 def normalise(hits: DataFrame, method: str = "auto") -> DataFrame:

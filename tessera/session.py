@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -26,9 +27,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded(df: DataFrame, rows: int = 20_000) -> DataFrame:
-    """df with a broadcast hint when it has at most ``rows`` rows, which is counted up to that bound; else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+#: Bytes up to which a table is sent to all executors; beyond, joins shuffle.
+BROADCAST_BYTES = 48 << 20
+_WIDTHS = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "float": 4, "date": 4, "bigint": 8, "double": 8, "timestamp": 8}
+
+
+def _bytes(c: str, kind: str) -> Column:
+    """The size of a value: numbers by their type, texts by their bytes, arrays of numbers by their length, others as text."""
+    col = F.col(f"`{c}`")
+    if kind in _WIDTHS:
+        return F.lit(_WIDTHS[kind])
+    if kind.startswith("array<") and kind[6:-1] in _WIDTHS:
+        return F.size(col) * _WIDTHS[kind[6:-1]] + 16
+    text = col if kind in ("string", "binary") else F.to_json(F.struct(col))
+    return F.octet_length(text) + 16
+
+
+def fits(df: DataFrame, rows: int = 1_000_000, most: int = BROADCAST_BYTES) -> bool:
+    """Whether df has at most ``rows`` rows and ``most`` bytes, which are counted up to that bound."""
+    size = reduce(lambda a, b: a + b, [F.coalesce(_bytes(c, k), F.lit(0)) for c, k in df.dtypes], F.lit(16))
+    n, total = df.select(size.cast("long").alias("b")).limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum("b"), F.lit(0))).first()
+    return n <= rows and total <= most
+
+
+def bounded(df: DataFrame, rows: int = 1_000_000, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint when it ``fits``; else as it is."""
+    return F.broadcast(df) if fits(df, rows, most) else df
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,6 +66,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which is deleted when the driver ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again: computed once however often it is used, and safe from lost executors.
 

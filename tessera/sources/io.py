@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import bounded, cut
 
 
 def text_folder(spark: SparkSession, path: str, glob: str = "*.md") -> DataFrame:
@@ -22,13 +23,30 @@ def labelled_csv(spark: SparkSession, path: str, required: tuple[str, ...] = ("q
     return df
 
 
+def in_file_order(rows: DataFrame, name: str) -> DataFrame:
+    """rows read with ``_file``, ``_start`` (of the split) and ``_row`` (an increasing id), numbered from 0 by file name and place.
+
+    The numbers are the same however the read was split: the rows of each split are counted, and those of earlier splits and files come before.
+    """
+    counts = rows.groupBy("_file", "_start").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    # as many rows as files' splits, not as sentences
+    files = cut(counts.groupBy("_file").agg(F.sum("_n").alias("_all")))
+    each = W.partitionBy("_file").orderBy("_start").rowsBetween(W.unboundedPreceding, -1)
+    split = counts.withColumn("_before", F.coalesce(F.sum("_n").over(each), F.lit(0)))
+    total = W.orderBy("_file").rowsBetween(W.unboundedPreceding, -1)
+    earlier = files.select("_file", F.coalesce(F.sum("_all").over(total), F.lit(0)).alias("_earlier"))
+    shift = split.join(earlier, "_file").select("_file", "_start", (F.col("_before") + F.col("_earlier") - F.col("_first")).alias("_shift"))
+    return rows.join(bounded(cut(shift)), ["_file", "_start"]).withColumn(name, F.col("_row") + F.col("_shift")).drop("_file", "_start", "_row", "_shift")
+
+
 def conll(spark: SparkSession, path: str) -> DataFrame:
     """(sent_id, pos, token, label): sentences between blank lines, a token and its label on each line.
 
-    Equal sentences have ids of their own; ids hold for one read with the same splits.
+    ``sent_id`` counts the sentences in the order of file names and places, whatever the read's splits; equal sentences have ids of their own.
     """
-    sent = spark.read.option("lineSep", "\n\n").text(path).where(F.trim("value") != "")
-    sent = sent.withColumn("sent_id", F.monotonically_increasing_id()).select("sent_id", F.posexplode(F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")).alias("pos", "line"))
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_row")]
+    raw = spark.read.option("lineSep", "\n\n").text(path).select("value", *place)
+    sent = in_file_order(cut(raw.where(F.trim("value") != "")), "sent_id").select("sent_id", F.posexplode(F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")).alias("pos", "line"))
     part = F.split("line", r"\s+")
     return sent.select("sent_id", "pos", part[0].alias("token"), F.coalesce(F.get(part, F.lit(1)), F.lit("O")).alias("label"))
 
@@ -161,24 +179,15 @@ def rewrite_conll(seq: DataFrame, path: str) -> None:
         raise OSError(f"can't move {path}_staged to {path}")
 
 
-def _ordinal(rows: DataFrame, column: str) -> Column:
-    """The place, from 0, of a row whose column has an increasing id of Spark's; brings one count a partition to the driver."""
-    part, starts, at = F.shiftright(column, 33), [], 0
-    for p, n in rows.groupBy(part.alias("p")).agg(F.countDistinct(column)).orderBy("p").collect():
-        starts += [F.lit(p), F.lit(at)]
-        at += n
-    return F.create_map(*starts)[part] + F.col(column).bitwiseAND(F.lit((1 << 33) - 1)) if starts else F.lit(None).cast("long")
-
-
 def golden_set(spark: SparkSession, intents: str, slots: str) -> DataFrame:
-    """(place, query, intent, tokens, labels): the n-th query of a CSV file with the n-th sentence of a label file.
+    """(place, query, intent, tokens, labels): the n-th query of CSV files with the n-th sentence of label files, by file name and place.
 
-    Both are single files in their order. Unequal numbers of rows raise ValueError.
+    Unequal numbers of rows raise ValueError.
     """
-    q = labelled_csv(spark, intents).select("query", "intent").withColumn("at", F.monotonically_increasing_id())
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_row")]
+    q = in_file_order(cut(labelled_csv(spark, intents).select("query", "intent", *place)), "place")
     words = F.array_sort(F.collect_list(F.struct("pos", "token", "label")))
-    s = conll(spark, slots).groupBy("sent_id").agg(words.alias("w")).select("sent_id", F.col("w.token").alias("tokens"), F.col("w.label").alias("labels"))
-    q, s = q.withColumn("place", _ordinal(q, "at")).drop("at"), s.withColumn("place", _ordinal(s, "sent_id")).drop("sent_id")
+    s = cut(conll(spark, slots).groupBy("sent_id").agg(words.alias("w")).select(F.col("sent_id").alias("place"), F.col("w.token").alias("tokens"), F.col("w.label").alias("labels")))
     a, b = q.count(), s.count()
     if a != b:
         raise ValueError(f"{a} queries, but {b} sentences")
@@ -199,3 +208,39 @@ def write_splits(rows: DataFrame, path: str, split: str = "split", names: tuple[
 def append_log(rows: DataFrame, path: str, most: int = 100_000) -> None:
     """JSON lines beside those that are there; a file that has ``most`` rows is followed by another."""
     rows.write.mode("append").option("maxRecordsPerFile", most).json(path)
+
+
+def write_chunks(chunks: DataFrame, path: str) -> None:
+    """Chunks as JSON lines below the path, each task a part; never over files that are there."""
+    chunks.write.mode("errorifexists").json(path)
+
+
+#: The fields of a chunk's preview.
+PREVIEW_FIELDS = ("section_heading", "chunk_type", "content_type", "faction", "h1", "h2", "h3", "h4", "h5", "h6")
+
+
+def write_chunk_preview(chunks: DataFrame, path: str, shown: int = 200) -> None:
+    """Chunks as text: their fields by name and the first ``shown`` characters on one line, a blank line after each."""
+    heads = [F.concat(F.lit(f"{c}: "), F.coalesce(F.col(c), F.lit(""))) if c in chunks.columns else F.lit(f"{c}: ") for c in PREVIEW_FIELDS]
+    text = F.concat(F.lit("text: "), F.regexp_replace(F.substring("text", 1, shown), r"\n", " "), F.lit(" ..."))
+    number = F.concat(F.lit("----- chunk "), F.concat_ws(" ", *[F.col(c).cast("string") for c in ("doc_id", "section", "chunk") if c in chunks.columns]), F.lit(" -----"))
+    chunks.select(F.concat_ws("\n", number, *heads, text, F.lit("")).alias("value")).write.mode("errorifexists").text(path)
+
+
+def write_vocabulary(terms: DataFrame, path: str) -> None:
+    """(term, weight, freq, df) in both forms of a vocabulary: ``plain`` rows of term and weight, ``freq`` rows of term and all three, as JSON lines."""
+    terms.select("term", "weight").write.mode("errorifexists").json(f"{path}/plain")
+    terms.select("term", F.struct("weight", "freq", "df").alias("entry")).write.mode("errorifexists").json(f"{path}/freq")
+
+
+def summary_report(metrics: dict, confusion: DataFrame | None = None) -> str:
+    """A Markdown summary of frame_accuracy, intent_accuracy and the slots' precision, recall and f1 (missing ones are 0), and a table of counts (truth, pred, n)."""
+    value = lambda n: f"{metrics.get(n, 0):.4f}"
+    out = ["# Evaluation summary", "", "| metric | score |", "|-|-|", f"| frame accuracy | {value('frame_accuracy')} |", f"| intent accuracy | {value('intent_accuracy')} |"]
+    out += ["", "## Slots", "", "| precision | recall | f1 |", "|-|-|-|", f"| {value('precision')} | {value('recall')} | {value('f1')} |"]
+    if confusion is not None:
+        n = {(r.truth, r.pred): r.n for r in confusion.select("truth", "pred", "n").collect()}  # the square of the labels
+        labels = sorted({x for pair in n for x in pair}, key=str)
+        out += ["", "## Intents", "", "| truth, predicted | " + " | ".join(map(str, labels)) + " |", "|-" * (len(labels) + 1) + "|"]
+        out += [f"| {t} | " + " | ".join(str(n.get((t, p), 0)) for p in labels) + " |" for t in labels]
+    return "\n".join(out) + "\n"

@@ -77,6 +77,78 @@ def parse_lists(pieces: DataFrame) -> DataFrame:
     return g.applyInPandasWithState(_answer, "answer_id long, n long, line string", "held string, headed boolean, given long", "append", GroupStateTimeout.NoTimeout)
 
 
+class _TimedAnswers:
+    """State of an answer: its waiting text, whether its heading was given, lines given, and the time from which it is silent.
+
+    Event-time timers end what stays silent, so that an answer whose last piece is lost doesn't wait for ever, and keep a client's connection
+    alive before.
+    """
+
+    def __init__(self, idle_ms: int, alive_ms: int) -> None:
+        self.idle, self.alive = idle_ms, alive_ms
+
+    def init(self, handle) -> None:
+        self.handle, self.held = handle, handle.getValueState("held", "text string, headed boolean, given long, seen long")
+
+    def _timers(self, seen: int) -> None:
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if self.alive:
+            self.handle.registerTimer(seen + self.alive)
+        self.handle.registerTimer(seen + self.idle)
+
+    @staticmethod
+    def _rows(key: tuple, lines: list[str], given: int, kind: str) -> pd.DataFrame:
+        return pd.DataFrame({"answer_id": [key[0]] * len(lines), "n": range(given, given + len(lines)), "kind": [kind] * len(lines), "line": lines})
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        text, headed, given, seen = self.held.get() if self.held.exists() else ("", False, 0, 0)
+        parts = pd.concat(list(rows)).sort_values("seq")
+        lines, text, headed = list_lines(text + "".join(x for x in parts["piece"] if x), headed)
+        seen = max(seen, int(parts["ts"].max().timestamp() * 1000))
+        if parts["last"].fillna(False).astype(bool).any():
+            lines += [text] if text.strip() else []
+            self._forget()
+        else:
+            self.held.update((text, headed, given + len(lines), seen))
+            self._timers(seen)
+        yield self._rows(key, lines, given, "line")
+
+    def handleExpiredTimer(self, key: tuple, timers, expired) -> Iterator[pd.DataFrame]:
+        if not self.held.exists():
+            return
+        text, headed, given, seen = self.held.get()
+        if expired.getExpiryTimeInMs() >= seen + self.idle:
+            yield self._rows(key, [text] if text.strip() else [], given, "ended")
+            self._forget()
+        elif self.alive:
+            self.handle.registerTimer(min(expired.getExpiryTimeInMs() + self.alive, seen + self.idle))
+            yield self._rows(key, [": keep-alive"], given, "alive")
+
+    def _forget(self) -> None:
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.held.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def parse_lists_timed(pieces: DataFrame, idle: int = 60, alive: int = 15, late: str = "10 seconds") -> DataFrame:
+    """(answer_id, n, kind, line) from a stream of (answer_id, ts, seq, piece, last), as ``parse_lists``, with timers by event time.
+
+    An answer that is silent for ``idle`` seconds of the stream's time gives what waits, as of kind ``ended``, and is forgotten; after each ``alive``
+    seconds of silence before, a comment row of kind ``alive`` keeps its connection open (0: none). The session's state store must be RocksDB.
+    """
+    from pyspark.sql.streaming import StatefulProcessor
+
+    class Answers(_TimedAnswers, StatefulProcessor):
+        pass
+
+    g = pieces.select("answer_id", "ts", "seq", "piece", "last").withWatermark("ts", late).groupBy("answer_id")
+    return g.transformWithStateInPandas(Answers(idle * 1000, alive * 1000), "answer_id long, n long, kind string, line string", "append", "eventTime")
+
+
 def full_text(pieces: DataFrame) -> DataFrame:
     """(answer_id, text): the pieces (answer_id, seq, piece) of each answer in their order, as one text."""
     ordered = F.array_sort(F.collect_list(F.struct("seq", F.coalesce("piece", F.lit("")).alias("piece"))))
