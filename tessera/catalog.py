@@ -182,7 +182,7 @@ def vocab_jaccard_by_lang(s, d):
 
 def token_filters(s, d):
     t = _docs(s, d).select(F.explode(T.words(F.col("text"))).alias("token"))
-    return t.where(~F.lower("token").isin(T.PRONOUNS) & ~F.col("token").isin(T.PARTICLES) & ~F.col("token").rlike(r"^[0-9.]+$")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n >= 20")
+    return t.where(T.keep_token(F.col("token"))).groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n >= 20")
 
 
 def _gold(s, d):
@@ -248,7 +248,7 @@ def html_headings(s, d):
 
 
 def sentence_split(s, d):
-    return _docs(s, d).select("doc_id", F.size(F.filter(F.split("text", r"[.!?;]"), lambda x: F.trim(x) != "")).cast("long").alias("sentences"))
+    return _docs(s, d).select("doc_id", F.size(T.sentences(F.col("text"))).cast("long").alias("sentences"))
 
 
 def coherence_score(s, d):
@@ -293,7 +293,8 @@ def slot_f1(s, d):
 
 
 def uncertainty_scores(s, d):
-    e = table(s, d, "events").select("event_id", (F.pmod(F.col("event_id"), F.lit(7)) + 1.0).alias("a"), (F.pmod(F.col("event_id"), F.lit(5)) + 1.0).alias("b"), (F.pmod(F.col("event_id"), F.lit(3)) + 1.0).alias("c"))
+    """A distribution over three classes from each event's value, properties and type."""
+    e = table(s, d, "events").select("event_id", (F.abs("value") + 1.0).alias("a"), (F.length("props") + 1.0).alias("b"), (F.length("event_type") + 1.0).alias("c"))
     total = F.col("a") + F.col("b") + F.col("c")
     e = e.select("event_id", F.array(F.col("a") / total, F.col("b") / total, F.col("c") / total).alias("p"))
     return e.select("event_id", *[v.alias(k) for k, v in learning.uncertainty(F.col("p")).items()])
@@ -534,15 +535,15 @@ diversity_order fallback_stats overlap_counts low_score_queries frame_accuracy s
 
 
 def queries() -> dict:
-    from . import catalog_more, catalog_terms
+    from . import catalog_jobs, catalog_more, catalog_terms
 
-    found = {n: globals()[n] for n in _NAMES} | catalog_more.queries() | catalog_terms.queries()
+    found = {n: globals()[n] for n in _NAMES} | catalog_more.queries() | catalog_terms.queries() | catalog_jobs.queries()
     return found | {f"score_norm_{m}": _norm(m) for m in ("clamp", "minmax", "log_minmax", "zscore")}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import catalog_more, catalog_terms
+    from . import catalog_jobs, catalog_more, catalog_terms
     from .catalog_sql import SQL
     from .catalog_sql_more import SQL as MORE
 
-    return SQL | MORE | catalog_more.SQL | catalog_terms.SQL
+    return SQL | MORE | catalog_more.SQL | catalog_terms.SQL | catalog_jobs.SQL

@@ -19,11 +19,11 @@ RELATED, SYNONYMS, CONTEXT = {"the": "that those", "la": "el"}, {"of": "from"},
 
 
 def _index(s, d):
-    """Documents with the vector of their number; source and language as headings and metadata."""
-    x = table(s, d, "documents").select("doc_id", "text", "source", "lang").join(_vectors(s, d).select("doc_id", "embedding"), "doc_id")
+    """All documents, with the vector of their number if there is one; source, language and length as headings and metadata."""
+    x = table(s, d, "documents").select("doc_id", "text", "source", "lang", "n_chars").join(_vectors(s, d).select("doc_id", "embedding"), "doc_id", "left")
     heads = {"h1": "source", "h2": "lang", "section_heading": "lang", "faction": "source", "chunk_type": "lang"}
     none = {c: F.lit(None).cast("string") for c in ("h4", "h5", "h6", "sub_section", "content_type")}
-    return x.select("doc_id", "text", "embedding", *[F.col(v).alias(k) for k, v in heads.items()], F.array_join(F.slice(T.tokens(F.col("text")), 1, 6), " ").alias("h3"), *[v.alias(k) for k, v in none.items()])
+    return x.select("doc_id", "text", "embedding", *[F.col(v).alias(k) for k, v in heads.items()], F.col("n_chars").cast("string").alias("h3"), *[v.alias(k) for k, v in none.items()])
 
 
 def _questions(s, d):
@@ -115,7 +115,7 @@ def sparse_records(s, d):
 
 
 def index_rows(s, d):
-    x = ingest.index_documents(table(s, d, "documents").select("doc_id", "text", F.col("source").alias("faction")))
+    x = ingest.index_documents(table(s, d, "documents").select("doc_id", "text", F.col("source").alias("faction"), F.col("lang").alias("h1"), F.col("n_chars").alias("chunk_index")))
     return x.groupBy("chunk_type", "faction", "h1").agg(F.count(F.lit(1)).alias("n"), F.max("chunk_index").cast("long").alias("last"))
 
 
@@ -272,8 +272,8 @@ def mmr_relevance(s, d):
 
 # -- SQL ---------------------------------------------------------------------------------------------------------------------
 
-_IX = f"""ix as (select d.doc_id, d.text, e.embedding, d.source h1, d.lang h2, array_to_string(regexp_extract_all(lower(d.text), '{_TOKEN}')[1:6], ' ') h3, d.lang section_heading, d.source faction, d.lang chunk_type
- from documents d join embeddings e on e.vec_id = d.doc_id), iq as (select b.item_id query_id, b.text, e.embedding qv from benchmark b join embeddings e on e.vec_id = b.item_id)"""
+_IX = f"""ix as (select d.doc_id, d.text, e.embedding, d.source h1, d.lang h2, d.n_chars::varchar h3, d.lang section_heading, d.source faction, d.lang chunk_type
+ from documents d left join embeddings e on e.vec_id = d.doc_id), iq as (select b.item_id query_id, b.text, e.embedding qv from benchmark b join embeddings e on e.vec_id = b.item_id)"""
 _WEIGHTS = {k: v for k, v in (fields.HEADING_WEIGHTS | fields.METADATA_WEIGHTS | {"text": 1.0}).items() if k in ("h1", "h2", "h3", "section_heading", "faction", "chunk_type", "text")}
 _IXF = f"""fd as ({' union all '.join(f"select doc_id, '{f}' field, {w}::double boost, regexp_extract_all(lower({f}), '{_TOKEN}') t from ix where {f} is not null" for f, w in _WEIGHTS.items())}),
 fl as (select *, len(t) dl from fd where len(t) > 0), fs as (select field, count(*) n, avg(dl) avgdl from fl group by all),
@@ -282,13 +282,21 @@ fq as (select query_id, term, count(*) qtf from (select query_id, unnest(regexp_
 fsc as (select query_id, doc_id, field, sum(qtf * boost * ln(1 + (n - df + 0.5::double) / (df + 0.5::double)) * tf * 2.2::double / (tf + 1.2::double * (0.25::double + 0.75::double * dl / avgdl))) score from ft join fdf using (field, term) join fs using (field) join fq using (term) group by all),
 lx as (select query_id, doc_id, max(score) filter (where field in ('h1', 'h2', 'h3')) hb, sum(score) filter (where field in ('h1', 'h2', 'h3')) ht, max(score) filter (where field in ('section_heading', 'faction', 'chunk_type')) metadata, max(score) filter (where field = 'text') bm25 from fsc group by all)"""
 _DOTQ = "round(list_dot_product(ix.embedding::double[], iq.qv::double[]), 6)"
-_NEAR = f"near as (select query_id, doc_id, {_DOTQ} score, row_number() over (partition by query_id order by {_DOTQ} desc, doc_id) rank from ix, iq where query_id <> doc_id qualify rank <= 30)"
+_NEAR = f"near as (select query_id, doc_id, {_DOTQ} score, row_number() over (partition by query_id order by {_DOTQ} desc, doc_id) rank from ix, iq where query_id <> doc_id and ix.embedding is not null qualify rank <= 30)"
 _SCALE = "case when {0} is null then 0.0::double when min({0}) over q = max({0}) over q then 0.5::double else ({0} - min({0}) over q) / (max({0}) over q - min({0}) over q) end"
 _FIVE = f"""{_IX}, {_IXF}, {_NEAR}, lb as (select query_id, doc_id, hb + 0.3::double * (ht - hb) heading, bm25, bm25 * b.boost as content, metadata from lx join (select query_id, case when len({_W.format('text')}) > 20 then 1.4::double else 1.2::double end boost from iq) b using (query_id)),
 ev as (select query_id, doc_id, heading, bm25, content, metadata, near.score dense from lb full join near using (query_id, doc_id)),
 sc as (select query_id, doc_id, {', '.join(f"round({_SCALE.format(p)}, 6) {p}" for p in search.PARTS)} from ev window q as (partition by query_id)),
 five as (select *, round((heading + bm25 + content + metadata + dense) / 5.0::double, 6) score from sc)"""
 _RERANK = f"rr as (select near.query_id, near.doc_id, list_distinct(list_transform({_W.format('iq.text')}, lambda w: lower(w))) a, list_distinct(list_transform({_W.format('ix.text')}, lambda w: lower(w))) b from near join ix using (doc_id) join iq on iq.query_id = near.query_id where length(trim(ix.text)) >= 10), rs as (select query_id, doc_id, case when len(list_distinct(list_concat(a, b))) > 0 then round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) else 0.0 end score from rr)"
+# rank fusion: the window and constant that the engine derives
+_FUSED = f"""dt as (select doc_id, unnest(regexp_extract_all(lower(text), '{_TOKEN}')) term from ix), dtf as (select doc_id, term, count(*) tf from dt group by all), ddl as (select doc_id, sum(tf) dl from dtf group by all), dn as (select count(*) n, avg(dl) avgdl from ddl),
+ ddf as (select term, count(*) df from dtf group by all), draw as materialized (select term, ln(n - df + 0.5) - ln(df + 0.5) r from ddf, dn), dm as (select avg(r) m from draw), didf as (select term, case when r < 0 then 0.25 * m else r end idf from draw, dm),
+ dq as (select query_id, term, count(*) qtf from (select query_id, unnest(regexp_extract_all(lower(text), '{_TOKEN}')) term from iq) group by all),
+ dsc as (select query_id, doc_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) score from dq join dtf using (term) join didf using (term) join ddl using (doc_id), dn group by all),
+ dlx as (select query_id, doc_id, row_number() over (partition by query_id order by score desc, doc_id) rank from dsc qualify rank <= 30),
+ dfu as (select query_id, doc_id, round(sum(1.0::double / (20 + rank)), 6) score from (select query_id, doc_id, rank from dlx union all select query_id, doc_id, rank from near) group by all),
+ fu as (select *, row_number() over (partition by query_id order by score desc, doc_id) rank from dfu qualify rank <= 10)"""
 _SAID = "(select conv_id, turn, text from conversations where role = 'user')"
 _ANY = lambda t, ws: "(" + " or ".join(f"contains({t}, '{w}')" for w in ws) + ")"
 _PAIR = f"ap as (select a.conv_id, a.turn - 1 turn, regexp_extract_all(lower(a.text), '{_TOKEN}') x, regexp_extract_all(lower(r.text), '{_TOKEN}') y from conversations a join conversations r on r.conv_id = a.conv_id and r.turn = a.turn - 1 where a.role = 'assistant' and r.role = 'user'), ad as (select *, list_distinct(x) dx, list_distinct(y) dy, list_distinct(list_transform(range(1, len(x)), lambda i: x[i] || ' ' || x[i + 1])) bx, list_distinct(list_transform(range(1, len(y)), lambda i: y[i] || ' ' || y[i + 1])) byy from ap)"
@@ -298,8 +306,13 @@ _TOTAL = "case when doc_id % 3 = 0 then {0} else {1} end"
 
 SQL = {
     "hybrid_five": f"with {_FIVE} select *, row_number() over (partition by query_id order by score desc, doc_id) rank from five qualify rank <= 10",
+    "search_fused": f"with {_IX}, {_NEAR}, {_FUSED} select query_id, doc_id, score, rank from fu",
+    "search_dispatch": f"""with {_FIVE}, {_RERANK}, {_FUSED}, five_r as (select query_id, row_number() over (partition by query_id order by score desc, doc_id) rank from five qualify rank <= 10), dense_r as (select query_id, row_number() over (partition by query_id order by score desc, doc_id) rank from rs qualify rank <= 10),
+ ev2 as (select 'rrf' engine, query_id from fu where query_id % 4 in (0, 2) union all select 'pipeline', query_id from five_r where query_id % 4 = 1 union all select 'dense', query_id from dense_r where query_id % 4 = 3) select engine, count(distinct query_id) queries, count(*) results from ev2 group by all""",
+    "fuzzy_words": f"with t as (select unnest(regexp_extract_all(lower(text), '{_TOKEN}')) term from documents), v as (select term from t group by term having count(*) >= 20), w as (select term word, case when length(term) <= 5 then 1 else 2 end most from (select unnest(regexp_extract_all(lower(text), '{_TOKEN}')) term from benchmark) where length(term) >= 3 group by term having count(*) >= 5) select word, term, levenshtein(translate(word, 'äöüßéèêçàùâîôûëïñáíóú', 'ABCDEFGHIJKLMNOPQRSTU'), translate(term, 'äöüßéèêçàùâîôûëïñáíóú', 'ABCDEFGHIJKLMNOPQRSTU')) distance from w, v where abs(length(word) - length(term)) <= most and levenshtein(translate(word, 'äöüßéèêçàùâîôûëïñáíóú', 'ABCDEFGHIJKLMNOPQRSTU'), translate(term, 'äöüßéèêçàùâîôûëïñáíóú', 'ABCDEFGHIJKLMNOPQRSTU')) <= most",
+    "intent_decisions": f"select query_id, known, intent, intent in ('non_domain', 'unknown') canned from (select conv_id * 100 + turn query_id, regexp_matches(lower(text), 'the |und|que la') known, case when not regexp_matches(lower(text), 'the |und|que la') then 'non_domain' when round(length(text) % 10 / 10.0, 6) < 0.5 then 'query' else " + _SQL["intent_route"].split("select conv_id, turn, ")[1].split(" intent from")[0] + f" end intent from {_SAID})",
     "search_dense": f"with {_IX}, {_NEAR}, {_RERANK} select query_id, doc_id, score, row_number() over (partition by query_id order by score desc, doc_id) rank from rs qualify rank <= 10",
-    "entity_search": f"with {_IX}, hs as (select distinct doc_id, unnest([h1, h2, h3]) entity from ix) select query_id, ix.doc_id, {_DOTQ} score, row_number() over (partition by query_id order by {_DOTQ} desc, ix.doc_id) rank from iq join hs on hs.entity = 'src' || (query_id % 20) join ix using (doc_id) qualify rank <= 10",
+    "entity_search": f"with {_IX}, hs as (select distinct doc_id, unnest([h1, h2, h3]) entity from ix) select query_id, ix.doc_id, {_DOTQ} score, row_number() over (partition by query_id order by {_DOTQ} desc, ix.doc_id) rank from iq join hs on hs.entity = 'src' || (query_id % 20) join ix using (doc_id) where ix.embedding is not null qualify rank <= 10",
     "smart_filters": f"select conv_id, turn, case when {_ANY('text', search.RULE_WORDS)} then 'corerule' end content_type, case when not {_ANY('text', search.RULE_WORDS)} and {_ANY('text', search.UNIT_WORDS)} then 'unit_data' end chunk_type from {_SAID}",
     "text_quality": f"select conv_id, turn, length(trim(text, ' ')) between 2 and 200 and regexp_matches(trim(text, ' '), '[\\p{{L}}\\p{{N}}]') good, length(trim(text, ' ')) >= 10 as long, least(length(trim(regexp_replace(text, '\\s+', ' ', 'g'), ' ')), 200) chars from {_SAID}",
     "ranked_runs": f"{_BM25} select query_id, string_agg(doc_id, ',' order by rank) doc_ids from run group by all",
@@ -310,7 +323,7 @@ SQL = {
  select doc_id, chunk_type, sub_section, length(chunk_type) + 1 + length(regexp_replace(t, '^\\s+', '')) chars, h1, h2, h3, section_heading from b""",
     "structure_levels": f"select doc_id, {_TOTAL.format(4, 2)}::bigint headings, {_TOTAL.format(4, 2)}::bigint max_depth, 0::bigint jumps, (coalesce(source, 'none') = coalesce(lang, 'none'))::bigint repeated from documents where text is not null",
     "sparse_records": _SQL["sparse_top10"].split(", x as (")[0].replace("round(idf * tf * 2.5", "(idf * tf * 2.5").replace(", 9) w from", ") w from") + ", sw as (select doc_id, count(*) terms, round(max(w), 5) heaviest from w where w > 0 group by all) select d.doc_id, len(e.embedding) dim, coalesce(d.source, 'unknown') faction, coalesce(terms, 0) terms, heaviest from documents d join embeddings e on e.vec_id = d.doc_id left join sw on sw.doc_id = d.doc_id",
-    "index_rows": "select 'default' chunk_type, coalesce(source, '') faction, '' h1, count(*) n, 0::bigint as last from documents group by all",
+    "index_rows": "select 'default' chunk_type, coalesce(source, '') faction, coalesce(lang, '') h1, count(*) n, max(coalesce(n_chars, 0)) as last from documents group by all",
     "upload_status": "select count(*) sent, 0::bigint failed, true as bounded from embeddings",
     "raw_store": "select first(doc_id order by (doc_id + 1) % 2, doc_id) doc_id from documents where text is not null group by text",
     "match_all_sample": "select doc_id from documents order by doc_id limit 10",

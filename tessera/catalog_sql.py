@@ -53,7 +53,7 @@ def _spans(src: str, label: str, name: str) -> str:
     return f"{name}_i as (select *, sum(case when {label} like 'B-%' then 1 else 0 end) over (partition by sent_id order by pos) island from {src}), {name} as (select sent_id, 'NAME' as name, min(pos) \"start\", max(pos) \"end\", string_agg(token, ' ' order by pos) as value from {name}_i where {label} <> 'O' group by sent_id, island)"
 
 
-_UNC = "p as (select event_id, [a / (a + b + c), b / (a + b + c), c / (a + b + c)] p from (select event_id, event_id % 7 + 1.0::double a, event_id % 5 + 1.0::double b, event_id % 3 + 1.0::double c from events)), u as (select event_id, -(p[1] * ln(p[1]) + p[2] * ln(p[2]) + p[3] * ln(p[3])) / ln(3) e, list_reverse_sort(p) s from p), unc as (select event_id, round(e, 6) entropy, round(s[1], 6) confidence, round(s[1] - s[2], 6) margin, round(0.4 * e + 0.4 * (1 - s[1]) + 0.2 * (1 - (s[1] - s[2])), 6) uncertainty from u)"
+_UNC = "p as (select event_id, [a / (a + b + c), b / (a + b + c), c / (a + b + c)] p from (select event_id, abs(value) + 1.0::double a, length(props) + 1.0::double b, length(event_type) + 1.0::double c from events)), u as (select event_id, -(p[1] * ln(p[1]) + p[2] * ln(p[2]) + p[3] * ln(p[3])) / ln(3) e, list_reverse_sort(p) s from p), unc as (select event_id, round(e, 6) entropy, round(s[1], 6) confidence, round(s[1] - s[2], 6) margin, round(0.4 * e + 0.4 * (1 - s[1]) + 0.2 * (1 - (s[1] - s[2])), 6) uncertainty from u)"
 _PATTERNS = "pat(name, type, alias) as (values ('the','article','the'), ('of','link','of'), ('to','link','to'), ('and','link','and'), ('para','link','para'), ('und','link','und'), ('la','article','la'), ('le','article','le'))"
 _ENT = f"{_TF}, {_PATTERNS}, ent as (select doc_id, name, type, sum(tf)::bigint times from tf join pat on term = alias group by all)"
 _INTENT = "case when {0} then 'compare' when {1} then 'list' when {2} then 'rule' when {3} then 'query' else 'unknown' end".format(
@@ -87,7 +87,7 @@ SQL = {
     "vocab_coverage": f"with {_TF}, v as (select term from tf group by term having sum(tf) >= 50), t as (select term, count(*) c from (select {_tok('text')} term from benchmark) group by all), k as (select c, (term in (select term from v))::int known from t) select sum(c)::bigint total_tokens, count(*) unique_tokens, sum(known)::bigint covered_unique, sum(known * c)::bigint covered_tokens, round(1 - sum(known * c) / sum(c), 6) oov_rate, round(sum(known) / count(*), 6) coverage from k",
     "token_len_hist": "select length(t) len, count(*) n from (select unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) t from documents) group by all",
     "vocab_jaccard_by_lang": f"with v as (select distinct lang, {_tok('text')} term from documents where lang is not null), s as (select lang, count(*) n from v group by all), b as (select a.lang, c.lang other, count(*) common from v a join v c using (term) where a.lang < c.lang group by all) select b.lang, other, round(common / (s.n + o.n - common), 6) jaccard from b join s on s.lang = b.lang join s o on o.lang = other",
-    "token_filters": f"select token, count(*) n from (select unnest({_W.format('text')}) token from documents) where lower(token) not in ('i','you','he','she','it','we','they','me','him','her','us','them','我','你','他','她','它','我们','你们','他们') and token not in ('的','地','得','了','着','过','the','a','an') and not regexp_matches(token, '^[0-9.]+$') group by all having count(*) >= 20",
+    "token_filters": f"select token, count(*) n from (select unnest({_W.format('text')}) token from documents) where not regexp_matches(token, '^[[:punct:]　-〿＀-￯]+$') and not regexp_matches(token, '^[#*`~>|=_-]+$') and lower(token) not in ('i','you','he','she','it','we','they','me','him','her','us','them','我','你','他','她','它','我们','你们','他们') and not regexp_matches(token, '<[^>]+>|&[a-z]+;') and lower(token) not in ('div','span','p','br','li','ul','ol','td','tr','table','nbsp','amp','lt','gt') and token not in ('的','地','得','了','着','过','the','a','an') and not regexp_matches(token, '^[0-9.]+$') group by all having count(*) >= 20",
     "retrieval_metrics": f"{_BM25}, {_GOLD}, {_METRIC.format('run')} select round(avg((hits > 0)::int), 6) hit_rate, round(avg(hits / relevant), 6) recall, round(avg(hits / 10), 6) as precision, round(avg(coalesce(1 / first, 0)), 6) mrr from m",
     "novelty_diversity": f"{_BM25}, {_GOLD} select round(count(*) filter (where not exists (select 1 from gold g where g.query_id = run.query_id and g.doc_id = run.doc_id)) / count(*), 6) novelty, round(count(distinct doc_id) / count(*), 6) diversity from run",
     "overlap3": f"{_BM25}, {_LUCENE}, {_DENSE10}, x as (select query_id, doc_id, count(*) c from (select query_id, doc_id from run union all select query_id, doc_id from luc union all select query_id, doc_id from dense) group by all) select query_id, count(*) union_size, sum((c = 3)::int)::bigint common, round(sum((c = 3)::int) / count(*), 6) ratio from x group by all",
@@ -100,7 +100,6 @@ SQL = {
     "entity_match": f"with {_ENT} select * from ent",
     "entity_pairs": f"with {_ENT} select x.name a, y.name b, count(*) docs from ent x join ent y using (doc_id) where x.name < y.name group by all",
     "html_headings": "select page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) heading, len(string_split(html, '<p>')) parts from pages",
-    "sentence_split": "select doc_id, len(list_filter(string_split_regex(text, '[.!?;]'), lambda x: trim(x, ' ') <> '')) sentences from documents",
     "logical_blocks": "with l as (select doc_id, unnest(string_split(text, chr(10))) as value, generate_subscripts(string_split(text, chr(10)), 1) line from documents), b as (select *, sum(regexp_matches(value, '^[A-Z][a-z]')::int) over (partition by doc_id order by line) block from l), t as (select doc_id, block, string_agg(value, chr(10) order by line) t from b group by all) select doc_id, count(*) blocks, max(length(t)) longest from t where trim(t, ' ') <> '' group by all",
     "bio_repair": f"with {_BIO} select sent_id, pos, fl as label from fixed",
     "bio_spans": f"with {_BIO}, {_spans('fixed', 'fl', 'sp')} select * from sp",

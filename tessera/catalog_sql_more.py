@@ -45,6 +45,7 @@ _FOUND = "ph(name) as (values {}), fe as (select doc_id, name, lower(text) low,
 _CUT = "case when length(token) > 11 then 'O' else fl end"
 
 SQL = {
+    "sentence_split": f"select doc_id, len({_S}) sentences from documents",
     "sentence_count": f"select doc_id, len({_S}) sentences, coalesce(list_sum(list_transform({_S}, lambda x: length(x))), case when text is null then null else 0 end)::bigint chars from documents",
     "coherence_score": f"with x as (select doc_id, text, {_S} s from documents) select doc_id, round(case when len(s) >= 2 then 0.3 else 0 end + case when coalesce(list_sum(list_transform(s, lambda x: length(x))), 0) / greatest(len(s), 1) between 10 and 200 then 0.3 else 0 end + case when len(string_split(text, chr(10) || chr(10))) - 1 <= 3 then 0.2 else 0 end + case when length(regexp_replace(text, '[^。！？，；：]', '', 'g')) / greatest(length(text), 1) between 0.05 and 0.3 then 0.2 else 0 end, 6)::double score from x",
     "query_complexity": f"with x as (select conv_id, turn, text, {_WORDS} w from conversations where role = 'user'), y as (select conv_id, turn, case when len(w) > 0 then round((least(length(text) / 50.0::double, 1) + least(len(w) / 10.0::double, 1)) / 2, 6) else 0 end simple, case when len(w) > 0 then round((least(len(w) / 20.0::double, 1) + len(list_distinct(w)) / len(w) + len(list_filter(w, lambda i: length(i) > 4)) / len(w) + least(length(regexp_replace(text, '[^，。！？；：\"\"''''（）【】]', '', 'g')) / 10.0::double, 1)) / 4, 6) else 0 end advanced from x) select *, case when advanced < 0.3 then 'simple' when advanced < 0.7 then 'medium' else 'complex' end as level from y",

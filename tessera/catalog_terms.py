@@ -41,13 +41,17 @@ def term_families(s, d):
 
 
 def heading_tokens(s, d):
-    h = F.concat(F.lit("规则 A,"), "source", F.lit("/单位|（技能）x"))
-    return table(s, d, "documents").where("source is not null").select("doc_id", F.array_join(terms.heading_tokens(h), "|").alias("tokens"))
+    """Headings of each document's source and of its length and number in CJK digits."""
+    digits = lambda c: F.translate(F.col(c).cast("string"), "0123456789", "零一二三四五六七八九")
+    h = F.concat(digits("n_chars"), F.lit("字 A,"), "source", F.lit("/第"), digits("doc_id"), F.lit("号"))
+    return table(s, d, "documents").where("source is not null and n_chars is not null").select("doc_id", F.array_join(terms.heading_tokens(h), "|").alias("tokens"))
 
 
 def heading_categories(s, d):
-    x = _chunks(s, d)
-    return x.select("doc_id", terms.heading_category(F.col("h1"), F.col("h3")).alias("category"))
+    """Headings by what each text holds and by its length."""
+    h1 = F.when(F.col("n_chars") % 3 == 0, "核心规则").when(F.col("n_chars") % 3 == 1, "派系").otherwise("x")
+    h2 = F.when(F.col("text").contains("shth"), "近战").when(F.col("text").contains(" de "), "人物").otherwise("y")
+    return table(s, d, "documents").where("text is not null and n_chars is not null").select("doc_id", terms.heading_category(h1, h2).alias("category"))
 
 
 def term_removal(s, d):
@@ -93,9 +97,10 @@ def judge_texts(s, d):
 
 
 def model_entities(s, d):
-    kind = _pick(["unit", "place", "weapon"], F.col("turn"))
-    answer = F.to_json(F.array(F.struct(F.concat(F.lit(" t"), F.col("turn").cast("string")).alias("text"), kind.alias("type")), F.struct(F.lit(" ").alias("text"), F.lit("unit").alias("type"))))
-    found = _said(s, d).select("conv_id", "turn", terms.checked_entities(F.when(F.col("turn") % 4 != 0, answer).otherwise("none"), ["unit", "weapon"]).alias("found"))
+    """Answers that name each question as an entity, of a type by its length, and a blank one; some are no JSON."""
+    kind = _pick(["unit", "place", "weapon"], F.length("text"))
+    answer = F.to_json(F.array(F.struct(F.concat(F.lit(" "), "text").alias("text"), kind.alias("type")), F.struct(F.lit(" ").alias("text"), F.lit("unit").alias("type"))))
+    found = _said(s, d).where("trim(text) <> ''").select("conv_id", "turn", terms.checked_entities(F.when(F.col("turn") % 4 != 0, answer).otherwise("none"), ["unit", "weapon"]).alias("found"))
     return found.select("conv_id", "turn", F.explode("found").alias("e")).select("conv_id", "turn", F.col("e.text").alias("term"), F.col("e.type").alias("type"), F.col("e.confidence").alias("confidence"))
 
 
@@ -115,8 +120,8 @@ SQL = {
     "heading_terms": f"with {_HEADS} select * from ht",
     "chunk_terms": f"with {_HEADS}, m as ({_MECHANICS}) select category, term, count(*) n from (select * from ht union select * from m) group by all",
     "term_families": "select category, term, count(*) n from (" + " union all ".join(f"select doc_id, '{n}' category, unnest(list_distinct(regexp_extract_all(text, '{p}'))) term from documents" for n, p in terms.FAMILIES.items()) + ") group by all",
-    "heading_tokens": "select doc_id, '规则|单位|（技能）' tokens from documents where source is not null",
-    "heading_categories": "select doc_id, 'weapons' category from documents",
+    "heading_tokens": "select doc_id, translate(n_chars::varchar, '0123456789', '零一二三四五六七八九') || '字|第' || translate(doc_id::varchar, '0123456789', '零一二三四五六七八九') || '号' tokens from documents where source is not null and n_chars is not null",
+    "heading_categories": "select doc_id, case when contains(text, 'shth') then 'weapons' when contains(text, ' de ') then 'units' when n_chars % 3 = 0 then 'mechanics' when n_chars % 3 = 1 then 'factions' else 'general' end category from documents where text is not null and n_chars is not null",
     "term_removal": "select doc_id, length(regexp_replace(text, '\\bthe\\b', '', 'g')) chars from documents where text is not null",
     "alias_edges": "with p as (select vec_id node_id, unnest([vec_id + 1, vec_id * 2]) alias_id from embeddings) select distinct p.* from p join embeddings e on e.vec_id = p.alias_id where node_id <> alias_id",
     "explained_hits": f"with {_FIVE}, top as (select *, row_number() over (partition by query_id order by score desc, doc_id) rank from five qualify rank <= 10) select query_id, doc_id, score, round(heading + bm25 + content + metadata, 6) text_similarity, round(dense, 6) vector_similarity from top",
@@ -124,7 +129,7 @@ SQL = {
     "analyzer_tokens": f"select item_id query_id, array_to_string(regexp_extract_all(lower(text), '{_TOKEN}'), ' ') tokens from benchmark",
     "entities_by_position": "select item_id as \"position\", e.label entity from benchmark left join embeddings e on e.vec_id = item_id and e.vec_id % 2 = 0",
     "judge_texts": f"with {_ANSWERS} select conv_id, turn, judged from a",
-    "model_entities": f"select conv_id, turn, 't' || turn term, case turn % 3 when 0 then 'unit' else 'weapon' end as type, 0.85::double confidence from {_SAID} where turn % 4 <> 0 and turn % 3 <> 1",
+    "model_entities": f"select conv_id, turn, trim(text, ' ') term, case length(text) % 3 when 0 then 'unit' else 'weapon' end as type, 0.85::double confidence from {_SAID} where trim(text, ' ') <> '' and turn % 4 <> 0 and length(text) % 3 <> 1",
 }
 
 _NAMES = """heading_terms chunk_terms term_families heading_tokens heading_categories term_removal alias_edges explained_hits sparse_diagnostics

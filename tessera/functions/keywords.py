@@ -107,3 +107,11 @@ def structural_counts(query: Column, damping: Column | None = None) -> dict[str,
 def damping(query: Column, phrases: list[str], factor: float = 1e-4) -> Column:
     """``factor`` where a row holds one of the negative phrases, else 1."""
     return F.when(_any(query, phrases), factor).otherwise(1.0)
+
+
+def keyword_vector(query: Column, primary: dict[str, list[str]], secondary: dict[str, list[str]], negative: dict[str, list[str]]) -> dict[str, Column]:
+    """For each intent its primary words by position, secondary by context, negative by similarity, and primary as gapped patterns: four groups of columns."""
+    out = {f"primary_{n}": position_score(query, ws) for n, ws in primary.items()}
+    out |= {f"secondary_{n}": context_score(query, ws) for n, ws in secondary.items()}
+    out |= {f"negative_{n}": fuzzy_score(ws)(query) for n, ws in negative.items()}
+    return out | {f"gapped_{n}": gapped_score(query, ws) for n, ws in primary.items()}

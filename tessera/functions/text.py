@@ -183,3 +183,22 @@ def term_shapes(text: Column) -> Column:
     """Distinct likely terms: capitalised words, letters with a number, X之Y, and runs of four letters or more."""
     shapes = [r"([A-Z][a-zA-Z一-鿿]+)", r"([A-Za-z一-鿿]+\d+)", r"([A-Za-z一-鿿]+之[A-Za-z一-鿿]+)", r"([A-Za-z一-鿿]{4,})"]
     return F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(x), F.lit(1)) for x in shapes])))
+
+
+# The letters that may stand alone in a vocabulary's evaluation.
+SINGLE_LETTERS = "战术规则军队单位模型分队技能"
+
+
+def keep_word(t: Column) -> Column:
+    """A word counts in a vocabulary's evaluation unless it is a pronoun, a particle, punctuation, blank, a lone letter but a listed one, hashes or a tag."""
+    lone = (F.length(t) == 1) & ~t.isin(*SINGLE_LETTERS)
+    return ~(t.isin(PRONOUNS) | t.isin(PARTICLES) | t.rlike(r"^[\p{Punct}　-〿＀-￯]$") | t.rlike(r"^\s*$") | lone | t.rlike("^#+$") | t.rlike("^<.*>$"))
+
+
+def chunk_label_v3(document: str, kind: Column, heads: list[Column]) -> Column:
+    """The older label of a chunk: the document, its kind's name, and the first heading, or the first three of a unit."""
+    # The kinds' names.
+    names = F.when(kind == "army_rule", "军队规则").when(kind == "detachment_rule", "分队规则").when(kind == "unit", "单位数据").otherwise("核心规则")
+    first = F.coalesce(heads[0], F.lit(""))
+    three = F.array_join(F.filter(F.array(*[F.coalesce(h, F.lit("")) for h in heads[:3]]), lambda h: h != ""), "-")
+    return F.concat(F.lit(document), names, F.lit("-"), F.when(kind == "unit", three).otherwise(first))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, StringIndexer
@@ -111,8 +113,6 @@ def dataset_report(rows: DataFrame, label: str = "label") -> DataFrame:
 
 def importance(model: PipelineModel, most: int = 10) -> list[tuple[str, float]]:
     """The features of greatest weight of a fitted ``classifier``: by the largest coefficient of any class, or the forest's own measure."""
-    import numpy as np
-
     names = next(s for s in model.stages if hasattr(s, "vocabulary")).vocabulary
     last = model.stages[-1]
     if hasattr(last, "featureImportances"):
@@ -123,6 +123,13 @@ def importance(model: PipelineModel, most: int = 10) -> list[tuple[str, float]]:
     return [(names[i], float(weight[i])) for i in order]
 
 
+def buffer_statistics(rows: DataFrame, most: int) -> DataFrame:
+    """One row over a query buffer (uncertainty) of at most ``most`` places: queries, mean, greatest and least uncertainty, and the share in use."""
+    n, u = F.count(F.lit(1)), F.col("uncertainty")
+    of = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 6)
+    return rows.agg(n.alias("queries"), of(F.avg(u)).alias("mean"), of(F.max(u)).alias("most"), of(F.min(u)).alias("least"), F.round(n / F.lit(most), 6).alias("in_use"))
+
+
 def advanced_features(text: Column, keywords: dict[str, list[str]]) -> dict[str, Column]:
     """Length, density, structure and, for each intent, the share of its keywords that a text holds."""
     w = F.filter(F.split(text, r"\s+"), lambda x: x != "")
@@ -191,8 +198,6 @@ def fourier_features(rows: DataFrame, size: int = 256, gamma: float = 1.0, seed:
     A linear machine over them is one with a radial kernel, trained in time linear in the rows. Only the components that are set are read, each
     with a seeded row of weights.
     """
-    import numpy as np
-    import pyarrow as pa
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     @F.arrow_udf("array<double>")

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import words
+
 # Ordered keywords of the rule-based intents; the first intent that fits counts.
 INTENT_KEYWORDS = {
     "compare": ["compare", "versus", " vs ", "difference", "比较", "区别"],
@@ -59,14 +61,29 @@ MOST_TERMS = 1_000_000
 CANNED = "I can only answer questions about the indexed documents."
 
 
-def annotated_intent(text: Column) -> Column:
-    """The rule-based label of a text to annotate: list, then compare, then rule, else query."""
+def annotated_intent(text: Column, known: dict[str, list[str]] = ANNOTATION_WORDS) -> Column:
+    """The rule-based label of a text to annotate: the first whose words it holds, by default list, then compare, then rule; else query."""
     low, out = F.lower(text), F.lit("query")
-    for name, ws in reversed(ANNOTATION_WORDS.items()):
+    for name, ws in reversed(known.items()):
         out = F.when(reduce(lambda a, b: a | b, [low.contains(w) for w in ws]), name).otherwise(out)
     return out
 
 
+def annotation_job(texts: DataFrame, path: str, known: dict[str, list[str]] = ANNOTATION_WORDS) -> DataFrame:
+    """Texts (text) classified, cut into words and written as label files, all labels O, in a folder for each intent; (intent, texts, words) of what was written."""
+    rows = texts.where("text is not null").select(annotated_intent(F.col("text"), known).alias("intent"), F.transform(words(F.col("text")), lambda w: F.concat(w, F.lit("\tO"))).alias("lines"))
+    rows = rows.where(F.size("lines") > 0)
+    rows.select("intent", F.array_join("lines", "\n").alias("value")).write.partitionBy("intent").option("lineSep", "\n\n").mode("errorifexists").text(path)
+    back = texts.sparkSession.read.option("lineSep", "\n\n").text(path).where("value <> ''")
+    return back.groupBy("intent").agg(F.count(F.lit(1)).alias("texts"), F.sum(F.size(F.split("value", "\n"))).alias("words"))
+
+
+def keyword_match(text: Column, known: Column, keywords: list[str]) -> Column:
+    """Whether a text that the vocabulary's gate knows holds one of an intent's keywords."""
+    low = F.lower(text)
+    return known & reduce(lambda a, b: a | b, [low.contains(w) for w in keywords], F.lit(False))
+
+
 def gapped(text: Column, first: str, last: str) -> Column:
     """Whether a text holds both parts of a pattern ``first...last``."""
     return text.contains(first) & text.contains(last)

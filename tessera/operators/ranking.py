@@ -103,10 +103,10 @@ def nearest_of(vectors: DataFrame, asked: pa.Table, k: int, cell: str | None = N
     return vectors.mapInArrow(run, "query_id long, doc_id long, score double")
 
 
-def query_blocks(queries: DataFrame) -> Iterator[DataFrame]:
-    """The queries (query_id, qv) in parts of about ``QUERY_BYTES``, by the hash of their id."""
+def query_blocks(queries: DataFrame, most: int | None = None) -> Iterator[DataFrame]:
+    """The queries (query_id, qv) in parts of about ``QUERY_BYTES``, and of about ``most`` rows if given, by the hash of their id."""
     n, total = queries.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("qv").cast("long") * 8), F.lit(0))).first()
-    blocks = max(1, -(-total // QUERY_BYTES)) if n else 0
+    blocks = max(1, -(-total // QUERY_BYTES), -(-n // most) if most else 1) if n else 0
     for b in range(blocks):
         yield queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
 
@@ -114,7 +114,7 @@ def query_blocks(queries: DataFrame) -> Iterator[DataFrame]:
 _HITS = "query_id long, doc_id long, score double, rank int"
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, where: Column | None = None) -> DataFrame:
+def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, where: Column | None = None, block_rows: int | None = None) -> DataFrame:
     """Exact k nearest by inner product. vectors: (doc_id, embedding); queries: (query_id, qv), any number.
 
     The vectors are read once for each block of queries, which is sent to the executors; a task keeps the k best of each batch, so
@@ -122,7 +122,7 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, where: Column | Non
     """
     v = (vectors if where is None else vectors.where(where)).where(whole_vectors("embedding")).select(F.col("doc_id").cast("long").alias("doc_id"), "embedding")
     asked = queries.where(whole_vectors("qv")).select(F.col("query_id").cast("long").alias("query_id"), "qv")
-    parts = [top_k(nearest_of(v, block.toArrow(), k), k) for block in query_blocks(asked)]
+    parts = [top_k(nearest_of(v, block.toArrow(), k), k) for block in query_blocks(asked, block_rows)]
     return reduce(DataFrame.unionAll, parts) if parts else vectors.sparkSession.createDataFrame([], _HITS)
 
 

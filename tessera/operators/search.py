@@ -105,7 +105,7 @@ def dispatch(index: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
 
 def by_entity(index: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """The nearest documents of each query among those one of whose headings is the query's entity."""
-    heads = index.select("doc_id", "embedding", F.explode(F.array_distinct(F.array_compact(F.array(*HEADINGS)))).alias("entity"))
+    heads = index.where("embedding is not null").select("doc_id", "embedding", F.explode(F.array_distinct(F.array_compact(F.array(*HEADINGS)))).alias("entity"))
     hits = heads.join(bounded(queries.select("query_id", "qv", "entity")), "entity")
     return lexical.top_k(hits.select("query_id", "doc_id", F.round(ranking.dot(F.col("embedding"), F.col("qv")), 6).alias("score")), k)
 

@@ -95,3 +95,28 @@ def align(spans_: DataFrame, tokens_: DataFrame) -> DataFrame:
     begin = F.row_number().over(W.partitionBy("sent_id", "x").orderBy("pos")) == 1
     named = hit.select("sent_id", "pos", F.concat(F.when(begin, "B-").otherwise("I-"), F.col("x.name")).alias("label"))
     return tokens_.join(named, ["sent_id", "pos"], "left").withColumn("label", F.coalesce("label", F.lit("O")))
+
+
+def slot_report(seq: DataFrame) -> DataFrame:
+    """One row: sentences, tokens, labels that occur, and mean, least and greatest length of a sentence."""
+    each = seq.groupBy("sent_id").agg(F.count(F.lit(1)).alias("n"))
+    labels = seq.agg(F.countDistinct("label").alias("labels"))
+    out = each.agg(F.count(F.lit(1)).alias("sentences"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.round(F.coalesce(F.avg("n"), F.lit(0.0)), 6).alias("mean"), F.coalesce(F.min("n"), F.lit(0)).alias("shortest"), F.coalesce(F.max("n"), F.lit(0)).alias("longest"))
+    return out.join(labels)
+
+
+def slot_names(labels: F.Column) -> F.Column:
+    """The distinct names of an array of labels, in alphabetical order."""
+    return F.array_sort(F.array_distinct(F.transform(F.filter(labels, lambda x: x.rlike("^[BI]-")), lambda x: F.substr(x, F.lit(3)))))
+
+
+def training_rows(rows: DataFrame) -> DataFrame:
+    """Of texts with their characters' labels (text, labels) those whose labels are valid, with the characters as tokens."""
+    at = F.sequence(F.lit(0), F.size("labels") - 1)
+
+    def ok(i: F.Column) -> F.Column:
+        x, last = F.get("labels", i), F.coalesce(F.get("labels", i - 1), F.lit("O"))
+        return x.rlike(r"^(O|[BI]-.+)$") & (~x.startswith("I-") | (last != "O") & (F.substr(last, F.lit(3)) == F.substr(x, F.lit(3))))
+
+    kept = rows.where(F.size("labels") > 0).where(F.forall(at, ok))
+    return kept.withColumn("tokens", F.filter(F.split("text", ""), lambda c: c != ""))

@@ -99,9 +99,9 @@ class _TimedAnswers:
 
     @staticmethod
     def _rows(key: tuple, lines: list[str], given: int, kind: str) -> pd.DataFrame:
-        return pd.DataFrame({"answer_id": [key[0]] * len(lines), "n": range(given, given + len(lines)), "kind": [kind] * len(lines), "line": lines})
+        return pd.DataFrame({"answer_id": [key[0]] * len(lines), "n": range(given, given + len(lines)), "kind": pd.Series([kind] * len(lines), dtype=object), "line": pd.Series(lines, dtype=object)})
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         text, headed, given, seen = self.held.get() if self.held.exists() else ("", False, 0, 0)
         parts = pd.concat(list(rows)).sort_values("seq")
         lines, text, headed = list_lines(text + "".join(x for x in parts["piece"] if x), headed)
@@ -114,15 +114,15 @@ class _TimedAnswers:
             self._timers(seen)
         yield self._rows(key, lines, given, "line")
 
-    def handleExpiredTimer(self, key: tuple, timers, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if not self.held.exists():
             return
         text, headed, given, seen = self.held.get()
-        if expired.getExpiryTimeInMs() >= seen + self.idle:
+        if expiredTimerInfo.getExpiryTimeInMs() >= seen + self.idle:
             yield self._rows(key, [text] if text.strip() else [], given, "ended")
             self._forget()
         elif self.alive:
-            self.handle.registerTimer(min(expired.getExpiryTimeInMs() + self.alive, seen + self.idle))
+            self.handle.registerTimer(min(expiredTimerInfo.getExpiryTimeInMs() + self.alive, seen + self.idle))
             yield self._rows(key, [": keep-alive"], given, "alive")
 
     def _forget(self) -> None:
