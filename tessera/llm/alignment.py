@@ -77,10 +77,10 @@ class Bytes:
         ordered = [vocab["".join(p)] for p in pairs] == list(range(len(vocab) - len(pairs), len(vocab)))
         self.fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}) if plain and ordered else None
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> np.ndarray:
         if self.fast is not None and not LONG_GAP.search(text):
-            return self.fast.encode_ordinary(text)
-        return self.slow.encode(text, add_special_tokens=False).ids
+            return self.fast.encode_to_numpy(text, disallowed_special=())
+        return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 class Pieces:
@@ -121,9 +121,11 @@ def tokens_of(texts: list[str | None], a_path: str, b_path: str) -> list[pa.List
         if text:
             whole = (" " + text).encode()
             x = a.encode(" " + text)
-            if b"".join(map(a.bytes.__getitem__, x)) == whole and b"".join(map(b.bytes.__getitem__, y)) == whole:
-                x, y = np.array(x, np.int32), np.array(y, np.int32)
-                n, m = a.length[x], b.length[y]
+            n = a.length[x]
+            # a byte-level encoder gives back pieces of the text's own bytes, so their number says whether it gave all
+            if n.sum() == len(whole) and b"".join(map(b.bytes.__getitem__, y)) == whole:
+                y = np.array(y, np.int32)
+                m = b.length[y]
                 row = (x, np.cumsum(n) - 1, n, y, np.cumsum(m) - 1, m)
         for col, v in zip(out, row, strict=True):
             col.append(v)
@@ -182,13 +184,11 @@ def groups(met: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def spelled(met: DataFrame, key: str = "doc_id") -> DataFrame:
     """(row, key, n_a, n_b, links, text): the groups as text, with ids of A, a bar and ids of B, and semicolons between groups."""
-    ids = met.select(
-        "row", key, "a_at", "b_at", F.col("a").cast("array<string>").alias("a"), F.col("b").cast("array<string>").alias("b"), links().alias("links"),
-        _before("a_at").alias("a_from"), _before("b_at").alias("b_from"),
-    )
+    ids = met.select("row", key, "a", "b", "a_at", "b_at", links().alias("links"), _before("a_at").alias("a_from"), _before("b_at").alias("b_from"))
 
     def part(ids_: str, before: str, at: str) -> Column:
-        one = lambda p, x: F.when(x - p == 1, F.get(ids_, x)).otherwise(F.array_join(F.slice(ids_, p + 2, x - p), ","))
+        many = lambda p, x: F.array_join(F.slice(ids_, p + 2, x - p).cast("array<string>"), ",")
+        one = lambda p, x: F.when(x - p == 1, F.get(ids_, x).cast("string")).otherwise(many(p, x))
         return F.zip_with(before, at, one)
 
     whole = F.array_join(F.zip_with(part("a", "a_from", "a_at"), part("b", "b_from", "b_at"), lambda x, y: F.concat(x, F.lit("|"), y)), ";")
