@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import scratch, table
 from . import alignment, ann, chat, decontaminate, html_text, langid, merkle, mixing, ngram_join, quality, quality_rules, token_rollup, url_filter
 from . import sql as _more_sql
-from .store import Scratch, crc_mod, shared_dir
+from .store import Scratch, crc_mod
 
 RULES = [
     url_filter.Rule("com", "/", "allow"),
@@ -102,19 +101,25 @@ def ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token totals of all documents: a batch, the same once more by a retry, and corrections, which change nothing.
+    """Token totals of all documents, which corrections put right: a batch, the same once more by a retry, and corrections.
 
-    The corrections delete and insert again every tenth document and revise every tenth to the count it has.
+    The first batch lacks every tenth document, holds every tenth twice, and has counts that are one too high for every tenth; the corrections insert,
+    delete and revise these. A rollup that ignores a kind of change, or counts a retry, gives other totals.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
     count = token_rollup.counter(f"{TOKENIZER_PATH}/{TOKENIZER}.tiktoken", TOKENIZER_PATTERN)
-    rollup = token_rollup.Rollup(spark, f"{shared_dir(spark)}/token-rollup-{uuid.uuid4().hex}")
-    changes = lambda part: token_rollup.inserts(part, count(F.col("text")), TOKENIZER)
-    again = changes(docs.where("doc_id % 10 = 0")).withColumn("kind", F.explode(F.array(F.lit("delete"), F.lit("insert"))))
-    revised = changes(docs.where("doc_id % 10 = 1")).withColumns({"kind": F.lit("revise"), "old_tokens": F.col("tokens")})
+    rollup = token_rollup.Rollup(spark, scratch(spark, "token-rollup"))
+    tenth = F.coalesce(F.pmod("doc_id", F.lit(10)), F.lit(9))
+    # counted once, as both batches are made of the counts
+    columns = ["source", "lang", F.lit(TOKENIZER).alias("tokenizer"), tenth.alias("tenth"), count(F.col("text")).alias("tokens")]
+    counted = Scratch(spark, "token-counts").cut(docs.select(*columns))
+    twice = F.explode(F.when(F.col("tenth") == 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    first = counted.where("tenth <> 0").withColumn("copy", twice).withColumns({"kind": F.lit("insert"), "tokens": F.col("tokens") + F.when(F.col("tenth") == 2, 1).otherwise(0), "old_tokens": F.lit(0)})
+    kind = F.when(F.col("tenth") == 0, "insert").when(F.col("tenth") == 1, "delete").otherwise("revise")
+    corrections = counted.where("tenth < 3").withColumns({"kind": kind, "old_tokens": F.when(F.col("tenth") == 2, F.col("tokens") + 1).otherwise(0)})
     for _ in range(2):
-        rollup.commit("documents", changes(docs))
-    rollup.commit("corrections", again.unionByName(revised))
+        rollup.commit("documents", first)
+    rollup.commit("corrections", corrections)
     return rollup.totals()
 
 

@@ -2,7 +2,8 @@
 
 Changes are signed: an insert adds a document's tokens to its (source, lang, tokenizer) total, a delete takes them
 away, a revision takes the old count away and adds the new one. A batch is summed to one row for each key and
-staged in a new folder, which is then renamed to the batch's identifier in one step: a crash leaves the batch whole or not there,
+staged in a new folder, which is then renamed to the batch's identifier in one step (where the file system renames folders in one step, as
+object stores don't): a crash leaves the batch whole or not there,
 and a batch that is there already is refused, so a retry never counts twice. Totals are the sums over all committed
 batches; ``compact`` folds batches into one base that remembers their identifiers (one name a batch), and such
 batches are refused as well.
@@ -103,23 +104,31 @@ class Rollup:
         base = self._base()
         return set() if base is None else {r[0] for r in self.spark.read.parquet(f"{self.path}/base/{base}/names").collect()}
 
-    def _parts(self) -> list[str]:
+    def _listing(self) -> tuple[str | None, set[str], list[str]]:
+        """The base, the batches that it holds, and the committed ones beside it, as they are now."""
         base, old = self._base(), self._compacted()
-        return [f"{self.path}/batches/{n}" for n in self._names("batches") if n not in old] + ([f"{self.path}/base/{base}/totals"] if base else [])
+        return base, old, [n for n in self._names("batches") if n not in old]
 
-    def totals(self) -> DataFrame:
-        """(source, lang, tokenizer, documents, tokens) over all committed batches."""
-        parts = self._parts()
+    def _sums(self, base: str | None, beside: list[str]) -> DataFrame:
+        parts = [f"{self.path}/batches/{n}" for n in beside] + ([f"{self.path}/base/{base}/totals"] if base else [])
         rows = self.spark.read.schema(_DELTA).parquet(*parts) if parts else self.spark.createDataFrame([], _DELTA)
         sums = rows.groupBy(*KEYS).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
         return sums.where("documents <> 0 or tokens <> 0")
 
+    def totals(self) -> DataFrame:
+        """(source, lang, tokenizer, documents, tokens) over all committed batches."""
+        base, _, beside = self._listing()
+        return self._sums(base, beside)
+
     def compact(self) -> None:
-        """Fold all batches into a new base; it counts once its last file is written."""
-        base, done = self._base(), self._compacted()
-        names = sorted(done | set(self._names("batches")))
+        """Fold all batches into a new base; it counts once its last file is written.
+
+        Totals and names are of one listing, so a batch that another writer commits meanwhile stays beside the base and counts once.
+        """
+        base, old, beside = self._listing()
+        names = sorted(old | set(beside))
         path = f"{self.path}/base/{0 if base is None else int(base) + 1:09d}"
-        self.totals().write.mode("overwrite").parquet(f"{path}/totals")
+        self._sums(base, beside).write.mode("overwrite").parquet(f"{path}/totals")
         self.spark.createDataFrame([(n,) for n in names], "name string").write.mode("overwrite").parquet(f"{path}/names")
         p, fs = self._fs(f"{path}/_SUCCESS")
         fs.create(p).close()

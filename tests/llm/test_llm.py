@@ -294,3 +294,21 @@ def test_pipeline_stages_keep_columns(spark):
     assert [n for n, _ in P.STAGES][0] == "language_id" and len(P.STAGES) == 5
     out = P.run(spark, "/root/testdata/sf0.001")
     assert {"doc_id", "text", "lang", "source", "n_chars", "repetition"} <= set(out.columns) and out.where(F.col("words") <= 0).count() == 0
+
+
+def test_compaction_counts_a_batch_committed_meanwhile_once(spark, tmp_path, monkeypatch):
+    schema = "source string, lang string, tokenizer string, kind string, tokens long, old_tokens long"
+    path = str(tmp_path / "r")
+    r, sums, came = token_rollup.Rollup(spark, path), token_rollup.Rollup._sums, []
+    r.commit("1", spark.createDataFrame([("s", "en", "t", "insert", 5, 0)], schema))
+
+    def meanwhile(self, base, beside):
+        if not came:
+            came.append(token_rollup.Rollup(spark, path).commit("2", spark.createDataFrame([("s", "en", "t", "insert", 7, 0)], schema)))
+        return sums(self, base, beside)
+
+    monkeypatch.setattr(token_rollup.Rollup, "_sums", meanwhile)
+    r.compact()
+    assert came == [True] and [(x.documents, x.tokens) for x in r.totals().collect()] == [(2, 12)]
+    r.compact()
+    assert [(x.documents, x.tokens) for x in r.totals().collect()] == [(2, 12)] and not r.commit("2", spark.createDataFrame([], schema))
