@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -104,27 +104,27 @@ def _runs(n: int) -> Column:
 def ngrams(docs: DataFrame, *n: int) -> DataFrame:
     """(gram, freq, df) of runs of n tokens, of several lengths together: one scan and one shuffle of partial sums.
 
-    Runs and a document's distinct runs are built within its row.
+    Runs are built and sorted within a document's row, so that the first of equal ones counts for the document.
     """
-    t = docs.select(tokens(F.col("text")).alias("t")).select(F.concat(*[_runs(i) for i in n]).alias("runs"))
-    every = F.transform("runs", lambda g: F.struct(g.alias("gram"), F.lit(1).alias("f"), F.lit(0).alias("d")))
-    once = F.transform(F.array_distinct("runs"), lambda g: F.struct(g.alias("gram"), F.lit(0).alias("f"), F.lit(1).alias("d")))
-    rows = t.select(F.explode(F.concat(every, once)).alias("x")).select("x.*")
-    return rows.groupBy("gram").agg(F.sum("f").alias("freq"), F.sum("d").alias("df"))
+    t = docs.select(tokens(F.col("text")).alias("t")).select(F.sort_array(F.concat(*[_runs(i) for i in n])).alias("runs"))
+    first = lambda g, i: F.coalesce(F.get("runs", i - 1) != g, F.lit(True)).cast("int")
+    rows = t.select(F.explode(F.transform("runs", lambda g, i: F.struct(g.alias("gram"), first(g, i).alias("d")))).alias("x")).select("x.*")
+    return rows.groupBy("gram").agg(F.count(F.lit(1)).alias("freq"), F.sum("d").alias("df"))
 
 
 def pmi_phrases(docs: DataFrame, min_freq: int = 5, min_pmi: float = 3.0, least: int = 0, most: int = 0) -> DataFrame:
     """(phrase, freq, df, pmi) of token pairs: ln(p12 / (p1 p2) + 1e-10); of ``least`` to ``most`` characters if given."""
-    both = cut(ngrams(docs, 1, 2).withColumn("pair", F.col("gram").contains(" ")))
-    one = both.where("not pair").select("gram", "freq")
-    totals = both.agg(F.sum(F.when(~F.col("pair"), F.col("freq"))).alias("n1"), F.sum(F.when(F.col("pair"), F.col("freq"))).alias("n2"))
-    pairs = both.where("pair").where(F.col("freq") >= min_freq)
+    every, seen = ngrams(docs, 1, 2).withColumn("pair", F.col("gram").contains(" ")), Observation()
+    every = every.observe(seen, F.sum(F.when(~F.col("pair"), F.col("freq"))).alias("n1"), F.sum(F.when(F.col("pair"), F.col("freq"))).alias("n2"))
+    # rare pairs are seen for the totals and not written
+    both = cut(every.where(~F.col("pair") | (F.col("freq") >= min_freq)))
+    n1, n2 = (F.lit(seen.get[n]).cast("double") for n in ("n1", "n2"))
+    one, pairs = both.where("not pair").select("gram", "freq"), both.where("pair")
     if most:
         pairs = pairs.where(F.length(F.replace("gram", F.lit(" "), F.lit(""))).between(least, most))
     pairs = pairs.withColumns({"a": F.split("gram", " ")[0], "b": F.split("gram", " ")[1]})
     pairs = pairs.join(one.select(F.col("gram").alias("a"), F.col("freq").alias("fa")), "a").join(one.select(F.col("gram").alias("b"), F.col("freq").alias("fb")), "b")
-    pairs = pairs.join(F.broadcast(totals))
-    pmi = F.ln((F.col("freq") / F.col("n2")) / ((F.col("fa") / F.col("n1")) * (F.col("fb") / F.col("n1"))) + 1e-10)
+    pmi = F.ln((F.col("freq") / n2) / ((F.col("fa") / n1) * (F.col("fb") / n1)) + 1e-10)
     return pairs.select(F.col("gram").alias("phrase"), "freq", "df", F.round(pmi, 6).alias("pmi")).where(F.col("pmi") >= min_pmi)
 
 
