@@ -52,53 +52,85 @@ def _matrices(table: pa.Table | pa.RecordBatch, vector: str) -> Iterator[tuple[n
         yield rows, flat.astype(np.float64).reshape(len(rows), int(d))
 
 
-def _best_of_batch(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query ids, ids, scores) of the k best rows of a batch for each query, its own row left out; ties go to the smaller id."""
+class Best:
+    """The k best (id, score) of each query that a task has met, by the query's number; ties go to the smaller id.
+
+    ``least`` is what a row must reach to come in, from the last merge; what is added is merged when it has grown.
+    """
+
+    def __init__(self, queries: int, k: int) -> None:
+        self.k, self.least = k, np.full(queries, -np.inf)
+        self.most, self.waiting = 2 * queries * k, 0
+        self.parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+
+    def add(self, query: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        if len(query):
+            self.parts.append((query, ids, score))
+            self.waiting += len(query)
+            if self.waiting >= self.most:
+                self.rows()
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(queries' numbers, ids, scores), by query and from the best on."""
+        if len(self.parts) > 1:
+            q, ids, score = (np.concatenate(v) for v in zip(*self.parts, strict=True))
+            order = np.lexsort((ids, -score, q))
+            q, ids, score = q[order], ids[order], score[order]
+            place = np.arange(len(q)) - np.searchsorted(q, q)
+            last = place == self.k - 1
+            self.least[q[last]] = score[last]
+            keep = place < self.k
+            self.parts, self.waiting = [(q[keep], ids[keep], score[keep])], 0
+        return self.parts[0]
+
+
+def _meet(best: Best, ids: np.ndarray, x: np.ndarray, asked: np.ndarray, qids: np.ndarray, q: np.ndarray) -> None:
+    """Take the k best rows of a batch for each of the asked queries (their numbers), its own row left out."""
     step = max(1, PRODUCTS // max(1, len(ids)))
-    by_id = np.argsort(ids, kind="stable")
-    ids, x = ids[by_id], x[by_id]
-    for i in range(0, len(qids), step):
-        score = np.round(q[i : i + step] @ x.T, 6)
-        score[qids[i : i + step, None] == ids[None, :]] = -np.inf
-        if score.shape[1] > 4 * k:
+    for i in range(0, len(asked), step):
+        some = asked[i : i + step]
+        score = np.round(q[some] @ x.T, 6)
+        score[qids[some, None] == ids[None, :]] = -np.inf
+        least = best.least[some][:, None]
+        if score.shape[1] > 4 * best.k:
             # all that reach the k-th score stay, so that ties are settled by id
-            least = -np.partition(-score, k - 1, axis=1)[:, k - 1 : k]
-        else:
-            least = np.full((len(score), 1), -np.inf)
+            least = np.maximum(least, -np.partition(-score, best.k - 1, axis=1)[:, best.k - 1 : best.k])
         r, c = np.nonzero((score >= least) & (score > -np.inf))
-        order = np.lexsort((c, -score[r, c], r))
-        r, c = r[order], c[order]
-        place = np.arange(len(r)) - np.searchsorted(r, r)
-        keep = place < k
-        yield qids[i + r[keep]], ids[c[keep]], score[r[keep], c[keep]]
+        best.add(some[r], ids[c], score[r, c])
 
 
-def nearest_of(vectors: DataFrame, asked: pa.Table, k: int, cell: str | None = None) -> DataFrame:
-    """(query_id, doc_id, score): for each batch of vectors (doc_id, embedding) the k best of each query of a bounded table (query_id, qv).
+def nearest_of(vectors: DataFrame, asked: pa.Table, k: int, cells: np.ndarray | None = None) -> DataFrame:
+    """(query_id, doc_id, score): of each task's vectors (doc_id, embedding) the k best of each query of a bounded table (query_id, qv).
 
-    With a cell column on both sides, vectors meet the queries of their cell only. A product of two matrices scores a batch.
+    With ``cells``, which has a row of cells for each query, vectors, which have a column ``cell`` then, meet the queries of their cell only: each
+    query's vector is sent once however many cells it has. A product of two matrices scores a batch.
     """
-    spark = vectors.sparkSession
-    groups: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
-    ids, cells = asked.column("query_id").to_numpy(), asked.column(cell).to_numpy() if cell else np.zeros(len(asked), np.int64)
+    ids, groups = asked.column("query_id").to_numpy(), {}
     for rows, q in _matrices(asked, "qv"):
-        for c in np.unique(cells[rows]):
-            here = cells[rows] == c
-            groups[(int(c), q.shape[1])] = (ids[rows[here]], q[here])
-    sent = spark.sparkContext.broadcast(groups)
+        here = np.zeros(len(rows), np.int64) if cells is None else cells[rows].ravel()
+        number = np.repeat(np.arange(len(rows), dtype=np.int32), len(here) // len(rows))
+        by = np.argsort(here, kind="stable")
+        names, first = np.unique(here[by], return_index=True)
+        groups[q.shape[1]] = (rows, q, dict(zip(names.tolist(), np.split(number[by], first[1:]), strict=True)))
+    sent, by_cells = vectors.sparkSession.sparkContext.broadcast((ids, groups)), cells is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, groups = sent.value
+        best = {d: Best(len(g[0]), k) for d, g in groups.items()}
         for batch in batches:
-            got: list[tuple] = []
-            doc, of = batch.column("doc_id").to_numpy(), batch.column(cell).to_numpy() if cell else np.zeros(len(batch), np.int64)
+            doc = batch.column("doc_id").to_numpy()
+            of = batch.column("cell").to_numpy() if by_cells else np.zeros(len(batch), np.int64)
             for rows, x in _matrices(batch, "embedding"):
+                if x.shape[1] not in groups:
+                    continue
+                numbers, q, by_cell = groups[x.shape[1]]
                 for c in np.unique(of[rows]):
-                    if (int(c), x.shape[1]) in sent.value:
+                    if int(c) in by_cell:
                         here = of[rows] == c
-                        got += _best_of_batch(doc[rows[here]], x[here], *sent.value[(int(c), x.shape[1])], k)
-            if got:
-                cols = [np.concatenate(v) for v in zip(*got, strict=True)]
-                yield pa.record_batch([pa.array(cols[0].astype(np.int64)), pa.array(cols[1].astype(np.int64)), pa.array(cols[2])], names=["query_id", "doc_id", "score"])
+                        _meet(best[x.shape[1]], doc[rows[here]], x[here], by_cell[int(c)], ids[numbers], q)
+        for d, found in best.items():
+            q, doc, score = found.rows()
+            yield pa.record_batch([pa.array(ids[groups[d][0]][q].astype(np.int64)), pa.array(doc.astype(np.int64)), pa.array(score)], names=["query_id", "doc_id", "score"])
 
     return vectors.mapInArrow(run, "query_id long, doc_id long, score double")
 

@@ -18,11 +18,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .lexical import top_k
 from .ranking import _HITS, _matrices, nearest_of, query_blocks, whole_vectors
 
 #: Bytes of the vectors that train the centroids, and the most cells, which bound what a search sends to its tasks.
 SAMPLE_BYTES, MOST_CELLS = 32 << 20, 4096
+#: Pairs of a query and a cell that a block of queries has.
+MOST_PROBES = 4 << 20
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -43,6 +46,14 @@ def train_cells(x: np.ndarray, cells: int, rounds: int = 12, seed: int = 7) -> n
     return c
 
 
+def _nearest_cells(q: np.ndarray, c: np.ndarray, few: int) -> np.ndarray:
+    """The ``few`` nearest cells of each query; the driver holds the products of some queries at a time."""
+    out = np.zeros((len(q), few), np.int32)
+    for i in range(0, len(q), 1024):
+        out[i : i + 1024] = np.argsort(-(q[i : i + 1024] @ c.T), axis=1, kind="stable")[:, :few]
+    return out
+
+
 class VectorIndex:
     """The vectors and centroids below a folder that all executors share."""
 
@@ -85,17 +96,17 @@ class VectorIndex:
         """The k nearest found of each query (query_id, qv) by inner product, among rows that the filter keeps: (query_id, doc_id, score, rank)."""
         c, few = self.centroids, min(probes, len(self.centroids))
         asked = queries.where(whole_vectors("qv") & (F.size("qv") == c.shape[1])).select(F.col("query_id").cast("long").alias("query_id"), "qv")
-        parts = []
-        for block in query_blocks(asked):
+        parts, blocks = [], list(query_blocks(asked, max(1, MOST_PROBES // max(1, few))))
+        for block in blocks:
             table = block.toArrow()
             if not len(table):
                 continue
-            rows, q = next(_matrices(table, "qv"))
-            near = np.argsort(-(q @ c.T), axis=1, kind="stable")[:, :few]
-            many = table.take(pa.array(np.repeat(rows, few))).append_column("cell", pa.array(near.ravel().astype(np.int64)))
+            near = _nearest_cells(next(_matrices(table, "qv"))[1], c, few)
             v = self.vectors().where(F.col("cell").isin(np.unique(near).tolist()))
             v = (v if where is None else v.where(where)).select(F.col("doc_id").cast("long").alias("doc_id"), "embedding", F.col("cell").cast("long").alias("cell"))
-            parts.append(top_k(nearest_of(v, many, k, "cell"), k))
+            found = top_k(nearest_of(v, table, k, near), k)
+            # each of many blocks is done with before the next one is read
+            parts.append(found if len(blocks) == 1 else cut(found))
         return reduce(DataFrame.unionAll, parts) if parts else self.spark.createDataFrame([], _HITS)
 
 
