@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..functions.text import tokens
 from ..session import bounded, cut
 from . import lexical
-from .lexical import Tokenizer, term_counts, top_k
+from .lexical import Tokenizer, packed, term_counts, top_k, unpacked
 from .ranking import PRODUCTS, Best
 
 #: Rows (query, term) that are sent to the tasks at a time; more queries are more scans.
@@ -91,9 +91,8 @@ def scored(bags: DataFrame, factors: pa.Table, k: int, avgdl: float, k1: float,
         names, first, query, factor, ids = sent.value
         best, step = Best(len(ids), k), 64
         for batch in batches:
-            doc, t = batch.column("doc_id").to_numpy(), batch.column("t")
-            dl = pc.list_value_length(t).to_numpy(zero_copy_only=False).astype(np.int64)
-            term = pc.fill_null(pc.index_in(pc.list_flatten(t), value_set=names), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            doc, (dl, flat) = batch.column("doc_id").to_numpy(), unpacked(batch.column("t"))
+            term = pc.fill_null(pc.index_in(flat, value_set=names), -1).to_numpy(zero_copy_only=False).astype(np.int64)
             row = np.repeat(np.arange(len(doc)), dl)
             row, term = row[term >= 0], term[term >= 0]
             held, tf = np.unique(row * len(names) + term, return_counts=True)
@@ -115,7 +114,7 @@ def scored(bags: DataFrame, factors: pa.Table, k: int, avgdl: float, k1: float,
         q, found, score = best.rows()
         yield pa.record_batch([pa.array(ids[q]), pa.array(found), pa.array(score)], names=["query_id", "doc_id", "score"])
 
-    return bags.mapInArrow(run, "query_id long, doc_id long, score double")
+    return bags.select("doc_id", packed("t").alias("t")).mapInArrow(run, "query_id long, doc_id long, score double")
 
 
 def verbatim(docs: DataFrame, passages: DataFrame, most: int = 1_000_000) -> DataFrame:
