@@ -137,6 +137,47 @@ def ngrams(docs: DataFrame, *n: int) -> DataFrame:
     return rows.groupBy("gram").agg(F.count(F.lit(1)).alias("freq"), F.sum("d").alias("df"))
 
 
+def near_pairs(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(phrase, documents, times) of pairs (a, b) of tokens, ``a b`` as a phrase: places of a from which b is the next token or the one after, and the
+    documents that have one.
+
+    Each place goes to Python as a number; the pairs, which are a bounded table, go to the tasks, and a row a batch of documents and pair comes back.
+    """
+    asked = pairs.select("a", "b").distinct().toArrow().combine_chunks()
+    names = pc.unique(pa.chunked_array([asked.column("a").combine_chunks(), asked.column("b").combine_chunks()]).combine_chunks())
+    a, b = (pc.index_in(asked.column(c).combine_chunks(), value_set=names).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("a", "b"))
+    key = a * len(names) + b
+    by = np.argsort(key)
+    text = pc.binary_join_element_wise(asked.column("a"), asked.column("b"), " ").combine_chunks().take(pa.array(by))
+    sent = docs.sparkSession.sparkContext.broadcast((names, key[by], text))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, key, text = sent.value
+        for batch in batches:
+            n, flat = unpacked(batch.column("t"))
+            code = pc.fill_null(pc.index_in(flat, value_set=names), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            row, found = np.repeat(np.arange(len(n)), n), []
+            for gap in (1, 2):
+                x, y = code[:-gap], code[gap:]
+                made = x * len(names) + y
+                at = np.searchsorted(key, made)
+                held = (x >= 0) & (y >= 0) & (row[:-gap] == row[gap:]) & (key[np.minimum(at, len(key) - 1)] == made)
+                found.append(np.flatnonzero(held) * len(key) + at[held])
+            # a place that makes a pair by both gaps counts once
+            both = np.unique(np.concatenate(found))
+            place, pair = both // len(key), both % len(key)
+            times = np.bincount(pair, minlength=len(key))
+            documents = np.bincount(np.unique(row[place] * len(key) + pair) % len(key), minlength=len(key))
+            some = np.flatnonzero(times)
+            yield pa.record_batch([text.take(pa.array(some)), pa.array(documents[some]), pa.array(times[some])], names=["phrase", "documents", "times"])
+
+    schema = "phrase string, documents long, times long"
+    if not len(key):
+        return docs.sparkSession.createDataFrame([], schema)
+    t = docs.select(tokens(F.col("text")).alias("t")).where("size(t) > 1").select(packed("t").alias("t"))
+    return t.mapInArrow(count, schema).groupBy("phrase").agg(F.sum("documents").alias("documents"), F.sum("times").alias("times"))
+
+
 def pmi_phrases(docs: DataFrame, min_freq: int = 5, min_pmi: float = 3.0, least: int = 0, most: int = 0) -> DataFrame:
     """(phrase, freq, df, pmi) of token pairs: ln(p12 / (p1 p2) + 1e-10); of ``least`` to ``most`` characters if given."""
     every, seen = ngrams(docs, 1, 2).withColumn("pair", F.col("gram").contains(" ")), Observation()
