@@ -20,6 +20,14 @@ def tokens(text: Column) -> Column:
     return F.when(plain, F.regexp_extract_all(low, F.lit("([a-z0-9]+)"), F.lit(1))).otherwise(F.regexp_extract_all(low, F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)))
 
 
+def marked_tokens(text: Column, mark: str) -> Column:
+    """The same tokens as one string, with a mark of one character that is in none of them between two."""
+    low = F.lower(text)
+    plain = F.octet_length(low) == F.length(low)
+    runs = F.when(plain, F.regexp_replace(low, "[^a-z0-9]++", mark)).otherwise(F.regexp_replace(low, r"[^\p{L}\p{N}]++", mark))
+    return F.btrim(runs, F.lit(mark))
+
+
 def words(text: Column) -> Column:
     """Runs between white space."""
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")

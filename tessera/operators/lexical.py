@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import char_grams, tokens
+from ..functions.text import char_grams, marked_tokens, tokens
 from ..session import bounded, cut
 
 
@@ -23,8 +23,14 @@ Tokenizer = Callable[[Column], Column]
 MARK = "\x1f"
 
 
-def packed(tokens_: str) -> Column:
-    return F.array_join(F.col(tokens_), MARK)
+def packed(text: Column, tokenizer: Tokenizer = tokens) -> Column:
+    """A text's tokens as one string; the usual ones are marked off by one replacement, without an array."""
+    return marked_tokens(text, MARK) if tokenizer is tokens else F.array_join(tokenizer(text), MARK)
+
+
+def holding_tokens(batch: pa.RecordBatch, column: str = "t") -> pa.RecordBatch:
+    """The rows with tokens. Left to the tasks: a condition on tokens would have Spark find them twice."""
+    return batch.filter(pc.fill_null(pc.not_equal(batch.column(column), ""), False))
 
 
 def unpacked(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
@@ -33,6 +39,12 @@ def unpacked(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64), pc.list_flatten(parts)
 
 
+def different(numbers: np.ndarray) -> np.ndarray:
+    """The different ones, in order, by sorting: ``np.unique`` hashes them, which takes many times longer."""
+    by = np.sort(numbers)
+    return by[np.concatenate([[True], by[1:] != by[:-1]])] if len(by) else by
+
+
 def term_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", count: str = "tf", tokenizer: Tokenizer = tokens) -> DataFrame:
     """(key, term, count): partial sums combine before the shuffle."""
     return docs.select(key, F.explode(tokenizer(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias(count))
@@ -43,14 +55,16 @@ def corpus(docs: DataFrame, text: str = "text", tokenizer: Tokenizer = tokens) -
 
     The row without a term holds the documents that have tokens (df) and their tokens (freq). A row of docs is a document.
     """
-    bag = docs.select(tokenizer(F.col(text)).alias("t")).where(F.size("t") > 0).select(packed("t").alias("t"))
+    bag = docs.select(packed(F.col(text), tokenizer).alias("t"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in map(holding_tokens, batches):
+            if not len(batch):
+                continue
             n, flat = unpacked(batch.column("t"))
             coded = pc.dictionary_encode(flat)
             code, size = coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
-            once = np.unique(np.repeat(np.arange(len(n)), n) * size + code) % max(1, size)
+            once = different(np.repeat(np.arange(len(n)), n) * size + code) % size
             df, freq = np.bincount(once, minlength=size), np.bincount(code, minlength=size)
             whole = pa.record_batch([pa.array([None], pa.string()), pa.array([len(n)]), pa.array([len(code)])], names=["term", "df", "freq"])
             yield from (pa.record_batch([coded.dictionary.cast(pa.string()), pa.array(df), pa.array(freq)], names=["term", "df", "freq"]), whole)
@@ -153,7 +167,7 @@ def near_pairs(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, key, text = sent.value
-        for batch in batches:
+        for batch in map(holding_tokens, batches):
             n, flat = unpacked(batch.column("t"))
             code = pc.fill_null(pc.index_in(flat, value_set=names), -1).to_numpy(zero_copy_only=False).astype(np.int64)
             row, found = np.repeat(np.arange(len(n)), n), []
@@ -164,18 +178,17 @@ def near_pairs(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 held = (x >= 0) & (y >= 0) & (row[:-gap] == row[gap:]) & (key[np.minimum(at, len(key) - 1)] == made)
                 found.append(np.flatnonzero(held) * len(key) + at[held])
             # a place that makes a pair by both gaps counts once
-            both = np.unique(np.concatenate(found))
+            both = different(np.concatenate(found))
             place, pair = both // len(key), both % len(key)
             times = np.bincount(pair, minlength=len(key))
-            documents = np.bincount(np.unique(row[place] * len(key) + pair) % len(key), minlength=len(key))
+            documents = np.bincount(different(row[place] * len(key) + pair) % len(key), minlength=len(key))
             some = np.flatnonzero(times)
             yield pa.record_batch([text.take(pa.array(some)), pa.array(documents[some]), pa.array(times[some])], names=["phrase", "documents", "times"])
 
     schema = "phrase string, documents long, times long"
     if not len(key):
         return docs.sparkSession.createDataFrame([], schema)
-    t = docs.select(tokens(F.col("text")).alias("t")).where("size(t) > 1").select(packed("t").alias("t"))
-    return t.mapInArrow(count, schema).groupBy("phrase").agg(F.sum("documents").alias("documents"), F.sum("times").alias("times"))
+    return docs.select(packed(F.col("text")).alias("t")).mapInArrow(count, schema).groupBy("phrase").agg(F.sum("documents").alias("documents"), F.sum("times").alias("times"))
 
 
 def pmi_phrases(docs: DataFrame, min_freq: int = 5, min_pmi: float = 3.0, least: int = 0, most: int = 0) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..functions.text import tokens
 from ..session import bounded, cut
 from . import lexical
-from .lexical import Tokenizer, packed, term_counts, top_k, unpacked
+from .lexical import MARK, Tokenizer, holding_tokens, packed, term_counts, top_k, unpacked
 from .ranking import PRODUCTS, Best
 
 #: Rows (query, term) that are sent to the tasks at a time; more queries are more scans.
@@ -67,7 +67,7 @@ class Corpus:
         known = self.stats(variant).join(bounded(asked.select("term").distinct()), "term", "left_semi")
         factors = cut(asked.join(known, "term").select(F.col("query_id").cast("long").alias("query_id"), "term", (F.col("qtf") * F.col("idf")).alias("factor")))
         avgdl = lexical.corpus_size(self.corpus()).first().avgdl
-        bags = self.docs.select("doc_id", self.tokenizer(F.col("text")).alias("t")).where(F.size("t") > 0)
+        bags = self.docs.select("doc_id", packed(F.col("text"), self.tokenizer).alias("t"))
         blocks = -(-factors.count() // MOST_FACTORS)
         parts = []
         for i in range(blocks):
@@ -78,7 +78,10 @@ class Corpus:
 
 
 def scored(bags: DataFrame, factors: pa.Table, k: int, avgdl: float, k1: float, b: float) -> DataFrame:
-    """(query_id, doc_id, score): the k best of each task's documents (doc_id, t) by the sum of factor times saturated frequency."""
+    """(query_id, doc_id, score): the k best of each task's documents (doc_id, t) by the sum of factor times saturated frequency.
+
+    t holds the tokens, as an array or ``packed``.
+    """
     # a row of the table is a term of a query; rows of one term lie together
     names = pc.unique(factors.column("term").combine_chunks())
     code = pc.index_in(factors.column("term").combine_chunks(), value_set=names).to_numpy(zero_copy_only=False)
@@ -90,7 +93,7 @@ def scored(bags: DataFrame, factors: pa.Table, k: int, avgdl: float, k1: float,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, first, query, factor, ids = sent.value
         best, step = Best(len(ids), k), 64
-        for batch in batches:
+        for batch in map(holding_tokens, batches):
             doc, (dl, flat) = batch.column("doc_id").to_numpy(), unpacked(batch.column("t"))
             term = pc.fill_null(pc.index_in(flat, value_set=names), -1).to_numpy(zero_copy_only=False).astype(np.int64)
             row = np.repeat(np.arange(len(doc)), dl)
@@ -114,7 +117,8 @@ def scored(bags: DataFrame, factors: pa.Table, k: int, avgdl: float, k1: float,
         q, found, score = best.rows()
         yield pa.record_batch([pa.array(ids[q]), pa.array(found), pa.array(score)], names=["query_id", "doc_id", "score"])
 
-    return bags.select("doc_id", packed("t").alias("t")).mapInArrow(run, "query_id long, doc_id long, score double")
+    t = F.col("t") if dict(bags.dtypes)["t"] == "string" else F.array_join("t", MARK)
+    return bags.select("doc_id", t.alias("t")).mapInArrow(run, "query_id long, doc_id long, score double")
 
 
 def verbatim(docs: DataFrame, passages: DataFrame, most: int = 1_000_000) -> DataFrame:
