@@ -55,32 +55,32 @@ def _matrices(table: pa.Table | pa.RecordBatch, vector: str) -> Iterator[tuple[n
 class Best:
     """The k best (id, score) of each query that a task has met, by the query's number; ties go to the smaller id.
 
-    ``least`` is what a row must reach to come in, from the last merge; what is added is merged when it has grown.
+    ``least`` is what a row must reach to come in, from the last merge; what is added is merged when it has grown. ``more`` values go with a row.
     """
 
-    def __init__(self, queries: int, k: int) -> None:
+    def __init__(self, queries: int, k: int, more: int = 0) -> None:
         self.k, self.least = k, np.full(queries, -np.inf)
         self.most, self.waiting = 2 * queries * k, 0
-        self.parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        self.parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), *[np.zeros(0) for _ in range(1 + more)])]
 
-    def add(self, query: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+    def add(self, query: np.ndarray, ids: np.ndarray, score: np.ndarray, *more: np.ndarray) -> None:
         if len(query):
-            self.parts.append((query, ids, score))
+            self.parts.append((query, ids, score, *more))
             self.waiting += len(query)
             if self.waiting >= self.most:
                 self.rows()
 
-    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(queries' numbers, ids, scores), by query and from the best on."""
+    def rows(self) -> tuple[np.ndarray, ...]:
+        """(queries' numbers, ids, scores, and what goes with them), by query and from the best on."""
         if len(self.parts) > 1:
-            q, ids, score = (np.concatenate(v) for v in zip(*self.parts, strict=True))
+            q, ids, score, *more = (np.concatenate(v) for v in zip(*self.parts, strict=True))
             order = np.lexsort((ids, -score, q))
-            q, ids, score = q[order], ids[order], score[order]
+            q, ids, score, *more = (x[order] for x in (q, ids, score, *more))
             place = np.arange(len(q)) - np.searchsorted(q, q)
             last = place == self.k - 1
             self.least[q[last]] = score[last]
             keep = place < self.k
-            self.parts, self.waiting = [(q[keep], ids[keep], score[keep])], 0
+            self.parts, self.waiting = [tuple(x[keep] for x in (q, ids, score, *more))], 0
         return self.parts[0]
 
 

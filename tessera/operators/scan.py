@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..functions.text import tokens
 from ..session import bounded, cut
 from . import lexical
-from .lexical import MARK, Tokenizer, holding_tokens, packed, term_counts, top_k, unpacked
+from .lexical import MARK, Tokenizer, packed, term_counts, top_k, unpacked
 from .ranking import PRODUCTS, Best
 
 #: Rows (query, term) that are sent to the tasks at a time; more queries are more scans.
@@ -77,43 +77,68 @@ class Corpus:
         return cut(reduce(DataFrame.unionAll, parts)) if parts else self.docs.sparkSession.createDataFrame([], _HITS)
 
 
+def by_term(asked: pa.Table, value: str) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(terms, where each one's rows begin, the rows' queries by number, their values, the queries' ids) of rows (query_id, term, value)."""
+    names = pc.unique(asked.column("term").combine_chunks())
+    code = pc.index_in(asked.column("term").combine_chunks(), value_set=names).to_numpy(zero_copy_only=False)
+    ids, of = np.unique(asked.column("query_id").to_numpy(), return_inverse=True)
+    by = np.argsort(code, kind="stable")
+    return names, np.searchsorted(code[by], np.arange(len(names) + 1)), of[by], asked.column(value).to_numpy()[by], ids
+
+
+def known(packed_: pa.Array, names: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens of each row; rows, terms by number and times of those among ``names``, by row) of ``packed`` texts."""
+    held = np.flatnonzero(pc.fill_null(pc.not_equal(packed_, ""), False).to_numpy(zero_copy_only=False))
+    n, flat = unpacked(packed_.take(pa.array(held)))
+    size = np.zeros(len(packed_), np.int64)
+    size[held] = n
+    term = pc.fill_null(pc.index_in(flat, value_set=names), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(held, n)
+    both, times = np.unique(row[term >= 0] * len(names) + term[term >= 0], return_counts=True)
+    return size, both // max(1, len(names)), both % max(1, len(names)), times
+
+
+def spread(first: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places in term, rows of ``by_term``): each term with each of its rows."""
+    n = first[term + 1] - first[term]
+    return np.repeat(np.arange(len(term)), n), np.repeat(first[term] - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
+def pieces(load: np.ndarray, rows: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose load is about ``PRODUCTS`` in all and which are so many at most.
+
+    They are few at first, as the scores that they reach keep most of the others out.
+    """
+    until, lo, step = np.concatenate([[0], np.cumsum(load)]), 0, min(64, rows)
+    while lo < len(load):
+        hi = max(lo + 1, min(lo + step, int(np.searchsorted(until, until[lo] + PRODUCTS, "right")) - 1))
+        yield lo, hi
+        lo, step = hi, min(4 * step, rows)
+
+
 def scored(bags: DataFrame, factors: pa.Table, k: int, avgdl: float, k1: float, b: float) -> DataFrame:
     """(query_id, doc_id, score): the k best of each task's documents (doc_id, t) by the sum of factor times saturated frequency.
 
     t holds the tokens, as an array or ``packed``.
     """
-    # a row of the table is a term of a query; rows of one term lie together
-    names = pc.unique(factors.column("term").combine_chunks())
-    code = pc.index_in(factors.column("term").combine_chunks(), value_set=names).to_numpy(zero_copy_only=False)
-    ids, of = np.unique(factors.column("query_id").to_numpy(), return_inverse=True)
-    by = np.argsort(code, kind="stable")
-    first = np.searchsorted(code[by], np.arange(len(names) + 1))
-    sent = bags.sparkSession.sparkContext.broadcast((names, first, of[by], factors.column("factor").to_numpy()[by], ids))
+    sent = bags.sparkSession.sparkContext.broadcast(by_term(factors, "factor"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, first, query, factor, ids = sent.value
-        best, step = Best(len(ids), k), 64
-        for batch in map(holding_tokens, batches):
-            doc, (dl, flat) = batch.column("doc_id").to_numpy(), unpacked(batch.column("t"))
-            term = pc.fill_null(pc.index_in(flat, value_set=names), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-            row = np.repeat(np.arange(len(doc)), dl)
-            row, term = row[term >= 0], term[term >= 0]
-            held, tf = np.unique(row * len(names) + term, return_counts=True)
-            row, term = held // len(names), held % len(names)
+        best = Best(len(ids), k)
+        for batch in batches:
+            doc, (dl, row, term, tf) = batch.column("doc_id").to_numpy(), known(batch.column("t"), names)
             part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[row] / avgdl))
-            lo = 0
-            while lo < len(doc):
-                i, j = np.searchsorted(row, (lo, lo + step))
-                n = first[term[i:j] + 1] - first[term[i:j]]
-                at = np.repeat(first[term[i:j]] - np.cumsum(n) + n, n) + np.arange(n.sum())
-                cell = np.repeat(row[i:j] - lo, n) * len(ids) + query[at]
-                total = np.bincount(cell, np.repeat(part[i:j], n) * factor[at], min(step, len(doc) - lo) * len(ids))
+            load = np.bincount(row, first[term + 1] - first[term], len(doc))
+            for lo, hi in pieces(load, max(1, PRODUCTS // max(1, len(ids)))):
+                i, j = np.searchsorted(row, (lo, hi))
+                of, at = spread(first, term[i:j])
+                cell = (row[i:j][of] - lo) * len(ids) + query[at]
+                total = np.bincount(cell, part[i:j][of] * factor[at], (hi - lo) * len(ids))
                 met = np.flatnonzero(np.bincount(cell, minlength=len(total)))
                 q, score = met % len(ids), np.round(total[met], 6)
                 near = score >= best.least[q]
                 best.add(q[near], doc[lo + met[near] // len(ids)], score[near])
-                # few documents at first, as the scores that they reach keep most of the others out
-                lo, step = lo + step, max(1, min(4 * step, PRODUCTS // max(1, len(ids))))
         q, found, score = best.rows()
         yield pa.record_batch([pa.array(ids[q]), pa.array(found), pa.array(score)], names=["query_id", "doc_id", "score"])
 

@@ -14,8 +14,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import words
-from ..session import bounded
-from . import fields, lexical, ranking
+from ..session import bounded, cut
+from . import fields, fieldscan, lexical, ranking, scan
 
 #: Sub-queries of the five-part search.
 PARTS = ("heading", "bm25", "content", "metadata", "dense")
@@ -46,27 +46,17 @@ def five_parts(index: DataFrame, queries: DataFrame, k: int = 10, dense_boost: f
     """(query_id, doc_id, heading, bm25, content, metadata, dense, score, rank): the mean of five min-max scaled sub-queries.
 
     Headings count by their best field and a share of the others, metadata by their best field, content by the question's
-    length. All text fields are read in one pass over the index; the parts' scaled scores stay in the row as an explanation.
+    length. The tasks score and scale all text fields in scans of the index; the parts' scaled scores stay in the row as an explanation. Only a query's
+    nearest vectors and its k best by the other parts can be among its k best.
     """
-    weights = fields.HEADING_WEIGHTS | fields.METADATA_WEIGHTS | {"text": 1.0}
-    scores = fields.field_scores(index, queries, weights)
-    of = lambda names: F.when(F.col("field").isin(names), F.col("score"))
-    heads, meta = list(fields.HEADING_WEIGHTS), list(fields.METADATA_WEIGHTS)
-    best, total = F.max(of(heads)), F.sum(of(heads))
-    lex = scores.groupBy("query_id", "doc_id").agg((best + tie * (total - best)).alias("heading"), F.max(of(meta)).alias("metadata"), F.max(of(["text"])).alias("bm25"))
-    boost = bounded(queries.select("query_id", fields.content_boost(F.col("text")).alias("boost")))
-    lex = lex.join(boost, "query_id").withColumn("content", F.col("bm25") * F.col("boost")).drop("boost")
-    dense = ranking.knn(index.select("doc_id", "embedding"), queries.select("query_id", "qv"), min(100, 3 * k))
-    dense = dense.select("query_id", "doc_id", (F.col("score") * dense_boost).alias("dense"))
-    every = lex.join(dense, ["query_id", "doc_id"], "full")
+    near = ranking.knn(index.select("doc_id", "embedding"), queries.select("query_id", "qv"), min(100, 3 * k))
+    near = cut(near.select("query_id", "doc_id", (F.col("score") * dense_boost).alias("dense")))
+    lex = fieldscan.four_parts(index, queries, fields.HEADING_WEIGHTS, fields.METADATA_WEIGHTS, near, k, tie)
     q = W.partitionBy("query_id")
-
-    def scaled(name: str) -> Column:
-        x, lo, hi = F.col(name), F.min(name).over(q), F.max(name).over(q)
-        return F.when(x.isNull(), 0.0).when(hi == lo, 0.5).otherwise((x - lo) / (hi - lo))
-
-    parts = every.select("query_id", "doc_id", *[F.round(scaled(p), 6).alias(p) for p in PARTS])
-    return lexical.top_k(parts.withColumn("score", F.round(sum(F.col(p) for p in PARTS) / 5.0, 6)), k)
+    x, lo, hi = F.col("dense"), F.min("dense").over(q), F.max("dense").over(q)
+    near = near.withColumn("dense", F.round(F.when(x.isNull(), 0.0).when(hi == lo, 0.5).otherwise((x - lo) / (hi - lo)), 6))
+    every = lex.join(near, ["query_id", "doc_id"], "full").na.fill(0.0, list(PARTS)).select("query_id", "doc_id", *PARTS)
+    return lexical.top_k(every.withColumn("score", F.round(sum(F.col(p) for p in PARTS) / 5.0, 6)), k)
 
 
 def dense(index: DataFrame, queries: DataFrame, k: int = 10, least: int = 10) -> DataFrame:
@@ -80,7 +70,7 @@ def dense(index: DataFrame, queries: DataFrame, k: int = 10, least: int = 10) ->
 def rank_fusion(index: DataFrame, queries: DataFrame, k: int = 10, multiplier: int = 3, constant: int = 20) -> DataFrame:
     """Lexical and dense lists of the window's depth, fused by rank."""
     p = fields.rrf_parameters(k, multiplier, constant)
-    lex = lexical.top_k(lexical.bm25_scores(index.select("doc_id", "text"), queries.select("query_id", "text")), p["window"])
+    lex = scan.Corpus(index.select("doc_id", "text")).search(queries.select("query_id", "text"), p["window"])
     near = ranking.knn(index.select("doc_id", "embedding"), queries.select("query_id", "qv"), p["window"])
     return ranking.rrf([lex, near], p["constant"], p["window"], k).select("query_id", "doc_id", "score", "rank")
 
