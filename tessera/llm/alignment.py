@@ -1,6 +1,7 @@
 """Alignment of two tokenizers' tokens over the same bytes.
 
-Both tokenizers encode each text; an Arrow function returns the ids, the place of each token's last byte, and its number of bytes. All else is Spark's
+Both tokenizers encode each text. Words come again and again, so a text is cut at single spaces between other characters, which no token of either
+vocabulary crosses, and a worker encodes each stretch once while it remembers it; a text whose stretches aren't all given back is encoded whole. An Arrow function returns the ids, the place of each token's last byte, and its number of bytes. All else is Spark's
 higher-order functions: ``array_intersect`` of the ends gives the bytes where tokens of both end, which cut them into groups; ``transform``,
 ``array_repeat`` and ``flatten`` give the token that covers each byte, so that the last tokens of a group are looked up in one step and work
 stays linear in the text. Bulk functions and lambdas are in selects of their own, each with a column that the next one reads twice: so the
@@ -22,6 +23,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,12 @@ from .store import BROADCAST_BYTES, Scratch, lean_workers
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: White space beyond which the pattern is left to the slower library, as the faster one runs out of stack.
 LONG_GAP = re.compile(r"\s{50000}")
+#: Where texts are cut: at a space with no white space on either side, where words of both tokenizers begin.
+CUT = re.compile(r" (?=\S)(?<=\S )")
+#: Bytes of text whose different stretches are encoded together, and stretches that are encoded as one text: long ones take longer a byte.
+PIECE, TOGETHER = 1 << 22, 1000
+#: Stretches that a worker remembers.
+MOST = 1 << 18
 _TOKENS = "a array<int>, a_last array<int>, a_size array<int>, b array<int>, b_last array<int>, b_size array<int>"
 
 
@@ -75,6 +83,8 @@ class Bytes:
         pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         plain = spec["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} and spec["normalizer"] is None
         ordered = [vocab["".join(p)] for p in pairs] == list(range(len(vocab) - len(pairs), len(vocab)))
+        #: whether each stretch that ``CUT`` leaves is encoded alike alone and in its text
+        self.apart = plain
         self.fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}) if plain and ordered else None
 
     def encode(self, text: str) -> np.ndarray:
@@ -93,6 +103,20 @@ class Pieces:
         byte = re.compile("<0x([0-9A-F]{2})>")
         names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         self.bytes = [bytes([int(m[1], 16)]) if (m := byte.fullmatch(p)) else p.replace("\u2581", " ").encode() for p in names]
+        self.apart = self._apart(names)
+
+    def _apart(self, names: list[str]) -> bool:
+        """Whether each stretch that ``CUT`` leaves is encoded alike alone and in its text: merges of pairs, none across the beginning of a word."""
+        try:
+            from sentencepiece import sentencepiece_model_pb2
+        except ImportError:
+            return False
+        spec = sentencepiece_model_pb2.ModelProto.FromString(self.model.serialized_model_proto())
+        rule, kinds = spec.normalizer_spec, type(spec.pieces[0]) if spec.pieces else None
+        merged = spec.trainer_spec.model_type == sentencepiece_model_pb2.TrainerSpec.BPE and not spec.trainer_spec.treat_whitespace_as_suffix
+        plain = rule.add_dummy_prefix and rule.escape_whitespaces and not rule.remove_extra_whitespaces and not rule.precompiled_charsmap
+        own = any(p.type == kinds.USER_DEFINED for p in spec.pieces)
+        return merged and plain and not own and not any(re.search("[^\u2581]\u2581", n) for n in names)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return self.model.encode(texts, num_threads=1)
@@ -107,29 +131,114 @@ def _loaded(kind: type, path: str):
     return found
 
 
-def _lists(rows: list[np.ndarray]) -> pa.ListArray:
-    at = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(rows).astype(np.int32) if rows else np.zeros(0, np.int32)))
+def _whole(stretch: str, a: Bytes, b: Pieces) -> tuple[np.ndarray, np.ndarray] | None:
+    """Ids of both tokenizers for a stretch, before which a space stands; none if it isn't given back."""
+    whole = (" " + stretch).encode()
+    x, y = a.encode(" " + stretch), b.encode([stretch])[0]
+    return (x, np.array(y, np.int32)) if a.length[x].sum() == len(whole) and b"".join(map(b.bytes.__getitem__, y)) == whole else None
+
+
+def _encoded(stretches: list[str], a: Bytes, b: Pieces) -> tuple[list[np.ndarray], list[np.ndarray], list[bool]]:
+    """Ids of both for all stretches one after the other, in parts, and which are given back; only those have ids.
+
+    They are encoded as one text if they begin and end without white space; if that isn't given back, each half is encoded alone, and so on.
+    """
+    if not stretches:
+        return [], [], []
+    found = _whole(" ".join(stretches), a, b)
+    if found is not None and len(stretches) > 1:
+        ends = np.cumsum([len(s.encode()) + 1 for s in stretches])
+        if not all(np.isin(ends, np.cumsum(v.length[ids])).all() for v, ids in zip((a, b), found, strict=True)):
+            found = None
+    if found is not None:
+        return [found[0]], [found[1]], [True] * len(stretches)
+    if len(stretches) == 1:
+        return [], [], [False]
+    half = len(stretches) // 2
+    return tuple(x + y for x, y in zip(_encoded(stretches[:half], a, b), _encoded(stretches[half:], a, b), strict=True))
+
+
+class Stretches:
+    """The stretches that were met, by number, and where each one's tokens stand among all; forgotten when they are many."""
+
+    def __init__(self, a: Bytes, b: Pieces) -> None:
+        self.a, self.b = a, b
+        self.cut = CUT.split if a.apart and b.apart else lambda text: [text]
+        self.forget()
+
+    def forget(self) -> None:
+        none = np.zeros(0, np.int64)
+        #: a text that was taken whole is a tuple, so that it isn't taken for a stretch
+        self.number: dict[str | tuple[str], int] = {}
+        self.size, self.good = none, none.astype(bool)
+        self.ids, self.first, self.n = ([none] * 2 for _ in range(3))
+
+    def places(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The numbers of each text's stretches; none for texts that are null, empty or not given back."""
+        if len(self.number) > MOST or self.size.sum() > 4 * PIECE:
+            self.forget()
+        number, known = self.number, len(self.number)
+        out = [np.array([number.setdefault(w, len(number)) for w in self.cut(t)] if t else [], np.int64) for t in texts]
+        self._encode(list(islice(number, known, None)))
+        if not self.good.all():
+            # a text that holds a stretch that isn't given back is taken whole
+            for i, p in enumerate(out):
+                if not self.good[p].all():
+                    whole = (texts[i],)
+                    if whole not in number:
+                        number[whole] = len(number)
+                        self._add([texts[i]], *_encoded([texts[i]], self.a, self.b))
+                    out[i] = np.array([number[whole]] if self.good[number[whole]] else [], np.int64)
+        return out
+
+    def _encode(self, names: list[str]) -> None:
+        """Tokens of new stretches; those with white space at an end are encoded one by one, as they would not stay apart in a text."""
+        odd = np.array([not w or w[0].isspace() or w[-1].isspace() for w in names], bool)
+        by = np.concatenate([np.flatnonzero(~odd), np.flatnonzero(odd)])
+        some, plain, found = [names[i] for i in by], int((~odd).sum()), ([], [], [])
+        for lo, hi in (*((i, min(i + TOGETHER, plain)) for i in range(0, plain, TOGETHER)), *((i, i + 1) for i in range(plain, len(some)))):
+            for col, v in zip(found, _encoded(some[lo:hi], self.a, self.b), strict=True):
+                col += v
+        self._add(some, *found, np.argsort(by))
+
+    def _add(self, names: list[str], xs: list[np.ndarray], ys: list[np.ndarray], good: list[bool], order: np.ndarray | None = None) -> None:
+        """Stretches with the next numbers, in an order of their own: their tokens are those up to their last byte that no earlier one has."""
+        order, right = np.arange(len(names)) if order is None else order, np.array(good, bool)
+        size = np.array([len(w.encode()) + 1 for w in names], np.int64)
+        last = np.cumsum(np.where(right, size, 0))
+        self.size, self.good = np.concatenate([self.size, size[order]]), np.concatenate([self.good, right[order]])
+        for v, (coder, parts) in enumerate(zip((self.a, self.b), (xs, ys), strict=True)):
+            ids = np.concatenate([np.zeros(0, np.int64), *parts]).astype(np.int64)
+            until = np.searchsorted(np.cumsum(coder.length[ids]), last, "right")
+            n = np.diff(until, prepend=0)
+            self.first[v] = np.concatenate([self.first[v], (until - n + len(self.ids[v]))[order]])
+            self.n[v], self.ids[v] = np.concatenate([self.n[v], n[order]]), np.concatenate([self.ids[v], ids])
+
+
+@cache
+def _met(a_path: str, b_path: str) -> Stretches:
+    return Stretches(_loaded(Bytes, a_path), _loaded(Pieces, b_path))
+
+
+def _rows(values: np.ndarray, bounds: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values.astype(np.int32)))
 
 
 def tokens_of(texts: list[str | None], a_path: str, b_path: str) -> list[pa.ListArray]:
     """Ids, last bytes and sizes of both tokenizers; none for texts that are null, empty or not given back."""
-    a, b = _loaded(Bytes, a_path), _loaded(Pieces, b_path)
-    out, none = [[] for _ in range(6)], np.zeros(0, np.int32)
-    for text, y in zip(texts, b.encode([t or "" for t in texts]), strict=True):
-        row = (none,) * 6
-        if text:
-            whole = (" " + text).encode()
-            x = a.encode(" " + text)
-            n = a.length[x]
-            # a byte-level encoder gives back pieces of the text's own bytes, so their number says whether it gave all
-            if n.sum() == len(whole) and b"".join(map(b.bytes.__getitem__, y)) == whole:
-                y = np.array(y, np.int32)
-                m = b.length[y]
-                row = (x, np.cumsum(n) - 1, n, y, np.cumsum(m) - 1, m)
-        for col, v in zip(out, row, strict=True):
-            col.append(v)
-    return [_lists(c) for c in out]
+    met, out = _met(a_path, b_path), []
+    places = met.places(texts)
+    flat = np.concatenate([np.zeros(0, np.int64), *places])
+    upto = np.concatenate([[0], np.cumsum([len(p) for p in places])]).astype(np.int64)
+    before = np.concatenate([[0], np.cumsum(met.size[flat])])
+    for v, coder in enumerate((met.a, met.b)):
+        n = met.n[v][flat]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        x = met.ids[v][np.repeat(met.first[v][flat] - ends[:-1], n) + np.arange(ends[-1])]
+        sizes, bounds = coder.length[x], ends[upto]
+        lasts = np.cumsum(sizes) - 1 - np.repeat(before[upto[:-1]], np.diff(bounds))
+        out += [_rows(c, bounds) for c in (x, lasts, sizes)]
+    return out
 
 
 def tokenise(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -141,7 +250,7 @@ def tokenise(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", tex
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             _, bounds = buffers(batch.column("text"))
-            for i, j in chunks(bounds, 1 << 20):
+            for i, j in chunks(bounds, PIECE):
                 part = batch.slice(i, j - i)
                 cols = tokens_of(part.column("text").to_pylist(), a_path, b_path)
                 yield pa.RecordBatch.from_arrays([part.column("row"), part.column("key"), *cols], ["row", "key", *[c.split()[0] for c in _TOKENS.split(", ")]])

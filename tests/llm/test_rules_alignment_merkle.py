@@ -183,6 +183,22 @@ def test_alignment_equals_brute_force(spark):
     assert sorted(((x.doc_id, x.n_a, x.n_b, len(x.groups), spell(x.groups)) for x in found), key=str) == [(w[0], w[1], w[2], w[3], w[7]) for w in want]
 
 
+@needs_files
+def test_each_stretch_is_encoded_once_and_alike(spark):
+    a, b = alignment._loaded(alignment.Bytes, A), alignment._loaded(alignment.Pieces, B)
+    assert a.apart and b.apart
+    met = alignment.Stretches(a, b)
+    assert [p.tolist() for p in met.places(["the cat's hat, 12"] * 1000)] == [[0, 1, 2, 3]] * 1000
+    n = [len(x) for x in met.ids]
+    assert met.places([None, "12 hat,"])[1].tolist() == [3, 2] and [len(x) for x in met.ids] == n
+    r = random.Random(3)
+    bits = ["the", "cat's", "'s", "x▁", "▁", " ", "  ", "\t", "\n", "\u00a0", "\u3000", "\x1c", "日本", "é", "e\u0301", "12", "--", "<s>", "\x00", "😀", "Wort"]
+    texts = ["".join(r.choice(bits) + r.choice(["", " ", " ", " "]) for _ in range(r.randint(1, 12))) for _ in range(300)]
+    docs = spark.createDataFrame(ALIGNED + list(enumerate(texts, 100)), "doc_id long, text string").repartition(3)
+    found = _aligned(alignment.digest(alignment.align(docs, A, B)))
+    assert found == sorted(((i, *v) for (i, _), v in zip(ALIGNED + list(enumerate(texts, 100)), _brute([t for _, t in ALIGNED] + texts), strict=True)), key=str)
+
+
 @needs_files
 def test_large_counts_meet_by_shuffle(spark):
     docs = spark.createDataFrame(ALIGNED, "doc_id long, text string")
