@@ -26,7 +26,9 @@ from .ranking import PRODUCTS, Best
 
 #: Rows (query, term) that are sent to the tasks at a time; more queries are more scans.
 MOST_FACTORS = 1 << 20
-_HITS = "query_id long, doc_id long, score double, rank int"
+#: Characters of phrases whose automaton a task holds; more are more scans.
+MOST_CHARACTERS = 2 << 20
+_HITS, _PLACES = "query_id long, doc_id long, score double, rank int", "query_id long, doc_id long, times long"
 
 
 def one_each(docs: DataFrame) -> DataFrame:
@@ -146,6 +148,48 @@ def scored(bags: DataFrame, factors: pa.Table, k: int, avgdl: float, k1: float,
     return bags.select("doc_id", t.alias("t")).mapInArrow(run, "query_id long, doc_id long, score double")
 
 
+def phrases(docs: DataFrame, queries: DataFrame, tokenizer: Tokenizer = tokens) -> DataFrame:
+    """(query_id, doc_id, times): documents (doc_id, text) that hold the tokens of a query's text (query_id, text) in a row.
+
+    ``times`` counts from the left the places that don't overlap; a query without tokens is in no document. One automaton over the phrases reads
+    each text once, and only what it finds leaves the tasks: nothing is shuffled.
+    """
+    asked = cut(queries.select(F.col("query_id").cast("long").alias("query_id"), packed(F.col("text"), tokenizer).alias("t")).where("t <> ''"))
+    blocks = -(-(asked.agg(F.sum(F.length("t") + 2)).first()[0] or 0) // MOST_CHARACTERS)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), packed(F.col("text"), tokenizer).alias("t"))
+    parts = [_with_phrases(rows, asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)) for i in range(blocks)]
+    return reduce(DataFrame.unionAll, parts) if parts else docs.sparkSession.createDataFrame([], _PLACES)
+
+
+def _with_phrases(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """``phrases`` of rows (doc_id, t) and a bounded table (query_id, t), both ``packed``."""
+    by_text: dict[str, list[int | None]] = {}
+    for r in asked.collect():
+        by_text.setdefault(f"{MARK}{r.t}{MARK}", []).append(r.query_id)
+    sent = rows.sparkSession.sparkContext.broadcast(by_text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        machine = ahocorasick.Automaton()
+        for phrase in sent.value:
+            machine.add_word(phrase, phrase)
+        if len(machine):
+            machine.make_automaton()
+        for batch in batches:
+            found = []
+            for doc, t in zip(batch.column("doc_id").to_pylist(), batch.column("t"), strict=True):
+                text, times, last = t.as_py(), {}, {}
+                # neighbours share a mark
+                for end, phrase in machine.iter(f"{MARK}{text}{MARK}") if text and len(machine) else ():
+                    if end - len(phrase) + 1 >= last.get(phrase, 0):
+                        times[phrase], last[phrase] = times.get(phrase, 0) + 1, end
+                found += [(i, doc, n) for phrase, n in times.items() for i in sent.value[phrase]]
+            yield pa.record_batch([pa.array([x[n] for x in found], pa.int64()) for n in range(3)], names=["query_id", "doc_id", "times"])
+
+    return rows.mapInArrow(run, _PLACES)
+
+
 def verbatim(docs: DataFrame, passages: DataFrame, most: int = 1_000_000) -> DataFrame:
     """(query_id, doc_id) of documents that hold a passage (query_id, text) verbatim; an empty passage stands in every text.
 
