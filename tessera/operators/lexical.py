@@ -129,10 +129,10 @@ def sparse_top_terms(w: DataFrame, k: int = 10) -> DataFrame:
 
 
 def sparse_dot(index, queries: DataFrame, k: int = 10) -> DataFrame:
-    """Documents of a stored index by the inner product of their sparse vectors with the query's (same weights, both sides)."""
-    q = weights(queries.withColumnRenamed("query_id", "doc_id")).where("weight > 0")
-    idf = index.stats("okapi").where("idf > 0")
-    return index.best(q.join(idf, "term").select(F.col("doc_id").alias("query_id"), "term", (F.col("weight") * F.col("idf")).alias("factor")), k)
+    """Documents of a stored index, or of a corpus that is scanned, by the inner product of their sparse vectors with the query's (same weights, both sides)."""
+    q = weights(queries.withColumnRenamed("query_id", "doc_id")).where("weight > 0").withColumnRenamed("doc_id", "query_id")
+    known = index.stats("okapi").where("idf > 0").join(bounded(q.select("term").distinct()), "term", "left_semi")
+    return index.best(q.join(known, "term").select("query_id", "term", (F.col("weight") * F.col("idf")).alias("factor")), k)
 
 
 def _runs(n: int) -> Column:

@@ -67,7 +67,11 @@ class Corpus:
         """The k best documents of each query (query_id, text) by BM25: (query_id, doc_id, score, rank)."""
         asked = cut(term_counts(queries, "query_id", "text", "qtf", self.tokenizer))
         known = self.stats(variant).join(bounded(asked.select("term").distinct()), "term", "left_semi")
-        factors = cut(asked.join(known, "term").select(F.col("query_id").cast("long").alias("query_id"), "term", (F.col("qtf") * F.col("idf")).alias("factor")))
+        return self.best(asked.join(known, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("factor")), k, k1, b)
+
+    def best(self, factors: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+        """The k best by the sum of factor times saturated frequency over (query_id, term, factor), one row for each term of a query."""
+        factors = cut(factors.select(F.col("query_id").cast("long").alias("query_id"), "term", "factor"))
         avgdl = lexical.corpus_size(self.corpus()).first().avgdl
         bags = self.docs.select("doc_id", packed(F.col("text"), self.tokenizer).alias("t"))
         blocks = -(-factors.count() // MOST_FACTORS)
