@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import term_shapes
+from ..session import bounded
 
 # The categories of a term, the most important first.
 PRIORITY = ["units", "skills", "weapons", "detachments", "factions", "mechanics"]
@@ -13,12 +14,18 @@ PRIORITY = ["units", "skills", "weapons", "detachments", "factions", "mechanics"
 
 def build(tf: DataFrame, least: int = 1, most: int | None = None, forced: DataFrame | None = None) -> DataFrame:
     """(term, freq, df) of terms with at least ``least`` occurrences, the ``most`` frequent of them, and all forced terms (term)."""
-    all_terms = tf.groupBy("term").agg(F.sum("tf").alias("freq"), F.count(F.lit(1)).alias("df"))
+    return frequent(tf.groupBy("term").agg(F.sum("tf").alias("freq"), F.count(F.lit(1)).alias("df")), least, most, forced)
+
+
+def frequent(all_terms: DataFrame, least: int = 1, most: int | None = None, forced: DataFrame | None = None) -> DataFrame:
+    """``build`` of counted terms (term, freq, df)."""
     kept = all_terms.where(F.col("freq") >= least)
     kept = kept if most is None else kept.orderBy(F.desc("freq"), "term").limit(most)
     if forced is None:
         return kept
-    extra = forced.select("term").distinct().join(all_terms, "term", "left").na.fill(0, ["freq", "df"])
+    forced = forced.select("term").distinct()
+    known = all_terms.join(bounded(forced), "term", "left_semi")
+    extra = forced.join(known, "term", "left").na.fill(0, ["freq", "df"])
     return kept.unionByName(extra.join(kept.select("term"), "term", "left_anti"))
 
 
