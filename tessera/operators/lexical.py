@@ -73,6 +73,19 @@ def corpus(docs: DataFrame, text: str = "text", tokenizer: Tokenizer = tokens) -
     return cut(rows.groupBy("term").agg(F.sum("df").alias("df"), F.sum("freq").alias("freq")))
 
 
+def forced_terms(stats: DataFrame, terms: DataFrame) -> DataFrame:
+    """``corpus`` with those of the terms (term) that no document has as the words of one document more."""
+    terms = terms.select("term").where("term is not null").distinct()
+    have = stats.join(bounded(terms), "term", "left_semi").select("term")
+    missing = cut(terms.join(have, "term", "left_anti"))
+    n = missing.count()
+    if not n:
+        return stats
+    whole = stats.where("term is null").agg(F.coalesce(F.max("df"), F.lit(0)) + 1, F.coalesce(F.max("freq"), F.lit(0)) + n).first()
+    more = missing.select("term", F.lit(1).cast("long").alias("df"), F.lit(1).cast("long").alias("freq"))
+    return stats.where("term is not null").unionByName(more).unionByName(stats.sparkSession.createDataFrame([(None, *whole)], "term string, df long, freq long"))
+
+
 def corpus_size(stats: DataFrame) -> DataFrame:
     """One row (n, avgdl) of ``corpus``: documents with tokens and their mean length."""
     return stats.where("term is null").agg(F.coalesce(F.max("df"), F.lit(0)).alias("n"), (F.max("freq") / F.max("df")).alias("avgdl"))
