@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .lexical import top_k
 
 
@@ -154,7 +155,11 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, where: Column | Non
     """
     v = (vectors if where is None else vectors.where(where)).where(whole_vectors("embedding")).select(F.col("doc_id").cast("long").alias("doc_id"), "embedding")
     asked = queries.where(whole_vectors("qv")).select(F.col("query_id").cast("long").alias("query_id"), "qv")
-    parts = [top_k(nearest_of(v, block.toArrow(), k), k) for block in query_blocks(asked, block_rows)]
+    parts, blocks = [], list(query_blocks(asked, block_rows))
+    for block in blocks:
+        found = top_k(nearest_of(v, block.toArrow(), k), k)
+        # each of many blocks is done with before the next one is read
+        parts.append(found if len(blocks) == 1 else cut(found))
     return reduce(DataFrame.unionAll, parts) if parts else vectors.sparkSession.createDataFrame([], _HITS)
 
 
